@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import chat, language, packing, rollups, secrets, shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,32 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document's whole text."""
+    return secrets.digest(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_samples(spark)))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All maximal conversations, rendered."""
+    return chat.format_conversations(spark, table(spark, sf_dir, "conversations"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document's whole text."""
+    return language.predict_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals of all documents by source, language and tokenizer version."""
+    return rollups.roll_up_documents(spark, table(spark, sf_dir, "documents"), shared.fresh_path(spark, "rollup"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_chat_format": op8_chat_format,
+    "op9_language_id": op9_language_id,
+    "op10_token_rollup": op10_token_rollup,
 }
 
 ORACLES: dict[str, str] = {}
