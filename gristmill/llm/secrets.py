@@ -47,7 +47,7 @@ IDENTIFIER_WORDS = (
 
 
 def labelled_samples(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``token`` and ``random``: digests in four writings, and joined words in five, made by rule from a counter."""
+    """``token`` and ``random``: digests in four writings; joined words in five and numbers; made by rule from a counter."""
     ids = spark.range(rows)
     digest = F.sha2(F.concat(F.lit("sample"), F.col("id")), 256)
     raw = F.base64(F.unhex(digest))
@@ -55,8 +55,9 @@ def labelled_samples(spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
     random = random.when(F.col("id") % 4 == 2, F.upper(F.substring(F.regexp_replace(raw, "[+/=]", ""), 1, 32))).otherwise(F.substring(F.regexp_replace(raw, "[+/=]", ""), 1, 36))
     words = F.expr("split('" + " ".join(IDENTIFIER_WORDS) + "', ' ')")
     pick = [F.get(words, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(IDENTIFIER_WORDS))).cast("int")) for k in range(4)]
-    plain = F.when(F.col("id") % 5 == 0, F.concat_ws("_", *pick)).when(F.col("id") % 5 == 1, F.concat(pick[0], *(F.initcap(x) for x in pick[1:])))
-    plain = plain.when(F.col("id") % 5 == 2, F.concat_ws("-", *pick)).when(F.col("id") % 5 == 3, F.upper(F.concat_ws("_", *pick[:3]))).otherwise(F.concat(*pick[:2], F.lit("/"), *pick[2:]))
+    plain = F.when(F.col("id") % 6 == 0, F.concat_ws("_", *pick)).when(F.col("id") % 6 == 1, F.concat(pick[0], *(F.initcap(x) for x in pick[1:])))
+    plain = plain.when(F.col("id") % 6 == 2, F.concat_ws("-", *pick)).when(F.col("id") % 6 == 3, F.upper(F.concat_ws("_", *pick[:3])))
+    plain = plain.when(F.col("id") % 6 == 4, F.abs(F.xxhash64("id") % 10**18).cast("string")).otherwise(F.concat(*pick[:2], F.lit("/"), *pick[2:]))
     return ids.select(random.alias("token"), F.lit(True).alias("random")).unionByName(ids.select(plain.alias("token"), F.lit(False).alias("random")))
 
 
