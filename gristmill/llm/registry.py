@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, rollups, secrets, shared
+from . import chat, decontaminate, language, packing, quality, rollups, secrets, shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,16 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document's whole text."""
+    return quality.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document's whole text."""
+    return decontaminate.find_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document's whole text."""
     return secrets.digest(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_samples(spark)))
@@ -40,6 +50,8 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_quality_crf": op3_quality_crf,
+    "op5_decontamination": op5_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
