@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, packing, quality, rollups, secrets, shared
+from . import chat, decontaminate, language, neardup, packing, quality, rollups, secrets, shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document's whole text."""
     return quality.score_documents(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -50,6 +55,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_crf": op3_quality_crf,
     "op5_decontamination": op5_decontamination,
     "op7_secret_scan": op7_secret_scan,
