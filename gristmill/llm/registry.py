@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, neardup, packing, quality, rollups, secrets, shared
+from . import chat, decontaminate, language, lattice, neardup, packing, quality, rollups, secrets, shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors."""
+    return lattice.near_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document's whole text."""
     return secrets.digest(table(spark, sf_dir, "documents"), secrets.fit(secrets.labelled_samples(spark)))
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_quality_crf": op3_quality_crf,
     "op5_decontamination": op5_decontamination,
+    "op6_lattice_near_dedup": op6_lattice_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
