@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from gristmill.plans import formats, measures, reviews
+
+QUERIES: dict = {**measures.QUERIES, **formats.QUERIES, **reviews.QUERIES}
+ORACLES: dict[str, str] = {**measures.ORACLES, **formats.ORACLES, **reviews.ORACLES}
