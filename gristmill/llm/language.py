@@ -13,10 +13,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
@@ -34,7 +34,6 @@ MIN_SHARE = 0.004
 
 LETTER = regex.compile(r"\p{L}")
 BETWEEN = re.compile(r"[\W\d_]+")
-OUTPUT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean, bytes_best long, bytes_next long"
 
 
 def remainder(parts: int):
@@ -50,17 +49,17 @@ def plain(text: str) -> str:
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> dict[str, bytes]:
     """Dictionary content by language, from rows of ``text`` and ``lang`` where both are known.
 
-    Takes the ``rows`` texts of each language whose hashes are least, and of each a stretch of ``chars``
-    characters at a place that the hash sets: at most rows * chars characters a language come to the driver.
+    The hash of a text puts it in one of ``rows`` slots of its language; of a slot's texts the one with the
+    least hash gives a stretch of ``chars`` characters, at a place that the hash sets. So equal texts count
+    once, and at most rows * chars characters a language come to the driver.
     """
     known = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
     h = F.xxhash64("text")
     at = (F.pmod(h, F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1).cast("int")
-    cut = known.select("lang", h.alias("h"), F.substr("text", at, F.lit(chars)).alias("part")).dropDuplicates(["lang", "h"])
-    order = Window.partitionBy("lang").orderBy("h", "part")
-    kept = cut.withColumn("i", F.row_number().over(order)).where(F.col("i") <= rows)
+    cut = known.select("lang", h.alias("h"), F.substr("text", at, F.lit(chars)).alias("part"))
+    kept = cut.groupBy("lang", F.pmod(F.shiftright("h", 20), F.lit(rows)).alias("slot")).agg(F.min(F.struct("h", "part")).alias("least"))
     found: dict[str, list[str]] = {}
-    for r in sorted(kept.select("lang", "h", "part").collect()):
+    for r in sorted(kept.select("lang", "least.h", "least.part").collect()):
         found.setdefault(r["lang"], []).append(r["part"])
     return {k: " ".join(map(plain, v)).encode()[-DICTIONARY_BYTES:] for k, v in sorted(found.items())}
 
@@ -106,16 +105,18 @@ def identify(spark: SparkSession, docs: DataFrame, content: dict[str, bytes], ke
     """
     shared.text_batches(spark)
     keep = ["doc_id"] if keep is None else keep
-    source = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "`_lang_pred` string, `_score` double, `_rejected` boolean, `_best` long, `_next` long"])
+    source = docs.select(*(F.col(c) for c in keep), F.col("text").cast("string").alias("_text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "_lang_pred string, _score double, _rejected boolean, _best long, _next long"])
+    kinds = {"_lang_pred": pa.string(), "_score": pa.float64(), "_rejected": pa.bool_(), "_best": pa.int64(), "_next": pa.int64()}
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(content)
         for batch in batches:
-            found = pd.DataFrame([model.predict(t) for t in batch["text"]], columns=["_lang_pred", "_score", "_rejected", "_best", "_next"], index=batch.index)
-            yield pd.concat([batch[keep], found], axis=1)
+            found = [model.predict(t) for t in batch.column("_text").to_pylist()]
+            columns = [batch.column(c) for c in keep] + [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *kinds])
 
-    return source.mapInPandas(label, schema)
+    return source.mapInArrow(label, schema)
 
 
 def predict_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
