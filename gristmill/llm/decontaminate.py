@@ -17,6 +17,7 @@ from functools import reduce
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,6 +138,16 @@ class Matcher:
         return best
 
 
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The different rows of ``benchmark`` in blocks of about ``BLOCK_CHARS`` characters, chosen by hash."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
+    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // BLOCK_CHARS))
+    for block in range(blocks):
+        of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block
+        yield [(r["item_id"], r["text"]) for r in items.where(of).collect()]
+
+
 def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end and item_chars for each document row and each item that it holds.
 
@@ -144,15 +155,9 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share
     by nothing, an item that stands in several rows of ``benchmark`` is looked for once. Other columns are ignored.
     """
     shared.text_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-total // BLOCK_CHARS))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= least)
 
-    def one_pass(block: int) -> DataFrame:
-        of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block
-        held = [(r["item_id"], r["text"]) for r in items.where(of).collect()]
-
+    def one_pass(held: list[tuple[int, str]]) -> DataFrame:
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             matcher = Matcher(held, share, least)
             for batch in batches:
@@ -161,4 +166,19 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share
 
         return source.mapInPandas(search, OUTPUT)
 
-    return reduce(DataFrame.unionByName, map(one_pass, range(blocks)))
+    return reduce(DataFrame.unionByName, map(one_pass, item_blocks(benchmark)))
+
+
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, least: int = MIN_CHARS) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item, with all their columns."""
+    shared.text_batches(spark)
+
+    def one_pass(rows: DataFrame, held: list[tuple[int, str]]) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(held, share, least)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.search(t) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+        return rows.mapInArrow(keep, rows.schema)
+
+    return reduce(one_pass, item_blocks(benchmark), docs)
