@@ -105,14 +105,17 @@ def identify(spark: SparkSession, docs: DataFrame, content: dict[str, bytes], ke
     """
     shared.text_batches(spark)
     keep = ["doc_id"] if keep is None else keep
-    source = docs.select(*(F.col(c) for c in keep), F.col("text").cast("string").alias("_text"))
+    own = "_text"
+    while own in keep:
+        own += "_"
+    source = docs.select(*(F.col(c) for c in keep), F.col("text").cast("string").alias(own))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "_lang_pred string, _score double, _rejected boolean, _best long, _next long"])
     kinds = {"_lang_pred": pa.string(), "_score": pa.float64(), "_rejected": pa.bool_(), "_best": pa.int64(), "_next": pa.int64()}
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(content)
         for batch in batches:
-            found = [model.predict(t) for t in batch.column("_text").to_pylist()]
+            found = [model.predict(t) for t in batch.column(own).to_pylist()]
             columns = [batch.column(c) for c in keep] + [pa.array([r[i] for r in found], k) for i, k in enumerate(kinds.values())]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *kinds])
 

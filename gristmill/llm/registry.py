@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, lattice, neardup, packing, pseudolm, quality, rollups, secrets, shared
+from . import chat, decontaminate, language, lattice, neardup, oracles, packing, pseudolm, quality, rollups, secrets, shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_rollup": op10_token_rollup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op6_lattice_near_dedup": oracles.NEAR_VECTORS,
+    "op8_chat_format": oracles.CHAT,
+}
