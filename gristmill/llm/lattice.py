@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
-from .neardup import mix
+from .neardup import mix, whole_groups
 
 COSINE = 0.95
 TABLES, PROBES = 10, 2
@@ -154,24 +154,6 @@ def _links_of_group(key: int, first: int, second: int, g: pd.DataFrame, least: f
     return ids[counts > 0], counts[counts > 0], ids[i[keep]], ids[j[keep]]
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
-    """Whole groups of rows that come sorted by ``keys``."""
-    left: list[pd.DataFrame] = []
-    for batch in batches:
-        if not len(batch):
-            continue
-        values = batch[keys].to_numpy()
-        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(batch)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = batch.iloc[a:b]
-            if left and tuple(left[0][keys].iloc[0]) != tuple(values[a]):
-                yield tuple(left[0][keys].iloc[0]), pd.concat(left)
-                left = []
-            left.append(part)
-    if left:
-        yield tuple(left[0][keys].iloc[0]), pd.concat(left)
-
-
 def hashed(classes: DataFrame) -> DataFrame:
     """vec_id, weight, unit (doubles) and cells (longs) of classes (vec_id, weight, embedding) of usable vectors."""
 
@@ -224,7 +206,7 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = COSI
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         none = np.empty(0, np.int64)
-        for (key, first, second), g in _groups(batches, keys):
+        for (key, first, second), g in whole_groups(batches, keys):
             found = _links_of_group(key, first, second, g, least)
             if found:
                 ids, counts, a, b = found

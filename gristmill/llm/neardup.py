@@ -7,12 +7,13 @@ agree make candidates; the share of agreeing registers, corrected for those
 that agree by chance, estimates the Jaccard similarity of a candidate pair,
 and pairs over a lower bound are confirmed on their full sets.
 
-Documents with equal word sequences are one class from the start. Buckets of
-at most ``SMALL`` classes give all their pairs. A larger bucket is compared in
-blocks inside tasks, and gives a spanning forest of its probable links; after
-these are confirmed, pairs of it that are still in different components are
-looked at once more. No link between classes of different components is left
-out, and no bucket is cut short.
+Documents with equal word sequences are one class from the start. In each
+bucket all are first compared with its least document. Then, in buckets whose
+documents are still in different components, all pairs across components are
+compared and confirmed, in blocks inside tasks, and only links that join
+components leave the tasks. So every candidate pair is looked at unless its
+documents are connected already; no bucket is cut short, and no task returns
+all pairs of one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ BANDS = REGISTERS // ROWS_OF_BAND
 SIMILARITY = 75  # hundredths
 #: Candidates with a lower estimate are not confirmed: four standard deviations under the similarity.
 LEAST_ESTIMATE = 0.60
-SMALL, BLOCK = 16, 512
+#: Documents of a bucket in a block, and partners of a leader in a part.
+BLOCK, PART = 256, 200
+#: Bits of the filter that keeps other texts out of a shuffle.
+MOST_BITS = 1 << 27
 
 _random = np.random.default_rng(20240229)
 _ONE = np.uint64(1)
@@ -153,99 +157,201 @@ def sketches(docs: DataFrame) -> DataFrame:
     )
 
 
-def _probable(pairs: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose estimate and sizes allow the similarity."""
-    side = lambda x: sketch.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("regs").alias(f"r{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {SIMILARITY} * greatest(na, nb)")
+def _against_leaders(spark: SparkSession, pairs: DataFrame, payload: DataFrame, judge) -> DataFrame:
+    """Of pairs (a, b) those that ``judge`` keeps; payload is (doc_id, n_shingles, data).
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            if len(p):
-                x, y = (np.frombuffer(b"".join(p[c]), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-                held = estimate((x == y).mean(1), p["na"].to_numpy(), p["nb"].to_numpy()) >= LEAST_ESTIMATE
-                yield p.loc[held, ["a", "b"]]
-
-    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(judge, "a long, b long")
-
-
-def _forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the graph of a symmetric matrix."""
-    n, out = len(near), []
-    new = np.ones(n, bool)
-    for root in range(n):
-        if not new[root]:
-            continue
-        new[root] = False
-        todo = [root]
-        while todo:
-            i = todo.pop()
-            more = np.flatnonzero(near[i] & new)
-            new[more] = False
-            out += [(i, int(j)) for j in more]
-            todo += more.tolist()
-    return out
-
-
-def _compare_blocks(g: pd.DataFrame) -> pd.DataFrame:
-    """Probable links within a block or between two: a forest, or all that join different components."""
+    ``judge`` gets a leader's (n, data) and arrays of its partners'. A leader's partners are dealt out in
+    parts of about ``PART``, and its data goes to each part, so neither data goes with every pair nor does a
+    leader with very many partners go to one task.
+    """
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    parts = shared.save(spark, parts, "parts")
+    member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("b").alias("doc_id"))
+    leader = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("doc_id"))
+    rows = member.unionByName(leader).join(payload, "doc_id").select("a", "part", "kind", "doc_id", "n_shingles", "data")
+    dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, n, data = None, 0, b""
+        for batch in batches:
+            keep: list[int] = []
+            heads = np.flatnonzero(batch["kind"].to_numpy() == 0).tolist()
+            if first is not None and heads[:1] != [0]:
+                heads = [-1, *heads]
+            for i, at in enumerate(heads):
+                if at >= 0:
+                    first, n, data = batch["a"].iloc[at], batch["n_shingles"].iloc[at], batch["data"].iloc[at]
+                end = heads[i + 1] if i + 1 < len(heads) else len(batch)
+                if end > at + 1:
+                    part = slice(at + 1, end)
+                    found = judge(n, data, batch["n_shingles"].to_numpy()[part], batch["data"].iloc[part])
+                    keep += (np.flatnonzero(found) + at + 1).tolist()
+            yield pd.DataFrame({"a": batch["a"].iloc[keep], "b": batch["doc_id"].iloc[keep]})
+
+    return dealt.mapInPandas(run, "a long, b long")
+
+
+def _sizes_allow(n, m):
+    return 100 * np.minimum(n, m) >= SIMILARITY * np.maximum(n, m)
+
+
+def _probable(n: int, data: bytes, m: np.ndarray, others: pd.Series) -> np.ndarray:
+    """Which partners' sizes and registers allow the similarity."""
+    own, theirs = np.frombuffer(data, np.uint16), np.frombuffer(b"".join(others), np.uint16).reshape(-1, REGISTERS)
+    return _sizes_allow(n, m) & (estimate((theirs == own).mean(1), n, m) >= LEAST_ESTIMATE)
+
+
+def _similar(n: int, data: bytes, m: np.ndarray, others: pd.Series) -> np.ndarray:
+    """Which partners' full sets are similar enough."""
+    own = np.frombuffer(data, np.uint64)
+    both = np.array([len(np.intersect1d(own, np.frombuffer(x, np.uint64), assume_unique=True)) for x in others], np.int64)
+    return 100 * both >= SIMILARITY * (n + m - both)
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists."""
+    values, where, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    kept = times[where] > 1
+    owner, column = owner[kept], place[where[kept]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    width, top = 8192, int(column[-1]) + 1 if len(column) else 0
+    for low in range(0, top, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        dense = np.zeros((len(left) + len(right), width), np.float32)
+        dense[owner[a:b], column[a:b] - low] = 1
+        out += dense[: len(left)] @ dense[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _links_between(key: int, first: int, second: int, g: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between two blocks of a bucket that join different components; a forest over these.
+
+    Only pairs whose first common band is this bucket are looked at, so each pair is confirmed once.
+    """
     regs = np.frombuffer(b"".join(g["regs"]), np.uint16).reshape(-1, REGISTERS)
     n, side, comp, ids = (g[c].to_numpy() for c in ("n_shingles", "side", "comp", "doc_id"))
-    first, second = g["first"].iloc[0], g["second"].iloc[0]
     rows, cols = np.flatnonzero(side == first), np.flatnonzero(side == second)
     agree = np.zeros((len(rows), len(cols)), np.int16)
     for k in range(REGISTERS):
         agree += regs[rows, k][:, None] == regs[cols, k][None, :]
     x, y = n[rows][:, None], n[cols][None, :]
-    near = (estimate(agree / REGISTERS, x, y) >= LEAST_ESTIMATE) & (100 * np.minimum(x, y) >= SIMILARITY * np.maximum(x, y))
-    if comp[0] >= 0:
-        i, j = np.nonzero(near & (comp[rows][:, None] != comp[cols][None, :]))
-        found = [(rows[a], cols[b]) for a, b in zip(i, j, strict=True)]
+    near = _sizes_allow(x, y) & (comp[rows][:, None] != comp[cols][None, :]) & (estimate(agree / REGISTERS, x, y) >= LEAST_ESTIMATE)
+    if first == second:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    if not len(i):
+        return []
+    band = (regs[rows[i]] == regs[cols[j]]).reshape(-1, BANDS, ROWS_OF_BAND).all(2).argmax(1)
+    keys = np.array([band_keys(regs[r]) for r in rows])
+    own = keys[i, band] == key
+    i, j = i[own], j[own]
+    if not len(i):
+        return []
+    sets = [np.frombuffer(v, np.uint64) for v in g["data"]]
+    if len(i) <= 4 * (len(rows) + len(cols)):
+        both = np.array([len(np.intersect1d(sets[rows[a]], sets[cols[b]], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
     else:
-        whole = np.zeros((len(g), len(g)), bool)
-        whole[np.ix_(rows, cols)] = near
-        whole |= whole.T
-        np.fill_diagonal(whole, False)
-        found = _forest(whole)
-    a, b = (np.array([ids[x[k]] for x in found], np.int64) for k in (0, 1))
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).query("a != b")
+        u, v = np.unique(i), np.unique(j)
+        both = _common([sets[r] for r in rows[u]], [sets[c] for c in cols[v]])[np.searchsorted(u, i), np.searchsorted(v, j)]
+    held = 100 * both >= SIMILARITY * (n[rows[i]] + n[cols[j]] - both)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.setdefault(c, c) != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for a, b in zip(rows[i[held]].tolist(), cols[j[held]].tolist(), strict=True):
+        p, q = root(comp[a]), root(comp[b])
+        if p != q:
+            parent[p] = q
+            out.append((int(ids[a]), int(ids[b])))
+    return out
 
 
-def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows (key, n, doc_id, n_shingles, regs, comp), each bucket in blocks of about ``BLOCK``.
+def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) inside buckets (key, doc_id, comp) whose members are in different components.
 
-    A row goes to one task for each block of its bucket, so no task holds more than two blocks.
+    A bucket's rows outside its largest component are compared with all of it; the largest component's rows
+    are not compared with each other. Both go to the tasks in blocks.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other"))
-    return dealt.select("key", "first", "second", "side", "doc_id", "n_shingles", "regs", "comp").groupBy("key", "first", "second").applyInPandas(_compare_blocks, "a long, b long").distinct()
+    by = shared.save(spark, labelled.groupBy("key", "comp").agg(F.count("*").alias("n")), "by")
+    mixed = by.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    mixed = shared.save(spark, mixed.select("key", F.col("top.comp").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("p"), blocks(F.col("top.n")).alias("q")), "mixed")
+    rows = shared.save(spark, labelled.join(mixed, "key"), "rows")
+    sets = full_sets(spark, docs, rows.select("doc_id"))
+    main, h = F.col("comp") == F.col("main"), F.xxhash64("doc_id")
+    dealt = rows.withColumn("side", F.when(main, F.col("p") + F.pmod(h, F.col("q"))).otherwise(F.pmod(h, F.col("p"))).cast("int"))
+    last = F.when(main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other"))
+    keys = ["key", "first", "second"]
+    dealt = dealt.select(*keys, "side", "doc_id", "comp").join(sizes.join(sets, "doc_id"), "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (key, first, second), g in whole_groups(batches, keys):
+            found = _links_between(key, first, second, g)
+            if found:
+                yield pd.DataFrame(found, columns=["a", "b"])
+
+    out = shared.save(spark, dealt.mapInPandas(compare, "a long, b long"), "rest")
+    for table in (by, mixed, rows, sets):
+        shared.drop(spark, table)
+    return out
 
 
-def confirm(spark: SparkSession, pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Whole groups of rows that come sorted by ``keys``."""
+    left: list[pd.DataFrame] = []
+    at: tuple = ()
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = batch[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(batch)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            here = tuple(values[a].tolist())
+            if left and at != here:
+                yield at, left[0] if len(left) == 1 else pd.concat(left)
+                left = []
+            at = here
+            left.append(batch.iloc[a:b])
+    if left:
+        yield at, left[0] if len(left) == 1 else pd.concat(left)
+
+
+def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and data, the set of shingles, of documents among ``ids`` (doc_id).
+
+    A filter of at most ``MOST_BITS`` bits goes to the tasks, so that texts of other documents are not
+    shuffled; what passes it by chance goes with the join.
+    """
+    ids = shared.save(spark, ids.distinct(), "ids")
+    bits = 64 * max(1024, min(MOST_BITS, 16 * ids.count()) // 64)
+    at = F.pmod(F.xxhash64("doc_id", F.lit("filter")), F.lit(bits))
+    words = ids.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    held = np.zeros(bits // 64, np.int64)
+    for w, b in words.collect():
+        held[w] = b
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "own": [shingles(word_hashes(t or "")).tobytes() for t in batch["text"]]})
-
-    sets = shared.save(spark, texts.mapInPandas(full, "doc_id long, own binary"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("own").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("own").alias("sb")), "b")
-
-    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            held = []
-            for x, y in zip(p["sa"], p["sb"], strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared_n = len(np.intersect1d(u, v, assume_unique=True))
-                held.append(100 * shared_n >= SIMILARITY * (len(u) + len(v) - shared_n))
-            yield p.loc[np.array(held, bool), ["a", "b"]]
-
-    links = shared.save(spark, both.select("a", "b", "sa", "sb").mapInPandas(similar, "a long, b long").distinct(), "links")
-    shared.drop(spark, sets)
-    return links
+            place = batch["at"].to_numpy()
+            hit = (held[place >> 6] >> (place & 63)) & 1 == 1
+            some = batch.loc[hit]
+            yield pd.DataFrame({"doc_id": some["doc_id"], "data": [shingles(word_hashes(t or "")).tobytes() for t in some["text"]]})
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("at", at)
+    found = rows.mapInPandas(full, "doc_id long, data binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    out = shared.save(spark, found, "sets")
+    shared.drop(spark, ids)
+    return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -264,28 +370,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     one = shared.save(spark, chosen.select("doc_id", "n_shingles", "regs", "bands"), "one")
 
     banded = one.select("doc_id", F.explode("bands").alias("key"))
-    buckets = shared.save(spark, banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    held = shared.save(spark, banded.join(buckets, "key").select("key", "n", "doc_id"), "held")
+    buckets = shared.save(spark, banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1"), "buckets")
+    held = shared.save(spark, banded.join(buckets, "key").select("key", "n", "leader", "doc_id"), "held")
+    pairs = held.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     sizes = one.select("doc_id", "n_shingles", "regs")
 
-    few = held.where(F.col("n") <= SMALL)
-    pairs = few.select("key", F.col("doc_id").alias("a")).join(few.select("key", F.col("doc_id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    many = held.where(F.col("n") > SMALL)
-    blocks = _in_blocks(many.join(sizes, "doc_id").withColumn("comp", F.lit(-1).cast("long")))
-    probable = shared.save(spark, _probable(pairs, sizes).unionByName(blocks).distinct(), "probable")
-    links = confirm(spark, probable, docs)
+    probable = shared.save(spark, _against_leaders(spark, pairs, sizes.withColumnRenamed("regs", "data"), _probable), "probable")
+    sets = full_sets(spark, docs, probable.select(F.col("a").alias("doc_id")).unionByName(probable.select(F.col("b").alias("doc_id"))))
+    links = shared.save(spark, _against_leaders(spark, probable, sizes.select("doc_id", "n_shingles").join(sets, "doc_id"), _similar), "links")
+    for table in (sets, probable):
+        shared.drop(spark, table)
     found = components(spark, links)
-
     label = F.coalesce("component", "doc_id").alias("comp")
-    labelled = many.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "n", "doc_id", label)
-    labelled = shared.save(spark, labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    mixed = shared.save(spark, mixed, "mixed")
-    again = _in_blocks(labelled.join(mixed, "key", "left_semi").join(sizes, "doc_id"))
-    rest = shared.save(spark, again.join(probable, ["a", "b"], "left_anti"), "rest")
+    labelled = held.where("n > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", label)
+    rest = _rest_links(spark, labelled, sizes, docs)
     if not rest.isEmpty():
-        found = components(spark, links.unionByName(confirm(spark, rest, docs)))
-    for table in (one, buckets, held, labelled, mixed, rest, probable):
+        found = components(spark, links.unionByName(rest))
+    for table in (one, buckets, held, links, rest):
         shared.drop(spark, table)
 
     own = classes.join(found.select(F.col("id").alias("first"), "component"), "first", "left").select("key1", "key2", F.coalesce("component", "first").alias("component_id"))
