@@ -37,19 +37,49 @@ def first_requests(requests: DataFrame, most: int) -> DataFrame:
     return requests.orderBy(F.desc("has_pack"), "ord").limit(most)
 
 
+CUT = "\n[... cut ...]"
+
+
+def clip(text: Column, limit: Column) -> Column:
+    """A text of at most ``limit`` characters; a mark stands at the cut."""
+    kept = F.greatest(limit - len(CUT), F.lit(0)).cast("int")
+    return F.when(F.length(text) <= limit, text).when(limit <= len(CUT), F.substr(F.lit(CUT), F.lit(1), limit.cast("int"))).otherwise(F.concat(F.substr(text, F.lit(1), kept), F.lit(CUT)))
+
+
 def clipped(items: DataFrame, limit: int) -> DataFrame:
-    """Items (doc, ord, text) as long as their JSON lengths, with a separator each, fit the limit."""
+    """Items (doc, ord, text) as long as a JSON list of them fits the limit."""
     w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     size = F.length(F.to_json(F.array("text"))) - 2 + 1
-    return items.withColumn("_s", F.sum(size).over(w)).where(F.col("_s") <= limit).drop("_s")
+    return items.withColumn("_s", F.sum(size).over(w)).where(F.col("_s") + 2 <= limit).drop("_s")
 
 
 def packed(items: DataFrame, limit: int) -> DataFrame:
-    """Items as long as they fit; the one that crosses the limit is cut there."""
+    """Items as long as they fit, with three characters between them; the one that crosses the limit is clipped."""
     w = Window.partitionBy("doc").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
-    rows = items.withColumn("_b", before).where(F.col("_b") < limit)
-    return rows.withColumn("text", F.substr("text", F.lit(1), F.least(F.length("text").cast("long"), limit - F.col("_b")).cast("int"))).drop("_b")
+    left = limit - F.coalesce(F.sum(F.length("text") + 3).over(w), F.lit(0))
+    return items.withColumn("_l", left).where(F.col("_l") > 0).withColumn("text", clip(F.col("text"), F.col("_l"))).drop("_l")
+
+
+def fitted(states: DataFrame, limit: int, fields: list[str]) -> DataFrame:
+    """States whose last field is clipped so that the fields together fit the limit as JSON."""
+    size = F.length(F.to_json(F.struct(*fields)))
+    last = fields[-1]
+    over = F.greatest(size - limit, F.lit(0))
+    return states.withColumn(last, F.when(over > 0, clip(F.col(last), F.greatest(F.length(last) - over - 2, F.lit(0)))).otherwise(F.col(last)))
+
+
+def note_lines(verdicts: DataFrame) -> DataFrame:
+    """note of verdicts (question, p, below, limit, file, at, label)."""
+    side = F.when(F.col("below"), "<").otherwise(">=")
+    place = F.when(F.col("at") > 0, F.concat_ws(":", "file", "at")).otherwise(F.col("file"))
+    return verdicts.withColumn("note", F.concat(F.lit("note: "), F.col("question"), F.lit(" p="), F.format_number("p", 2), F.lit(" "), side, F.lit(" "), F.col("limit").cast("string"), F.lit("  "), place, F.lit("  "), F.col("label")))
+
+
+def failure_line(failures: DataFrame, total: int) -> DataFrame:
+    """One row, line: why requests (ord, reason) failed; the reason alone if all failed for it."""
+    one = failures.agg(F.count("*").alias("n"), F.count_distinct("reason").alias("kinds"), F.min_by("reason", "ord").alias("first")).where("n > 0")
+    line = F.when((F.col("n") == total) & (F.col("kinds") == 1), F.col("first")).otherwise(F.concat(F.col("n").cast("string"), F.lit(f" of {total} request(s): "), F.col("first")))
+    return one.select(F.concat(F.lit("not available ("), line, F.lit(")")).alias("line"))
 
 
 def summaries(changed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns
+from gristmill.operators import report as K
 from gristmill.operators import review as V
 from gristmill.operators import tamper as T
 from gristmill.operators import text as X
@@ -221,13 +222,13 @@ def first_requests(spark, d):
     return V.first_requests(S.table(spark, d, "events").select(F.col("event_id").alias("ord"), (F.col("event_id") % 7 == 0).alias("has_pack")), 25).select("ord")
 
 
-@query("WITH x AS (SELECT user_id AS doc, event_id AS ord, repeat('x', CAST(event_id % 40 AS INTEGER)) AS text FROM events), s AS (SELECT *, SUM(length(text) + 3) OVER (PARTITION BY doc ORDER BY ord) AS s FROM x) SELECT doc, ord FROM s WHERE s <= 200")
+@query("WITH x AS (SELECT user_id AS doc, event_id AS ord, repeat('x', CAST(event_id % 40 AS INTEGER)) AS text FROM events), s AS (SELECT *, SUM(length(text) + 3) OVER (PARTITION BY doc ORDER BY ord) AS s FROM x) SELECT doc, ord FROM s WHERE s + 2 <= 200")
 def clipped_items(spark, d):
     rows = S.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("ord"), F.repeat(F.lit("x"), (F.col("event_id") % 40).cast("int")).alias("text"))
     return V.clipped(rows, 200).select("doc", "ord")
 
 
-@query("WITH x AS (SELECT user_id AS doc, event_id AS ord, event_id % 40 AS n FROM events), s AS (SELECT *, COALESCE(SUM(n) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x) SELECT doc, ord, LEAST(n, 200 - b)::BIGINT AS chars FROM s WHERE b < 200")
+@query("WITH x AS (SELECT user_id AS doc, event_id AS ord, event_id % 40 AS n FROM events), s AS (SELECT *, COALESCE(SUM(n + 3) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM x) SELECT doc, ord, LEAST(n, 200 - b)::BIGINT AS chars FROM s WHERE b < 200")
 def packed_texts(spark, d):
     rows = S.table(spark, d, "events").select(F.col("user_id").alias("doc"), F.col("event_id").alias("ord"), F.repeat(F.lit("x"), (F.col("event_id") % 40).cast("int")).alias("text"))
     return V.packed(rows, 200).select("doc", "ord", F.length("text").cast("long").alias("chars"))
@@ -303,3 +304,79 @@ def notes_shown(spark, d):
 @query("WITH s AS (SELECT user_id AS session, MAX_BY(event_type, (ts, event_id)) AS head, MAX((ts, event_id)) AS seen FROM events GROUP BY 1) SELECT session, head FROM s ORDER BY seen DESC, session LIMIT 50")
 def recent_sessions(spark, d):
     return N.recent_sessions(states(spark, d))
+
+
+@query("SELECT event_id AS ord, 'not' AS state FROM events WHERE event_id % 3 = 0 AND FALSE UNION ALL SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'findings' WHEN 1 THEN 'clean' WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'clean' ELSE 'missing' END ELSE CASE WHEN event_id % 3 = 0 THEN 'clean' ELSE 'failed' END END FROM events")
+def tool_results(spark, d):
+    e = F.col("event_id")
+    rows = S.table(spark, d, "events").select(
+        e.alias("ord"), F.when(e % 4 == 1, "audit").otherwise("form").alias("kind"), F.when(e % 4 == 0, 2).otherwise(0).alias("n"),
+        F.when(e % 4 == 0, 1).when(e % 4 == 1, 1).when(e % 3 == 0, 0).when(e % 4 == 2, 127).otherwise(2).alias("code"), F.when(e % 4 == 2, "Tool Not Found").otherwise("boom").alias("error"),
+    )
+    return K.tool_state(rows).select("ord", "state")
+
+
+@query("SELECT event_id AS ord, event_type || '  u' || user_id || ':' || event_id % 9 || '  m' AS line FROM events")
+def finding_lines(spark, d):
+    e = S.table(spark, d, "events").select(F.col("event_id").alias("ord"), F.col("event_type").alias("rule"), cat("u", key("user_id")).alias("file"), (F.col("event_id") % 9).alias("line"), F.lit("m").alias("msg"))
+    return e.select("ord", K.finding_line().alias("line"))
+
+
+@query("SELECT event_id AS ord, 'RED FLAG: ' || CASE WHEN event_id % 3 = 0 THEN 'secret/token' ELSE 'tamper/test-skipped' END || '  f:1  m -- ' || CASE WHEN event_id % 3 = 0 THEN 'a committed secret stays in git history and has to be rotated; check: is it a real credential? move it to the environment or a secret store; rotate it if it was pushed' ELSE 'a green run stops proving the code works; check: is the test change intended? restore it, or say why in the commit message' END AS line FROM events WHERE event_id % 3 < 2")
+def red_flag_lines(spark, d):
+    rule = F.get(F.array(*map(F.lit, ["secret/token", "tamper/test-skipped", "crap"])), (F.col("event_id") % 3).cast("int"))
+    rows = S.table(spark, d, "events").select(F.col("event_id").alias("ord"), rule.alias("rule"), F.lit("f").alias("file"), F.lit(1).alias("line"), F.lit("m").alias("msg"))
+    return K.red_flag_lines(rows).select("ord", "line")
+
+
+@query("SELECT 'c' || event_id AS name, CASE event_id % 4 WHEN 0 THEN 'c' || event_id || ': ERROR e' WHEN 1 THEN 'f1' WHEN 2 THEN 'n1' ELSE 'note' END AS text FROM events")
+def check_outputs(spark, d):
+    e = F.col("event_id")
+    lists = lambda k, v: F.when(e % 4 <= k, F.array(F.lit(v))).otherwise(F.array().cast("array<string>"))
+    rows = S.table(spark, d, "events").select(cat("c", key("event_id")).alias("name"), F.when(e % 4 == 0, "e").alias("error"), lists(1, "f1").alias("findings"), lists(2, "n1").alias("notices"), F.lit("note").alias("note"))
+    return K.check_output(rows).select("name", F.array_join("output", "|").alias("text"))
+
+
+@query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'a=2;' END AS mutant, CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS n FROM events")
+def mutant_targets(spark, d):
+    return K.mutant_target(chosen(spark, d, ["a=1;", "=1 =1", "none"]), "=1", "=2").select("id", "mutant", "n")
+
+
+@query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'FINDINGS (2)|RED FLAG: x' WHEN 1 THEN '' ELSE 'quality gate crashed: y' END AS text FROM events")
+def stop_notes(spark, d):
+    return chosen(spark, d, ["FINDINGS (2)\nrow\nRED FLAG: x\n", "CLEAN", "a\nquality gate crashed: y"]).select("id", F.array_join(K.stop_lines(F.col("text")), "|").alias("text"))
+
+
+@query("SELECT file FROM (SELECT list_value('src/a.ts', 'src/a.test.ts', 'fixtures/b.go', 'x/c.go', 'readme.md', 'node_modules/d.js')[event_id % 6 + 1] AS file FROM events) WHERE file IN ('src/a.ts', 'src/a.test.ts', 'x/c.go') GROUP BY file")
+def source_files(spark, d):
+    return K.source_files(chosen(spark, d, ["src/a.ts", "src/a.test.ts", "fixtures/b.go", "x/c.go", "readme.md", "node_modules/d.js"]).select(F.col("text").alias("file")).distinct())
+
+
+@query("SELECT file FROM (SELECT list_value('a/package-lock.json', 'uv.lock', 'x.lock', 'b/Cargo.lock')[event_id % 4 + 1] AS file FROM events) WHERE file <> 'x.lock' GROUP BY file")
+def audit_lockfiles(spark, d):
+    return K.audit_lockfiles(chosen(spark, d, ["a/package-lock.json", "uv.lock", "x.lock", "b/Cargo.lock"]).select(F.col("text").alias("file")).distinct())
+
+
+@query("SELECT 'knip' AS kind, COUNT(*) AS unjudged FROM part UNION ALL SELECT 'deps', COUNT(*) FROM nation")
+def missing_baseline(spark, d):
+    return K.missing_baseline({"knip": S.table(spark, d, "part"), "deps": S.table(spark, d, "nation")})
+
+
+@query("SELECT 'not available (' || COUNT(*) || ' of ' || (SELECT COUNT(*) FROM events) || ' request(s): ' || MIN_BY(event_type, event_id) || ')' AS line FROM events WHERE event_id % 2 = 0")
+def failed_requests(spark, d):
+    e = S.table(spark, d, "events")
+    return V.failure_line(e.where("event_id % 2 = 0").select(F.col("event_id").alias("ord"), F.col("event_type").alias("reason")), e.count())
+
+
+@query("SELECT event_id AS id, LEAST(event_id % 90, 40)::INTEGER AS chars, event_id % 90 > 40 AS cut FROM events")
+def clipped_texts(spark, d):
+    text = F.repeat(F.lit("x"), (F.col("event_id") % 90).cast("int"))
+    clip = V.clip(text, F.lit(40))
+    return S.table(spark, d, "events").select(F.col("event_id").alias("id"), F.length(clip).alias("chars"), clip.endswith(V.CUT).alias("cut"))
+
+
+@query("SELECT event_id AS id, 'note: ' || event_type || ' p=0.25 ' || CASE WHEN event_id % 2 = 0 THEN '<' ELSE '>=' END || ' 0.5  f' || CASE WHEN event_id % 3 > 0 THEN ':' || event_id % 3 ELSE '' END || '  why' AS note FROM events")
+def verdict_notes(spark, d):
+    e = F.col("event_id")
+    rows = S.table(spark, d, "events").select(e.alias("id"), F.col("event_type").alias("question"), F.lit(0.25).alias("p"), (e % 2 == 0).alias("below"), F.lit(0.5).alias("limit"), F.lit("f").alias("file"), (e % 3).alias("at"), F.lit("why").alias("label"))
+    return V.note_lines(rows).select("id", "note")
