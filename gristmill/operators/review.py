@@ -14,12 +14,37 @@ from gristmill.functions import patterns as P
 
 
 def questions(hunks: DataFrame, triggers: dict[str, str] | None = None) -> DataFrame:
-    """file, at, question for each trigger that a hunk's added text (file, at, text) has."""
+    """file, at, question for each trigger that a hunk's added text (file, at, text) has.
+
+    Metrics count in dashboards only, a provider's own file may branch on it, and every line of an update
+    path counts.
+    """
     named = triggers or P.TRIGGERS
-    raised = F.array(*(F.when(F.col("text").rlike(p), F.lit(q)) for q, p in named.items()))
+    text, file = F.col("text"), F.col("file")
+    more = {
+        "metric_without_deeplink": lambda hit: hit & (file.rlike(P.DASHBOARD) | text.rlike(P.DASHBOARD)),
+        "per_vendor_branch": lambda hit: hit & ~file.rlike(P.PROVIDER_FILE),
+        "update_without_rollback": lambda hit: hit | (file.rlike(P.UPDATE_PATH) & text.rlike(r"\S")),
+    }
+    raised = F.array(*(F.when(more.get(q, lambda hit: hit)(text.rlike(p)), F.lit(q)) for q, p in named.items()))
     return hunks.select("file", "at", F.explode(F.array_compact(raised)).alias("question"))
 
 
+def test_questions(hunks: DataFrame, errors_added: DataFrame) -> DataFrame:
+    """file, at, question of test hunks (file, at, added, removed, mocks): what their added code gives rise to.
+
+    Error paths are asked about when the change's code (one row, errors) adds any.
+    """
+    flag = F.broadcast(errors_added.select(F.col("errors").alias("_e")))
+    ask = F.array_compact(
+        F.array(
+            F.lit("textual_test"), F.when(F.col("_e"), F.lit("error_path_tested")), F.when((F.col("added") != "") & (F.col("removed") != ""), F.lit("assertion_weakened")),
+            F.when(F.col("mocks"), F.lit("mock_hides_behavior")), F.when(F.col("added").rlike(P.TRIGGERS["property_is_tautology"]), F.lit("property_is_tautology")),
+        )
+    )
+    return hunks.join(flag).select("file", "at", F.explode(ask).alias("question"))
+
+
 def project_questions(hunks: DataFrame, rules: DataFrame) -> DataFrame:
     """file, at, question from a table of rules (question, glob pattern, trigger); a handful, so broadcast."""
     hit = hunks.join(F.broadcast(rules), F.regexp_like("file", F.col("glob")) & F.regexp_like("text", F.col("trigger")))

@@ -380,3 +380,32 @@ def verdict_notes(spark, d):
     e = F.col("event_id")
     rows = S.table(spark, d, "events").select(e.alias("id"), F.col("event_type").alias("question"), F.lit(0.25).alias("p"), (e % 2 == 0).alias("below"), F.lit(0.5).alias("limit"), F.lit("f").alias("file"), (e % 3).alias("at"), F.lit("why").alias("label"))
     return V.note_lines(rows).select("id", "note")
+
+
+MORE_HUNKS = ["<Card>5</Card> analytics", "if (provider === 'x') y()", "color: \"red\"", "let p = 1", "<b>Hello you</b>", "const prompt = `x`"]
+
+
+@query("SELECT event_id AS at, CASE event_id % 6 WHEN 0 THEN 'metric_without_deeplink' WHEN 1 THEN 'per_vendor_branch' WHEN 2 THEN 'hardcoded_color' WHEN 4 THEN 'jargon_in_ui' ELSE 'prompt_depends_on_environment' END AS question FROM events WHERE event_id % 6 <> 3 AND NOT (event_id % 6 = 1 AND event_id % 4 = 1) UNION ALL SELECT event_id, 'update_without_rollback' FROM events WHERE event_id % 4 = 2")
+def more_review_questions(spark, d):
+    file = F.when(F.col("event_id") % 4 == 1, "src/provider.ts").when(F.col("event_id") % 4 == 2, "bin/update.sh").otherwise("a.tsx")
+    return V.questions(chosen(spark, d, MORE_HUNKS, file.alias("file")).withColumnRenamed("id", "at")).select("at", "question")
+
+
+@query("SELECT event_id AS at, UNNEST(CASE event_id % 3 WHEN 0 THEN ['textual_test', 'error_path_tested', 'assertion_weakened'] WHEN 1 THEN ['textual_test', 'error_path_tested', 'mock_hides_behavior'] ELSE ['textual_test', 'error_path_tested', 'property_is_tautology'] END) AS question FROM events")
+def test_hunk_questions(spark, d):
+    rows = chosen(spark, d, ["expect(1)", "x", "fc.assert(p)"]).select(F.lit("a.test.ts").alias("file"), F.col("id").alias("at"), F.col("text").alias("added"), F.when(F.col("i") == 0, "old").otherwise("").alias("removed"), (F.col("i") == 1).alias("mocks"))
+    return V.test_questions(rows, spark.createDataFrame([(True,)], "errors boolean")).select("at", "question")
+
+
+@query(where_sql(4, [0, 2], "event_id AS doc"))
+def weakened_assertions(spark, d):
+    pairs = [("assert.equal(x, 1)", "assert.ok(x)"), ("assert.equal(x, 1)", "assert.ok(y)"), ("expect(f(a)).toBe(2)", "expect( f(a) ).toBeTruthy()"), ("y", "expect(a).toBe(1)")]
+    pick = lambda k: F.get(F.array(*(F.lit(p[k]) for p in pairs)), (F.col("event_id") % 4).cast("int"))
+    return T.weakened_calls(S.table(spark, d, "events").select(F.col("event_id").alias("doc"), pick(0).alias("removed"), pick(1).alias("added")))
+
+
+@query("SELECT event_id AS line, CASE event_id % 5 WHEN 0 THEN 'load' WHEN 1 THEN 'load' WHEN 2 THEN 'save' END AS name FROM events WHERE event_id % 5 < 3")
+def stub_shadows(spark, d):
+    rows = chosen(spark, d, ["const load = () => 1", "function mockLoad() {", "let fakeSave = async (a) => b", "const mine = () => 2", "load()"], F.lit("a.test.ts").alias("file"), F.col("event_id").alias("line"))
+    names = spark.createDataFrame([("a.test.ts", "load", 0, 0), (None, "save", 1, 0), ("b.test.ts", "mine", 0, 0)], "file string, name string, rank int, ord int")
+    return T.stub_shadows(rows, names).select("line", "name")
