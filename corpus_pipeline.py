@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from gristmill.llm import decontaminate, language, neardup, packing, secrets, shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: At most so many ids of dropped documents are broadcast (about 64 MB); more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each component stays, the one with the least doc_id; of rows that repeat it, one."""
     docs = docs.select(*COLUMNS)
     found = shared.save(spark, neardup.near_duplicates(spark, docs), "components")
-    gone = found.where("not kept").select("doc_id").distinct()
+    gone = shared.save(spark, found.where("not kept").select("doc_id").distinct(), "gone")
+    gone = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
     twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")
     if twice.isEmpty():
