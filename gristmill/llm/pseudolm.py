@@ -7,9 +7,9 @@ layer predicts the class of a token from the classes of the two tokens on
 each side. A document's score is the sum over its tokens of the logarithm of
 P(class | both sides) * P(token | class).
 
-Training masks one in ``MASKED`` positions of every document. In each round
-every partition improves the network on its own documents, in numpy, and the
-results are averaged by the tokens they saw, in shards that the executors
+Training masks every position of every document once: each round takes its
+share of them, one in as many as there are rounds. In each round every
+partition improves the network on its own documents, in numpy, and the results are averaged by the tokens they saw, in shards that the executors
 add up; the driver gets one network a round. So all that is gathered, counts
 and networks, follows the corpus.
 """
@@ -29,7 +29,7 @@ from . import shared, tokens
 CLASSES, OWN = 128, 96
 SIDES = (-2, -1, 1, 2)
 WIDTH = 16
-MASKED, ROUNDS, STEP_TOKENS, RATE = 12, 2, 1024, 0.5
+ROUNDS, STEP_TOKENS, RATE = 2, 1024, 0.5
 SHARDS = 16
 #: Added to every token's count.
 SMOOTHING = 0.5
@@ -170,7 +170,12 @@ def count_ids(table: DataFrame, vocab: str) -> dict[int, int]:
     return {r["id"]: r["n"] for r in counted.collect()}
 
 
-def improve(spark: SparkSession, table: DataFrame, vocab: str, vocabulary: Vocabulary, flat: np.ndarray, turn: int) -> np.ndarray:
+def masked(ids: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """The places of a document that a round trains on; the rounds share all of them out. They follow from the text."""
+    return np.arange((len(ids) + int(ids[0]) + turn) % rounds, len(ids), rounds)
+
+
+def improve(spark: SparkSession, table: DataFrame, vocab: str, vocabulary: Vocabulary, flat: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     """One round: every partition trains a copy on its documents, and the copies are averaged."""
     kind = id_type(vocab)
     edges = np.linspace(0, len(flat), SHARDS + 1).astype(int)
@@ -188,8 +193,7 @@ def improve(spark: SparkSession, table: DataFrame, vocab: str, vocabulary: Vocab
                 if not len(ids):
                     continue
                 classes = vocabulary.of[ids]
-                # Masked places differ from round to round and from document to document, and follow from the text.
-                at = np.arange((len(ids) * 7 + int(ids[0]) + turn * 3) % MASKED, len(ids), MASKED)
+                at = masked(ids, turn, rounds)
                 held.append((contexts(classes)[at], classes[at]))
                 waiting += len(at)
                 while waiting >= STEP_TOKENS:
@@ -228,7 +232,7 @@ def score(spark: SparkSession, docs: DataFrame, vocab: str = tokens.DEFAULT_VOCA
     vocabulary = Vocabulary(count_ids(table, vocab), vocabulary_size(vocab))
     flat = initial(vocabulary)
     for turn in range(rounds):
-        flat = improve(spark, table, vocab, vocabulary, flat, turn)
+        flat = improve(spark, table, vocab, vocabulary, flat, turn, rounds)
     kind = id_type(vocab)
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -420,6 +420,14 @@ def test_token_probabilities_sum_to_one():
     assert np.allclose([np.exp(v.inside[v.of == c]).sum() for c in used], 1, atol=1e-4)
 
 
+def test_rounds_train_on_every_position_once():
+    for n in (1, 2, 3, 11, 12, 100):
+        for first in range(5):
+            ids = np.full(n, first, np.uint16)
+            for rounds in (1, 2, 3):
+                assert sorted(np.concatenate([pseudolm.masked(ids, turn, rounds) for turn in range(rounds)])) == list(range(n))
+
+
 # Token rollups
 
 
