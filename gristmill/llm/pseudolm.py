@@ -1,11 +1,13 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 Tokens are byte-level BPE ids. The most frequent ones are classes of their
-own and the rest share hashed classes; within a class a token has its share
-of the corpus counts, which cover all documents. A network with one hidden
-layer predicts the class of a token from the classes of the two tokens on
-each side. A document's score is the sum over its tokens of the logarithm of
-P(class | both sides) * P(token | class).
+own and the rest share hashed classes; in each of these a Huffman tree over
+the corpus counts, which cover all documents, leads to the token. A network
+with one hidden layer reads the two tokens on each side, by their classes
+and, in shared classes, by a row of their own, and predicts the class and
+every turn in its tree. A document's score is the sum over its tokens of the
+logarithm of P(class | both sides) * P(token | class, both sides). Before
+training P(token | class) is the token's share of the counts.
 
 Training masks every position of every document once: each round takes its
 share of them, one in as many as there are rounds. In each round every
@@ -16,6 +18,7 @@ and networks, follows the corpus.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,8 @@ SIDES = (-2, -1, 1, 2)
 WIDTH = 16
 ROUNDS, STEP_TOKENS, RATE = 2, 1024, 0.5
 SHARDS = 16
+#: Rate of the rows of single tokens and turns for each occurrence, of which so many at most add up in a step.
+ROW_RATE, ROW_MOST = 0.05, 16
 #: Added to every token's count.
 SMOOTHING = 0.5
 #: Tokens that are scored at once.
@@ -38,7 +43,7 @@ CHUNK = 1024
 
 
 class Vocabulary:
-    """Class and log P(token | class) of every id of the tokenizer."""
+    """Class, log share in its class and path in its class's tree of every id of the tokenizer."""
 
     def __init__(self, counts: dict[int, int], size: int):
         n = np.full(size, SMOOTHING)
@@ -53,10 +58,50 @@ class Vocabulary:
         total = np.bincount(self.of, weights=n, minlength=CLASSES)
         self.inside = np.log(n / total[self.of]).astype(np.float32)
         self.start = np.log(np.maximum(total, SMOOTHING) / total.sum()).astype(np.float32)
+        #: Classes with that of ``size``, which stands beyond the ends of a document.
+        self.wide = np.append(self.of, np.int16(CLASSES))
+        self.size = size
+        self._grow(n)
+
+    def _grow(self, n: np.ndarray) -> None:
+        """The trees: ``turns`` and ``signs`` from ``first[id]`` on, ``depth[id]`` of them, and ``odds`` of each turn."""
+        size = len(n)
+        parent, sign, odds = np.full(2 * size, -1, np.int32), np.zeros(2 * size, np.int8), []
+        members = np.argsort(self.of, kind="stable")
+        for ids in np.split(members, np.flatnonzero(np.diff(self.of[members])) + 1):
+            heap = [(w, i) for w, i in zip(n[ids].tolist(), ids.tolist(), strict=True)]
+            heapq.heapify(heap)
+            while len(heap) > 1:
+                (v, a), (w, b) = heapq.heappop(heap), heapq.heappop(heap)
+                new = size + len(odds)
+                parent[a] = parent[b] = new
+                sign[a], sign[b] = 1, -1
+                odds.append(np.log(v / w))
+                heapq.heappush(heap, (v + w, new))
+        at, turns, signs = np.arange(size), [], []
+        while (parent[at] >= 0).any():
+            turns.append(parent[at] - size)
+            signs.append(sign[at])
+            at = np.where(parent[at] >= 0, parent[at], 2 * size - 1)
+        self.odds = np.array(odds, np.float32)
+        if not turns:
+            turns, signs = [np.full(size, -1)], [np.zeros(size)]
+        on = np.stack(turns, 1) >= 0
+        self.turns = np.stack(turns, 1)[on].astype(np.int32)
+        self.signs = np.stack(signs, 1)[on].astype(np.float32)
+        self.depth = on.sum(1).astype(np.int32)
+        self.first = np.cumsum(self.depth) - self.depth
+
+    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in ``ids``, turn, sign) of all turns to the ids, in order."""
+        depth = self.depth[ids]
+        ends = np.cumsum(depth)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[ids] - ends + depth, depth)
+        return np.repeat(np.arange(len(ids)), depth), self.turns[at], self.signs[at]
 
 
 def shapes() -> list[tuple[int, ...]]:
-    return [(len(SIDES), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,)]
+    return [(len(SIDES), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (len(SIDES), WIDTH)]
 
 
 def parameters(flat: np.ndarray) -> list[np.ndarray]:
@@ -74,65 +119,156 @@ def initial(vocabulary: Vocabulary) -> np.ndarray:
     parts = [random.standard_normal(s) * 0.1 for s in shapes()]
     parts[1][:] = 0
     parts[3][:] = vocabulary.start
+    parts[4][:] = 1
     return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
 
 
-def contexts(classes: np.ndarray) -> np.ndarray:
-    """The classes around each token, (tokens, sides); ``CLASSES`` stands beyond the ends."""
-    wide = np.full(len(classes) + 4, CLASSES, np.int16)
-    wide[2:-2] = classes
-    return np.stack([wide[2 + s : 2 + s + len(classes)] for s in SIDES], 1)
+class Network:
+    """The class network, ``inputs`` (a row for each token, and one beyond the ends that stays 0) and ``turns``.
 
+    A row of ``turns`` has a weight for each hidden value and a bias. ``met`` counts what trained a row.
+    """
 
-def hidden(p: list[np.ndarray], around: np.ndarray) -> np.ndarray:
+    def __init__(self, flat: np.ndarray, inputs: np.ndarray, turns: np.ndarray):
+        self.flat, self.inputs, self.turns = flat, inputs, turns
+
+    @classmethod
+    def fresh(cls, vocabulary: Vocabulary) -> Network:
+        turns = np.zeros((len(vocabulary.odds), WIDTH + 1), np.float32)
+        turns[:, WIDTH] = vocabulary.odds
+        return cls(initial(vocabulary), np.zeros((vocabulary.size + 1, WIDTH), np.float32), turns)
+
+    def copy(self) -> Network:
+        out = Network(self.flat.copy(), self.inputs.copy(), self.turns.copy())
+        out.met = [np.zeros(len(x), np.float32) for x in (self.inputs, self.turns)]
+        return out
+
+    def sums(self, seen: int) -> np.ndarray:
+        """What adds up over copies: parameters by the tokens seen, rows by what trained them, and these weights."""
+        rows = [np.c_[x * m[:, None], m].ravel() for x, m in zip((self.inputs, self.turns), self.met, strict=True)]
+        return np.concatenate([self.flat * np.float32(seen), [seen], *rows]).astype(np.float32)
+
+    def mean(self, sums: np.ndarray) -> Network:
+        """The average of copies whose ``sums`` are added up; rows that none of them trained stay."""
+        n, at, rows = len(self.flat), len(self.flat) + 1, []
+        for x in (self.inputs, self.turns):
+            got = sums[at : at + len(x) * (x.shape[1] + 1)].reshape(len(x), -1)
+            at += got.size
+            weight = got[:, -1:]
+            rows.append(np.where(weight > 0, got[:, :-1] / np.maximum(weight, 1), x).astype(np.float32))
+        return Network((sums[:n] / sums[n]).astype(np.float32), *rows)
+
+
+def contexts(values: np.ndarray, beyond: int = CLASSES) -> np.ndarray:
+    """The classes, or ids, around each token, (tokens, sides); ``beyond`` stands beyond the ends."""
+    wide = np.full(len(values) + 4, beyond, np.intp)
+    wide[2:-2] = values
+    return np.stack([wide[2 + s : 2 + s + len(values)] for s in SIDES], 1)
+
+
+def hidden(p: list[np.ndarray], around: np.ndarray, near: np.ndarray | None = None, inputs: np.ndarray | None = None) -> np.ndarray:
+    """Hidden values by the classes around and, where given, the ids there."""
     h = p[0][0].take(around[:, 0], 0)
     for k in range(1, len(SIDES)):
         h += p[0][k].take(around[:, k], 0)
+    if inputs is not None:
+        for k in range(len(SIDES)):
+            h += inputs.take(near[:, k], 0) * p[4][k]
     h += p[1]
     return np.tanh(h, out=h)
 
 
-def log_probabilities(p: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target class) of tokens by their contexts."""
-    z = hidden(p, around) @ p[2]
+def class_logs(p: list[np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    z = h @ p[2]
     z += p[3]
     own = z[np.arange(len(target)), target]
-    total = np.exp(z).sum(1)
+    total = np.exp(z) @ np.ones(z.shape[1], z.dtype)
     if not np.isfinite(total).all() or not total.all():
         top = z.max(1)
         return own - top - np.log(np.exp(z - top[:, None]).sum(1))
     return own - np.log(total)
 
 
-def train_step(p: list[np.ndarray], around: np.ndarray, target: np.ndarray, rate: float) -> None:
+def log_probabilities(p: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log P(target class) of tokens by the classes around."""
+    return class_logs(p, hidden(p, around), target)
+
+
+def turn_odds(turns: np.ndarray, h: np.ndarray, place: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    row = turns.take(turn, 0)
+    return np.einsum("ij,ij->i", h.take(place, 0), row[:, :WIDTH]) + row[:, WIDTH]
+
+
+def token_logs(net: Network, vocabulary: Vocabulary, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log P(target id) of tokens by the ids around."""
+    p = parameters(net.flat)
+    h = hidden(p, vocabulary.wide[near], near, net.inputs)
+    out = class_logs(p, h, vocabulary.of[target])
+    place, turn, sign = vocabulary.paths(target)
+    if len(place):
+        inside = -np.logaddexp(np.float32(0), -sign * turn_odds(net.turns, h, place, turn))
+        out = out + np.bincount(place, weights=inside, minlength=len(target))
+    return out
+
+
+def grouped(index: np.ndarray, rows: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different values of ``index``, sums of their rows, how many); ``each`` entries in turn have one row."""
+    order = np.argsort(index, kind="stable")
+    found = index[order]
+    begins = np.flatnonzero(np.diff(found, prepend=-1))
+    return found[begins], np.add.reduceat(rows.take(order // each, 0), begins), np.diff(begins, append=len(found))
+
+
+def adjust(table: np.ndarray, met: np.ndarray, index: np.ndarray, slopes: np.ndarray) -> None:
+    """Move rows against the sum of their slopes, which counts as that of ``ROW_MOST`` at most."""
+    if len(index):
+        at, total, n = grouped(index, slopes)
+        table[at] -= total * (ROW_RATE * np.minimum(1, ROW_MOST / n)).astype(np.float32)[:, None]
+        met[at] += n
+
+
+def train_step(net: Network, vocabulary: Vocabulary, near: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent, in place."""
-    h = hidden(p, around)
-    g = h @ p[2]
-    g += p[3]
-    g -= g.max(1, keepdims=True)
-    np.exp(g, out=g)
-    g /= g.sum(1, keepdims=True)
-    g[np.arange(len(target)), target] -= 1
-    g *= rate / len(target)
-    back = (g @ p[2].T) * (1 - h * h)
-    p[2] -= h.T @ g
-    p[3] -= g.sum(0)
-    p[1] -= back.sum(0)
-    for k in range(len(SIDES)):
-        order = np.argsort(around[:, k], kind="stable")
-        found = around[order, k]
-        begins = np.flatnonzero(np.diff(found, prepend=-1))
-        p[0][k][found[begins]] -= np.add.reduceat(back[order], begins)
-
-
-def log_likelihood(p: list[np.ndarray], vocabulary: Vocabulary, ids: np.ndarray) -> float:
+    p = parameters(net.flat)
+    around, n = vocabulary.wide[near], len(target)
+    h = hidden(p, around, near, net.inputs)
+    z = h @ p[2]
+    z += p[3]
+    g = np.exp(z)
+    total = g @ np.ones(CLASSES, np.float32)
+    if not np.isfinite(total).all() or not total.all():
+        g = np.exp(z - z.max(1, keepdims=True))
+        total = g.sum(1)
+    # Rows of g are slopes times their totals.
+    share = 1 / total
+    g[np.arange(n), vocabulary.of[target]] -= total
+    back = g @ p[2].T
+    back *= share[:, None]
+    place, turn, sign = vocabulary.paths(target)
+    if len(place):
+        slope = -sign / (1 + np.exp(np.minimum(sign * turn_odds(net.turns, h, place, turn), 80)))
+        deep = np.flatnonzero(np.diff(place, prepend=-1))
+        back[place[deep]] += np.add.reduceat(slope[:, None] * net.turns.take(turn, 0)[:, :WIDTH], deep)
+        adjust(net.turns, net.met[1], turn, slope[:, None] * np.c_[h, np.ones(n, np.float32)].take(place, 0))
+    back *= 1 - h * h
+    step = np.float32(rate / n)
+    p[2] -= step * ((h * share[:, None]).T @ g)
+    p[3] -= step * (share @ g)
+    p[1] -= step * back.sum(0)
+    sides = len(SIDES)
+    place, side = np.divmod(np.flatnonzero((around >= OWN) & (around < CLASSES)), sides)
+    ids, slopes, gates = near[place, side], back.take(place, 0), p[4].copy()
+    for k in range(sides):
+        p[4][k] -= step * np.einsum("ij,ij->j", back, net.inputs.take(near[:, k], 0))
+    found, total, _ = grouped((around + np.arange(sides, dtype=np.int16) * (CLASSES + 1)).ravel(), back, sides)
+    p[0].reshape(-1, WIDTH)[found] -= step * total
+    adjust(net.inputs, net.met[0], ids, slopes * gates.take(side, 0))
+
+
+def log_likelihood(net: Network, vocabulary: Vocabulary, ids: np.ndarray) -> float:
     """Summed conditional log-probabilities of one document's ids."""
-    classes = vocabulary.of[ids]
-    around = contexts(classes)
-    total = float(vocabulary.inside[ids].sum(dtype=np.float64))
-    for at in range(0, len(ids), CHUNK):
-        total += float(log_probabilities(p, around[at : at + CHUNK], classes[at : at + CHUNK]).sum(dtype=np.float64))
-    return total
+    near = contexts(ids, vocabulary.size)
+    return sum(float(token_logs(net, vocabulary, near[at : at + CHUNK], ids[at : at + CHUNK]).sum(dtype=np.float64)) for at in range(0, len(ids), CHUNK))
 
 
 def encoded(docs: DataFrame, vocab: str) -> DataFrame:
@@ -175,14 +311,13 @@ def masked(ids: np.ndarray, turn: int, rounds: int) -> np.ndarray:
     return np.arange((len(ids) + int(ids[0]) + turn) % rounds, len(ids), rounds)
 
 
-def improve(spark: SparkSession, table: DataFrame, vocab: str, vocabulary: Vocabulary, flat: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+def improve(spark: SparkSession, table: DataFrame, vocab: str, vocabulary: Vocabulary, net: Network, turn: int, rounds: int) -> Network:
     """One round: every partition trains a copy on its documents, and the copies are averaged."""
     kind = id_type(vocab)
-    edges = np.linspace(0, len(flat), SHARDS + 1).astype(int)
+    edges = np.linspace(0, len(net.flat) + 1 + net.inputs.size + len(net.inputs) + net.turns.size + len(net.turns), SHARDS + 1).astype(int)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen = flat.copy(), 0
-        p = parameters(own)
+        own, seen = net.copy(), 0
         context = TaskContext.get()
         part = context.partitionId() if context else 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -192,33 +327,33 @@ def improve(spark: SparkSession, table: DataFrame, vocab: str, vocabulary: Vocab
                 ids = np.frombuffer(raw, kind)
                 if not len(ids):
                     continue
-                classes = vocabulary.of[ids]
                 at = masked(ids, turn, rounds)
-                held.append((contexts(classes)[at], classes[at]))
+                held.append((contexts(ids, vocabulary.size)[at], ids[at]))
                 waiting += len(at)
                 while waiting >= STEP_TOKENS:
-                    around, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                    train_step(p, around[:STEP_TOKENS], target[:STEP_TOKENS], RATE)
-                    seen += STEP_TOKENS
-                    held, waiting = [(around[STEP_TOKENS:], target[STEP_TOKENS:])], waiting - STEP_TOKENS
+                    near, target = (np.concatenate(x) for x in zip(*held, strict=True))
+                    whole = waiting - waiting % STEP_TOKENS
+                    for a in range(0, whole, STEP_TOKENS):
+                        train_step(own, vocabulary, near[a : a + STEP_TOKENS], target[a : a + STEP_TOKENS], RATE)
+                    seen += whole
+                    held, waiting = [(near[whole:], target[whole:])], waiting - whole
         if waiting:
-            around, target = (np.concatenate(x) for x in zip(*held, strict=True))
-            train_step(p, around, target, RATE * waiting / STEP_TOKENS)
+            near, target = (np.concatenate(x) for x in zip(*held, strict=True))
+            train_step(own, vocabulary, near, target, RATE * waiting / STEP_TOKENS)
             seen += waiting
         if seen:
-            yield pd.DataFrame({"shard": np.arange(SHARDS), "part": part % 64, "n": seen, "sums": [(own[a:b].astype(np.float64) * seen).tobytes() for a, b in zip(edges, edges[1:], strict=False)]})
+            sums = own.sums(seen)
+            yield pd.DataFrame({"shard": np.arange(SHARDS), "part": part % 64, "sums": [sums[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]})
 
-    schema = "shard long, part long, n long, sums binary"
+    schema = "shard long, part long, sums binary"
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float64) for x in g["sums"]], axis=0)
-        return pd.DataFrame({"shard": [g["shard"].iloc[0]], "part": [g["part"].iloc[0]], "n": [g["n"].sum()], "sums": [total.tobytes()]})
+        total = np.sum([np.frombuffer(x, np.float32) for x in g["sums"]], axis=0, dtype=np.float64).astype(np.float32)
+        return pd.DataFrame({"shard": [g["shard"].iloc[0]], "part": [g["part"].iloc[0]], "sums": [total.tobytes()]})
 
     parts = table.select("ids").mapInPandas(local, schema).groupBy("shard", "part").applyInPandas(add, schema)
-    rows = sorted((r["shard"], r["n"], r["sums"]) for r in parts.groupBy("shard").applyInPandas(add, schema).collect())
-    if not rows:
-        return flat
-    return np.concatenate([np.frombuffer(s, np.float64) / n for _, n, s in rows]).astype(np.float32)
+    rows = sorted((r["shard"], r["sums"]) for r in parts.groupBy("shard").applyInPandas(add, schema).collect())
+    return net.mean(np.concatenate([np.frombuffer(s, np.float32) for _, s in rows])) if rows else net
 
 
 def score(spark: SparkSession, docs: DataFrame, vocab: str = tokens.DEFAULT_VOCAB, rounds: int = ROUNDS) -> DataFrame:
@@ -230,17 +365,16 @@ def score(spark: SparkSession, docs: DataFrame, vocab: str = tokens.DEFAULT_VOCA
     shared.text_batches(spark)
     table = shared.save(spark, encoded(docs, vocab), "ids")
     vocabulary = Vocabulary(count_ids(table, vocab), vocabulary_size(vocab))
-    flat = initial(vocabulary)
+    net = Network.fresh(vocabulary)
     for turn in range(rounds):
-        flat = improve(spark, table, vocab, vocabulary, flat, turn, rounds)
+        net = improve(spark, table, vocab, vocabulary, net, turn, rounds)
     kind = id_type(vocab)
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = parameters(flat)
         for batch in batches:
             ids = [np.frombuffer(x, kind) for x in batch["ids"]]
             n = np.array([len(x) for x in ids], np.int64)
-            total = np.array([log_likelihood(p, vocabulary, x) if len(x) else 0.0 for x in ids])
+            total = np.array([log_likelihood(net, vocabulary, x) if len(x) else 0.0 for x in ids])
             each = pd.Series(np.where(n > 0, total / np.maximum(n, 1), np.nan)).astype(object).where(n > 0, None)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "log_likelihood": total, "per_token": each})
 

@@ -428,6 +428,27 @@ def test_rounds_train_on_every_position_once():
                 assert sorted(np.concatenate([pseudolm.masked(ids, turn, rounds) for turn in range(rounds)])) == list(range(n))
 
 
+def test_sides_decide_the_token_inside_its_class():
+    rng = np.random.default_rng(19)
+    counts = {i: 10_000 - i for i in range(pseudolm.OWN)} | dict.fromkeys(range(200, 400), 20)
+    v = pseudolm.Vocabulary(counts, 500)
+    first = 200
+    second = next(i for i in range(201, 400) if v.of[i] == v.of[first])
+    net = pseudolm.Network.fresh(v).copy()
+    inside = np.array([v.of[first]] * 2)
+    near = np.array([[5, 1, 2, 6], [5, 3, 4, 6]])
+    before = pseudolm.token_logs(net, v, near, np.array([first, second]))
+    start = pseudolm.class_logs(pseudolm.parameters(net.flat), pseudolm.hidden(pseudolm.parameters(net.flat), v.wide[near]), inside)
+    assert np.allclose(before, start + v.inside[[first, second]], atol=1e-4)
+    for _ in range(200):
+        which = rng.integers(0, 2, 64)
+        pseudolm.train_step(net, v, near[which], np.array([first, second])[which], 0.5)
+    right, wrong = (pseudolm.token_logs(net, v, near, np.array(x)) for x in ([first, second], [second, first]))
+    assert (right > wrong + 2).all()
+    everything = pseudolm.token_logs(net, v, np.repeat(near[:1], 500, 0), np.arange(500))
+    assert abs(np.exp(everything).sum() - 1) < 1e-4
+
+
 # Token rollups
 
 
