@@ -60,7 +60,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token totals of all documents by source, language and tokenizer version."""
-    return rollups.roll_up_documents(spark, table(spark, sf_dir, "documents"), shared.fresh_path(spark, "rollup"))
+    return rollups.roll_up_documents(spark, table(spark, sf_dir, "documents"), shared.fresh_path(spark, "rollup"), restore=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

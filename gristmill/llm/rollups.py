@@ -13,7 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,20 +124,23 @@ def count_tokens(spark: SparkSession, docs: DataFrame, vocab: str = tokens.DEFAU
         F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), text.alias("text"),
     )
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # Arrow, since pandas reads a column with nulls as floats and a hash does not fit into one.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = tokens.encoder(vocab).batch([x or "" for x in batch.pop("text")])
-            yield batch.assign(bpe=[len(x) // 4 for x in found]).astype({"doc_id": "Int64", "h1": "Int64", "h2": "Int64"})
+            found = tokens.encoder(vocab).batch([x or "" for x in batch.column("text").to_pylist()])
+            bpe = pa.array([len(x) // 4 for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], bpe], names=[*batch.schema.names[:-1], "bpe"])
 
-    return rows.mapInPandas(count, "doc_id long, source string, lang string, h1 long, h2 long, words long, bytes long, bpe long")
+    return rows.mapInArrow(count, "doc_id long, source string, lang string, h1 long, h2 long, words long, bytes long, bpe long")
 
 
-def roll_up_documents(spark: SparkSession, docs: DataFrame, path: str, vocab: str = tokens.DEFAULT_VOCAB) -> DataFrame:
-    """Totals of a corpus after four batches, two of which are sent twice.
+def roll_up_documents(spark: SparkSession, docs: DataFrame, path: str, vocab: str = tokens.DEFAULT_VOCAB, restore: bool = False) -> DataFrame:
+    """Totals of a corpus after four batches, two of which are sent twice; five with ``restore``.
 
     ``words``: every document enters with its count of words. ``estimate``: every document enters under the
     tokenizer's version with a quarter of its bytes. ``exact``: these counts are revised to the tokenizer's.
     ``copies``: of documents with the same text all leave and the one with the least doc_id returns.
+    ``restored``: that is undone, so that the totals are of all documents and not of distinct texts.
     """
     counted = shared.save(spark, count_tokens(spark, docs, vocab), "counted")
     name = vocab.rsplit("/", 1)[-1].split(".")[0] + "/1"
@@ -157,8 +160,9 @@ def roll_up_documents(spark: SparkSession, docs: DataFrame, path: str, vocab: st
         "estimate": inserts(under(counted, name, guess)),
         "exact": revisions(under(counted, name, F.col("bpe"), old_tokens=guess)),
         "copies": deletes(both(copied)).unionByName(inserts(both(kept))),
+        "restored": deletes(both(kept)).unionByName(inserts(both(copied))),
     }
     rollup = TokenRollup(spark, path)
-    for batch in ("words", "estimate", "words", "exact", "copies", "copies"):
+    for batch in ("words", "estimate", "words", "exact", "copies", "copies", *(["restored"] if restore else [])):
         rollup.commit(batch, batches[batch])
     return rollup.totals()

@@ -476,6 +476,13 @@ def test_rollups_are_direct_counts(spark, tmp_path):
     assert rollups.roll_up_documents(spark, documents(spark, []), f"file://{tmp_path}/e").count() == 0
 
 
+def test_registered_totals_are_of_all_documents(spark, tmp_path):
+    rows = [(i, t, "en", s) for i, (t, s) in enumerate([("same text", "a"), ("same text", "b"), ("same text", "b"), ("one more", "b"), (None, "c"), (None, "c")])]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["source"], r["docs"], r["tokens"]) for r in registry.op10_token_rollup(spark, str(tmp_path)).where("tokenizer_version = 'words/1'").collect()}
+    assert got == {("a", 1, 2), ("b", 3, 6), ("c", 2, 0)}
+
+
 def test_batches_count_once(spark, tmp_path):
     t = rollups.TokenRollup(spark, f"file://{tmp_path}/t")
     rows = spark.createDataFrame([("a", None, "v1", 5, 3), (None, "en", "v1", None, 0)], "source string, lang string, tokenizer_version string, tokens long, old_tokens long")
