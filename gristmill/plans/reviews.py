@@ -256,7 +256,8 @@ def prose_words(spark, d):
 def duplicate_labels(spark, d):
     text = cat('<Button size="s"> b', (F.col("event_id") % 7).cast("string"), " </Button>")
     rows = S.table(spark, d, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("line"), text.alias("text"), (F.col("event_id") % 2 == 0).alias("added"))
-    return V.duplicate_labels(rows)
+    first = F.least("line", F.get("same", F.lit(0))["line"])
+    return V.duplicate_labels(rows).groupBy("file", "label").agg(F.min(first).alias("line")).select("file", "line", "label")
 
 
 @query("WITH x AS (SELECT DISTINCT user_id AS file, 'N' || event_id % 50 AS name FROM events WHERE event_id % 3 = 0), w AS (SELECT DISTINCT user_id AS f, 'N' || event_id % 50 AS name FROM events WHERE event_id % 50 < 25 AND event_id % 3 = 1) SELECT file, name FROM x WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.name = x.name AND w.f <> x.file)")

@@ -109,3 +109,12 @@ def test_the_stream_gives_what_the_table_gives(spark, tmp_path):
     q.awaitTermination(120)
     want = sessions.moved(spark.createDataFrame(rows, schema))
     assert sorted(spark.table("moved").collect()) == sorted(want.collect())
+
+
+def test_labels_that_any_other_line_holds(spark):
+    body = ["<h1>Save all</h1>", "<Button>Save</Button>", 'const t = "Close";', "<Button>Close</Button>", "<Button>Alone</Button>", "<Button>x</Button> x", "x"]
+    body += [f"<Button>Item {i:02}</Button> Item {i:02}" for i in range(12)] + [f"  Item {i:02}\t" for i in range(12)] + ["Many"] * 12 + ["<Button>Many</Button>"]
+    rows = [("a", i, t, "Alone" not in t) for i, t in enumerate(body, 1)] + [("b", 1, "Alone", True)]
+    got = {(r["line"], r["label"]): [tuple(x) for x in r["same"]] for r in review.duplicate_labels(spark.createDataFrame(rows, "file string, line int, text string, added boolean")).collect()}
+    want = {(2, "Save"): [(1, "<h1>Save all</h1>")], (4, "Close"): [(3, 'const t = "Close";')], (44, "Many"): [(i, "Many") for i in range(32, 42)]}
+    assert got == want | {(8 + i, f"Item {i:02}"): [(20 + i, f"Item {i:02}")] for i in range(12)}
