@@ -25,12 +25,14 @@ from . import shared
 
 #: Edits allowed, as a share of an item's characters.
 EDIT_SHARE = 0.05
-#: Items with fewer characters say too little to be found.
+#: Items with fewer characters are looked for exactly, as whole words.
 MIN_CHARS = 32
 #: Items go to the executors in blocks of about so many characters; each block is a pass.
 BLOCK_CHARS = 4_000_000
 
 BETWEEN = re.compile(r"[\W_]+")
+#: Scripts that put no spaces between words.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 OUTPUT = "doc_id long, item_id long, distance int, start int, end int, item_chars int"
 
 
@@ -44,6 +46,17 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def find_words(text: str, item: str) -> int:
+    """Where the item stands as whole words, or -1; scripts without spaces have no bounds."""
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if (at == 0 or text[at - 1] == " " or UNSPACED.match(item[0])) and (end == len(text) or text[end] == " " or UNSPACED.match(item[-1])):
+            return at
+        at = text.find(item, at + 1)
+    return -1
+
+
 def masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -81,15 +94,15 @@ class Matcher:
     """Finds items in texts; made once for a task."""
 
     def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE, least: int = MIN_CHARS):
-        self.items, self.budgets, self.masks = [], [], {}
+        self.items, self.budgets, self.masks, self.least = [], [], {}, least
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = plain(text)
-            if len(text) < least:
+            if not text:
                 continue
             n = len(self.items)
             self.items.append((item_id, text))
-            self.budgets.append(int(len(text) * share))
+            self.budgets.append(int(len(text) * share) if len(text) >= least else 0)
             for at, piece in pieces(text, self.budgets[-1]):
                 found.setdefault(piece, []).append((n, at + len(piece) - 1))
         self.automaton = ahocorasick.Automaton()
@@ -109,7 +122,7 @@ class Matcher:
         out = []
         for n, at in sorted(starts.items()):
             item_id, item = self.items[n]
-            exact = text.find(item)
+            exact = text.find(item) if len(item) >= self.least else find_words(text, item)
             if exact >= 0:
                 out.append((item_id, 0, exact, exact + len(item), len(item)))
             elif self.budgets[n] and (best := self.verify(n, sorted(at), text)):
@@ -151,11 +164,11 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, least: int = MIN_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start, end and item_chars for each document row and each item that it holds.
 
-    Places are in the plain text. Null and empty texts hold nothing, items under ``least`` characters are held
-    by nothing, an item that stands in several rows of ``benchmark`` is looked for once. Other columns are ignored.
+    Places are in the plain text. Null and empty texts hold nothing, items under ``least`` characters are
+    held as whole words without edits only, an item that stands in several rows of ``benchmark`` is looked for once. Other columns are ignored.
     """
     shared.text_batches(spark)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= least)
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
 
     def one_pass(held: list[tuple[int, str]]) -> DataFrame:
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -271,6 +271,14 @@ def test_items_are_found_within_the_budget(spark):
     assert decontaminate.clean(spark, documents(spark, texts), bench.limit(0)).count() == len(texts)
 
 
+def test_short_items_are_whole_words(spark):
+    bench = spark.createDataFrame([(0, "Who is it?"), (1, "日本"), (2, "?!")], "item_id long, text string")
+    docs = documents(spark, ["who is it", "(who is, it) then", "who is items", "xwho is it", "古日本語", "who was it"])
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_items(spark, docs, bench).collect())
+    assert got == [(0, 0, 0), (1, 0, 0), (4, 1, 0)]
+    assert sorted(r["doc_id"] for r in decontaminate.clean(spark, docs, bench).collect()) == [2, 3, 5]
+
+
 def test_blocks_find_the_same(spark, monkeypatch):
     rng = random.Random(13)
     items = [words(rng, 12, 10**6) for _ in range(9)]
