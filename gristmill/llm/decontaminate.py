@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from functools import reduce
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,13 +170,14 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
 
     def one_pass(held: list[tuple[int, str]]) -> DataFrame:
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
             matcher = Matcher(held, share, least)
+            names = [f.split()[0] for f in OUTPUT.split(",")]
             for batch in batches:
-                rows = [(d, i, k, a, b, n) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for i, k, a, b, n in matcher.search(t)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "distance", "start", "end", "item_chars"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                rows = [(d, *found) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for found in matcher.search(t)]
+                yield {name: [r[i] for r in rows] for i, name in enumerate(names)}
 
-        return source.mapInPandas(search, OUTPUT)
+        return shared.map_columns(source, search, OUTPUT)
 
     return reduce(DataFrame.unionByName, map(one_pass, item_blocks(benchmark)))
 

@@ -38,6 +38,7 @@ LEAST_ESTIMATE = 0.60
 BLOCK, PART = 256, 200
 #: Bits of the filter that keeps other texts out of a shuffle.
 MOST_BITS = 1 << 27
+SKETCH = "doc_id long, n_shingles long, key1 long, key2 long, regs binary, bands array<long>"
 
 _random = np.random.default_rng(20240229)
 _ONE = np.uint64(1)
@@ -131,30 +132,25 @@ def estimate(agree: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.maximum(agree - chance, 0) / (1 - chance)
 
 
-def _ids(x: pd.Series) -> pd.Series:
-    return x.astype("Int64")
-
-
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, key1, key2, regs and bands; the last four are null without words."""
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for batch in batches:
-            rows = []
+            out: dict[str, list] = {f.split()[0]: [] for f in SKETCH.split(",")}
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = word_hashes(text or "")
-                if not len(words):
-                    rows.append((doc, 0, None, None, None, None))
-                    continue
-                own = shingles(words)
-                regs = registers(own)
-                rows.append((doc, len(own), *sequence_key(words), regs.tobytes(), band_keys(regs)))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key1", "key2", "regs", "bands"])
-            yield out.assign(doc_id=_ids(out["doc_id"]), key1=_ids(out["key1"]), key2=_ids(out["key2"]))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(
-        make, "doc_id long, n_shingles long, key1 long, key2 long, regs binary, bands array<long>"
-    )
+                row: tuple = (doc, 0, None, None, None, None)
+                if len(words):
+                    own = shingles(words)
+                    regs = registers(own)
+                    row = (doc, len(own), *sequence_key(words), regs.tobytes(), band_keys(regs))
+                for column, value in zip(out.values(), row, strict=True):
+                    column.append(value)
+            yield out
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return shared.map_columns(rows, make, SKETCH)
 
 
 def _against_leaders(spark: SparkSession, pairs: DataFrame, payload: DataFrame, judge) -> DataFrame:

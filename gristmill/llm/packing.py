@@ -14,7 +14,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -80,12 +79,12 @@ def cut_pieces(docs: DataFrame, vocab: str = tokens.DEFAULT_VOCAB, capacity: int
     is too long gives pieces of exactly ``capacity`` ids, after a first piece with what is over.
     """
 
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         context = TaskContext.get()
         part, seen = context.partitionId() if context else 0, {}
         end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            rows = []
+            rows: dict[str, list] = {f.split()[0]: [] for f in PIECES.split(",")}
             found = tokens.encoder(vocab).batch([x or "" for x in batch["text"]])
             for doc, ids in zip(batch["doc_id"], found, strict=True):
                 ids += end
@@ -95,11 +94,11 @@ def cut_pieces(docs: DataFrame, vocab: str = tokens.DEFAULT_VOCAB, capacity: int
                     a, b = edges[i], edges[i + 1]
                     place = seen.get(b - a, 0)
                     seen[b - a] = place + 1
-                    rows.append((doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), part, place))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "place"])
-            yield out.astype({"doc_id": "Int64"})
+                    for column, value in zip(rows.values(), (doc, i, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), part, place), strict=True):
+                        column.append(value)
+            yield rows
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(pieces, PIECES)
+    return shared.map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), pieces, PIECES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, vocab: str = tokens.DEFAULT_VOCAB, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

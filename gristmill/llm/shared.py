@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows of text in one Arrow batch: a worker holds a few such batches.
@@ -13,11 +16,16 @@ TEXT_BATCH_BYTES = "8m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The session's ``spark.checkpoint.dir``; a folder of our own only where it is unset and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jdir.get() if jdir.isDefined() else f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
+        if jdir.isDefined():
+            found = jdir.get()
+        elif spark.sparkContext.master.startswith("local["):
+            found = f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -51,3 +59,40 @@ def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", TEXT_BATCH_BYTES)
+
+
+ARROW = {
+    "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(),
+    "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()),
+}
+
+
+def map_columns(df: DataFrame, work: Callable[[Iterator[dict[str, list]]], Iterator[dict]], schema: str) -> DataFrame:
+    """``df`` through ``work``, which reads and yields batches as one list a column.
+
+    Values stay Python's, so a long beside a null stays the integer that it is; in a pandas column both turn
+    into floats, which hold 53 bits.
+    """
+    fields = pa.schema([(name, ARROW[kind]) for name, kind in (f.split() for f in schema.split(","))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work({n: c.to_pylist() for n, c in zip(b.schema.names, b.columns, strict=True)} for b in batches):
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in fields], schema=fields)
+
+    return df.mapInArrow(run, schema)
+
+
+@contextmanager
+def one_thread(spark: SparkSession) -> Iterator[None]:
+    """Python functions that are made inside run in workers whose matrix products take one thread each."""
+    environment, names = spark.sparkContext.environment, ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")
+    before = {n: environment.get(n) for n in names}
+    environment.update(dict.fromkeys(names, "1"))
+    try:
+        yield
+    finally:
+        for n, value in before.items():
+            if value is None:
+                environment.pop(n, None)
+            else:
+                environment[n] = value
