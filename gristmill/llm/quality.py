@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +79,12 @@ def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def forward_backward(unary: np.ndarray, counts: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(P(good) of each line, expected transitions), from the good label's potentials; all chains at once."""
+def forward_backward(unary: np.ndarray, counts: np.ndarray, trans: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(P(good) of each line, expected transitions), from the good label's potentials; all chains at once.
+
+    Transitions count by ``weight``, that of the line after.
+    """
+    weight = np.ones(len(unary)) if weight is None else weight
     order = np.argsort(-counts, kind="stable")
     starts = (np.cumsum(counts) - counts)[order]
     lengths = counts[order]
@@ -104,7 +107,7 @@ def forward_backward(unary: np.ndarray, counts: np.ndarray, trans: np.ndarray) -
         at = starts[: active[t]] + t
         w = beta[at] * pot[at]
         joint = alpha[at - 1][:, :, None] * grow[None] * w[:, None, :]
-        pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
+        pairs += (joint * (weight[at] / joint.sum((1, 2)))[:, None, None]).sum(0)
         b = w @ grow.T
         beta[at - 1] = b / b.sum(1, keepdims=True)
     both = alpha * beta
@@ -149,12 +152,12 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     w, trans = np.zeros(x.shape[1]), np.zeros((2, 2))
     m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     for step in range(1, steps + 1):
-        p, pairs = forward_backward(x @ w, counts, trans)
+        p, pairs = forward_backward(x @ w, counts, trans, weight)
         if step == steps // 2:
             target = np.where((of_line == 0) & (p > 0.8), 1.0, of_line)
         seen = np.zeros((2, 2))
-        np.add.at(seen, (target[:-1].astype(int)[inner[1:]], target[1:].astype(int)[inner[1:]]), 1)
-        gradient = np.concatenate([x.T @ ((target - p) * weight) - DECAY * w, ((seen - pairs) / len(x)).ravel() - DECAY * trans.ravel()])
+        np.add.at(seen, (target[:-1].astype(int)[inner[1:]], target[1:].astype(int)[inner[1:]]), weight[1:][inner[1:]])
+        gradient = np.concatenate([x.T @ ((target - p) * weight) - DECAY * w, (seen - pairs).ravel() - DECAY * trans.ravel()])
         m1 = 0.9 * m1 + 0.1 * gradient
         m2 = 0.999 * m2 + 0.001 * gradient**2
         move = RATE * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
@@ -189,12 +192,13 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every whole text; null texts count as empty, and these have the score of an empty line."""
     shared.text_batches(spark)
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rate(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for batch in batches:
-            if len(batch):
-                yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": model.scores([t or "" for t in batch["text"]])})
+            if batch["text"]:
+                yield {"doc_id": batch["doc_id"], "score": model.scores([t or "" for t in batch["text"]])}
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(rate, "doc_id long, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return shared.map_columns(rows, rate, "doc_id long, score double")
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
