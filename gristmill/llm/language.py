@@ -25,7 +25,6 @@ UNKNOWN = "und"
 #: Bound of the fit: labelled rows of a language, and characters taken from each.
 SAMPLE_ROWS = 384
 SAMPLE_CHARS = 300
-DICTIONARY_BYTES = 112 << 10
 LEVEL = 6
 BLOCK_BYTES = 1024
 #: Rejected below: bytes saved against the next language, and that as a share of its bytes.
@@ -61,7 +60,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     found: dict[str, list[str]] = {}
     for r in sorted(kept.select("lang", "least.h", "least.part").collect()):
         found.setdefault(r["lang"], []).append(r["part"])
-    return {k: " ".join(map(plain, v)).encode()[-DICTIONARY_BYTES:] for k, v in sorted(found.items())}
+    return {k: " ".join(map(plain, v)).encode() for k, v in sorted(found.items())}
 
 
 class Classifier:
@@ -102,15 +101,16 @@ def identify(spark: SparkSession, docs: DataFrame, content: dict[str, bytes], ke
 
     Null texts and texts without a letter are ``und``, score 0, rejected; so is everything when no language
     was learned. Repeated rows give repeated rows. Equal sizes go to the first language by name, and are rejected.
+    A column of ``keep`` that bears the name of a result (these have a _ before them) gives way to it.
     """
     shared.text_batches(spark)
-    keep = ["doc_id"] if keep is None else keep
+    kinds = {"_lang_pred": pa.string(), "_score": pa.float64(), "_rejected": pa.bool_(), "_best": pa.int64(), "_next": pa.int64()}
+    keep = [c for c in (["doc_id"] if keep is None else keep) if c not in kinds]
     own = "_text"
     while own in keep:
         own += "_"
     source = docs.select(*(F.col(c) for c in keep), F.col("text").cast("string").alias(own))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "_lang_pred string, _score double, _rejected boolean, _best long, _next long"])
-    kinds = {"_lang_pred": pa.string(), "_score": pa.float64(), "_rejected": pa.bool_(), "_best": pa.int64(), "_next": pa.int64()}
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(content)
@@ -123,7 +123,11 @@ def identify(spark: SparkSession, docs: DataFrame, content: dict[str, bytes], ke
 
 
 def predict_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Language of every document; dictionaries come from rows whose remainder modulo 4 is not 2."""
+    """Language of every document; dictionaries come from rows whose remainder modulo 4 is not 2.
+
+    A row for each row, repeated ones too; null texts are ``und``. A null doc_id is learned from by none and
+    is not held out. An empty table gives no rows; other columns are ignored.
+    """
     fold = remainder(4)
     content = fit(docs.where(fold != 2).select("text", "lang"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
