@@ -1,286 +1,319 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-Tokens are byte-level BPE ids. The most frequent ones are classes of their
-own and the rest share hashed classes; in each of these a Huffman tree over
-the corpus counts, which cover all documents, leads to the token. A network
-with one hidden layer reads the two tokens on each side, by their classes
-and, in shared classes, by a row of their own, and predicts the class and
-every turn in its tree. A document's score is the sum over its tokens of the
-logarithm of P(class | both sides) * P(token | class, both sides). Before
-training P(token | class) is the token's share of the counts.
-
-Training masks every position of every document once: each round takes its
-share of them, one in as many as there are rounds. In each round every
-partition improves the network on its own documents, in numpy, and the results are averaged by the tokens they saw, in shards that the executors
-add up; the driver gets one network a round. So all that is gathered, counts
-and networks, follows the corpus.
+Tokens are byte-level BPE ids, ranked by their counts in all documents. The
+network embeds the two tokens on each side, mixes them by a matrix for each
+side into one hidden layer, and predicts the token in two steps: a softmax
+over classes of tokens that are neighbours in rank, and a softmax over the
+tokens of the class. Each token has its own input and output weights, and
+probabilities add up to one over the whole vocabulary. A document's score is
+the sum over its tokens of log P(token | both sides).
+
+Training masks every position of every document once. Documents are dealt by
+their hash to shards of about ``SHARD_BYTES`` of text; each round takes its
+share of a shard's stretches of ``STEP_TOKENS`` positions, every shard
+improves its own copy of the network on them by Adagrad, in numpy, and the
+copies are averaged by the tokens that they saw. So the network follows from
+the documents and not from how the table was split, and what is gathered,
+counts and weights, follows the corpus.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, tokens
 
-CLASSES, OWN = 128, 96
 SIDES = (-2, -1, 1, 2)
+REACH = 2
+#: A class of tokens that have a share p of the corpus each has SPREAD / sqrt(p) of them, MOST at most: then its
+#: output in the first step and its part of the second cost a token about the same.
+SPREAD, MOST = 1.5, 4096
 WIDTH = 16
-ROUNDS, STEP_TOKENS, RATE = 2, 1024, 0.5
-SHARDS = 16
-#: Rate of the rows of single tokens and turns for each occurrence, of which so many at most add up in a step.
-ROW_RATE, ROW_MOST = 0.05, 16
+ROUNDS, STEP_TOKENS, RATE = 2, 8192, 0.2
+SHARD_BYTES = 16 << 20
+#: Rows of a table of weights that are added up together.
+ROW_BLOCK = 512
 #: Added to every token's count.
 SMOOTHING = 0.5
-#: Tokens that are scored at once.
-CHUNK = 1024
+#: Tasks that add up copies before the last sum.
+ADDERS = 64
 
 
 class Vocabulary:
-    """Class, log share in its class and path in its class's tree of every id of the tokenizer."""
+    """Ranks of all ids by count, and the classes that the ranks fall into."""
 
     def __init__(self, counts: dict[int, int], size: int):
         n = np.full(size, SMOOTHING)
         for i, c in counts.items():
             n[i] += c
         order = np.lexsort((np.arange(size), -n))
-        self.of = np.empty(size, np.int16)
-        own = order[:OWN]
-        self.of[own] = np.arange(len(own))
-        rest = order[OWN:]
-        self.of[rest] = OWN + (rest.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(CLASSES - OWN)
-        total = np.bincount(self.of, weights=n, minlength=CLASSES)
-        self.inside = np.log(n / total[self.of]).astype(np.float32)
-        self.start = np.log(np.maximum(total, SMOOTHING) / total.sum()).astype(np.float32)
-        #: Classes with that of ``size``, which stands beyond the ends of a document.
-        self.wide = np.append(self.of, np.int16(CLASSES))
         self.size = size
-        self._grow(n)
-
-    def _grow(self, n: np.ndarray) -> None:
-        """The trees: ``turns`` and ``signs`` from ``first[id]`` on, ``depth[id]`` of them, and ``odds`` of each turn."""
-        size = len(n)
-        parent, sign, odds = np.full(2 * size, -1, np.int32), np.zeros(2 * size, np.int8), []
-        members = np.argsort(self.of, kind="stable")
-        for ids in np.split(members, np.flatnonzero(np.diff(self.of[members])) + 1):
-            heap = [(w, i) for w, i in zip(n[ids].tolist(), ids.tolist(), strict=True)]
-            heapq.heapify(heap)
-            while len(heap) > 1:
-                (v, a), (w, b) = heapq.heappop(heap), heapq.heappop(heap)
-                new = size + len(odds)
-                parent[a] = parent[b] = new
-                sign[a], sign[b] = 1, -1
-                odds.append(np.log(v / w))
-                heapq.heappush(heap, (v + w, new))
-        at, turns, signs = np.arange(size), [], []
-        while (parent[at] >= 0).any():
-            turns.append(parent[at] - size)
-            signs.append(sign[at])
-            at = np.where(parent[at] >= 0, parent[at], 2 * size - 1)
-        self.odds = np.array(odds, np.float32)
-        if not turns:
-            turns, signs = [np.full(size, -1)], [np.zeros(size)]
-        on = np.stack(turns, 1) >= 0
-        self.turns = np.stack(turns, 1)[on].astype(np.int32)
-        self.signs = np.stack(signs, 1)[on].astype(np.float32)
-        self.depth = on.sum(1).astype(np.int32)
-        self.first = np.cumsum(self.depth) - self.depth
-
-    def paths(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ``ids``, turn, sign) of all turns to the ids, in order."""
-        depth = self.depth[ids]
-        ends = np.cumsum(depth)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[ids] - ends + depth, depth)
-        return np.repeat(np.arange(len(ids)), depth), self.turns[at], self.signs[at]
-
-
-def shapes() -> list[tuple[int, ...]]:
-    return [(len(SIDES), CLASSES + 1, WIDTH), (WIDTH,), (WIDTH, CLASSES), (CLASSES,), (len(SIDES), WIDTH)]
-
-
-def parameters(flat: np.ndarray) -> list[np.ndarray]:
-    out, at = [], 0
-    for s in shapes():
-        n = int(np.prod(s))
-        out.append(flat[at : at + n].reshape(s))
-        at += n
-    return out
-
-
-def initial(vocabulary: Vocabulary) -> np.ndarray:
-    """Small random tables; the output starts from the classes' frequencies."""
-    random = np.random.default_rng(7)
-    parts = [random.standard_normal(s) * 0.1 for s in shapes()]
-    parts[1][:] = 0
-    parts[3][:] = vocabulary.start
-    parts[4][:] = 1
-    return np.concatenate([p.ravel() for p in parts]).astype(np.float32)
+        self.rank = np.empty(size, np.uint16 if size < 65536 else np.uint32)
+        self.rank[order] = np.arange(size)
+        n = n[order] / n.sum()
+        edges = [0]
+        while edges[-1] < size:
+            edges.append(min(size, edges[-1] + int(min(MOST, max(1, SPREAD / np.sqrt(n[edges[-1]]))))))
+        #: Class k holds the ranks from edges[k] to edges[k + 1].
+        self.edges = np.array(edges)
+        self.classes = len(edges) - 1
+        #: The class of a rank; ``classes`` for what stands beyond the ends.
+        self.of = np.repeat(np.arange(self.classes + 1), [*np.diff(edges), 1]).astype(np.uint8 if self.classes < 255 else np.uint16)
+        total = np.add.reduceat(n, edges[:-1])
+        self.class_bias = np.log(total).astype(np.float32)
+        self.inner_bias = np.log(n / total[self.of[:-1]]).astype(np.float32)
 
 
 class Network:
-    """The class network, ``inputs`` (a row for each token, and one beyond the ends that stays 0) and ``turns``.
+    """Weights, with Adagrad's sums of squares beside them.
 
-    A row of ``turns`` has a weight for each hidden value and a bias. ``met`` counts what trained a row.
+    ``dense``: mixing matrices, hidden bias, class outputs and their bias, in one array. ``inputs``: a row a
+    rank and one for what stands beyond the ends. ``inner``: a row a rank, the last value is the bias.
+    ``squares`` and ``met`` have an entry for each row: the sum of squares, and the slopes that moved it.
     """
 
-    def __init__(self, flat: np.ndarray, inputs: np.ndarray, turns: np.ndarray):
-        self.flat, self.inputs, self.turns = flat, inputs, turns
-
-    @classmethod
-    def fresh(cls, vocabulary: Vocabulary) -> Network:
-        turns = np.zeros((len(vocabulary.odds), WIDTH + 1), np.float32)
-        turns[:, WIDTH] = vocabulary.odds
-        return cls(initial(vocabulary), np.zeros((vocabulary.size + 1, WIDTH), np.float32), turns)
+    def __init__(self, vocabulary: Vocabulary):
+        random = np.random.default_rng(7)
+        shapes = [(len(SIDES) * WIDTH, WIDTH), (WIDTH,), (WIDTH, vocabulary.classes), (vocabulary.classes,)]
+        self.edges = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
+        self.shapes = shapes
+        self.dense = np.zeros(self.edges[-1], np.float32)
+        self.dense_squares = np.full(self.edges[-1], 1e-3, np.float32)
+        mixing, _, _, bias = self.parts()
+        mixing[:] = random.standard_normal(mixing.shape) / np.sqrt(WIDTH)
+        bias[:] = vocabulary.class_bias
+        self.inputs = (random.standard_normal((vocabulary.size + 1, WIDTH)) * 0.3).astype(np.float32)
+        self.inner = np.zeros((vocabulary.size, WIDTH + 1), np.float32)
+        self.inner[:, WIDTH] = vocabulary.inner_bias
+        self.squares = [np.full(len(x), 1e-3, np.float32) for x in (self.inputs, self.inner)]
+        self.met = [np.zeros(len(x), np.float32) for x in (self.inputs, self.inner)]
+
+    def parts(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
+        flat = self.dense if flat is None else flat
+        return [flat[a:b].reshape(s) for a, b, s in zip(self.edges, self.edges[1:], self.shapes, strict=False)]
 
     def copy(self) -> Network:
-        out = Network(self.flat.copy(), self.inputs.copy(), self.turns.copy())
-        out.met = [np.zeros(len(x), np.float32) for x in (self.inputs, self.turns)]
+        out = object.__new__(Network)
+        out.edges, out.shapes = self.edges, self.shapes
+        out.dense, out.dense_squares, out.inputs, out.inner = self.dense.copy(), self.dense_squares.copy(), self.inputs.copy(), self.inner.copy()
+        out.squares = [x.copy() for x in self.squares]
+        out.met = [np.zeros_like(x) for x in self.met]
+        return out
+
+    def sums(self, seen: int) -> dict[int, np.ndarray]:
+        """What adds up over copies, by block: weights times what they count for, and that."""
+        weight = np.float64(seen)
+        out = {0: np.concatenate([self.dense * weight, self.dense_squares * weight, [weight]])}
+        at = 1
+        for rows, squares, met in zip((self.inputs, self.inner), self.squares, self.met, strict=True):
+            for low in range(0, len(rows), ROW_BLOCK):
+                m = met[low : low + ROW_BLOCK].astype(np.float64)
+                if m.any():
+                    out[at] = np.c_[rows[low : low + ROW_BLOCK] * m[:, None], squares[low : low + ROW_BLOCK] * m, m].ravel()
+                at += 1
+        return out
+
+    def mean(self, sums: dict[int, np.ndarray]) -> Network:
+        """The average of copies whose ``sums`` are added up; rows that none of them moved stay."""
+        out = self.copy()
+        if 0 in sums:
+            both = sums[0][:-1] / sums[0][-1]
+            out.dense, out.dense_squares = (x.astype(np.float32) for x in np.split(both, 2))
+        at = 1
+        for rows, squares in zip((out.inputs, out.inner), out.squares, strict=True):
+            for low in range(0, len(rows), ROW_BLOCK):
+                if at in sums:
+                    part = slice(low, min(low + ROW_BLOCK, len(rows)))
+                    got = sums[at].reshape(part.stop - low, -1)
+                    moved, m = got[:, -1] > 0, np.maximum(got[:, -1:], 1)
+                    rows[part] = np.where(moved[:, None], got[:, :-2] / m, rows[part])
+                    squares[part] = np.where(moved, got[:, -2] / m[:, 0], squares[part])
+                at += 1
         return out
 
-    def sums(self, seen: int) -> np.ndarray:
-        """What adds up over copies: parameters by the tokens seen, rows by what trained them, and these weights."""
-        rows = [np.c_[x * m[:, None], m].ravel() for x, m in zip((self.inputs, self.turns), self.met, strict=True)]
-        return np.concatenate([self.flat * np.float32(seen), [seen], *rows]).astype(np.float32)
-
-    def mean(self, sums: np.ndarray) -> Network:
-        """The average of copies whose ``sums`` are added up; rows that none of them trained stay."""
-        n, at, rows = len(self.flat), len(self.flat) + 1, []
-        for x in (self.inputs, self.turns):
-            got = sums[at : at + len(x) * (x.shape[1] + 1)].reshape(len(x), -1)
-            at += got.size
-            weight = got[:, -1:]
-            rows.append(np.where(weight > 0, got[:, :-1] / np.maximum(weight, 1), x).astype(np.float32))
-        return Network((sums[:n] / sums[n]).astype(np.float32), *rows)
-
-
-def contexts(values: np.ndarray, beyond: int = CLASSES) -> np.ndarray:
-    """The classes, or ids, around each token, (tokens, sides); ``beyond`` stands beyond the ends."""
-    wide = np.full(len(values) + 4, beyond, np.intp)
-    wide[2:-2] = values
-    return np.stack([wide[2 + s : 2 + s + len(values)] for s in SIDES], 1)
-
-
-def hidden(p: list[np.ndarray], around: np.ndarray, near: np.ndarray | None = None, inputs: np.ndarray | None = None) -> np.ndarray:
-    """Hidden values by the classes around and, where given, the ids there."""
-    h = p[0][0].take(around[:, 0], 0)
-    for k in range(1, len(SIDES)):
-        h += p[0][k].take(around[:, k], 0)
-    if inputs is not None:
-        for k in range(len(SIDES)):
-            h += inputs.take(near[:, k], 0) * p[4][k]
-    h += p[1]
-    return np.tanh(h, out=h)
-
-
-def class_logs(p: list[np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    z = h @ p[2]
-    z += p[3]
-    own = z[np.arange(len(target)), target]
-    total = np.exp(z) @ np.ones(z.shape[1], z.dtype)
-    if not np.isfinite(total).all() or not total.all():
-        top = z.max(1)
-        return own - top - np.log(np.exp(z - top[:, None]).sum(1))
-    return own - np.log(total)
-
-
-def log_probabilities(p: list[np.ndarray], around: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target class) of tokens by the classes around."""
-    return class_logs(p, hidden(p, around), target)
-
-
-def turn_odds(turns: np.ndarray, h: np.ndarray, place: np.ndarray, turn: np.ndarray) -> np.ndarray:
-    row = turns.take(turn, 0)
-    return np.einsum("ij,ij->i", h.take(place, 0), row[:, :WIDTH]) + row[:, WIDTH]
-
-
-def token_logs(net: Network, vocabulary: Vocabulary, near: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log P(target id) of tokens by the ids around."""
-    p = parameters(net.flat)
-    h = hidden(p, vocabulary.wide[near], near, net.inputs)
-    out = class_logs(p, h, vocabulary.of[target])
-    place, turn, sign = vocabulary.paths(target)
-    if len(place):
-        inside = -np.logaddexp(np.float32(0), -sign * turn_odds(net.turns, h, place, turn))
-        out = out + np.bincount(place, weights=inside, minlength=len(target))
+
+def strung(documents: list[np.ndarray], vocabulary: Vocabulary) -> np.ndarray:
+    """Ranks of all documents in a row, with ``REACH`` places beyond the ends before, between and after them."""
+    beyond = vocabulary.size
+    out = np.full(sum(map(len, documents)) + REACH * (len(documents) + 1), beyond, np.uint16 if beyond < 65536 else np.uint32)
+    at = REACH
+    for ids in documents:
+        out[at : at + len(ids)] = vocabulary.rank[ids]
+        at += len(ids) + REACH
     return out
 
 
-def grouped(index: np.ndarray, rows: np.ndarray, each: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(different values of ``index``, sums of their rows, how many); ``each`` entries in turn have one row."""
+def _shares(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax of the rows, logarithms of the denominators), ``z`` is used up."""
+    e = np.exp(z)
+    total = e @ np.ones(e.shape[1], e.dtype)
+    if np.isfinite(total).all() and total.all():
+        e /= total[:, None]
+        return e, np.log(total)
+    top = z.max(1)
+    e = np.exp(z - top[:, None])
+    total = e.sum(1)
+    return e / total[:, None], np.log(total) + top
+
+
+def _segments(of: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(class, its places)."""
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(classes + 1))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def _sums_of_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different values of ``index``, sums of their rows, how many)."""
     order = np.argsort(index, kind="stable")
-    found = index[order]
-    begins = np.flatnonzero(np.diff(found, prepend=-1))
-    return found[begins], np.add.reduceat(rows.take(order // each, 0), begins), np.diff(begins, append=len(found))
-
-
-def adjust(table: np.ndarray, met: np.ndarray, index: np.ndarray, slopes: np.ndarray) -> None:
-    """Move rows against the sum of their slopes, which counts as that of ``ROW_MOST`` at most."""
-    if len(index):
-        at, total, n = grouped(index, slopes)
-        table[at] -= total * (ROW_RATE * np.minimum(1, ROW_MOST / n)).astype(np.float32)[:, None]
-        met[at] += n
-
-
-def train_step(net: Network, vocabulary: Vocabulary, near: np.ndarray, target: np.ndarray, rate: float) -> None:
-    """One step of gradient descent, in place."""
-    p = parameters(net.flat)
-    around, n = vocabulary.wide[near], len(target)
-    h = hidden(p, around, near, net.inputs)
-    z = h @ p[2]
-    z += p[3]
-    g = np.exp(z)
-    total = g @ np.ones(CLASSES, np.float32)
-    if not np.isfinite(total).all() or not total.all():
-        g = np.exp(z - z.max(1, keepdims=True))
-        total = g.sum(1)
-    # Rows of g are slopes times their totals.
-    share = 1 / total
-    g[np.arange(n), vocabulary.of[target]] -= total
-    back = g @ p[2].T
-    back *= share[:, None]
-    place, turn, sign = vocabulary.paths(target)
-    if len(place):
-        slope = -sign / (1 + np.exp(np.minimum(sign * turn_odds(net.turns, h, place, turn), 80)))
-        deep = np.flatnonzero(np.diff(place, prepend=-1))
-        back[place[deep]] += np.add.reduceat(slope[:, None] * net.turns.take(turn, 0)[:, :WIDTH], deep)
-        adjust(net.turns, net.met[1], turn, slope[:, None] * np.c_[h, np.ones(n, np.float32)].take(place, 0))
-    back *= 1 - h * h
-    step = np.float32(rate / n)
-    p[2] -= step * ((h * share[:, None]).T @ g)
-    p[3] -= step * (share @ g)
-    p[1] -= step * back.sum(0)
-    sides = len(SIDES)
-    place, side = np.divmod(np.flatnonzero((around >= OWN) & (around < CLASSES)), sides)
-    ids, slopes, gates = near[place, side], back.take(place, 0), p[4].copy()
-    for k in range(sides):
-        p[4][k] -= step * np.einsum("ij,ij->j", back, net.inputs.take(near[:, k], 0))
-    found, total, _ = grouped((around + np.arange(sides, dtype=np.int16) * (CLASSES + 1)).ravel(), back, sides)
-    p[0].reshape(-1, WIDTH)[found] -= step * total
-    adjust(net.inputs, net.met[0], ids, slopes * gates.take(side, 0))
-
-
-def log_likelihood(net: Network, vocabulary: Vocabulary, ids: np.ndarray) -> float:
-    """Summed conditional log-probabilities of one document's ids."""
-    near = contexts(ids, vocabulary.size)
-    return sum(float(token_logs(net, vocabulary, near[at : at + CHUNK], ids[at : at + CHUNK]).sum(dtype=np.float64)) for at in range(0, len(ids), CHUNK))
-
-
-def encoded(docs: DataFrame, vocab: str) -> DataFrame:
-    """doc_id and ids, unsigned 16 bits each (32 where the vocabulary needs them); null text is empty."""
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    found = index[order].astype(np.int64)
+    fresh = np.diff(found, prepend=-1) != 0
+    place = np.empty(len(index), np.int64)
+    place[order] = np.cumsum(fresh) - 1
+    kinds = found[fresh]
+    total = np.stack([np.bincount(place, weights=column, minlength=len(kinds)) for column in np.ascontiguousarray(rows.T)], 1)
+    return kinds, total.astype(np.float32), np.bincount(place, minlength=len(kinds))
+
+
+def window_logs(net: Network, vocabulary: Vocabulary, seq: np.ndarray, learn: float = 0.0) -> np.ndarray:
+    """log P of every place but the ``REACH`` at each end, by the places around; 0 for those beyond an end.
+
+    With ``learn`` the network is moved by one step at that rate, in place.
+    """
+    mixing, bias, outputs, class_bias = net.parts()
+    n, width = len(seq) - 2 * REACH, WIDTH
+    e = net.inputs.take(seq, 0)
+    sides = [slice(REACH + s, REACH + s + n) for s in SIDES]
+    near = np.concatenate([e[s] for s in sides], 1)
+    h = near @ mixing
+    h += bias
+    np.tanh(h, out=h)
+    target = seq[REACH : REACH + n]
+    of = vocabulary.of[target]
+    real = of < vocabulary.classes
+    z = h @ outputs
+    z += class_bias
+    place, held = np.arange(n), np.where(real, of, 0)
+    own = z[place, held]
+    g, total = _shares(z)
+    logs = own - total
+    logs[~real] = 0
+    if learn:
+        g[place, held] -= 1
+        g[~real] = 0
+        back = g @ outputs.T
+        moves = np.zeros_like(net.dense)
+        d_mixing, d_bias, d_outputs, d_class_bias = net.parts(moves)
+        np.matmul(h.T, g, out=d_outputs)
+        d_class_bias[:] = g.sum(0)
+    for k, at in _segments(of, vocabulary.classes):
+        low, high = vocabulary.edges[k], vocabulary.edges[k + 1]
+        if high - low == 1:
+            continue
+        rows, hk, t = net.inner[low:high], h.take(at, 0), target[at] - low
+        z = hk @ rows[:, :width].T
+        z += rows[:, width]
+        here = np.arange(len(at))
+        own = z[here, t]
+        share, total = _shares(z)
+        logs[at] += own - total
+        if learn:
+            share[here, t] -= 1
+            back[at] += share @ rows[:, :width]
+            slopes = np.empty_like(rows)
+            np.matmul(share.T, hk, out=slopes[:, :width])
+            slopes[:, width] = share.sum(0)
+            squares = net.squares[1][low:high]
+            squares += np.einsum("ij,ij->i", slopes, slopes) / np.float32(width + 1)
+            rows -= slopes * (np.float32(learn) / np.sqrt(squares))[:, None]
+            net.met[1][low:high] += len(at)
+    if not learn:
+        return logs
+    h *= h
+    back -= back * h
+    d_bias[:] = back.sum(0)
+    np.matmul(near.T, back, out=d_mixing)
+    around, spread = np.zeros_like(e), back @ mixing.T
+    for k, s in enumerate(sides):
+        around[s] += spread[:, k * width : (k + 1) * width]
+    net.dense_squares += moves * moves
+    net.dense -= np.float32(learn) * moves / np.sqrt(net.dense_squares)
+    rows, slopes, times = _sums_of_rows(seq, around)
+    net.squares[0][rows] += np.einsum("ij,ij->i", slopes, slopes) / np.float32(width)
+    net.inputs[rows] -= slopes * (np.float32(learn) / np.sqrt(net.squares[0][rows]))[:, None]
+    net.met[0][rows] += times
+    return logs
+
+
+def document_scores(net: Network, vocabulary: Vocabulary, documents: list[np.ndarray]) -> np.ndarray:
+    """Summed conditional log-probabilities of each document's ids."""
+    seq = strung(documents, vocabulary)
+    n = len(seq) - 2 * REACH
+    logs = np.zeros(max(n, 0) + REACH, np.float64)
+    for at in range(0, n, STEP_TOKENS):
+        end = min(n, at + STEP_TOKENS)
+        logs[at:end] = window_logs(net, vocabulary, seq[at : end + 2 * REACH])
+    ends = np.cumsum([len(x) + REACH for x in documents])
+    return np.array([logs[b - len(x) - REACH : b - REACH].sum() for x, b in zip(documents, ends.tolist(), strict=True)])
+
+
+class Learner:
+    """One shard's copy of the network, which gets its documents in turn."""
+
+    def __init__(self, net: Network, vocabulary: Vocabulary, turn: int, rounds: int):
+        self.net, self.vocabulary, self.turn, self.rounds = net.copy(), vocabulary, turn, rounds
+        self.waiting: list[np.ndarray] = []
+        self.left, self.step, self.seen = np.full(REACH, vocabulary.size, strung([], vocabulary).dtype), 0, 0
+        self.held = 0
+
+    def add(self, ids: np.ndarray) -> None:
+        self.waiting.append(ids)
+        self.held += len(ids) + REACH
+        if self.held >= 16 * STEP_TOKENS:
+            self._run(last=False)
+
+    def _run(self, last: bool) -> None:
+        seq = np.concatenate([self.left, strung(self.waiting, self.vocabulary)[REACH:]])
+        self.waiting, self.held, at = [], 0, 0
+        # A stretch and the places that its last window reaches are there, or nothing more comes.
+        while len(seq) - at >= STEP_TOKENS + 2 * REACH or last and len(seq) - at > 2 * REACH:
+            stretch = seq[at : at + STEP_TOKENS + 2 * REACH]
+            if self.step % self.rounds == self.turn:
+                window_logs(self.net, self.vocabulary, stretch, RATE)
+                self.seen += int((stretch[REACH:-REACH] < self.vocabulary.size).sum())
+            self.step += 1
+            at += STEP_TOKENS
+        self.left = seq[at:]
+
+    def sums(self) -> dict[int, np.ndarray]:
+        self._run(last=True)
+        return self.net.sums(self.seen) if self.seen else {}
+
+
+def encoded(docs: DataFrame, vocab: str, shards: int) -> DataFrame:
+    """doc_id, shard and ids, unsigned 16 bits each (32 where the vocabulary needs them), in order inside each shard.
+
+    A null text is empty; texts without tokens are dealt anywhere.
+    """
+    kind = id_type(vocab)
+
+    def encode(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for batch in batches:
             found = tokens.encoder(vocab).batch([t or "" for t in batch["text"]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found]})
+            yield {"doc_id": batch["doc_id"], "key": batch["key"], "ids": [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found]}
 
-    kind = id_type(vocab)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(encode, "doc_id long, ids binary")
+    text = F.col("text").cast("string")
+    doc = F.col("doc_id").cast("long")
+    key = F.when(F.length(text) > 0, F.xxhash64(text, doc)).otherwise(F.monotonically_increasing_id())
+    rows = shared.map_columns(docs.select(doc.alias("doc_id"), key.alias("key"), text.alias("text")), encode, "doc_id long, key long, ids binary")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids").select("doc_id", "shard", "ids")
 
 
 def vocabulary_size(vocab: str) -> int:
@@ -306,76 +339,75 @@ def count_ids(table: DataFrame, vocab: str) -> dict[int, int]:
     return {r["id"]: r["n"] for r in counted.collect()}
 
 
-def masked(ids: np.ndarray, turn: int, rounds: int) -> np.ndarray:
-    """The places of a document that a round trains on; the rounds share all of them out. They follow from the text."""
-    return np.arange((len(ids) + int(ids[0]) + turn) % rounds, len(ids), rounds)
-
-
 def improve(spark: SparkSession, table: DataFrame, vocab: str, vocabulary: Vocabulary, net: Network, turn: int, rounds: int) -> Network:
-    """One round: every partition trains a copy on its documents, and the copies are averaged."""
+    """One round: every shard trains a copy on its documents, and the copies are averaged.
+
+    A file of ``table`` holds whole shards one after another in one row group, so a task sees them whole.
+    """
     kind = id_type(vocab)
-    edges = np.linspace(0, len(net.flat) + 1 + net.inputs.size + len(net.inputs) + net.turns.size + len(net.turns), SHARDS + 1).astype(int)
+
+    def packed(sums: dict[int, np.ndarray], part: int) -> pd.DataFrame:
+        return pd.DataFrame({"block": list(sums), "part": part, "sums": [x.astype(np.float32).tobytes() for x in sums.values()]})
+
+    def merge(into: dict[int, np.ndarray], more: dict[int, np.ndarray]) -> None:
+        for k, v in more.items():
+            into[k] = into[k] + v if k in into else v
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen = net.copy(), 0
-        context = TaskContext.get()
-        part = context.partitionId() if context else 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting = 0
+        total: dict[int, np.ndarray] = {}
+        shard, learner = -1, None
         for batch in batches:
-            for raw in batch["ids"]:
-                ids = np.frombuffer(raw, kind)
-                if not len(ids):
-                    continue
-                at = masked(ids, turn, rounds)
-                held.append((contexts(ids, vocabulary.size)[at], ids[at]))
-                waiting += len(at)
-                while waiting >= STEP_TOKENS:
-                    near, target = (np.concatenate(x) for x in zip(*held, strict=True))
-                    whole = waiting - waiting % STEP_TOKENS
-                    for a in range(0, whole, STEP_TOKENS):
-                        train_step(own, vocabulary, near[a : a + STEP_TOKENS], target[a : a + STEP_TOKENS], RATE)
-                    seen += whole
-                    held, waiting = [(near[whole:], target[whole:])], waiting - whole
-        if waiting:
-            near, target = (np.concatenate(x) for x in zip(*held, strict=True))
-            train_step(own, vocabulary, near, target, RATE * waiting / STEP_TOKENS)
-            seen += waiting
-        if seen:
-            sums = own.sums(seen)
-            yield pd.DataFrame({"shard": np.arange(SHARDS), "part": part % 64, "sums": [sums[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]})
-
-    schema = "shard long, part long, sums binary"
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum([np.frombuffer(x, np.float32) for x in g["sums"]], axis=0, dtype=np.float64).astype(np.float32)
-        return pd.DataFrame({"shard": [g["shard"].iloc[0]], "part": [g["part"].iloc[0]], "sums": [total.tobytes()]})
-
-    parts = table.select("ids").mapInPandas(local, schema).groupBy("shard", "part").applyInPandas(add, schema)
-    rows = sorted((r["shard"], r["sums"]) for r in parts.groupBy("shard").applyInPandas(add, schema).collect())
-    return net.mean(np.concatenate([np.frombuffer(s, np.float32) for _, s in rows])) if rows else net
+            for of, raw in zip(batch["shard"].tolist(), batch["ids"], strict=True):
+                if of != shard:
+                    if learner:
+                        merge(total, learner.sums())
+                    shard, learner = of, Learner(net, vocabulary, turn, rounds)
+                if raw:
+                    learner.add(np.frombuffer(raw, kind))
+        if learner:
+            merge(total, learner.sums())
+        if total:
+            yield packed(total, shard % ADDERS)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw in zip(batch["block"].tolist(), batch["sums"], strict=True):
+                merge(total, {block: np.frombuffer(raw, np.float32).astype(np.float64)})
+        if total:
+            yield packed(total, 0)
+
+    schema = "block long, part long, sums binary"
+    with shared.one_thread(spark):
+        copies = table.select("shard", "ids").mapInPandas(local, schema)
+    halfway = copies.repartition(ADDERS, "part").mapInPandas(add, schema)
+    rows = halfway.repartition("block").mapInPandas(add, schema).collect()
+    return net.mean({r["block"]: np.frombuffer(r["sums"], np.float32).astype(np.float64) for r in rows})
 
 
 def score(spark: SparkSession, docs: DataFrame, vocab: str = tokens.DEFAULT_VOCAB, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_likelihood and per_token, a row for each row of ``docs`` (doc_id, text).
 
     Null and empty texts have no tokens, a log_likelihood of 0 and a null per_token. Repeated rows count and
-    are scored each; an empty table gives no rows; other columns are ignored.
+    are scored each, as are rows with a null doc_id; an empty table gives no rows; other columns are ignored.
     """
     shared.text_batches(spark)
-    table = shared.save(spark, encoded(docs, vocab), "ids")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    table = shared.save(spark, encoded(docs, vocab, max(1, -(-size // SHARD_BYTES))), "ids")
     vocabulary = Vocabulary(count_ids(table, vocab), vocabulary_size(vocab))
-    net = Network.fresh(vocabulary)
+    net = Network(vocabulary)
     for turn in range(rounds):
         net = improve(spark, table, vocab, vocabulary, net, turn, rounds)
     kind = id_type(vocab)
 
-    def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rate(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         for batch in batches:
             ids = [np.frombuffer(x, kind) for x in batch["ids"]]
-            n = np.array([len(x) for x in ids], np.int64)
-            total = np.array([log_likelihood(net, vocabulary, x) if len(x) else 0.0 for x in ids])
-            each = pd.Series(np.where(n > 0, total / np.maximum(n, 1), np.nan)).astype(object).where(n > 0, None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": n, "log_likelihood": total, "per_token": each})
-
-    return table.mapInPandas(rate, "doc_id long, n_tokens long, log_likelihood double, per_token double")
+            total = document_scores(net, vocabulary, ids).tolist()
+            yield {
+                "doc_id": batch["doc_id"], "n_tokens": [len(x) for x in ids], "log_likelihood": total,
+                "per_token": [t / len(x) if len(x) else None for t, x in zip(total, ids, strict=True)],
+            }
+
+    with shared.one_thread(spark):
+        return shared.map_columns(table.select("doc_id", "ids"), rate, "doc_id long, n_tokens long, log_likelihood double, per_token double")

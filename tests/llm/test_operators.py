@@ -418,43 +418,117 @@ def test_pseudo_likelihood_prefers_what_the_corpus_holds(spark):
     assert pseudolm.score(spark, documents(spark, [])).count() == 0
 
 
-def test_token_probabilities_sum_to_one():
-    v = pseudolm.Vocabulary({1: 5, 7: 2, 300: 9}, 500)
-    p = pseudolm.parameters(pseudolm.initial(v).astype(np.float64))
-    around = np.repeat(pseudolm.contexts(np.array([3, 5, 9]))[1:2], pseudolm.CLASSES, 0)
-    of_class = np.exp(pseudolm.log_probabilities(p, around, np.arange(pseudolm.CLASSES)))
-    used = np.unique(v.of)
-    assert abs(of_class.sum() - 1) < 1e-6
-    assert np.allclose([np.exp(v.inside[v.of == c]).sum() for c in used], 1, atol=1e-4)
-
-
-def test_rounds_train_on_every_position_once():
-    for n in (1, 2, 3, 11, 12, 100):
-        for first in range(5):
-            ids = np.full(n, first, np.uint16)
-            for rounds in (1, 2, 3):
-                assert sorted(np.concatenate([pseudolm.masked(ids, turn, rounds) for turn in range(rounds)])) == list(range(n))
+def plain_log_probabilities(net, v, ranks):
+    """log P of every rank at the one place whose sides are ``ranks``, by the definition, in doubles."""
+    mixing, bias, outputs, class_bias = (x.astype(np.float64) for x in net.parts())
+    h = np.tanh(np.concatenate([net.inputs[r].astype(np.float64) for r in ranks]) @ mixing + bias)
+    z = h @ outputs + class_bias
+    first = z - np.log(np.exp(z).sum())
+    out = []
+    for r in range(v.size):
+        k = int(v.of[r])
+        inside = net.inner[v.edges[k] : v.edges[k + 1]].astype(np.float64)
+        z = inside[:, :-1] @ h + inside[:, -1]
+        out.append(first[k] + (z - np.log(np.exp(z).sum()))[r - v.edges[k]])
+    return np.array(out)
 
 
-def test_sides_decide_the_token_inside_its_class():
+def test_scores_are_the_networks_conditional_probabilities():
     rng = np.random.default_rng(19)
-    counts = {i: 10_000 - i for i in range(pseudolm.OWN)} | dict.fromkeys(range(200, 400), 20)
-    v = pseudolm.Vocabulary(counts, 500)
-    first = 200
-    second = next(i for i in range(201, 400) if v.of[i] == v.of[first])
-    net = pseudolm.Network.fresh(v).copy()
-    inside = np.array([v.of[first]] * 2)
-    near = np.array([[5, 1, 2, 6], [5, 3, 4, 6]])
-    before = pseudolm.token_logs(net, v, near, np.array([first, second]))
-    start = pseudolm.class_logs(pseudolm.parameters(net.flat), pseudolm.hidden(pseudolm.parameters(net.flat), v.wide[near]), inside)
-    assert np.allclose(before, start + v.inside[[first, second]], atol=1e-4)
-    for _ in range(200):
-        which = rng.integers(0, 2, 64)
-        pseudolm.train_step(net, v, near[which], np.array([first, second])[which], 0.5)
-    right, wrong = (pseudolm.token_logs(net, v, near, np.array(x)) for x in ([first, second], [second, first]))
-    assert (right > wrong + 2).all()
-    everything = pseudolm.token_logs(net, v, np.repeat(near[:1], 500, 0), np.arange(500))
-    assert abs(np.exp(everything).sum() - 1) < 1e-4
+    v = pseudolm.Vocabulary({i: int(20_000 / (i + 1)) for i in range(0, 600, 2)}, 700)
+    net = pseudolm.Network(v)
+    docs = [rng.integers(0, 700, n).astype(np.uint16) for n in (0, 1, 2, 5, 60, 0)]
+    learner = pseudolm.Learner(net, v, 0, 1)
+    for d in docs * 20:
+        learner.add(d)
+    net = net.mean(learner.sums())
+    got = pseudolm.document_scores(net, v, docs)
+    for d, value in zip(docs, got, strict=True):
+        r = [v.size, v.size, *v.rank[d].tolist(), v.size, v.size]
+        every = [plain_log_probabilities(net, v, [r[i - 2], r[i - 1], r[i + 1], r[i + 2]]) for i in range(2, len(r) - 2)]
+        assert all(abs(np.exp(e).sum() - 1) < 1e-9 for e in every)
+        assert abs(value - sum(e[t] for e, t in zip(every, r[2:-2], strict=True))) < 1e-3 * (len(d) + 1)
+
+
+def test_slopes_are_differences(monkeypatch):
+    """A step with equal squares moves along the slope of the summed logarithms."""
+    rng = np.random.default_rng(5)
+    v = pseudolm.Vocabulary({i: 900 - i for i in range(300)}, 300)
+    net = pseudolm.Network(v)
+    for x in (net.dense, net.inputs, net.inner):
+        x += rng.standard_normal(x.shape).astype(np.float32) * 0.3
+    seq = pseudolm.strung([rng.integers(0, 40, 50).astype(np.uint16)], v)
+    moved = net.copy()
+    for x in (moved.dense_squares, *moved.squares):
+        x[:] = 1e12
+    pseudolm.window_logs(moved, v, seq, learn=1e5)
+    for name in ("dense", "inputs", "inner"):
+        x, step = getattr(net, name), (getattr(moved, name) - getattr(net, name)) * 10.0
+        for at in zip(*np.nonzero(np.abs(step) > 0.5 * np.abs(step).max()), strict=True):
+            before = x[at]
+            x[at] = before + 0.02
+            up = pseudolm.window_logs(net, v, seq).sum(dtype=np.float64)
+            x[at] = before - 0.02
+            down = pseudolm.window_logs(net, v, seq).sum(dtype=np.float64)
+            x[at] = before
+            assert (up - down) / 0.04 == pytest.approx(step[at], rel=0.05, abs=0.05)
+
+
+def test_rounds_train_on_every_position_once(monkeypatch):
+    monkeypatch.setattr(pseudolm, "STEP_TOKENS", 64)
+    v = pseudolm.Vocabulary({1: 5, 7: 2, 300: 9}, 500)
+    seen, real = [], pseudolm.window_logs
+    monkeypatch.setattr(pseudolm, "window_logs", lambda n, w, seq, learn=0.0: (seen.append(seq.copy()), real(n, w, seq, learn))[1])
+    docs = [np.arange(n, dtype=np.uint16) % 500 for n in (0, 1, 63, 64, 65, 2000, 3)]
+    for rounds in (1, 2, 3):
+        seen.clear()
+        total = 0
+        for turn in range(rounds):
+            learner = pseudolm.Learner(pseudolm.Network(v), v, turn, rounds)
+            for d in docs:
+                learner.add(d)
+            learner.sums()
+            total += learner.seen
+        inner = np.concatenate([x[2:-2] for x in seen])
+        assert total == sum(map(len, docs)) == (inner < v.size).sum()
+        want = Counter(v.rank[np.concatenate(docs)].tolist())
+        assert Counter(inner[inner < v.size].tolist()) == want
+
+
+def test_scores_do_not_depend_on_the_split(spark, monkeypatch):
+    monkeypatch.setattr(pseudolm, "SHARD_BYTES", 4000)
+    rng = random.Random(23)
+    docs = documents(spark, [*HARD, *(words(rng, 60, 30) for _ in range(60))])
+    one, other = ({r["doc_id"]: r["log_likelihood"] for r in pseudolm.score(spark, d).collect()} for d in (docs.repartition(1), docs.repartition(7, "text")))
+    assert one.keys() == other.keys()
+    assert all(other[k] == pytest.approx(x, rel=1e-3, abs=1e-2) for k, x in one.items())
+
+
+# Ids, long texts, repeated rows, clashing columns
+
+FAR = 1 << 60
+
+
+def test_ids_beside_null_ids_stay_whole(spark):
+    ids = [FAR + 1, None, FAR + 3, FAR + 5, FAR + 5]
+    texts = ["a text with some words in it", None, "another text with some other words", "x" * 300_000 + " y", "x" * 300_000 + " y"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "e") for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, lang string, source string, score long, ids string").coalesce(1)
+    labels = spark.createDataFrame([(FAR + 1, 1, 0), (FAR + 3, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(FAR + 7, "some other words"), (None, "some words in it")], "item_id long, text string")
+    got = {
+        "op1": packing.pack(spark, docs).where("piece = 0"), "op2": neardup.near_duplicates(spark, docs), "op3": quality.score_documents(spark, docs, labels),
+        "op4": pseudolm.score(spark, docs), "op7": secrets.digest(docs, secrets.fit(secrets.labelled_samples(spark))), "op9": language.predict_documents(spark, docs), "op10": rollups.count_tokens(spark, docs),
+    }
+    for name, df in got.items():
+        assert Counter(r["doc_id"] for r in df.collect()) == Counter(ids), name
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(spark, docs, bench).collect()} == {(FAR + 1, None), (FAR + 3, FAR + 7)}
+    assert {r["doc_id"] for r in decontaminate.clean(spark, docs, bench).collect()} == {None, FAR + 5}
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    rows = [(FAR + 1, [1.0, 2.0]), (None, [1.0, 2.0]), (FAR + 3, [1.0, 2.0]), (FAR + 3, [2.0, 4.1]), (FAR + 5, None)]
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in lattice.near_vectors(spark, spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, cells int")).collect()), key=str)
+    assert got == sorted([(FAR + 1, 2, FAR + 1), (None, 0, None), (FAR + 3, 2, FAR + 1), (FAR + 3, 2, FAR + 1), (FAR + 5, 0, FAR + 5)], key=str)
 
 
 # Token rollups
