@@ -32,12 +32,14 @@ SIDES = (-2, -1, 1, 2)
 REACH = 2
 #: A class of tokens that have a share p of the corpus each has SPREAD / sqrt(p) of them, MOST at most: then its
 #: output in the first step and its part of the second cost a token about the same.
-SPREAD, MOST = 1.5, 4096
+SPREAD, MOST = 2.5, 1 << 14
 WIDTH = 16
-ROUNDS, STEP_TOKENS, RATE = 2, 8192, 0.2
+ROUNDS, STEP_TOKENS, RATE = 2, 16384, 0.2
 SHARD_BYTES = 16 << 20
 #: Rows of a table of weights that are added up together.
 ROW_BLOCK = 512
+#: Exponents that neither overflow nor vanish in a sum of floats.
+SAFE = 60
 #: Added to every token's count.
 SMOOTHING = 0.5
 #: Tasks that add up copies before the last sum.
@@ -72,26 +74,26 @@ class Vocabulary:
 class Network:
     """Weights, with Adagrad's sums of squares beside them.
 
-    ``dense``: mixing matrices, hidden bias, class outputs and their bias, in one array. ``inputs``: a row a
-    rank and one for what stands beyond the ends. ``inner``: a row a rank, the last value is the bias.
-    ``squares`` and ``met`` have an entry for each row: the sum of squares, and the slopes that moved it.
+    ``dense``: mixing matrices, hidden bias and class outputs, in one array. ``inputs``: a row a rank and one
+    for what stands beyond the ends. ``inner``: a column a rank. Outputs have the bias as their last row.
+    ``squares`` and ``met`` have an entry for each rank: the sum of squares, and the slopes that moved it.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         random = np.random.default_rng(7)
-        shapes = [(len(SIDES) * WIDTH, WIDTH), (WIDTH,), (WIDTH, vocabulary.classes), (vocabulary.classes,)]
+        shapes = [(len(SIDES), WIDTH, WIDTH), (WIDTH,), (WIDTH + 1, vocabulary.classes)]
         self.edges = np.cumsum([0, *(int(np.prod(s)) for s in shapes)])
         self.shapes = shapes
         self.dense = np.zeros(self.edges[-1], np.float32)
         self.dense_squares = np.full(self.edges[-1], 1e-3, np.float32)
-        mixing, _, _, bias = self.parts()
+        mixing, _, outputs = self.parts()
         mixing[:] = random.standard_normal(mixing.shape) / np.sqrt(WIDTH)
-        bias[:] = vocabulary.class_bias
+        outputs[WIDTH] = vocabulary.class_bias
         self.inputs = (random.standard_normal((vocabulary.size + 1, WIDTH)) * 0.3).astype(np.float32)
-        self.inner = np.zeros((vocabulary.size, WIDTH + 1), np.float32)
-        self.inner[:, WIDTH] = vocabulary.inner_bias
-        self.squares = [np.full(len(x), 1e-3, np.float32) for x in (self.inputs, self.inner)]
-        self.met = [np.zeros(len(x), np.float32) for x in (self.inputs, self.inner)]
+        self.inner = np.zeros((WIDTH + 1, vocabulary.size), np.float32)
+        self.inner[WIDTH] = vocabulary.inner_bias
+        self.squares = [np.full(n, 1e-3, np.float32) for n in (vocabulary.size + 1, vocabulary.size)]
+        self.met = [np.zeros(n, np.float32) for n in (vocabulary.size + 1, vocabulary.size)]
 
     def parts(self, flat: np.ndarray | None = None) -> list[np.ndarray]:
         flat = self.dense if flat is None else flat
@@ -110,7 +112,7 @@ class Network:
         weight = np.float64(seen)
         out = {0: np.concatenate([self.dense * weight, self.dense_squares * weight, [weight]])}
         at = 1
-        for rows, squares, met in zip((self.inputs, self.inner), self.squares, self.met, strict=True):
+        for rows, squares, met in zip((self.inputs, self.inner.T), self.squares, self.met, strict=True):
             for low in range(0, len(rows), ROW_BLOCK):
                 m = met[low : low + ROW_BLOCK].astype(np.float64)
                 if m.any():
@@ -125,7 +127,7 @@ class Network:
             both = sums[0][:-1] / sums[0][-1]
             out.dense, out.dense_squares = (x.astype(np.float32) for x in np.split(both, 2))
         at = 1
-        for rows, squares in zip((out.inputs, out.inner), out.squares, strict=True):
+        for rows, squares in zip((out.inputs, out.inner.T), out.squares, strict=True):
             for low in range(0, len(rows), ROW_BLOCK):
                 if at in sums:
                     part = slice(low, min(low + ROW_BLOCK, len(rows)))
@@ -148,25 +150,19 @@ def strung(documents: list[np.ndarray], vocabulary: Vocabulary) -> np.ndarray:
     return out
 
 
-def _shares(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(softmax of the rows, logarithms of the denominators), ``z`` is used up."""
-    e = np.exp(z)
-    total = e @ np.ones(e.shape[1], e.dtype)
-    if np.isfinite(total).all() and total.all():
-        e /= total[:, None]
-        return e, np.log(total)
-    top = z.max(1)
-    e = np.exp(z - top[:, None])
-    total = e.sum(1)
-    return e / total[:, None], np.log(total) + top
+def _weighed(z: np.ndarray, outputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, their sums by row, the logarithms that the rows of ``z`` add up to); ``z`` is used up.
 
-
-def _segments(of: np.ndarray, classes: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(class, its places)."""
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(classes + 1))
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        yield k, order[cuts[k] : cuts[k + 1]]
+    A weight over its row's sum is the softmax; the rows are not divided, as what is made of them is smaller.
+    Hidden values are 1 at most, so the columns of ``outputs`` bound the exponents.
+    """
+    top = None
+    if not np.abs(outputs).sum(0).max() < SAFE:
+        top = z.max(1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], z.dtype)
+    return z, total, np.log(total) if top is None else np.log(total) + top
 
 
 def _sums_of_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,69 +182,75 @@ def window_logs(net: Network, vocabulary: Vocabulary, seq: np.ndarray, learn: fl
 
     With ``learn`` the network is moved by one step at that rate, in place.
     """
-    mixing, bias, outputs, class_bias = net.parts()
-    n, width = len(seq) - 2 * REACH, WIDTH
+    mixing, bias, outputs = net.parts()
+    n, width, classes, edges = len(seq) - 2 * REACH, WIDTH, vocabulary.classes, vocabulary.edges
     e = net.inputs.take(seq, 0)
     sides = [slice(REACH + s, REACH + s + n) for s in SIDES]
-    near = np.concatenate([e[s] for s in sides], 1)
-    h = near @ mixing
-    h += bias
-    np.tanh(h, out=h)
+    h = np.ones((n, width + 1), np.float32)
+    mixed = e[sides[0]] @ mixing[0]
+    for k in range(1, len(SIDES)):
+        mixed += e[sides[k]] @ mixing[k]
+    mixed += bias
+    np.tanh(mixed, out=h[:, :width])
+    # Places in the order of their classes; those beyond an end come last.
     target = seq[REACH : REACH + n]
     of = vocabulary.of[target]
-    real = of < vocabulary.classes
+    order = np.argsort(of, kind="stable")
+    h, of, target = h.take(order, 0), of[order], target[order]
+    cuts = np.searchsorted(of, np.arange(classes + 1))
+    real, place = int(cuts[-1]), np.arange(n)
+    h, of, target = h[:real], of[:real], target[:real]
     z = h @ outputs
-    z += class_bias
-    place, held = np.arange(n), np.where(real, of, 0)
-    own = z[place, held]
-    g, total = _shares(z)
-    logs = own - total
-    logs[~real] = 0
+    logs = z[place[:real], of]
+    g, total, base = _weighed(z, outputs)
+    logs -= base
     if learn:
-        g[place, held] -= 1
-        g[~real] = 0
-        back = g @ outputs.T
+        g[place[:real], of] -= total
+        share = (1 / total)[:, None]
+        back = g @ outputs[:width].T
+        back *= share
         moves = np.zeros_like(net.dense)
-        d_mixing, d_bias, d_outputs, d_class_bias = net.parts(moves)
-        np.matmul(h.T, g, out=d_outputs)
-        d_class_bias[:] = g.sum(0)
-    for k, at in _segments(of, vocabulary.classes):
-        low, high = vocabulary.edges[k], vocabulary.edges[k + 1]
-        if high - low == 1:
-            continue
-        rows, hk, t = net.inner[low:high], h.take(at, 0), target[at] - low
-        z = hk @ rows[:, :width].T
-        z += rows[:, width]
-        here = np.arange(len(at))
+        d_mixing, d_bias, d_outputs = net.parts(moves)
+        np.matmul((h * share).T, g, out=d_outputs)
+    for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(edges) > 1)).tolist():
+        low, high, at = edges[k], edges[k + 1], slice(cuts[k], cuts[k + 1])
+        columns, hk, t, here = net.inner[:, low:high], h[at], target[at] - low, place[: cuts[k + 1] - cuts[k]]
+        z = hk @ columns
         own = z[here, t]
-        share, total = _shares(z)
-        logs[at] += own - total
+        g, total, base = _weighed(z, columns)
+        own -= base
+        logs[at] += own
         if learn:
-            share[here, t] -= 1
-            back[at] += share @ rows[:, :width]
-            slopes = np.empty_like(rows)
-            np.matmul(share.T, hk, out=slopes[:, :width])
-            slopes[:, width] = share.sum(0)
+            g[here, t] -= total
+            share = (1 / total)[:, None]
+            more = g @ columns[:width].T
+            more *= share
+            back[at] += more
+            slopes = (hk * share).T @ g
             squares = net.squares[1][low:high]
-            squares += np.einsum("ij,ij->i", slopes, slopes) / np.float32(width + 1)
-            rows -= slopes * (np.float32(learn) / np.sqrt(squares))[:, None]
-            net.met[1][low:high] += len(at)
+            squares += (slopes * slopes).sum(0) / np.float32(width + 1)
+            slopes *= np.float32(learn) / np.sqrt(squares)
+            columns -= slopes
+            net.met[1][low:high] += len(here)
+    out = np.zeros(n, np.float32)
+    out[order[:real]] = logs
     if not learn:
-        return logs
-    h *= h
-    back -= back * h
+        return out
+    back -= back * h[:, :width] ** 2
     d_bias[:] = back.sum(0)
-    np.matmul(near.T, back, out=d_mixing)
-    around, spread = np.zeros_like(e), back @ mixing.T
+    placed = np.zeros((n, width), np.float32)
+    placed[order[:real]] = back
+    around = np.zeros_like(e)
     for k, s in enumerate(sides):
-        around[s] += spread[:, k * width : (k + 1) * width]
+        np.matmul(e[s].T, placed, out=d_mixing[k])
+        around[s] += placed @ mixing[k].T
     net.dense_squares += moves * moves
     net.dense -= np.float32(learn) * moves / np.sqrt(net.dense_squares)
     rows, slopes, times = _sums_of_rows(seq, around)
-    net.squares[0][rows] += np.einsum("ij,ij->i", slopes, slopes) / np.float32(width)
+    net.squares[0][rows] += (slopes * slopes).sum(1) / np.float32(width)
     net.inputs[rows] -= slopes * (np.float32(learn) / np.sqrt(net.squares[0][rows]))[:, None]
     net.met[0][rows] += times
-    return logs
+    return out
 
 
 def document_scores(net: Network, vocabulary: Vocabulary, documents: list[np.ndarray]) -> np.ndarray:
@@ -313,7 +315,7 @@ def encoded(docs: DataFrame, vocab: str, shards: int) -> DataFrame:
     key = F.when(F.length(text) > 0, F.xxhash64(text, doc)).otherwise(F.monotonically_increasing_id())
     rows = shared.map_columns(docs.select(doc.alias("doc_id"), key.alias("key"), text.alias("text")), encode, "doc_id long, key long, ids binary")
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key", "ids").select("doc_id", "shard", "ids")
+    return dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "ids").select("doc_id", "shard", "ids")
 
 
 def vocabulary_size(vocab: str) -> int:
