@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import ordering
 from gristmill.functions.patterns import MAX_CC, MAX_CRAP, MIN_DIFF_COVERAGE, RISKY_CC, RISKY_CRAP
 
 
@@ -79,12 +80,12 @@ def mean_drift(scored: DataFrame, before: float, bar: float, tolerance: float) -
 def statistics(scored: DataFrame, max_cc: int = MAX_CC, max_crap: float = MAX_CRAP) -> DataFrame:
     """Counts, mean, upper median and numbers over the bars, in one row.
 
-    The median comes from a count and a running count per value, so no group is gathered.
+    The median comes from counts per value and sums before each, by ranges of the values, so nothing is gathered.
     """
     r = scored.select("cc", "crap", risk(F.col("cc"), F.col("crap")).alias("risk"))
     counts = r.groupBy("risk").agg(F.count("*").alias("n"))
-    upto = counts.select("risk", F.sum("n").over(Window.orderBy("risk")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
-    median = upto.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("risk").alias("median_crap"))
+    upto = ordering.sums_before(counts, ["risk"], F.col("n")).join(counts.agg(F.sum("n").alias("all")))
+    median = upto.where(F.col("before") + F.col("n") > F.floor(F.col("all") / 2)).agg(F.min("risk").alias("median_crap"))
     sums = r.agg(
         F.count("*").alias("functions"), F.count_if(F.col("crap").isNull()).alias("without_data"), F.coalesce(F.avg("risk"), F.lit(0.0)).alias("mean_crap"),
         F.count_if(F.col("risk") > max_crap).alias("over_crap"), F.count_if(F.col("cc") > max_cc).alias("over_cc"),

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
-import shlex
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import ordering
 from gristmill.functions import patterns as P
 
 
+#: Rules of the settings that one query takes.
+MOST_RULES = 200
+
+
 def questions(hunks: DataFrame, triggers: dict[str, str] | None = None) -> DataFrame:
     """file, at, question for each trigger that a hunk's added text (file, at, text) has.
 
@@ -30,6 +32,77 @@ def questions(hunks: DataFrame, triggers: dict[str, str] | None = None) -> DataF
     return hunks.select("file", "at", F.explode(F.array_compact(raised)).alias("question"))
 
 
+def file_kinds(files: DataFrame, globs: dict[str, list[str]]) -> DataFrame:
+    """file, kinds: which of the kinds (ux, i18n, code, prompt) a file is by their globs; tests and test support are none."""
+    other = F.col("file").rlike(P.test_file_regex()) | F.col("file").rlike(P.TEST_SUPPORT)
+    found = F.array_compact(F.array(*(F.when(F.col("file").rlike("|".join(map(P.glob_regex, g))), F.lit(k)) for k, g in globs.items() if g)))
+    return files.select("file", F.when(other, F.array().cast("array<string>")).otherwise(found).alias("kinds"))
+
+
+def long_text(text: Column) -> Column:
+    """Whether a line shows a text of ten words of prose or more: in quotes or between tags."""
+    shown = F.array_append(F.regexp_extract_all(text, F.lit(P.QUOTED), F.lit(2)), F.regexp_extract(text, P.BETWEEN_TAGS, 1))
+    return F.exists(shown, lambda t: prose_words(t) >= P.PLAIN_WORDS)
+
+
+def asked_questions(lines: DataFrame, off: list[str] | None = None) -> DataFrame:
+    """file, hunk_ord, question, at: what a hunk's added lines (file, hunk_ord, line, text, kinds) raise, and the first line that does.
+
+    A question reads the kinds of file that it is about. ``off`` names questions that are not asked; a name that
+    is none is an error. One pass over the lines: a minimum for each question, then its rows.
+    """
+    if unknown := sorted(set(off or []) - P.QUESTION_KINDS.keys()):
+        raise ValueError(f"unknown question id(s) {', '.join(unknown)}")
+    text, file = F.col("text"), F.col("file")
+    is_kind = lambda *k: F.arrays_overlap("kinds", F.array(*map(F.lit, k)))
+    hit = {q: text.rlike(P.TRIGGERS[q]) for q in P.QUESTION_KINDS if q in P.TRIGGERS}
+    hit |= {
+        "untranslated_text": text.rlike(P.TEXT_IN_QUOTES),
+        "jargon_in_ui": F.when(is_kind("i18n"), text.rlike(P.TEXT_IN_QUOTES)).otherwise(text.rlike(P.TRIGGERS["jargon_in_ui"])),
+        "text_not_plain": long_text(text),
+        "per_vendor_branch": hit["per_vendor_branch"] & ~file.rlike(P.PROVIDER_FILE),
+        "update_without_rollback": F.when(file.rlike(P.UPDATE_PATH), text.rlike(r"\S")).otherwise(hit["update_without_rollback"]),
+        "prompt_depends_on_environment": F.when(is_kind("prompt"), text.rlike(P.PROMPT_REFERENCE)).otherwise(hit["prompt_depends_on_environment"]),
+    }
+    names = [q for q in P.QUESTION_KINDS if q not in (off or [])]
+    firsts = [F.min(F.when(hit[q] & is_kind(*P.QUESTION_KINDS[q]), F.col("line"))).alias(q) for q in names]
+    by = lines.groupBy("file", "hunk_ord").agg(*firsts, F.max(text.rlike(P.DASHBOARD)).alias("_dashboard"))
+    shown = {q: F.col(q) for q in names}
+    if "metric_without_deeplink" in shown:
+        shown["metric_without_deeplink"] = F.when(file.rlike(P.DASHBOARD) | F.col("_dashboard"), F.col("metric_without_deeplink"))
+    rows = by.select("file", "hunk_ord", F.explode(F.array(*(F.struct(F.lit(q).alias("question"), c.alias("at")) for q, c in shown.items()))).alias("x"))
+    return rows.select("file", "hunk_ord", "x.question", "x.at").where("at is not null")
+
+
+def spec_request(changed_files: DataFrame, spec: str | None, readable: bool, scope: str = "change") -> DataFrame:
+    """One row at most, (request, line): whether the change is held against a specification, or why it is not."""
+    any_file = changed_files.limit(1)
+    if scope == "all":
+        any_file = any_file.where(F.lit(False))
+    line = "spec not set" if not spec else None if readable else f"spec not readable ({spec})"
+    return any_file.select(F.lit(None if line else "spec_incomplete").cast("string").alias("request"), F.lit(line).cast("string").alias("line"))
+
+
+def stem(file: Column) -> Column:
+    """A file's name before the first point, in lower case, without what marks a test."""
+    return F.regexp_replace(F.lower(F.regexp_extract(file, r"([^/.]*)[^/]*\z", 1)), r"^test_|_test\z|_spec\z", "")
+
+
+def tests_for(sources: DataFrame, tests: DataFrame, limit: int) -> DataFrame:
+    """source, ord, text: test hunks (file, ord, text) for each source (file), those of the same stem first, as long as they fit.
+
+    Of the other tests only the first ones that fit the limit by themselves can be among them; these are one
+    row of at most ``limit`` characters, which meets every source. Tests of the same stem are joined by it.
+    """
+    named = tests.select("ord", stem(F.col("file")).alias("stem"), F.concat("file", F.lit("\n"), "text").alias("text"))
+    some = packed(named.withColumn("doc", F.lit(0)), limit).agg(F.collect_list(F.struct("ord", "stem", "text")).alias("all"))
+    own = sources.select(F.col("file").alias("doc"), stem(F.col("file")).alias("stem")).distinct()
+    first = own.join(named, "stem").select("doc", F.struct(F.lit(0).alias("p"), "ord").alias("ord"), "text")
+    other = own.join(some).select("doc", F.col("stem").alias("_s"), F.explode("all").alias("x")).where("x.stem <> _s")
+    rows = first.unionByName(other.select("doc", F.struct(F.lit(1).alias("p"), F.col("x.ord").alias("ord")).alias("ord"), F.col("x.text").alias("text")))
+    return packed(rows, limit).select(F.col("doc").alias("source"), "ord", "text")
+
+
 def test_questions(hunks: DataFrame, errors_added: DataFrame) -> DataFrame:
     """file, at, question of test hunks (file, at, added, removed, mocks): what their added code gives rise to.
 
@@ -46,14 +119,20 @@ def test_questions(hunks: DataFrame, errors_added: DataFrame) -> DataFrame:
 
 
 def project_questions(hunks: DataFrame, rules: DataFrame) -> DataFrame:
-    """file, at, question from a table of rules (question, glob pattern, trigger); a handful, so broadcast."""
-    hit = hunks.join(F.broadcast(rules), F.regexp_like("file", F.col("glob")) & F.regexp_like("text", F.col("trigger")))
-    return hit.select("file", "at", "question")
+    """file, at, question from a table of rules (question, glob pattern, trigger).
+
+    The rules are settings: they become one array, of ``MOST_RULES`` at most, that every hunk is held against.
+    """
+    held = rules.select("question", "glob", "trigger").limit(MOST_RULES + 1).collect()
+    if len(held) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} project questions")
+    asked = F.array(*(F.when(F.col("file").rlike(r["glob"]) & F.col("text").rlike(r["trigger"]), F.lit(r["question"])) for r in held)).cast("array<string>")
+    return hunks.select("file", "at", F.explode(F.array_compact(asked)).alias("question"))
 
 
 def noted(verdicts: DataFrame, limits: DataFrame) -> DataFrame:
     """Verdicts (question, file, p) at or over their question's limit, or under it where ``below`` is set."""
-    both = verdicts.join(F.broadcast(limits), "question")
+    both = verdicts.join(limits, "question")
     return both.where(F.when(F.col("below"), F.col("p") < F.col("limit")).otherwise(F.col("p") >= F.col("limit"))).select("question", "file", "p")
 
 
@@ -66,9 +145,9 @@ CUT = "\n[... cut ...]"
 
 
 def clip(text: Column, limit: Column) -> Column:
-    """A text of at most ``limit`` characters; a mark stands at the cut."""
-    kept = F.greatest(limit - len(CUT), F.lit(0)).cast("int")
-    return F.when(F.length(text) <= limit, text).when(limit <= len(CUT), F.substr(F.lit(CUT), F.lit(1), limit.cast("int"))).otherwise(F.concat(F.substr(text, F.lit(1), kept), F.lit(CUT)))
+    """A text of at most ``limit`` characters that ends in a mark, or in as much of it as fits, if it was longer."""
+    room = F.greatest(limit - F.lit(len(CUT)), F.lit(0)).cast("int")
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, room), F.left(F.lit(CUT), limit.cast("int"))))
 
 
 def clipped(items: DataFrame, limit: int) -> DataFrame:
@@ -113,14 +192,15 @@ def summaries(changed: DataFrame) -> DataFrame:
 
 
 def ordered_files(files: DataFrame, is_test: Column, is_source: Column) -> DataFrame:
-    """file, bucket, n: sources (0), others (1), tests (2), by name in each."""
+    """file, bucket, n: sources (0), others (1), tests (2), by name in each, numbered from 1."""
     bucket = F.when(is_test, 2).when(is_source, 0).otherwise(1)
-    return files.select("file", bucket.alias("bucket")).withColumn("n", F.row_number().over(Window.orderBy("bucket", "file")))
+    placed = ordering.sums_before(files.select("file", bucket.alias("bucket")), ["bucket", "file"])
+    return placed.select("file", "bucket", (F.col("before") + 1).alias("n"))
 
 
 def prose_words(text: Column) -> Column:
     """Number of words of letters, as in running text."""
-    return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w.rlike(r"""^[\p{L}][\p{L}'ʻʼ’]*[,.!?:;»"]*\z""")))
+    return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w.rlike(P.PROSE_WORD)))
 
 
 def duplicate_labels(lines: DataFrame, most: int = 10) -> DataFrame:
@@ -129,7 +209,7 @@ def duplicate_labels(lines: DataFrame, most: int = 10) -> DataFrame:
     Any text holds a label that stands somewhere in it; labels have two characters at least. ``same`` has the
     first ``most`` of these lines, as (line, text). A file's lines are compared with its different labels.
     """
-    label = F.regexp_extract("text", r"<(?:Button|TabsTrigger|SelectItem|DropdownMenuItem|ToggleGroupItem|SidebarMenuButton|MenubarItem|CommandItem)\b[^>]*>\s*([^<]*\S)\s*</", 1)
+    label = F.regexp_extract("text", P.CONTROL_LABEL, 1)
     controls = lines.where("added").select("file", "line", label.alias("label")).where("length(label) > 1")
     wanted = controls.select(F.col("file").alias("_f"), "label").distinct()
     held = lines.join(wanted, (F.col("file") == F.col("_f")) & F.contains("text", "label")).select("file", "label", "line", "text")
@@ -141,77 +221,102 @@ def duplicate_labels(lines: DataFrame, most: int = 10) -> DataFrame:
     return controls.join(shown, ["file", "label"]).select("file", "line", "label", other.alias("same")).where("size(same) > 0")
 
 
-def unwired(exports: DataFrame, words: DataFrame) -> DataFrame:
-    """file, name of exported components (file, name) that no other file (file, word) mentions."""
-    used = words.select(F.col("file").alias("_f"), F.col("word").alias("name")).distinct()
-    return exports.join(used, (exports["name"] == used["name"]) & (exports["file"] != used["_f"]), "left_anti")
+def component_references(exports: DataFrame, lines: DataFrame) -> DataFrame:
+    """file, name, n, used: exported components (file, name), how many lines (file, text) of other files name them, and whether one uses them.
+
+    An import, a re-export or a bare name in a list of imports names a component and does not use it; neither
+    does a test. Lines and components meet by word.
+    """
+    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\w+"), F.lit(0))))
+    rows = lines.select(F.col("file").alias("_f"), word.alias("name"), (~F.col("text").rlike(P.IMPORT_ONLY) & ~F.col("file").rlike(P.test_file_regex())).alias("_used"))
+    other = exports.select("file", "name").distinct().join(rows, "name").where("_f <> file").groupBy("file", "name").agg(F.count("*").alias("n"), F.bool_or("_used").alias("used"))
+    return exports.select("file", "name").distinct().join(other, ["file", "name"], "left").select("file", "name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("used", F.lit(False)).alias("used"))
+
+
+def unwired(exports: DataFrame, lines: DataFrame) -> DataFrame:
+    """file, name of exported components (file, name) that no line (file, text) of another file uses."""
+    return component_references(exports, lines).where("not used").select("file", "name")
+
+
+def first_behaviour(text: Column) -> Column:
+    """The first line of an added text that does something: no import, type, comment or closer; null without one.
 
+    A declaration lasts until its braces are closed; lines are folded with the depth of those that are open.
+    """
+    count = lambda t, c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    seen = F.transform(F.split(text, "\n", -1), lambda t: F.struct(t.alias("t"), (count(t, "{") - count(t, "}")).alias("turn"), t.rlike(P.DECLARATION).alias("opens"), t.rlike(P.IDLE_LINE).alias("idle")))
+
+    def step(held: Column, line: Column) -> Column:
+        typed = (held["depth"] > 0) | line["opens"]
+        depth = F.when(typed, F.greatest(held["depth"] + line["turn"], F.lit(0))).otherwise(0)
+        return F.struct(depth.alias("depth"), F.coalesce(held["first"], F.when(~typed & ~line["idle"], line["t"])).alias("first"))
 
-def behaviour_lines(hunk: str) -> list[str]:
-    """Added lines that do something: no imports, types, comments or closers; declarations are skipped to their end."""
-    start = re.compile(r"^\s*(?:export\s+)?(?:declare\s+)?(?:(?:type|interface)\s+\w+|(?:import|export)\s+(?:type\s+)?\{[^}]*$)")
-    idle = re.compile(r"""^\s*(?:$|//|/\*|\*|#|--|\"\"\"|'''|[)\]}]+[;,]?\s*$|import\b|from\s+\S+\s+import\b|export\s+(?:type\s+)?(?:\*|\{[^}]*\})\s+from\b|using\s|use\s|package\s|require\s*\()""")
-    out, depth = [], 0
-    for line in hunk.split("\n"):
-        turn = line.count("{") - line.count("}")
-        if depth > 0:
-            depth = max(0, depth + turn)
-        elif start.match(line):
-            depth = max(0, turn)
-        elif not idle.match(line):
-            out.append(line)
-    return out
+    return F.aggregate(seen, F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("first")), step)["first"]
 
 
 def untested_hunks(hunks: DataFrame) -> DataFrame:
-    """file, at, first: hunks with behaviour, and its first line; depth floors at 0, so hunks are read in Python."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lines = [behaviour_lines(t or "") for t in batch["text"]]
-            kept = [bool(x) for x in lines]
-            yield batch.loc[kept, ["file", "at"]].assign(first=[x[0] for x in lines if x])
-
-    return hunks.select("file", "at", "text").mapInPandas(read, "file string, at int, first string")
-
-
-def bypass_reason(command: str) -> str:
-    """How a shell command skips hooks: ``--no-verify``, ``-n`` of commit, or ``core.hooksPath``; else nothing."""
-    for part in re.split(r"&&|\|\||[;|\n]", command):
-        try:
-            words = shlex.split(part, comments=True)
-        except ValueError:
-            words = part.split()
-        while words and re.fullmatch(r"\w+=.*", words[0]):
-            words.pop(0)
-        if words[:1] == ["sudo"] or words[:1] == ["env"]:
-            words.pop(0)
-        if len(words) > 2 and words[0] in ("bash", "sh", "zsh") and "-c" in words[1:-1]:
-            inner = bypass_reason(words[words.index("-c") + 1])
-            if inner:
-                return inner
-        if not words or words[0].rsplit("/", 1)[-1] != "git":
-            continue
-        if any(w.lower().startswith("core.hookspath") for w in words[1:]):
-            return "core.hooksPath"
-        verb = next((w for w in words[1:] if not w.startswith("-")), "")
-        flags = words[1 : words.index("--")] if "--" in words else words[1:]
-        if "--no-verify" in flags:
-            return "--no-verify"
-        if verb == "commit" and any(re.fullmatch(r"-[a-zA-Z]*n[a-zA-Z]*", w) and not re.match(r"-[a-zA-Z]*[mFcC]", w.split("n")[0]) for w in flags):
-            return "-n"
-    return ""
+    """file, at, first: hunks (file, at, text) with behaviour, and its first line."""
+    return hunks.select("file", "at", first_behaviour(F.col("text")).alias("first")).where("first is not null")
 
 
-def hook_bypasses(commands: DataFrame) -> DataFrame:
-    """ord, reason of commands (ord, text) that skip hooks; quoting needs a tokenizer, so it runs in Python."""
+# Shell commands that skip hooks. Words end in WORD and commands in COMMAND, which no text holds afterwards.
+WORD, COMMAND = "\x1f", "\x1e"
+TOKEN = r"""#[^\n]*|(?:\\[\s\S]?|'[^']*+'?|"(?:[^"\\]|\\[\s\S])*+"?|[^\s;&|()'"\\])+|[;&|()\n]"""
+PART = r"""\\[\s\S]?|'[^']*+'?|"(?:[^"\\]|\\[\s\S])*+"?|[^'"\\]+"""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(o, r) for o, t in zip(batch["ord"], batch["text"], strict=True) if (r := bypass_reason(t or ""))]
-            yield pd.DataFrame(rows, columns=["ord", "reason"])
 
-    return commands.select("ord", "text").mapInPandas(read, "ord long, reason string")
+def shell_commands(text: Column) -> Column:
+    """Commands of a shell text, each as its words with ``WORD`` after every one; quotes and escapes are taken off.
+
+    Separators, line ends and comments end a command.
+    """
+    clean = F.regexp_replace(text, f"[{WORD}{COMMAND}]", " ")
+
+    def plain(part: Column) -> Column:
+        inner = F.regexp_replace(part, r"""^["']|(?<=[\s\S])["']\z""", "")
+        return F.when(part.startswith("'"), inner).when(part.startswith('"'), F.regexp_replace(inner, r"\\([\s\S])", "$1")).when(part.startswith("\\"), F.substr(part, F.lit(2))).otherwise(part)
+
+    def word(token: Column) -> Column:
+        ends = token.rlike(r"^(?:#[\s\S]*|[;&|()\n])\z")
+        return F.when(ends, F.lit(COMMAND)).otherwise(F.concat(F.array_join(F.transform(F.regexp_extract_all(token, F.lit(PART), F.lit(0)), plain), ""), F.lit(WORD)))
+
+    joined = F.array_join(F.transform(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)), word), "")
+    return F.filter(F.split(joined, COMMAND), lambda c: c != "")
+
+
+def _words(*alternatives: str) -> str:
+    return f"(?:{'|'.join(alternatives)}){WORD}"
+
+
+ANY = f"[^{WORD}]*{WORD}"
+#: ``git`` as the command, or after one that runs another.
+GIT = f"^(?:[A-Za-z_][A-Za-z0-9_]*={ANY})*+(?:(?:[^{WORD}]*/)?git{WORD}|(?=(?:{'|'.join(P.COMMAND_RUNNERS)}){WORD})(?>(?:{ANY})*?(?:[^{WORD}]*/)?git{WORD}))"
+VALUED = _words(*P.GIT_VALUED_OPTIONS)
+OPTION = f"(?:{VALUED}(?:{ANY})?+|(?!{VALUED})-{ANY})"
+HOOKS_PATH = "(?i:core\\.hookspath)"
+BY_OPTION = f"{GIT}{OPTION}*?(?:(?:-c|--config){WORD}|-c|--config=){HOOKS_PATH}(?:=|{WORD})"
+BY_CONFIG = f"{GIT}{OPTION}*config{WORD}(?:{ANY})*?{HOOKS_PATH}(?:=|{WORD})"
+COMMIT_VALUED = _words(*P.COMMIT_VALUED_OPTIONS)
+BEFORE = f"(?:{COMMIT_VALUED}(?:{ANY})?+|(?!{COMMIT_VALUED}|--{WORD}){ANY})*?"
+#: Letters of a group of short options before n, none of which takes the rest as its value.
+BY_FLAG = f"{GIT}{OPTION}*(?:(commit){WORD}{BEFORE}(--no-verify|-(?!-)[^{WORD}mFtcCn]*n[^{WORD}]*){WORD}|(push){WORD}{BEFORE}(--no-verify){WORD})"
+
+
+def bypass_reason(command: Column) -> Column:
+    """How one command (as ``shell_commands`` gives it) skips hooks; null if it does not."""
+    part = lambda i: F.regexp_extract(command, BY_FLAG, i)
+    said = F.concat(F.lit("git "), part(1), part(3), F.lit(" "), part(2), part(4), F.lit(" skips verification hooks"))
+    return (
+        F.when(command.rlike(BY_OPTION), "git -c core.hooksPath changes the configured hooks")
+        .when(command.rlike(BY_CONFIG), "git config core.hooksPath changes the configured hooks")
+        .when(command.rlike(BY_FLAG), said)
+    )
+
+
+def hook_bypasses(commands: DataFrame) -> DataFrame:
+    """ord, reason of shell texts (ord, text) that skip hooks: that of the first command that does; a null text skips none."""
+    reasons = F.transform(shell_commands(F.col("text")), bypass_reason)
+    return commands.select("ord", F.get(F.filter(reasons, lambda r: r.isNotNull()), F.lit(0)).alias("reason")).where("reason is not null")
 
 
 def occurrences(text: Column, find: str) -> Column:

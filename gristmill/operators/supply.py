@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tomllib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,31 +45,40 @@ def npm_dependencies(manifests: DataFrame) -> DataFrame:
 
 
 def python_dependencies(manifests: DataFrame) -> DataFrame:
-    """file, name, range of pyproject texts: PEP 621, optional and dependency groups, poetry tables. TOML is read in Python."""
-    import re
-    import tomllib
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found: dict[tuple[str, str], str] = {}
-            for file, text in zip(batch["file"], batch["text"], strict=True):
-                top = tomllib.loads(text)
-                project, poetry = top.get("project", {}), top.get("tool", {}).get("poetry", {})
-                lists = [project.get("dependencies", []), *project.get("optional-dependencies", {}).values(), *top.get("dependency-groups", {}).values(), top.get("tool", {}).get("uv", {}).get("dev-dependencies", [])]
-                for spec in (x for one in lists for x in one if isinstance(x, str)):
-                    m = re.match(r"\s*([A-Za-z0-9][\w.-]*)(.*)", spec)
-                    if m:
-                        found[file, m[1].lower()] = m[2].strip()
-                tables = [poetry.get("dependencies", {}), poetry.get("dev-dependencies", {}), *(g.get("dependencies", {}) for g in poetry.get("group", {}).values())]
-                for name, value in (x for t in tables for x in t.items()):
-                    if name.lower() != "python":
-                        found[file, name.lower()] = value if isinstance(value, str) else str(value.get("version", "")) if isinstance(value, dict) else ""
-            yield pd.DataFrame([(f, n, r) for (f, n), r in found.items()], columns=["file", "name", "range"])
-
-    return manifests.select("file", "text").mapInPandas(read, "file string, name string, range string")
+    """file, name, range of pyproject texts: PEP 621, optional and dependency groups, poetry tables; TOML is read in Python.
+
+    A null text or one that is no TOML gives a row with a null name, and its reason as range.
+    """
+    return manifests.select("file", "text").mapInPandas(_read_manifests, "file string, name string, range string")
+
+
+def _read_manifests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(file, *row) for file, text in zip(batch["file"], batch["text"], strict=True) for row in _dependencies(text)]
+        yield pd.DataFrame(rows, columns=["file", "name", "range"])
+
+
+def _table(value, *keys: str) -> dict:
+    for key in keys:
+        value = value.get(key) if isinstance(value, dict) else None
+    return value if isinstance(value, dict) else {}
+
+
+def _dependencies(text: str | None) -> list[tuple[str | None, str]]:
+    try:
+        top = tomllib.loads(text or "")
+    except tomllib.TOMLDecodeError as e:
+        return [(None, f"not readable: {e}")]
+    if text is None:
+        return [(None, "not readable: no text")]
+    lists = [_table(top, "project").get("dependencies"), *_table(top, "project", "optional-dependencies").values(), *_table(top, "dependency-groups").values(), _table(top, "tool", "uv").get("dev-dependencies")]
+    specs = [m for one in lists if isinstance(one, list) for x in one if isinstance(x, str) and (m := re.match(r"\s*([A-Za-z0-9][\w.-]*)(.*)", x))]
+    found = {m[1].lower(): m[2].strip() for m in specs}
+    poetry = [_table(top, "tool", "poetry", k) for k in ("dependencies", "dev-dependencies")]
+    poetry += [_table(top, "tool", "poetry", "group", g, "dependencies") for g in _table(top, "tool", "poetry", "group")]
+    for name, value in (x for t in poetry for x in t.items() if x[0].lower() != "python"):
+        found[name.lower()] = str(value if isinstance(value, str) else _table(value).get("version", ""))
+    return list(found.items())
 
 
 def cached_audits(lockfiles: DataFrame, cache: DataFrame) -> DataFrame:
@@ -75,9 +89,57 @@ def cached_audits(lockfiles: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def fingerprint(files: DataFrame) -> DataFrame:
-    """One row, sha1 over names and contents (file, text), whatever their order."""
-    each = files.select(F.struct("file", F.sha1(F.col("text").cast("binary")).alias("h")).alias("x"))
-    return each.agg(F.sha1(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(":", x["file"], x["h"])), "\n").cast("binary")).alias("sha1"))
+    """One row, sha1 over names and contents (file, text), whatever their order; a null text differs from an empty one.
+
+    Files are hashed, then the hashes of each of 4096 buckets by name, then those of the buckets.
+    """
+    name = F.sha1(F.col("file").cast("binary"))
+    content = F.coalesce(F.sha1(F.col("text").cast("binary")), F.lit("null"))
+    each = files.select(F.left(name, F.lit(3)).alias("b"), F.sha1(F.concat_ws(":", name, content).cast("binary")).alias("h"))
+    digest = lambda c: F.sha1(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"))
+    return each.groupBy("b").agg(digest("h").alias("h")).agg(digest(F.concat_ws(":", "b", "h")).alias("sha1"))
+
+
+def fresh(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row, fresh: whether coverage was measured on these very files: the stored sha1 is theirs."""
+    return fingerprint(files).join(stored.select(F.col("sha1").alias("_s")).limit(1), how="left").select(F.coalesce(F.col("sha1") == F.col("_s"), F.lit(False)).alias("fresh"))
+
+
+def lock_ages(records: DataFrame, published: DataFrame, lookups: DataFrame, now: Column, days: float = MIN_RELEASE_AGE_DAYS) -> DataFrame:
+    """Lock records (ord, file, line, registry, name, version) with state: ``young``, ``old``, ``bad-date``, ``no-registry``, ``missing``, ``offline`` or ``skipped``.
+
+    ``published`` (key, published) is the cache of dates; ``lookups`` (key, published, offline, no_registry) has
+    what was asked for the rest. After the first record whose lookup was offline none is judged.
+    """
+    key = F.concat(F.col("registry"), F.lit(":"), F.col("name"), F.lit("@"), F.col("version"))
+    cached = published.select("key", F.col("published").alias("_cached"))
+    asked = lookups.select("key", F.col("published").alias("_asked"), "offline", "no_registry")
+    rows = records.withColumn("key", key).join(cached, "key", "left").join(asked, "key", "left")
+    date, offline = F.coalesce("_cached", "_asked"), F.col("_cached").isNull() & F.coalesce("offline", F.lit(False))
+    first = rows.where(offline).agg(F.min("ord").alias("_stop"))
+    at = F.try_to_timestamp(date)
+    age = now.cast("timestamp").cast("double") - at.cast("double")
+    state = (
+        F.when(F.col("ord") == F.col("_stop"), "offline").when(F.col("ord") > F.col("_stop"), "skipped")
+        .when(F.col("_cached").isNull() & F.coalesce("no_registry", F.lit(False)), "no-registry").when(date.isNull(), "missing")
+        .when(at.isNull(), "bad-date").when(age < days * 86400, "young").otherwise("old")
+    )
+    return rows.join(first).select("ord", "file", "line", "registry", "name", "version", state.alias("state"), date.alias("published"))
+
+
+def lock_age_notices(states: DataFrame) -> DataFrame:
+    """notice of lock records' states: one if the registry was out of reach, else one for each ecosystem without a registry, sorted."""
+    off = states.agg(F.coalesce(F.bool_or(F.col("state") == "offline"), F.lit(False)).alias("_off"))
+    one = off.where("_off").select(F.lit("deps/lock-age: not checked (offline)").alias("notice"))
+    none = states.where("state = 'no-registry'").select("registry").distinct().join(off.where("not _off"))
+    return one.unionByName(none.select(F.concat(F.lit("deps/lock-age: not checked (no registry for "), "registry", F.lit(")")).alias("notice")))
+
+
+def write_cache(published: DataFrame, states: DataFrame, path: str) -> None:
+    """The cache of publication dates with those that were looked up now, in place of the old one."""
+    key = F.concat(F.col("registry"), F.lit(":"), F.col("name"), F.lit("@"), F.col("version"))
+    fresh_dates = states.where("published is not null and state in ('young', 'old', 'bad-date')").select(key.alias("key"), "published")
+    published.select("key", "published").unionByName(fresh_dates).dropDuplicates(["key"]).write.mode("overwrite").json(path)
 
 
 def push_ranges(refs: DataFrame) -> DataFrame:

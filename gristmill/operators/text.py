@@ -76,14 +76,30 @@ def avoid_terms(lines: DataFrame, marker: str, allow: DataFrame) -> DataFrame:
     return terms.join(known, F.lower("term") == F.col("_t"), "left_anti")
 
 
+def commit_body(text: Column) -> Column:
+    """A commit message as it will be: cut at the scissors, without comments."""
+    return F.array_join(F.filter(F.split(F.get(F.split(text, P.SCISSORS, 2), F.lit(0)), "\n", -1), lambda x: ~x.startswith("#")), "\n")
+
+
 def commit_findings(messages: DataFrame) -> DataFrame:
-    """doc, n_attributions, first_line of commit messages (doc, text): cut at the scissors, without comments."""
-    body = F.get(F.split("text", r"(?m)^# -+ >8 -+$", -1), F.lit(0))
-    clean = F.array_join(F.filter(F.split(body, "\n", -1), lambda x: ~x.startswith("#")), "\n")
-    rows = messages.withColumn("body", clean)
-    hits = [F.col("body").rlike(p) for p in P.ATTRIBUTION]
-    line = F.least(*(F.when(h, line_of(F.col("body"), p)) for h, p in zip(hits, P.ATTRIBUTION, strict=True)))
-    return rows.select("doc", reduce(lambda a, b: a + b, (h.cast("int") for h in hits)).alias("n_attributions"), line.alias("first_line")).where("n_attributions > 0")
+    """doc, n_attributions, first_line of commit messages (doc, text) that name a tool as an author."""
+    found = commit_notes(messages, []).groupBy("doc").agg(F.count("*").cast("int").alias("n_attributions"), F.min("line").alias("first_line"))
+    return found
+
+
+def commit_notes(messages: DataFrame, terms: list[str]) -> DataFrame:
+    """doc, rule, line, msg of commit messages (doc, text): a note for each kind of attribution, and for each line with a term to avoid.
+
+    The message has the first 60 characters of what was found.
+    """
+    rows = messages.select("doc", commit_body(F.col("text")).alias("body"))
+    one = lambda p: F.when(F.col("body").rlike(p), F.struct(line_of(F.col("body"), p).alias("line"), F.left(F.regexp_replace(F.regexp_extract("body", p, 0), r"^\s+|\s+\z", ""), F.lit(60)).alias("what")))
+    said = rows.select("doc", F.explode(F.array_compact(F.array(*map(one, P.ATTRIBUTION)))).alias("x"))
+    said = said.select("doc", F.lit("commit/attribution").alias("rule"), F.col("x.line").cast("int").alias("line"), F.concat(F.lit("AI/tool attribution: "), "x.what").alias("msg"))
+    if not terms:
+        return said
+    lines = rows.select("doc", F.posexplode(F.split("body", "\n", -1)).alias("line", "text")).withColumn("file", F.col("doc")).withColumn("line", F.col("line") + 1)
+    return said.unionByName(glossary_findings(lines, terms).select(F.col("file").alias("doc"), "rule", F.col("line").cast("int").alias("line"), "msg"))
 
 
 def line_of(text: Column, pattern: str) -> Column:
@@ -142,3 +158,33 @@ def deleted_references(lines: DataFrame, deleted: DataFrame) -> DataFrame:
     tokens = lines.select("file", "line", F.explode(spans(F.col("text"))).alias("token"))
     prefixes = tokens.select("file", "line", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr("token", F.lit(1), i))).alias("deleted"))
     return prefixes.join(deleted.select(F.col("file").alias("deleted")), "deleted", "left_semi").distinct()
+
+
+def removed_files(status: DataFrame) -> DataFrame:
+    """file of status rows (status, file, new_file) that delete a file or rename it away."""
+    return status.where(F.left("status", F.lit(1)).isin("D", "R")).select("file").distinct()
+
+
+def live_documents(files: DataFrame, globs: list[str], history: list[str]) -> DataFrame:
+    """Documents (file) by the globs, without those that record history."""
+    named = lambda g: F.col("file").rlike("|".join(map(P.glob_regex, g))) if g else F.lit(False)
+    return files.where(named(globs) & ~named(history))
+
+
+def known_symbols(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """name: the words of code (file, text), documents left out, that are among the wanted names (name); each once."""
+    words = lines.where(~F.col("file").endswith(".md")).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\w$]+"), F.lit(0)))).alias("name"))
+    return words.join(wanted.select("name").distinct(), "name", "left_semi").distinct()
+
+
+def document_check(lines: DataFrame, documents: DataFrame, roots: DataFrame, files: DataFrame, code: DataFrame, all_lines: DataFrame, removed: DataFrame) -> DataFrame:
+    """rule, file, line, token of all that is wrong with documents: added lines (file, line, text) of live documents that name what is not there, and any of their lines (``all_lines``) that name a removed file.
+
+    ``documents`` are the live ones (file); ``code`` has the lines of code (file, text) that symbols are looked up in.
+    """
+    own = lines.join(documents.select("file").distinct(), "file", "left_semi")
+    refs = references(own, roots)
+    names = refs.where("not is_path and symbol is not null").select(F.col("symbol").alias("name")).distinct()
+    found = doc_findings(refs, files, known_symbols(code, names))
+    gone = deleted_references(all_lines.join(documents.select("file").distinct(), "file", "left_semi"), removed)
+    return found.unionByName(gone.select(F.lit("doc/deleted").alias("rule"), "file", "line", F.col("deleted").alias("token")))

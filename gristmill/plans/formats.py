@@ -57,6 +57,11 @@ def parsed_diff(spark, d):
     return D.parse_diff(diff_lines(spark, d)).select("doc", "file", "deleted", "new_start", "side", "line", "text")
 
 
+@query(f"WITH {DIFF_SQL} SELECT doc, file, deleted, new_start, side, line, substr(text, 2) AS text FROM c")
+def parsed_large_diff(spark, d):
+    return D.parse_large_diff(diff_lines(spark, d)).select("doc", "file", "deleted", "new_start", "side", "line", "text")
+
+
 @query(f"WITH {DIFF_SQL}, h AS (SELECT doc, file, new_start, bool_or(side = '+') AS adds FROM c GROUP BY ALL) SELECT doc, file, line FROM c WHERE side = '+' UNION SELECT doc, file, UNNEST([new_start, new_start + 1]) FROM h WHERE NOT adds")
 def touched_lines(spark, d):
     return D.touched_lines(D.parse_diff(diff_lines(spark, d)))
@@ -252,9 +257,12 @@ def cached_audits(spark, d):
     return P.cached_audits(lock, cache).select("file", "fresh")
 
 
-@query("SELECT sha1(string_agg(n_name || ':' || sha1(CAST(n_nationkey AS VARCHAR)), chr(10) ORDER BY n_name)) AS sha1 FROM nation")
+@query(
+    """WITH f AS (SELECT sha1(CAST(doc_id AS VARCHAR)) AS n, sha1(text) AS t FROM documents), h AS (SELECT n[1:3] AS b, sha1(n || ':' || COALESCE(t, 'null')) AS h FROM f),
+    k AS (SELECT b, sha1(string_agg(h, chr(10) ORDER BY h)) AS h FROM h GROUP BY b) SELECT sha1(string_agg(b || ':' || h, chr(10) ORDER BY b || ':' || h)) AS sha1 FROM k"""
+)
 def source_fingerprint(spark, d):
-    return P.fingerprint(S.table(spark, d, "nation").select(F.col("n_name").alias("file"), key("n_nationkey").alias("text")))
+    return P.fingerprint(S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text"))
 
 
 @query("SELECT 'h' || o_orderkey AS head, CASE WHEN o_orderkey % 5 <> 0 THEN 'b' || o_orderkey END AS base FROM orders WHERE o_orderkey % 3 <> 0")
@@ -333,12 +341,6 @@ def go_cycles(spark, d):
     return R.parse_go_cycles(S.table(spark, d, "part").select(cat('{"ImportPath": "p", ', error, '}\n{"ImportPath": "q"}').alias("text")))
 
 
-@query("SELECT 'secret/gitleaks' AS rule, 'f' || p_size AS file, CAST(p_partkey AS INTEGER) AS line, 'generic-' || p_brand AS msg FROM part")
-def gitleaks_report(spark, d):
-    text = cat('[{"RuleID": "generic-', F.col("p_brand"), '", "File": "f', key("p_size"), '", "StartLine": ', key("p_partkey"), "}]")
-    return R.parse_gitleaks(S.table(spark, d, "part").select(text.alias("text")))
-
-
 @query("WITH c AS (SELECT o_orderkey AS ord, 'm' || o_custkey % 5 AS a, 'm' || o_orderkey % 4 AS b FROM orders) SELECT LEAST(a, b) || CASE WHEN a = b THEN '' ELSE '|' || GREATEST(a, b) END AS key, MAX_BY(a || ' -> ' || b || ' -> ' || a, ord) AS text FROM c GROUP BY 1")
 def cycle_keys(spark, d):
     a, b = (cat("m", (F.col(c) % n).cast("string")) for c, n in (("o_custkey", 5), ("o_orderkey", 4)))

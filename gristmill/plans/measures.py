@@ -240,7 +240,7 @@ EDGES_SQL = "n AS (SELECT COUNT(*) AS n FROM customer), e AS (SELECT c_custkey A
 
 def edges(spark, d):
     c = S.table(spark, d, "customer")
-    return c.select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % F.lit(c.count())).alias("dst"))
+    return c.join(c.agg(F.count("*").alias("n"))).select(F.col("c_custkey").alias("src"), ((F.col("c_custkey") * 7 + 3) % F.col("n")).alias("dst"))
 
 
 @query(f"WITH RECURSIVE {EDGES_SQL}, r AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 50 = 1 UNION SELECT src FROM e JOIN r ON e.dst = r.node) SELECT node FROM r")
@@ -286,14 +286,6 @@ def deepest_roots(spark, d):
     return G.deepest_root(files(spark, d).select("file").distinct(), roots)
 
 
-@query("WITH f AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'a' || o_orderkey % 9 || '/package.json' WHEN 1 THEN 'go.mod' WHEN 2 THEN 'vendor/x/go.mod' ELSE 'b/readme' END AS file FROM orders) SELECT DISTINCT CASE WHEN file = 'go.mod' THEN 'go' ELSE 'ts' END AS language, CASE WHEN file = 'go.mod' THEN '.' ELSE split_part(file, '/', 1) END AS root FROM f WHERE file = 'go.mod' OR file LIKE '%package.json'")
-def language_roots(spark, d):
-    n = F.col("o_orderkey")
-    name = F.when(n % 5 == 0, F.concat(F.lit("a"), n % 9, F.lit("/package.json"))).when(n % 5 == 1, "go.mod").when(n % 5 == 2, "vendor/x/go.mod").otherwise("b/readme")
-    langs = spark.createDataFrame([("ts", "package.json"), ("go", "go.mod")], "language string, manifest string")
-    return G.language_roots(S.table(spark, d, "orders").select(name.alias("file")), langs)
-
-
 @query(f"WITH {EDGES_SQL} SELECT 'm' || src % 10 || '/' || src AS src, 'm' || dst % 10 || '/' || dst AS dst, 'one-two' AS rule FROM e WHERE src % 10 = 1 AND dst % 10 IN (0, 2)")
 def layer_violations(spark, d):
     e = edges(spark, d).select(*(F.concat(F.lit("m"), F.col(c) % 10, F.lit("/"), F.col(c)).alias(c) for c in ("src", "dst")))
@@ -301,12 +293,15 @@ def layer_violations(spark, d):
     return G.layer_violations(e, rules)
 
 
-@query("WITH s AS (SELECT DISTINCT o_orderkey % 40 AS i, o_orderkey % 4 AS k FROM orders) SELECT 'src/f' || i || '.ts' AS file, CASE k WHEN 0 THEN './m' || i WHEN 1 THEN '../lib/m' || i WHEN 2 THEN '@/m' || i ELSE 'react' END AS specifier, CASE k WHEN 0 THEN 'src/m' || i || '.ts' WHEN 1 THEN 'lib/m' || i || '/index.ts' WHEN 2 THEN 'app/m' || i || '.tsx' END AS target FROM s WHERE k < 3")
+@query(
+    """SELECT 'src/f' || o_orderkey || '.ts' AS file, CASE o_orderkey % 4 WHEN 0 THEN './m' WHEN 1 THEN '../lib/m' WHEN 2 THEN '@/m' END || o_orderkey AS specifier,
+    CASE o_orderkey % 4 WHEN 0 THEN 'src/m' || o_orderkey || '.ts' WHEN 1 THEN 'lib/m' || o_orderkey || '/index.ts' WHEN 2 THEN 'app/m' || o_orderkey || '.tsx' END AS target FROM orders WHERE o_orderkey % 4 < 3"""
+)
 def resolved_imports(spark, d):
-    n = F.col("o_orderkey") % 40
-    k = F.col("o_orderkey") % 4
+    n, k = F.col("o_orderkey"), F.col("o_orderkey") % 4
     line = F.when(k == 0, F.concat(F.lit('import { a } from "./m'), n, F.lit('";'))).when(k == 1, F.concat(F.lit('const x = require("../lib/m'), n, F.lit('");'))).when(k == 2, F.concat(F.lit('export * from "@/m'), n, F.lit('";'))).otherwise('import "react";')
-    lines = S.table(spark, d, "orders").select(F.concat(F.lit("src/f"), n, F.lit(".ts")).alias("file"), line.alias("text"))
-    names = spark.range(40).select(F.explode(F.array(F.concat(F.lit("src/m"), "id", F.lit(".ts")), F.concat(F.lit("lib/m"), "id", F.lit("/index.ts")), F.concat(F.lit("app/m"), "id", F.lit(".tsx")))).alias("file"))
-    aliases = spark.createDataFrame([("@/*", "app/*"), ("@*", "other/*")], "key string, path string")
-    return G.resolve(G.import_specifiers(lines), names, aliases)
+    o = S.table(spark, d, "orders")
+    names = o.select(F.explode(F.array(F.concat(F.lit("src/m"), n, F.lit(".ts")), F.concat(F.lit("lib/m"), n, F.lit("/index.ts")), F.concat(F.lit("app/m"), n, F.lit(".tsx")))).alias("file"))
+    configs = spark.createDataFrame([("tsconfig.json", '{"compilerOptions": {"paths": {"@*": ["other/*"], "@/*": ["app/*"]}}}')], "file string, text string")
+    lines = o.select(F.concat(F.lit("src/f"), n, F.lit(".ts")).alias("file"), line.alias("text"))
+    return G.module_targets(G.import_specifiers(lines), names, configs, configs.limit(0))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gristmill.plans import formats, measures, reviews
+from gristmill.plans import formats, gates, measures, modules, reviews, tampering
 
-QUERIES: dict = {**measures.QUERIES, **formats.QUERIES, **reviews.QUERIES}
-ORACLES: dict[str, str] = {**measures.ORACLES, **formats.ORACLES, **reviews.ORACLES}
+MODULES = (measures, formats, reviews, tampering, gates, modules)
+QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -145,11 +145,6 @@ def fewer_assertions(spark, d):
     return T.assertion_counts(hunks(spark, d)).select("hunk_ord", "removed", "added")
 
 
-@query(where_sql(8, [2, 4], "event_id AS hunk_ord"))
-def deleted_tests(spark, d):
-    return T.deleted_tests(hunks(spark, d)).select("hunk_ord")
-
-
 @query(where_sql(8, [3], "event_id AS hunk_ord"))
 def bare_asserts(spark, d):
     return T.bare_asserts_weakened(hunks(spark, d)).select("hunk_ord")
@@ -161,37 +156,12 @@ def call_targets(spark, d):
     return T.call_targets(rows, r"\b(?:assert(?:\.\w+)?|expect)\s*\(")
 
 
-SOURCES = [("a.ts", "const s = '// eslint-disable';\n// eslint-disable-next-line x\nf()"), ("b.py", 'x = "# noqa"\ny = 1  # noqa: E501\n"""\n# noqa\n"""'), ("c.go", "// gocyclo:ignore\nfunc f() {} // nolint:gocyclo"), ("d.ts", "/* ast-grep-ignore */\n// plain"), ("e.go", "x := 1 // nolint:errcheck")]
-
-
-@query("WITH e AS (SELECT 'd' || event_id || '/' AS d, event_id % 5 AS i FROM events) SELECT d || 'a.ts' AS file, 2 AS line, 'eslint' AS tool FROM e WHERE i = 0 UNION ALL SELECT d || 'b.py', 2, 'ruff' FROM e WHERE i = 1 UNION ALL SELECT d || 'c.go', 1, 'gocyclo' FROM e WHERE i = 2 UNION ALL SELECT d || 'c.go', 2, 'nolint' FROM e WHERE i = 2 UNION ALL SELECT d || 'd.ts', 1, 'ast-grep' FROM e WHERE i = 3")
-def inline_suppressions(spark, d):
-    i = (F.col("event_id") % 5).cast("int")
-    pick = lambda k: F.get(F.array(*(F.lit(s[k]) for s in SOURCES)), i)
-    files = S.table(spark, d, "events").select(cat("d", key("event_id"), "/", pick(0)).alias("file"), pick(1).alias("text"))
-    return T.inline_suppressions(files, files.select("file", F.explode(F.array(F.lit(1), F.lit(2))).alias("line")))
-
-
 @query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'moved to b' ELSE 'gone for good' END AS reason FROM events WHERE event_id % 3 < 2")
 def marker_reasons(spark, d):
     rows = chosen(spark, d, ["fix\n\nqg:test-removed moved to b \nx", "qg:test-removed gone for good", "xqg:test-removed no"])
     return rows.select("id", T.marker_reason(F.col("text"), "qg:test-removed").alias("reason")).where("reason is not null")
 
 
-@query("SELECT event_id AS line, CASE event_id % 4 WHEN 0 THEN './other' ELSE 'pkg.gone.f' END AS target FROM events WHERE event_id % 4 IN (0, 2)")
-def unneeded_mocks(spark, d):
-    rows = chosen(spark, d, ["vi.mock('./other')", 'jest.mock("./src/a")', "@patch('pkg.gone.f')", "@patch('pkg.mod.f')"], F.lit("+").alias("side"), F.col("event_id").alias("line"))
-    file = F.when(F.col("i") < 2, "x.test.ts").otherwise("test_x.py")
-    return T.mocks_of_unchanged(rows.withColumn("file", file), spark.createDataFrame([("src/a.ts",), ("pkg/mod.py",)], "file string")).select("line", "target")
-
-
-@query("SELECT 'f1' AS file, bool_or(p_size = 2) AS with_sources FROM part WHERE p_size < 3 HAVING bool_or(p_size = 1)")
-def protected_changes(spark, d):
-    size = S.table(spark, d, "part").where("p_size < 3")
-    file = F.when(F.col("p_size") == 2, "src/f.ts").otherwise(cat("f", key("p_size")))
-    return T.protected_changes(size.select(file.alias("file")), ["f1", "f9"], ["src"])
-
-
 HUNKS = ["try { a() } catch (e) { log.error(e.message) }", "while (x) { attempts++ }", "<Table className='grid-cols-4'>", "const a = 1", "if (rows.length === 0) return <EmptyState/>", "throw new Error('x')"]
 ASKED = {0: ["raw_error_shown", "silent_failure", "secrets_in_logs", "error_path_tested"], 1: ["unbounded_turn"], 2: ["mobile_not_handled"], 4: ["empty_state_dead_end"], 5: ["error_path_tested"]}
 
@@ -260,28 +230,6 @@ def duplicate_labels(spark, d):
     return V.duplicate_labels(rows).groupBy("file", "label").agg(F.min(first).alias("line")).select("file", "line", "label")
 
 
-@query("WITH x AS (SELECT DISTINCT user_id AS file, 'N' || event_id % 50 AS name FROM events WHERE event_id % 3 = 0), w AS (SELECT DISTINCT user_id AS f, 'N' || event_id % 50 AS name FROM events WHERE event_id % 50 < 25 AND event_id % 3 = 1) SELECT file, name FROM x WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.name = x.name AND w.f <> x.file)")
-def unwired_exports(spark, d):
-    e = S.table(spark, d, "events")
-    name = cat("N", (F.col("event_id") % 50).cast("string"))
-    exports = e.where("event_id % 3 = 0").select(F.col("user_id").alias("file"), name.alias("name")).distinct()
-    return V.unwired(exports, e.where("event_id % 50 < 25 and event_id % 3 = 1").select(F.col("user_id").alias("file"), name.alias("word")))
-
-
-@query("SELECT event_id AS at, CASE event_id % 4 WHEN 0 THEN 'run(x);' ELSE 'y = 2' END AS first FROM events WHERE event_id % 4 IN (0, 3)")
-def behaviour_hunks(spark, d):
-    rows = chosen(spark, d, ['import a from "a";\ntype T = {\n  b: 1;\n};\nrun(x);', "// only\n});\n", "export {\n  a,\n} from 'b'", "# c\ny = 2"])
-    return V.untested_hunks(rows.select(F.lit("a").alias("file"), F.col("id").cast("int").alias("at"), "text")).select(F.col("at").cast("long").alias("at"), "first")
-
-
-SHELL = ["git commit -m 'x' --no-verify", "git commit -nm x", "git -c core.hooksPath=/dev/null commit", "git commit -m '--no-verify is bad'", "echo ok && git push --no-verify", "git log -n 3", "bash -c 'git commit -n'"]
-
-
-@query("SELECT event_id AS ord, CASE event_id % 7 WHEN 0 THEN '--no-verify' WHEN 4 THEN '--no-verify' WHEN 2 THEN 'core.hooksPath' ELSE '-n' END AS reason FROM events WHERE event_id % 7 IN (0, 1, 2, 4, 6)")
-def hook_bypasses(spark, d):
-    return V.hook_bypasses(chosen(spark, d, SHELL).select(F.col("id").alias("ord"), "text"))
-
-
 @query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 0 END AS n FROM events")
 def occurrences(spark, d):
     return chosen(spark, d, ["aaaa", "xaab", "a.a"]).select("id", V.occurrences(F.col("text"), "aa").alias("n"))

@@ -60,7 +60,8 @@ def parse_complexity_csv(lines: DataFrame) -> DataFrame:
 def parse_complexity_json(texts: DataFrame) -> DataFrame:
     """file, name, cc, start, end, col of nested blocks: functions, methods and closures, not classes.
 
-    The input (text) maps files to blocks; blocks nest to any depth, so they are walked in Python.
+    The input (text) maps files to blocks; blocks nest to any depth, so they are walked in Python. A null text
+    has none; one that is no such JSON gives a row of nulls, but for its start of 100 characters as file.
     """
 
     def walk(file: str, block: dict, out: list[tuple]) -> None:
@@ -73,10 +74,19 @@ def parse_complexity_json(texts: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for text in batch["text"]:
-                for file, blocks in json.loads(text).items():
+                try:
+                    top = json.loads(text) if text is not None else {}
+                except ValueError:
+                    top = None
+                if not isinstance(top, dict):
+                    out.append((text[:100], None, None, None, None, None))
+                    continue
+                for file, blocks in top.items():
                     for block in blocks if isinstance(blocks, list) else []:
-                        walk(file, block, out)
-            yield pd.DataFrame(out, columns=["file", "name", "cc", "start", "end", "col"])
+                        if isinstance(block, dict):
+                            walk(file, block, out)
+            found = pd.DataFrame(out, columns=["file", "name", "cc", "start", "end", "col"])
+            yield found.astype(dict.fromkeys(["cc", "start", "end", "col"], "Int64"))
 
     return texts.select("text").mapInPandas(parse, "file string, name string, cc int, start int, end int, col int")
 

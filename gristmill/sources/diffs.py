@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import ordering
 from gristmill.functions.patterns import WHOLE_FILE_BYTES
 
 HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 
 
-def parse_diff(lines: DataFrame) -> DataFrame:
+def parse_large_diff(lines: DataFrame) -> DataFrame:
+    """As ``parse_diff``, for diffs that are too long for one task: hunk_ord counts in each file.
+
+    Lines that begin with ``diff --git`` are headers wherever they stand, as a hunk's lines begin with another
+    character. They number the files, by sums over ranges of lines; then each file is read by itself.
+    """
+    header = F.col("text").startswith("diff --git ").cast("int")
+    numbered = ordering.sums_before(lines.select("doc", "ord", "text"), ["doc", "ord"], header)
+    return parse_diff(numbered.withColumn("part", F.col("before") + header), ("doc", "part"))
+
+
+def parse_diff(lines: DataFrame, whole: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Changed lines of unified diffs: doc, file, deleted, hunk_ord, old_start, new_start, side, line, text.
 
     ``lines`` has doc (which diff), ord (line order) and text. A header is one only outside a hunk's body, so
     removed lines that begin with ``--`` stay lines. A removed line has its old number, an added one its new.
+    Lines with the same values of ``whole`` are read by one task.
     """
-    w = Window.partitionBy("doc").orderBy("ord")
-    rows = lines.select("doc", "ord", "text").withColumn("_at", F.col("text").rlike(HUNK)).withColumn("_git", F.col("text").startswith("diff --git "))
+    w = Window.partitionBy(*whole).orderBy("ord")
+    rows = lines.select(*whole, "ord", "text").withColumn("_at", F.col("text").rlike(HUNK)).withColumn("_git", F.col("text").startswith("diff --git "))
     size = lambda i: F.when(F.regexp_extract("text", HUNK, i - 1) == "", F.lit(None)).when(F.regexp_extract("text", HUNK, i) == "", F.lit(1)).otherwise(F.regexp_extract("text", HUNK, i).try_cast("int"))
     rows = rows.withColumns(
         {
@@ -29,7 +42,7 @@ def parse_diff(lines: DataFrame) -> DataFrame:
             "_news": F.when(F.col("_at"), size(4)),
         }
     )
-    inside = Window.partitionBy("doc", "_hunk").orderBy("ord")
+    inside = Window.partitionBy(*whole, "_hunk").orderBy("ord")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     kind = F.substring("text", 1, 1)
     rows = rows.withColumns({c: F.first(c, ignorenulls=True).over(inside) for c in ("_old", "_new", "_olds", "_news")})
@@ -43,7 +56,7 @@ def parse_diff(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("_body", body)
     path = lambda p: F.when(~F.col("_body") & F.col("text").startswith(p), F.regexp_replace(F.substr("text", F.lit(5)), r"^[ab]/|\t.*$", ""))
     rows = rows.withColumn("_minus", path("--- ")).withColumn("_plus", path("+++ "))
-    upto = Window.partitionBy("doc").orderBy("ord")
+    upto = Window.partitionBy(*whole).orderBy("ord")
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("_minus", "_plus")})
     gone = F.col("_plus") == "/dev/null"
     found = rows.where(F.col("_body") & kind.isin("+", "-"))
@@ -77,3 +90,20 @@ def union_changes(first: DataFrame, second: DataFrame) -> DataFrame:
     """Added lines (file, line, text, range_ord) of several ranges; where they meet, the later range's text."""
     both = first.unionByName(second)
     return both.groupBy("file", "line").agg(F.max_by("text", "range_ord").alias("text"))
+
+
+def whole_hunks(files: DataFrame) -> DataFrame:
+    """file, at, text: a new file (file, text) as one hunk, its lines marked as added."""
+    return files.select("file", F.lit(1).alias("at"), F.concat(F.lit("@@ new file @@\n+"), F.regexp_replace("text", "\n", "\n+")).alias("text"))
+
+
+def change_text(hunks: DataFrame, order: DataFrame) -> DataFrame:
+    """doc, text: a change's hunks (doc, file, at, text) as one text, its files in order (doc, file, n)."""
+    each = hunks.groupBy("doc", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    rows = each.join(order, ["doc", "file"]).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("n", F.concat(F.lit("+++ b/"), "file", F.lit("\n"), "text").alias("t")))).alias("all"))
+    return rows.select("doc", F.array_join(F.transform("all", lambda x: x["t"]), "\n").alias("text"))
+
+
+def recent_commits(log: DataFrame, now, months: int = 12) -> DataFrame:
+    """file, commits: how many commits (file, at) of the last months touched each file."""
+    return log.where(F.col("at") >= F.add_months(F.lit(now).cast("timestamp"), -months)).groupBy("file").agg(F.count("*").alias("commits"))

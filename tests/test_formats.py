@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gristmill.functions import patterns
+from gristmill.functions import ordering, paths, patterns
 from gristmill.operators import complexity, graph, ratchet, review, tamper, text
 from gristmill.sources import coverage, diffs, testlogs
 from gristmill.streaming import sessions
@@ -73,22 +73,60 @@ def test_globs():
         assert bool(re.match(test.replace(r"\z", r"\Z"), name)) is want, name
 
 
-def test_renamed_titles():
-    assert tamper.renamed("it('reads the options')", "it('reads new options')")
-    assert not tamper.renamed("it('reads')", "test('reads')")
-    assert not tamper.renamed("it('adds')", "it('drops')")
+def test_renamed_titles(spark):
+    pairs = [("it('reads the options')", "it('reads new options')", False), ("it('reads')", "test('reads')", True), ("it('adds')", "it('drops')", True), ("it.skip('a b')", "it('a  b')", False)]
+    rows = [("a.test.ts", i, i, side, 1, text) for i, (old, new, _) in enumerate(pairs) for side, text in (("-", old), ("+", new))]
+    changed = spark.createDataFrame(rows, "file string, hunk_ord long, new_start int, side string, line int, text string")
+    assert {r["hunk_ord"] for r in tamper.deleted_tests(changed).collect()} == {i for i, p in enumerate(pairs) if p[2]}
 
 
 def test_arguments_nest():
     assert tamper.first_argument("expect(f(a, [b]), 2)", 0) == "f(a,[b])"
     assert tamper.first_argument("expect(a", 0) == ""
     assert tamper.comments("a = '#'\nb  # x\n'''\n# y\n'''\n# z", True) == [(2, "x"), (6, "z")]
-    assert tamper.comments('s = "//"; // a\n/* b\n c */ x', False) == [(1, "a"), (2, "b\n c")]
+    assert tamper.comments('s = "//"; // a\n/*\n * b\n c */ x\n$y = 1; // z', True)[-1] == (5, "z")
+    assert tamper.comments('s = "//"; // a\n/*\n * b\n c */ x', False) == [(1, "a"), (3, "b")]
+    assert tamper.comments("x = 'open // a\n// b", False) == []
 
 
-def test_bypasses():
-    for command, want in (("git commit --no-verify", "--no-verify"), ("git commit -an", "-n"), ("FOO=1 git -c core.hooksPath=x push", "core.hooksPath"), ("git commit -m 'a --no-verify b'", ""), ("git log -n 2", ""), ("echo '--no-verify'", ""), ("cd x; git push --no-verify", "--no-verify")):
-        assert review.bypass_reason(command) == want, command
+SKIPS = [
+    "git commit --no-verify -m fix", "git commit -n -m fix", "git push --no-verify origin main", "git -c core.hooksPath=/tmp/empty commit -m fix", "git -ccore.hooksPath=/tmp/empty push",
+    "git config core.hooksPath /tmp/empty", "git config --unset core.hooksPath", "echo ok && git commit --no-verify -m fix", "FOO=1 git commit --no-verify -m fix", "git commit -nm fix", "git commit -anF message.txt",
+    'git commit -m "a; b" --no-verify', "git -C /x commit -n", "git -c user.name=x commit -nm y", "git --git-dir .git commit -n", 'git commit -m "it\'s \\" x" --no-"verify"', "sudo -u x /usr/bin/git commit -n",
+]
+KEEPS = [
+    "git commit -m '--no-verify'", "git commit -m 'git config core.hooksPath /tmp'", "git commit --message=--no-verify", "echo 'git commit -n'", "# git push --no-verify", "git commit -- -n", "git push origin -- --no-verify",
+    "git status", "git commit -mn", "git commit -m -n", "git commit -can", "git commit -C -n", "git commit -F -n", "git push -n", "x git commit -n", "git log -n 3", "", "'",
+]
+
+
+def test_bypasses(spark):
+    rows = spark.createDataFrame([*enumerate(SKIPS + KEEPS), (99, None)], "ord long, text string")
+    assert {r["ord"] for r in review.hook_bypasses(rows).collect()} == set(range(len(SKIPS)))
+
+
+def test_empty_tables_give_no_rows(spark):
+    changed = spark.createDataFrame([], "file string, hunk_ord long, new_start int, side string, line int, text string")
+    assert tamper.deleted_tests(changed).count() == 0
+    assert tamper.assertion_findings(changed).count() == 0
+    assert tamper.mocks_of_unchanged(changed, changed).count() == 0
+    assert tamper.marker_changes(changed).count() == 0
+
+
+def test_sums_before_are_running_totals(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
+    got = {r["k"]: r["before"] for r in ordering.sums_before(rows.repartition(7), ["k"], F.col("k")).collect()}
+    total = 0
+    for k in sorted(got):
+        assert got[k] == total
+        total += k
+
+
+def test_paths_are_normalized(spark):
+    cases = {("a/b", "./c"): "a/b/c", ("a/b", "../c"): "a/c", ("", "../c"): "../c", ("a", "../.."): "..", ("a", ".."): ".", ("", "x//y/."): "x/y"}
+    rows = spark.createDataFrame([(*k, v) for k, v in cases.items()], "base string, path string, want string")
+    assert rows.where(paths.joined(F.col("base"), F.col("path")) != F.col("want")).count() == 0
+
 
 
 def test_reaching_over_a_cycle(spark):
