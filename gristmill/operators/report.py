@@ -148,3 +148,17 @@ def load_config(text: str, known: dict[str, dict]) -> dict[str, dict]:
 def config_row(spark: SparkSession, config: dict[str, dict]) -> DataFrame:
     """The settings as one row of JSON by section, for joins with data."""
     return spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(config.items())], "section string, settings string")
+
+
+def report_lines(sections: dict[str, DataFrame], most: int = 200) -> DataFrame:
+    """part, n, line: a report's sections in order, each its title and the first ``most`` of its lines (ord, line); ``none`` without any."""
+    out = None
+    for part, (title, lines) in enumerate(sections.items()):
+        first = lines.select("ord", "line").orderBy("ord").limit(most)
+        rows = first.select(F.struct(F.lit(1).alias("k"), F.col("ord").cast("long").alias("o")).alias("at"), F.concat(F.lit("- "), "line").alias("line"))
+        head = lines.sparkSession.range(1).select(F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("o")).alias("at"), F.lit(f"## {title}").alias("line"))
+        empty = first.agg(F.count("*").alias("c")).where("c = 0").select(F.struct(F.lit(1).alias("k"), F.lit(0).cast("long").alias("o")).alias("at"), F.lit("none").alias("line"))
+        one = head.unionByName(rows).unionByName(empty).withColumn("part", F.lit(part))
+        out = one if out is None else out.unionByName(one)
+    # A section is a title and at most ``most`` lines.
+    return out.select("part", F.row_number().over(Window.partitionBy("part").orderBy("at")).alias("n"), "line")

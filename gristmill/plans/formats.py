@@ -99,6 +99,12 @@ def lcov_hits(spark, d):
     return V.parse_lcov(rows, "/repo").select("file", "line", "hits")
 
 
+@query(f"WITH {S.HITS_SQL} SELECT file, line, hits FROM hits")
+def large_lcov_hits(spark, d):
+    rows = S.text_lines(lcov_lines(spark, d).withColumn("l_orderkey", F.col("l_orderkey").cast("bigint")), "doc", ["l_orderkey"], F.col("lines"))
+    return V.parse_large_lcov(rows, "/repo").select("file", "line", "hits")
+
+
 @query("SELECT l_orderkey % 50 AS doc, MAX(CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END) = 0 AS valid FROM lineitem GROUP BY 1")
 def lcov_validity(spark, d):
     rows = S.text_lines(lcov_lines(spark, d), "doc", ["l_orderkey"], F.col("lines"))

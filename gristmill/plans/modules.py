@@ -439,3 +439,48 @@ def settings_rows(spark, d):
 def functions_over_set_bar(spark, d):
     held = K.load_config("[thresholds]\nmax_cc = 12\n", {"thresholds": {"max_cc": 10, "max_crap": 1e9}})["thresholds"]
     return C.over_bar(C.score(S.functions(spark, d), S.hits(spark, d)), True, held["max_cc"], held["max_crap"]).select("ord")
+
+
+@BOOK.query(
+    """WITH w AS (SELECT event_id AS ord, event_type || ' u' || user_id AS line FROM events WHERE event_id % 3 = 0), k AS (SELECT 0 AS part, 0 AS o, -1::BIGINT AS ord, '## Gate' AS line UNION ALL (SELECT 0, 1, ord, '- ' || line FROM w ORDER BY ord LIMIT 30)
+    UNION ALL SELECT 1, 0, -1, '## Bypasses' UNION ALL SELECT 1, 1, 0, 'none' UNION ALL SELECT 2, 0, -1, '## Escalate to reviewer' UNION ALL (SELECT 2, 1, p_partkey, '- ' || p_name FROM part ORDER BY p_partkey LIMIT 30)) SELECT part, ROW_NUMBER() OVER (PARTITION BY part ORDER BY o, ord) AS n, line FROM k"""
+)
+def report_texts(spark, d):
+    w = S.table(spark, d, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("ord"), text(F.col("event_type"), " u", F.col("user_id")).alias("line"))
+    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("line"))
+    return K.report_lines({"Gate": w, "Bypasses": w.limit(0), "Escalate to reviewer": p}, 30).withColumn("n", F.col("n").cast("long"))
+
+
+# Credentials are put together from parts, so that no line of this file looks like one.
+TOKENS = [
+    "AKIA" + "Q7" * 8, "-----BEGIN EC " + "PRIVATE KEY-----", "sk-" + "proj-a1" + "b" * 24, "gh" + "s_" + "Z9" * 18, "xox" + "p-" + "1" * 12, "AIza" + "-" * 34 + "x", "123456789:AA" + "c" * 33,
+    "/home/zoe/w/x", "/Users/runner/x", "sk-" + "b" * 30, "no secret",
+]
+PLACES = ["a/b.ts", "uv.lock", ".scratch/x.md", "c/.env.prod", "c/.env.example"]
+SECRET_SIZES = {"k": len(TOKENS), "m": 3, "f": len(PLACES)}
+
+
+@BOOK.query(
+    f"""WITH {mixed_sql(**SECRET_SIZES)} SELECT CASE WHEN k < 7 THEN 'secret/token' ELSE 'secret/machine-path' END AS rule, 'd' || id || '/' || {pick_sql(PLACES, 'f')} AS file, id AS line, {pick_sql([None, 'a fixture', 'a sample'], 'm')} AS allowed FROM c WHERE k < 8 AND f <> 1
+    UNION ALL SELECT 'secret/env-file', 'd' || id || '/c/.env.prod', 1, NULL FROM c WHERE f = 3"""
+)
+def secret_lines(spark, d):
+    rows = mixed(spark, d, **SECRET_SIZES)
+    said = F.concat(F.lit("x = "), pick(TOKENS, "k"), pick(["", " qg:allow a fixture", " gitleaks:allow a sample"], "m"))
+    found = X.secret_findings(rows.select(text("d", F.col("id"), "/", pick(PLACES, "f")).alias("file"), F.col("id").alias("line"), said.alias("text")))
+    return found.select("rule", "file", F.col("line").cast("long").alias("line"), "allowed")
+
+
+SPANS = ["src/a.ts", "src/gone.ts", "src/a.ts:9", "src/a.ts:11", "src/a.ts:2-12", "lib/", "./near.md", "mcp.json", "@a/b", "keptName", "lostName", "x.gone()", "kept()", "plain word"]
+SPAN_RULES = [None, "doc/path", None, "doc/line", "doc/line", None, None, None, None, None, "doc/symbol", "doc/symbol", None, None]
+SPAN_SIZES = {"a": len(SPANS), "b": len(SPANS)}
+
+
+@BOOK.query(f"WITH {mixed_sql(**SPAN_SIZES)}, r AS (SELECT id, a AS k FROM c UNION SELECT id, b FROM c) SELECT {pick_sql(SPAN_RULES, 'k')} AS rule, id AS line, {pick_sql(SPANS, 'k')} AS token FROM r WHERE {pick_sql(SPAN_RULES, 'k')} IS NOT NULL")
+def document_spans(spark, d):
+    rows = mixed(spark, d, **SPAN_SIZES)
+    lines = rows.select(F.lit("docs/x.md").alias("file"), F.col("id").alias("line"), text("see `", pick(SPANS, "a"), "` and ` ", pick(SPANS, "b"), " `.").alias("text"))
+    roots = spark.createDataFrame([("src",), ("lib",), ("docs",)], "name string")
+    files = spark.createDataFrame([("src/a.ts", 10), ("docs/near.md", 2), ("lib/b.ts", 1)], "file string, n_lines bigint")
+    names = spark.createDataFrame([("keptName",), ("kept",)], "name string")
+    return X.doc_findings(X.references(lines, roots), files, names).select("rule", "line", "token").distinct()

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import ordering
+
 DA = r"^DA:(-?[0-9]+),(-?[0-9]+)(?:,.*)?\z"
 
 
@@ -19,12 +21,20 @@ def _records(lines: DataFrame) -> DataFrame:
     return lines.withColumn("opened", opened).withColumn("closed", F.coalesce(closed, F.lit(0)))
 
 
-def parse_lcov(lines: DataFrame, repo: str = "") -> DataFrame:
+def parse_large_lcov(lines: DataFrame, repo: str = "") -> DataFrame:
+    """As ``parse_lcov``, for reports that are too long for one task: SF lines number the records, which are read one by one."""
+    opens = F.col("text").startswith("SF:").cast("int")
+    numbered = ordering.sums_before(lines.select("doc", "ord", "text"), ["doc", "ord"], opens)
+    return parse_lcov(numbered.withColumn("part", F.col("before") + opens), repo, ("doc", "part"))
+
+
+def parse_lcov(lines: DataFrame, repo: str = "", whole: tuple[str, ...] = ("doc",)) -> DataFrame:
     """doc, file, line, hits from LCOV lines (doc, ord, text); hits of repeated lines are summed.
 
-    ``repo`` is a folder that is cut from the front of paths.
+    ``repo`` is a folder that is cut from the front of paths. Lines with the same values of ``whole`` are read
+    by one task.
     """
-    w = Window.partitionBy("doc").orderBy("ord")
+    w = Window.partitionBy(*whole).orderBy("ord")
     path = F.when(F.col("text").startswith("SF:"), F.substr("text", F.lit(4)))
     rows = lines.withColumn("file", F.last(path, ignorenulls=True).over(w))
     if repo:
