@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir), works on all that the one before has
 kept, and returns the columns of ``documents``; the last returns packed
 pieces. ``run`` writes every stage's rows to the shared folder and reads them
 again. Rows without doc_id or text, and repeated rows, are defined in each
-stage's operator.
+stage and in its operator; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ MOST_BROADCAST = 2_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is sure, with that as ``lang``; rejected ones go."""
+    """Documents whose language is sure, with that as ``lang``; rejected ones go.
+
+    Null texts and texts without a letter are rejected; rows that repeat, and rows without doc_id, are judged each.
+    """
     content = language.fit(docs.select("text", "lang"))
     found = language.identify(spark, docs, content, COLUMNS).where("not _rejected")
     return found.withColumn("lang", F.col("_lang_pred")).select(*COLUMNS)
@@ -42,12 +45,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
+    """Documents that hold no item of ``benchmark``; null and empty texts hold none, repeated rows stay or go together."""
     return decontaminate.clean(spark, docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with ``[SECRET]`` in place of each secret and n_chars counted anew where there was one."""
+    """All documents, with ``[SECRET]`` in place of each secret and n_chars counted anew where there was one; a null text stays null."""
     table = secrets.fit(secrets.labelled_samples(spark))
     found = secrets.scan(docs.select(*COLUMNS), table).withColumn("clean", secrets.redact(F.col("text"), F.col("found")))
     chars = F.when(F.size("found") > 0, F.length("clean").cast("long")).otherwise(F.col("n_chars"))
@@ -55,7 +58,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 1024 ids."""
+    """Pieces of all documents in sequences of at most 1024 ids; a null text is a piece with the end id alone."""
     return packing.pack(spark, docs)
 
 
