@@ -223,13 +223,13 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links_between(key: int, first: int, second: int, g: pd.DataFrame) -> list[tuple[int, int]]:
-    """Links between two blocks of a bucket that join different components; a forest over these.
+def _candidates(key: int, first: int, second: int, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows of g) between two blocks of a bucket that sizes and registers allow, across components.
 
     Only pairs whose first common band is this bucket are looked at, so each pair is confirmed once.
     """
     regs = np.frombuffer(b"".join(g["regs"]), np.uint16).reshape(-1, REGISTERS)
-    n, side, comp, ids = (g[c].to_numpy() for c in ("n_shingles", "side", "comp", "doc_id"))
+    n, side, comp = (g[c].to_numpy() for c in ("n_shingles", "side", "comp"))
     rows, cols = np.flatnonzero(side == first), np.flatnonzero(side == second)
     agree = np.zeros((len(rows), len(cols)), np.int16)
     for k in range(REGISTERS):
@@ -239,21 +239,26 @@ def _links_between(key: int, first: int, second: int, g: pd.DataFrame) -> list[t
     if first == second:
         near = np.triu(near, 1)
     i, j = np.nonzero(near)
+    if len(i):
+        band = (regs[rows[i]] == regs[cols[j]]).reshape(-1, BANDS, ROWS_OF_BAND).all(2).argmax(1)
+        own = np.array([band_keys(regs[r]) for r in rows])[i, band] == key
+        i, j = i[own], j[own]
+    return rows[i], cols[j]
+
+
+def _links_between(key: int, first: int, second: int, g: pd.DataFrame) -> list[tuple[int, int]]:
+    """Links between two blocks of a bucket that join different components; a forest over these."""
+    i, j = _candidates(key, first, second, g)
     if not len(i):
         return []
-    band = (regs[rows[i]] == regs[cols[j]]).reshape(-1, BANDS, ROWS_OF_BAND).all(2).argmax(1)
-    keys = np.array([band_keys(regs[r]) for r in rows])
-    own = keys[i, band] == key
-    i, j = i[own], j[own]
-    if not len(i):
-        return []
+    n, comp, ids = (g[c].to_numpy() for c in ("n_shingles", "comp", "doc_id"))
     sets = [np.frombuffer(v, np.uint64) for v in g["data"]]
-    if len(i) <= 4 * (len(rows) + len(cols)):
-        both = np.array([len(np.intersect1d(sets[rows[a]], sets[cols[b]], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    if len(i) <= 4 * len(g):
+        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
     else:
         u, v = np.unique(i), np.unique(j)
-        both = _common([sets[r] for r in rows[u]], [sets[c] for c in cols[v]])[np.searchsorted(u, i), np.searchsorted(v, j)]
-    held = 100 * both >= SIMILARITY * (n[rows[i]] + n[cols[j]] - both)
+        both = _common([sets[r] for r in u], [sets[c] for c in v])[np.searchsorted(u, i), np.searchsorted(v, j)]
+    held = 100 * both >= SIMILARITY * (n[i] + n[j] - both)
     parent: dict[int, int] = {}
 
     def root(c: int) -> int:
@@ -263,7 +268,7 @@ def _links_between(key: int, first: int, second: int, g: pd.DataFrame) -> list[t
         return c
 
     out = []
-    for a, b in zip(rows[i[held]].tolist(), cols[j[held]].tolist(), strict=True):
+    for a, b in zip(i[held].tolist(), j[held].tolist(), strict=True):
         p, q = root(comp[a]), root(comp[b])
         if p != q:
             parent[p] = q
@@ -281,14 +286,20 @@ def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs
     mixed = by.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     mixed = shared.save(spark, mixed.select("key", F.col("top.comp").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("p"), blocks(F.col("top.n")).alias("q")), "mixed")
-    rows = shared.save(spark, labelled.join(mixed, "key"), "rows")
-    sets = full_sets(spark, docs, rows.select("doc_id"))
+    rows = labelled.join(mixed, "key")
     main, h = F.col("comp") == F.col("main"), F.xxhash64("doc_id")
     dealt = rows.withColumn("side", F.when(main, F.col("p") + F.pmod(h, F.col("q"))).otherwise(F.pmod(h, F.col("p"))).cast("int"))
     last = F.when(main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other"))
     keys = ["key", "first", "second"]
-    dealt = dealt.select(*keys, "side", "doc_id", "comp").join(sizes.join(sets, "doc_id"), "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = dealt.select(*keys, "side", "doc_id", "comp").join(sizes, "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+    schema = "key long, first int, second int, side int, doc_id long, comp long"
+
+    def hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (key, first, second), g in whole_groups(batches, keys):
+            i, j = _candidates(key, first, second, g)
+            if len(i):
+                yield g.iloc[np.union1d(i, j)][[*keys, "side", "doc_id", "comp"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (key, first, second), g in whole_groups(batches, keys):
@@ -296,8 +307,12 @@ def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    out = shared.save(spark, dealt.mapInPandas(compare, "a long, b long"), "rest")
-    for table in (by, mixed, rows, sets):
+    # Registers decide first which documents of two blocks are worth their sets.
+    some = shared.save(spark, dealt.mapInPandas(hopeful, schema), "hopeful")
+    sets = full_sets(spark, docs, some.select("doc_id"))
+    again = some.join(sizes, "doc_id").join(sets, "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+    out = shared.save(spark, again.mapInPandas(compare, "a long, b long"), "rest")
+    for table in (by, mixed, some, sets):
         shared.drop(spark, table)
     return out
 
@@ -325,16 +340,15 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
 def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and data, the set of shingles, of documents among ``ids`` (doc_id).
 
-    A filter of at most ``MOST_BITS`` bits goes to the tasks, so that texts of other documents are not
+    A filter of at most ``MOST_BITS`` bits (16 MB) goes to the tasks, so that texts of other documents are not
     shuffled; what passes it by chance goes with the join.
     """
     ids = shared.save(spark, ids.distinct(), "ids")
     bits = 64 * max(1024, min(MOST_BITS, 16 * ids.count()) // 64)
     at = F.pmod(F.xxhash64("doc_id", F.lit("filter")), F.lit(bits))
     words = ids.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    held = np.zeros(bits // 64, np.int64)
-    for w, b in words.collect():
-        held[w] = b
+    held, found = np.zeros(bits // 64, np.int64), words.toArrow()
+    held[found["w"].to_numpy()] = found["b"].to_numpy()
 
     def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
