@@ -26,6 +26,7 @@ KINDS = [*BASE, "markov"]
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 LEAST_RATIO = 14_000
 LEAST_MEAN = 700
+LEAST_CHARS = 16
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 #: Rows of the built-in labelled sample, of each label.
@@ -33,16 +34,14 @@ SAMPLE_ROWS = 4000
 
 # Words of ordinary identifiers.
 IDENTIFIER_WORDS = (
-    "account action active address after agent alert amount answer append apply archive array assert assign author balance "
-    "batch before begin branch bridge buffer build button cache call cancel catalog change channel check child class clear "
-    "client close cluster code column commit compare config connect content context control copy count create current data "
-    "date debug default delete depend detail device direct display document domain download driver element empty enable "
-    "encode engine entry error event example execute export field file filter find first folder format forward frame "
-    "function gateway general generate global group handler header height history image import index initial input insert "
-    "instance interface internal invoice item iterator join journal kernel label language last layer layout length level "
-    "library limit line link list load local location logger lookup machine manager mapping margin market match member "
-    "memory message method metric model module monitor mount network node normal notice number object offset option order "
-    "output owner package page panel parameter parent parse partition path pattern payment pending platform player plugin"
+    "account action address agent alert amount answer append archive array assign author balance batch before begin branch bridge buffer button "
+    "cache call catalog change channel check class client close cluster code column commit config context control copy count current data date debug default "
+    "delete detail device direct display document domain download driver element empty enable encode engine entry error event export field file filter find "
+    "folder format frame function gateway general global group handler header history image import index input insert instance invoice item journal jump kernel "
+    "keyword label language layer layout length level library limit line link list location logger lookup machine manager market match member memory message "
+    "method metric model monitor network node number object offset option order output owner package page parent path payment platform query queue quota reader "
+    "record region request result route sample schema search server session status storage table target task test thread token type unit update upload user "
+    "value vector version video view volume warning watch weight widget window worker write year yield zone zoom"
 ).split()
 
 
@@ -83,7 +82,10 @@ def fit(samples: DataFrame, smoothing: float = 0.5) -> list[int]:
 
 
 def ratio(token: Column, table: list[int]) -> Column:
-    """Sum of the table over the token's pairs of characters; characters outside the alphabet add nothing."""
+    """STRUCT<sum, best, n> over the token's pairs of characters: the table's sum, and the largest sum of a stretch and its characters.
+
+    Characters outside the alphabet add nothing. The best stretch finds a key that ordinary words are joined to.
+    """
     n = len(ALPHABET)
     values = F.expr("cast(split('" + ",".join(map(str, table)) + "', ',') as array<int>)")
     codes = [0] * 128
@@ -91,12 +93,16 @@ def ratio(token: Column, table: list[int]) -> Column:
         codes[ord(c)] = i + 1
     places = F.expr("cast(split('" + ",".join(map(str, codes)) + "', ',') as array<int>)")
     at = F.transform(F.split(token, ""), lambda c: F.coalesce(F.get(places, F.ascii(c)), F.lit(0)))
+    names = ("last", "sum", "run", "chars", "best", "n")
 
     def add(acc: Column, code: Column) -> Column:
         step = F.when((acc["last"] > 0) & (code > 0), F.coalesce(F.get(values, (acc["last"] - 1) * n + code - 1), F.lit(0))).otherwise(0)
-        return F.struct(code.alias("last"), (acc["sum"] + step).alias("sum"))
+        run, chars = F.when(acc["run"] > 0, acc["run"] + step).otherwise(step), F.when(acc["run"] > 0, acc["chars"] + 1).otherwise(2)
+        more = run > acc["best"]
+        new = (code, acc["sum"] + step, run, chars, F.when(more, run).otherwise(acc["best"]), F.when(more, chars).otherwise(acc["n"]))
+        return F.struct(*(c.alias(k) for c, k in zip(new, names, strict=True)))
 
-    return F.aggregate(at, F.struct(F.lit(0).alias("last"), F.lit(0).alias("sum")), add, lambda acc: acc["sum"])
+    return F.aggregate(at, F.struct(*(F.lit(0).alias(k) for k in names)), add, lambda acc: F.struct(acc["sum"].alias("sum"), acc["best"].alias("best"), acc["n"].alias("n")))
 
 
 def place_matches(text: Column, pattern: str, group: int, matches: Column, least: int, kind: int) -> Column:
@@ -134,10 +140,13 @@ def scan(docs: DataFrame, table: list[int], least_ratio: int = LEAST_RATIO, leas
     out = out.withColumns({f"_s_{k}": place_matches(text, p, g, F.col(f"_m_{k}"), least, i) for i, (k, (p, g, least)) in enumerate(patterns.items())})
 
     def judged(s: Column) -> Column:
-        r = ratio(s["value"], table)
-        return (r >= least_ratio) & (r >= least_mean * F.length(s["value"]))
+        r = s["ratio"]
+        whole = (r["sum"] >= least_ratio) & (r["sum"] >= least_mean * F.length(s["value"]))
+        return whole | ((r["best"] >= least_ratio) & (r["n"] >= LEAST_CHARS) & (r["best"] >= least_mean * r["n"]))
 
-    out = out.withColumn("_s_markov", F.filter("_s_markov", judged))
+    # The ratio is a field of its own, so that each run is read once.
+    rated = F.transform("_s_markov", lambda s: F.struct(s.alias("s"), ratio(s["value"], table).alias("ratio"), s["value"].alias("value")))
+    out = out.withColumn("_s_markov", F.transform(F.filter(rated, judged), lambda x: x["s"]))
     found = F.array_sort(reduce(lambda a, b: F.concat(a, b), [F.col(f"_s_{k}") for k in patterns]))
     return out.withColumn("found", found).drop(*(f"_{x}_{k}" for x in "ms" for k in patterns))
 
@@ -159,7 +168,11 @@ def redact(text: Column, found: Column) -> Column:
 
 
 def digest(docs: DataFrame, table: list[int]) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_markov, a row per document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_markov, a row per document.
+
+    Null and empty texts have no spans. A row for each row, repeated ones and null ids too; an empty table gives
+    no rows; other columns are ignored.
+    """
     rows = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), table)
     count = lambda i: F.size(F.filter("found", lambda s: s["kind"] == i)).cast("long")
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
