@@ -183,7 +183,11 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, least: int = MIN_CHARS) -> DataFrame:
-    """The rows of ``docs`` whose text holds no item, with all their columns."""
+    """The rows of ``docs`` whose text holds no item, with all their columns.
+
+    Null and empty texts hold none and stay, as do rows without doc_id; repeated rows stay or go together; an
+    empty ``benchmark`` keeps all. The rule is that of ``find_items``.
+    """
     shared.text_batches(spark)
 
     def one_pass(rows: DataFrame, held: list[tuple[int, str]]) -> DataFrame:

@@ -124,7 +124,8 @@ def pack(spark: SparkSession, docs: DataFrame, vocab: str = tokens.DEFAULT_VOCAB
     bins = spark.createDataFrame(rows, "length long, low long, high long, each long, first_id long, first_at long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(offsets, ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
+    # The offsets grow with tasks and lengths, so both sides are dealt by them; a part's pieces of a length are one task's.
+    ranked = pieces.join(offsets.hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("place"))
     b = F.broadcast(bins.withColumnRenamed("length", "of"))
     held = ranked.join(b, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     turn = F.col("rank") - F.col("low")

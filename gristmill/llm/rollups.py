@@ -141,6 +141,9 @@ def roll_up_documents(spark: SparkSession, docs: DataFrame, path: str, vocab: st
     tokenizer's version with a quarter of its bytes. ``exact``: these counts are revised to the tokenizer's.
     ``copies``: of documents with the same text all leave and the one with the least doc_id returns.
     ``restored``: that is undone, so that the totals are of all documents and not of distinct texts.
+    Null texts count as documents without words or tokens and are no copies of each other. Repeated rows, and
+    rows without doc_id, count each; null sources and languages are groups of their own; an empty table gives
+    no rows; other columns are ignored.
     """
     counted = shared.save(spark, count_tokens(spark, docs, vocab), "counted")
     name = vocab.rsplit("/", 1)[-1].split(".")[0] + "/1"

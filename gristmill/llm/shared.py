@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             found = jdir.get()
-        elif spark.sparkContext.master.startswith("local["):
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
             found = f"file://{tempfile.mkdtemp(prefix='gristmill-')}"
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -322,6 +322,35 @@ def test_models_part_random_from_ordinary(spark, ratios):
     assert secrets.digest(documents(spark, []), ratios).count() == 0
 
 
+def test_markov_spans_are_recomputed(spark, ratios):
+    """The rule in plain Python: the whole run or its best stretch is likelier random."""
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    keys = ["".join(rng.choice(letters) for _ in range(n)) for n in (15, 16, 20, 24, 40) for _ in range(8)]
+    texts = [f"{pre}{k} end" for pre in ("", "see ", "/var/lib/account/settings/", "api/v1/internal/service/") for k in keys] + ["user_account_session_manager", "path/to/the/library/config/file", ""]
+    n = len(secrets.ALPHABET)
+
+    def step(a, b):
+        return ratios[secrets.ALPHABET.index(a) * n + secrets.ALPHABET.index(b)]
+
+    def hit(run):
+        steps = [step(a, b) for a, b in zip(run, run[1:])]
+        if sum(steps) >= secrets.LEAST_RATIO and sum(steps) >= secrets.LEAST_MEAN * len(run):
+            return True
+        best, size, now, chars = 0, 0, 0, 0
+        for s in steps:
+            now, chars = (now + s, chars + 1) if now > 0 else (s, 2)
+            if now > best:
+                best, size = now, chars
+        return best >= secrets.LEAST_RATIO and size >= secrets.LEAST_CHARS and best >= secrets.LEAST_MEAN * size
+
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"] if s["kind"] == 3] for r in secrets.scan(documents(spark, texts), ratios).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [m.span() for m in re.finditer(secrets.CANDIDATE, t) if hit(m[0])], t
+    behind = [bool(got[i]) for i, t in enumerate(texts) if t.startswith(("/var", "api")) and len(t.split()[0].rsplit("/", 1)[1]) >= 24]
+    assert sum(behind) > 0.9 * len(behind) and not got[len(texts) - 2] and not got[len(texts) - 3]
+
+
 def test_redaction_hides_all_spans(spark, ratios):
     text = "a password=abcdefgh1 AKIA" + "B" * 16 + " é " + "0123456789abcdef" * 3 + " end"
     found = secrets.scan(documents(spark, [text, None, "clean"]), ratios)
@@ -420,15 +449,14 @@ def test_pseudo_likelihood_prefers_what_the_corpus_holds(spark):
 
 def plain_log_probabilities(net, v, ranks):
     """log P of every rank at the one place whose sides are ``ranks``, by the definition, in doubles."""
-    mixing, bias, outputs, class_bias = (x.astype(np.float64) for x in net.parts())
-    h = np.tanh(np.concatenate([net.inputs[r].astype(np.float64) for r in ranks]) @ mixing + bias)
-    z = h @ outputs + class_bias
+    mixing, bias, outputs = (x.astype(np.float64) for x in net.parts())
+    h = np.append(np.tanh(sum(net.inputs[r].astype(np.float64) @ m for r, m in zip(ranks, mixing, strict=True)) + bias), 1)
+    z = h @ outputs
     first = z - np.log(np.exp(z).sum())
     out = []
     for r in range(v.size):
         k = int(v.of[r])
-        inside = net.inner[v.edges[k] : v.edges[k + 1]].astype(np.float64)
-        z = inside[:, :-1] @ h + inside[:, -1]
+        z = h @ net.inner[:, v.edges[k] : v.edges[k + 1]].astype(np.float64)
         out.append(first[k] + (z - np.log(np.exp(z).sum()))[r - v.edges[k]])
     return np.array(out)
 
@@ -525,6 +553,64 @@ def test_ids_beside_null_ids_stay_whole(spark):
     assert {r["doc_id"] for r in decontaminate.clean(spark, docs, bench).collect()} == {None, FAR + 5}
 
 
+def test_very_long_texts_are_read_whole(spark):
+    rng = random.Random(41)
+    body = words(rng, 300_000, 5000)
+    item = "a passage of the benchmark that stands near the very end of a text that is long"
+    docs = spark.createDataFrame([(1, f"{body} {item} password = 'Zx81Qp0vNm44' tail", "en"), (2, f"{body} {item} password = 'Zx81Qp0vNm44' tail other", "en"), (3, body[: len(body) // 2], "en")], "doc_id long, text string, lang string")
+    pieces = packing.pack(spark, docs).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    whole = tokens.encoder().tokenizer
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert {r["doc_id"]: r["n"] for r in pieces} == {k: len(whole.encode(t, add_special_tokens=False).ids) + 1 for k, t in texts.items()}
+    near = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in neardup.near_duplicates(spark, docs).collect()}
+    assert near[2] == (1, near[1][1] + 1) and near[3][0] == 3
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.find_items(spark, docs, bench).collect()} == {1, 2}
+    spans = {r["doc_id"]: r["n_assign"] for r in secrets.digest(docs, secrets.fit(secrets.labelled_samples(spark))).collect()}
+    assert spans == {1: 1, 2: 1, 3: 0}
+    assert all(r["n_tokens"] > 500_000 for r in pseudolm.score(spark, docs).where("doc_id < 3").collect())
+    assert language.predict_documents(spark, docs).count() == quality.score_documents(spark, docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 3
+
+
+def test_ties_have_one_answer(spark):
+    docs = documents(spark, ["some text", "some text", "other words here"])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {(r["score"], r["predicted"]) for r in quality.score_documents(spark, docs, none).collect()} == {(0.5, 1)}
+    lang, score, rejected, low, after = language.Classifier({"b": b"same words " * 9, "a": b"same words " * 9}).predict("same words again")
+    assert (lang, rejected, low == after) == ("a", True, True) and score == pytest.approx(0.5)
+    sizes = language.Classifier({"b": b"same words " * 9, "a": b"quite another " * 9})
+    import zstandard
+
+    for text in ("same words", "quite another one", "Some MORE, same!"):
+        data = language.plain(text).encode()
+        want = []
+        for content in (b"quite another " * 9, b"same words " * 9):
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            want.append(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False).compress(data)))
+        got = sizes.predict(text)
+        assert sizes.sizes(text) == want and got[0] == ("a" if want[0] <= want[1] else "b") and (got[3], got[4]) == (min(want), max(want))
+
+
+def test_quality_scores_are_recomputed(spark):
+    """The score of a text from the model's weights, with the marginals of all labellings added up."""
+    rng = random.Random(43)
+    texts = [*(words(rng, 12).replace(" ", "\n", 2) for _ in range(20)), *("!!! ### $$$\n|| ||" for _ in range(20))]
+    model = quality.train(texts, [1] * 20 + [0] * 20, 30)
+    for text in ("one two\nthree !!!\n###", "", "a", texts[0], texts[-1]):
+        own, size, counts = quality.line_features([text])
+        unary = quality.with_neighbours(own, counts) @ model.weights
+        n = int(counts[0])
+        good, total = np.zeros(n), 0.0
+        for code in range(2**n):
+            y = [code >> i & 1 for i in range(n)]
+            w = np.exp(sum(np.clip(unary[i], -30, 30) * y[i] for i in range(n)) + sum(model.trans[a, b] for a, b in zip(y, y[1:])))
+            total += w
+            good += w * np.array(y)
+        share = np.clip((good / total * size).sum() / size.sum(), 1e-4, 1 - 1e-4)
+        want = 1 / (1 + np.exp(-(model.curve[0] * np.log(share / (1 - share)) + model.curve[1])))
+        assert model.scores([text])[0] == pytest.approx(want, abs=1e-6), text
+
+
 def test_vectors_with_null_and_repeated_ids(spark):
     rows = [(FAR + 1, [1.0, 2.0]), (None, [1.0, 2.0]), (FAR + 3, [1.0, 2.0]), (FAR + 3, [2.0, 4.1]), (FAR + 5, None)]
     got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in lattice.near_vectors(spark, spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, cells int")).collect()), key=str)

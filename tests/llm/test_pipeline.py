@@ -40,6 +40,8 @@ def test_odd_rows_go_through(spark, tmp_path):
     rows = [(1, "one two three four five six seven", "en", "s", 5), (1, "one two three four five six seven", "en", "s", 5), (1, "another text with the same id in it", None, "s", 5), (None, "no id but some words are in here", "en", None, None), (2, None, "en", "s", 0), (3, "", None, None, 0)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, comp string")
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    identified = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert identified.columns == corpus_pipeline.COLUMNS and None not in {r["text"] for r in identified.collect()}
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, str(tmp_path))
         docs = spark.createDataFrame(docs.collect(), docs.schema)
