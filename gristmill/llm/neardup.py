@@ -35,7 +35,7 @@ SIMILARITY = 75  # hundredths
 #: Candidates with a lower estimate are not confirmed: four standard deviations under the similarity.
 LEAST_ESTIMATE = 0.60
 #: Documents of a bucket in a block, and partners of a leader in a part.
-BLOCK, PART = 256, 200
+BLOCK, PART = 256, 100
 #: Bits of the filter that keeps other texts out of a shuffle.
 MOST_BITS = 1 << 27
 SKETCH = "doc_id long, n_shingles long, key1 long, key2 long, regs binary, bands array<long>"
