@@ -23,12 +23,16 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
-from .neardup import mix, whole_groups
+from .neardup import mix
 
 COSINE = 0.95
-TABLES, PROBES = 10, 2
-#: Length of a unit vector's projection, in units of a lattice whose points are at least sqrt(2) apart.
-SCALE = 0.6
+PROBES = 2
+#: Length of a unit vector's projection, in units of a lattice whose points are at least sqrt(2) apart, for so
+#: many vectors or fewer; it grows with the sixteenth root of their number, so that the rows of a cell grow with
+#: the square root.
+SCALE, SCALE_ROWS = 0.85, 100_000
+#: Tables are as many as find a pair at the least cosine with this probability.
+LEAST_FOUND = 0.999
 BLOCK = 512
 
 
@@ -77,7 +81,19 @@ def _cell(points: np.ndarray, table: int, width: int) -> np.ndarray:
     return name.view(np.int64)
 
 
-def cells(units: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
+def layout(rows: int, least: float = COSINE) -> tuple[int, float]:
+    """(tables, scale) for a number of vectors: how many tables a scale needs is measured on random pairs at the least cosine."""
+    scale = SCALE * max(1.0, rows / SCALE_ROWS) ** (1 / 16)
+    random = np.random.default_rng(11)
+    a, b = (x / np.sqrt((x * x).sum(1, keepdims=True)) for x in random.standard_normal((2, 2000, 64)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b *= np.sqrt(1 - least * least) / np.sqrt((b * b).sum(1, keepdims=True))
+    x, y = (cells(v, 4, PROBES, scale) for v in (a, least * a + b))
+    met = ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).mean()
+    return max(1, int(np.ceil(np.log(1 - LEAST_FOUND) / np.log(1 - np.clip(met, 0.02, 0.999))))), scale
+
+
+def cells(units: np.ndarray, tables: int, probes: int = PROBES, scale: float = SCALE) -> np.ndarray:
     """Cells of unit vectors: shape (vectors, tables, 1 + probes), the home first."""
     n, width = units.shape
     out = np.empty((n, tables, 1 + probes), np.int64)
@@ -132,29 +148,70 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _links_of_group(key: int, first: int, second: int, g: pd.DataFrame, least: float) -> tuple | None:
-    ids, weight, side, home = (g[c].to_numpy() for c in ("vec_id", "weight", "side", "home"))
-    units = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1)
-    rows, cols = np.flatnonzero(side == first), np.flatnonzero(side == second)
-    near = (units[rows] @ units[cols].T >= least) & (home[rows][:, None] | home[cols][None, :])
+def _decoded(column: pd.Series, kind: type) -> np.ndarray:
+    """Binary values as rows of one array; as an array of arrays where their lengths differ."""
+    if column.map(len).nunique() <= 1:
+        return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+    out = np.empty(len(column), object)
+    out[:] = [np.frombuffer(x, kind) for x in column]
+    return out
+
+
+def _group_arrays(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """Whole groups of rows that come sorted by ``keys``, as arrays: cells are small and many, so frames would cost more than they hold."""
+    at, left = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        arrays = {c: batch[c].to_numpy() for c in batch.columns if c not in ("unit", "cells")}
+        arrays |= {"unit": _decoded(batch["unit"], np.float64), "cells": _decoded(batch["cells"], np.int64)}
+        values = np.stack([arrays[k] for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1).tolist(), len(batch)]
+        for a, b, here in zip(cuts, cuts[1:], values[cuts[:-1]].tolist(), strict=False):
+            part = {c: v[a:b] for c, v in arrays.items()}
+            if left and at != here:
+                yield tuple(at), _together(left)
+                left = []
+            at = here
+            left.append(part)
+    if left:
+        yield tuple(at), _together(left)
+
+
+def _together(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """One group from its parts; its vectors have one length, as this is in their cells' names."""
+    rows = [{c: np.stack(v) if v.dtype == object else v for c, v in p.items()} for p in parts]
+    return rows[0] if len(rows) == 1 else {c: np.concatenate([p[c] for p in rows]) for c in rows[0]}
+
+
+def _links_of_group(key: int, first: int, second: int, g: dict[str, np.ndarray], least: float) -> tuple | None:
+    side, home, units = g["side"], g["home"], g["unit"]
     if first == second:
-        near = np.triu(near, 1)
+        rows = cols = slice(None)
+        near = np.triu(units @ units.T >= least, 1)
+    else:
+        rows, cols = np.flatnonzero(side == first), np.flatnonzero(side == second)
+        near = units[rows] @ units[cols].T >= least
+    if not near.any():
+        return None
+    near &= home[rows][:, None] | home[cols][None, :]
     i, j = np.nonzero(near)
     if not len(i):
         return None
-    i, j = rows[i], cols[j]
-    of = np.frombuffer(b"".join(g["cells"]), np.int64).reshape(len(g), TABLES, -1)
-    counts = np.zeros(len(g), np.int64)
+    ids, weight, of = g["vec_id"], g["weight"], g["cells"].reshape(len(side), -1, 1 + PROBES)
+    if first != second:
+        i, j = rows[i], cols[j]
+    counts = np.zeros(len(side), np.int64)
     for at in range(0, len(i), 65536):
         a, b = i[at : at + 65536], j[at : at + 65536]
         own = _first_meeting(of[a], of[b]) == key
         np.add.at(counts, a[own], weight[b[own]])
         np.add.at(counts, b[own], weight[a[own]])
-    keep = _forest(len(g), i, j)
+    keep = _forest(len(side), i, j)
     return ids[counts > 0], counts[counts > 0], ids[i[keep]], ids[j[keep]]
 
 
-def hashed(classes: DataFrame) -> DataFrame:
+def hashed(classes: DataFrame, tables: int, scale: float) -> DataFrame:
     """vec_id, weight, unit (doubles) and cells (longs) of classes (vec_id, weight, embedding) of usable vectors."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,7 +223,7 @@ def hashed(classes: DataFrame) -> DataFrame:
                 x = np.array(part["embedding"].tolist(), np.float64)
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
-                found = cells(x)
+                found = cells(x, tables, PROBES, scale)
                 yield pd.DataFrame({"vec_id": part["vec_id"], "weight": part["weight"], "unit": [r.tobytes() for r in x], "cells": [r.tobytes() for r in found], "keys": list(found.reshape(len(part), -1))})
 
     return classes.mapInPandas(make, "vec_id long, weight long, unit binary, cells binary, keys array<long>")
@@ -191,7 +248,7 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = COSI
     named = shared.save(spark, good.select("vec_id", "h1", "h2"), "names")
     firsts = counted.select(F.col("first").alias("vec_id"), "h1", "h2", "weight")
     classes = good.join(firsts, ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id", "h1", "h2"]).select("vec_id", "weight", F.col("v").alias("embedding"))
-    data = shared.save(spark, hashed(classes), "hashed")
+    data = shared.save(spark, hashed(classes, *layout(counted.count(), least)), "hashed")
 
     shown = data.select("vec_id", F.posexplode("keys").alias("at", "key")).select("vec_id", "key", (F.col("at") % (1 + PROBES) == 0).alias("home"))
     # A cell that is nobody's home, or that one vector alone sees, makes no pair.
@@ -205,12 +262,21 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = COSI
     dealt = met.select(*keys, "side", "home", "vec_id", "weight", "unit", "cells").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none = np.empty(0, np.int64)
-        for (key, first, second), g in whole_groups(batches, keys):
+        held: list[tuple] = []
+
+        def rows() -> pd.DataFrame:
+            ids, counts, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            return pd.DataFrame({"a": np.concatenate([ids, a]), "b": np.concatenate([np.full(len(ids), -1), b]), "n": np.concatenate([counts, np.zeros(len(a), np.int64)]), "edge": np.repeat([False, True], [len(ids), len(a)])})
+
+        for (key, first, second), g in _group_arrays(batches, keys):
             found = _links_of_group(key, first, second, g, least)
             if found:
-                ids, counts, a, b = found
-                yield pd.DataFrame({"a": np.concatenate([ids, a]), "b": np.concatenate([none - 1, np.full(len(ids), -1), b]), "n": np.concatenate([counts, np.zeros(len(a), np.int64)]), "edge": np.repeat([False, True], [len(ids), len(a)])})
+                held.append(found)
+                if len(held) >= 1000 or sum(len(x[0]) for x in held[-1:]) > 10_000:
+                    yield rows()
+        if held:
+            yield rows()
 
     found = shared.save(spark, dealt.mapInPandas(compare, "a long, b long, n long, edge boolean"), "met")
     shared.drop(spark, data)
