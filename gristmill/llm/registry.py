@@ -1,4 +1,4 @@
-"""The ten operators applied to their whole tables, with production parameters."""
+"""The corpus operators applied to their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, lattice, neardup, oracles, packing, pseudolm, quality, rollups, secrets, shared
+from . import chat, decontaminate, language, lattice, manifest, neardup, oracles, packing, pieces, pseudolm, quality, rollups, secrets, shared, spelling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,21 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.roll_up_documents(spark, table(spark, sf_dir, "documents"), shared.fresh_path(spark, "rollup"), restore=True)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle digests of all documents, and which still lead to the root after tampering."""
+    return manifest.verify(spark, table(spark, sf_dir, "documents"), manifest.without_line_ends())
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's whole text, and the text that they decode to."""
+    return pieces.digests(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -74,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_token_rollup": op10_token_rollup,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {

@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows of text in one Arrow batch: a worker holds a few such batches.
 TEXT_BATCH_ROWS = 1000
@@ -54,6 +55,26 @@ def drop(spark: SparkSession, df: DataFrame) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def numbered(spark: SparkSession, rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``idx``, counted from 0 in each group by ``order``, and ``n``, the group's number of rows.
+
+    Rows are dealt by ranges of (group, order), so a group spreads over as many ranges as its size asks for;
+    numbers start anew in each range and are moved by the counts of the group's earlier ranges. ``order`` must
+    leave no ties but between rows that are alike. The result is a table in the shared folder.
+    """
+    dealt = save(spark, rows.repartitionByRange(group, *order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy(group, "range").agg(F.count("*").alias("size"))
+    # One row for each range that a group reaches into.
+    whole = Window.partitionBy(group)
+    before = whole.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(group, "range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"), F.sum("size").over(whole).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(group, "range").orderBy(*order)) - 1
+    placed = dealt.withColumn("inside", inside).join(starts, [group, "range"])
+    out = save(spark, placed.withColumn("idx", F.col("start") + F.col("inside")).drop("range", "inside", "start"), "numbered")
+    drop(spark, dealt)
+    return out
+
+
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
     """Keep Arrow batches of text small, however long the texts are."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
