@@ -98,4 +98,6 @@ ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op6_lattice_near_dedup": oracles.NEAR_VECTORS,
     "op8_chat_format": oracles.CHAT,
+    "op11_merkle_manifest": oracles.MANIFEST,
+    "op13_spelling_variants": oracles.SPELLING,
 }
