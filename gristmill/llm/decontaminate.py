@@ -6,7 +6,11 @@ pieces of all items in a text; where one is hit, Myers' bit-parallel distance
 decides over the stretch that the whole item could cover.
 
 Items and texts are compared in lower case, with one space for each run of
-other characters than letters and digits.
+other characters than letters and digits, and one before and after all. An
+item is looked for with the spaces around it, so it is held as whole words:
+to stand inside a longer word costs it an edit on that side. The budget is a
+share of the item's characters; short items have none and are found exactly.
+Scripts that put no spaces between words have no bounds.
 """
 
 from __future__ import annotations
@@ -24,8 +28,6 @@ from . import shared
 
 #: Edits allowed, as a share of an item's characters.
 EDIT_SHARE = 0.05
-#: Items with fewer characters are looked for exactly, as whole words.
-MIN_CHARS = 32
 #: Items go to the executors in blocks of about so many characters; each block is a pass.
 BLOCK_CHARS = 4_000_000
 
@@ -45,15 +47,9 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def find_words(text: str, item: str) -> int:
-    """Where the item stands as whole words, or -1; scripts without spaces have no bounds."""
-    at = text.find(item)
-    while at >= 0:
-        end = at + len(item)
-        if (at == 0 or text[at - 1] == " " or UNSPACED.match(item[0])) and (end == len(text) or text[end] == " " or UNSPACED.match(item[-1])):
-            return at
-        at = text.find(item, at + 1)
-    return -1
+def bounded(item: str) -> str:
+    """The plain item with a space on each side where its script has bounds between words."""
+    return (" " * (not UNSPACED.match(item[0]))) + item + (" " * (not UNSPACED.match(item[-1])))
 
 
 def masks(pattern: str) -> dict[str, int]:
@@ -92,16 +88,18 @@ def myers(peq: dict[str, int], m: int, text: str, anchored: bool = False) -> tup
 class Matcher:
     """Finds items in texts; made once for a task."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE, least: int = MIN_CHARS):
-        self.items, self.budgets, self.masks, self.least = [], [], {}, least
+    def __init__(self, items: list[tuple[int, str]], share: float = EDIT_SHARE, whole_words: bool = True):
+        self.items, self.sizes, self.budgets, self.masks = [], [], [], {}
         found: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = plain(text)
             if not text:
                 continue
             n = len(self.items)
+            self.sizes.append(len(text))
+            self.budgets.append(int(len(text) * share))
+            text = bounded(text) if whole_words else text
             self.items.append((item_id, text))
-            self.budgets.append(int(len(text) * share) if len(text) >= least else 0)
             for at, piece in pieces(text, self.budgets[-1]):
                 found.setdefault(piece, []).append((n, at + len(piece) - 1))
         self.automaton = ahocorasick.Automaton()
@@ -110,10 +108,13 @@ class Matcher:
         self.automaton.make_automaton()
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int, int]]:
-        """(item_id, distance, start, end, item's characters) of each item that the plain text holds; its best place."""
+        """(item_id, distance, start, end, item's characters) of each item that the text holds; its best place.
+
+        Places are in the plain text, without the spaces around the item.
+        """
         if not self.items:
             return []
-        text = plain(text)
+        text = f" {plain(text)} "
         starts: dict[int, set[int]] = {}
         for end, where in self.automaton.iter(text):
             for n, last in where:
@@ -121,11 +122,13 @@ class Matcher:
         out = []
         for n, at in sorted(starts.items()):
             item_id, item = self.items[n]
-            exact = text.find(item) if len(item) >= self.least else find_words(text, item)
-            if exact >= 0:
-                out.append((item_id, 0, exact, exact + len(item), len(item)))
-            elif self.budgets[n] and (best := self.verify(n, sorted(at), text)):
-                out.append((item_id, *best, len(item)))
+            exact = text.find(item)
+            best = (0, exact, exact + len(item)) if exact >= 0 else self.budgets[n] and self.verify(n, sorted(at), text)
+            if best:
+                distance, start, end = best
+                part = text[start:end]
+                start, end = start + len(part) - len(part.lstrip()), end - len(part) + len(part.rstrip())
+                out.append((item_id, distance, start - 1, end - 1, self.sizes[n]))
         return out
 
     def verify(self, n: int, starts: list[int], text: str) -> tuple[int, int, int] | None:
@@ -160,18 +163,20 @@ def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield [(r["item_id"], r["text"]) for r in items.where(of).collect()]
 
 
-def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, least: int = MIN_CHARS) -> DataFrame:
+def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, whole_words: bool = True) -> DataFrame:
     """doc_id, item_id, distance, start, end and item_chars for each document row and each item that it holds.
 
-    Places are in the plain text. Null and empty texts hold nothing, items under ``least`` characters are
-    held as whole words without edits only, an item that stands in several rows of ``benchmark`` is looked for once. Other columns are ignored.
+    Places are in the plain text, and the distance is that of the item with the spaces around it; without
+    ``whole_words`` it is that of the item alone, wherever it stands. Null and empty texts hold nothing, nor
+    do items without letters and digits stand anywhere; an item that stands in several rows of ``benchmark`` is
+    looked for once. An empty table of documents or items gives no rows. Other columns are ignored.
     """
     shared.text_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
 
     def one_pass(held: list[tuple[int, str]]) -> DataFrame:
         def search(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
-            matcher = Matcher(held, share, least)
+            matcher = Matcher(held, share, whole_words)
             names = [f.split()[0] for f in OUTPUT.split(",")]
             for batch in batches:
                 rows = [(d, *found) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for found in matcher.search(t)]
@@ -182,7 +187,7 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share
     return reduce(DataFrame.unionByName, map(one_pass, item_blocks(benchmark)))
 
 
-def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, least: int = MIN_CHARS) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE, whole_words: bool = True) -> DataFrame:
     """The rows of ``docs`` whose text holds no item, with all their columns.
 
     Null and empty texts hold none and stay, as do rows without doc_id; repeated rows stay or go together; an
@@ -192,7 +197,7 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, share: flo
 
     def one_pass(rows: DataFrame, held: list[tuple[int, str]]) -> DataFrame:
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held, share, least)
+            matcher = Matcher(held, share, whole_words)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.search(t) for t in batch.column("text").to_pylist()], pa.bool_()))
 

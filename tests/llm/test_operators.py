@@ -279,6 +279,32 @@ def test_short_items_are_whole_words(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean(spark, docs, bench).collect()) == [2, 3, 5]
 
 
+def test_one_rule_for_all_lengths(spark):
+    """Items of 1 to 60 characters: whole, with an edit, at the bounds, and inside longer words, against the full distance."""
+    rng = random.Random(21)
+    items, texts = [], []
+    for n in range(1, 61):
+        item = "".join(rng.choice("abcdefgh") if i % 6 else rng.choice("mnopqrst") for i in range(n))
+        item = "".join(" " if i % 7 == 6 and i < n - 1 else c for i, c in enumerate(item))
+        items.append(item)
+        at = rng.randrange(n)
+        edited = [item[:at] + "z" + item[at + 1 :], item[:at] + item[at + 1 :], item[:at] + "z" + item[at:]]
+        texts += [f"uu {x} vv" for x in (item, *edited)] + [item, f"uu x{item} vv", f"uu {item}y vv", f"x{item}y", f"uu {edited[0]}y vv"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = documents(spark, texts)
+    for whole_words in (True, False):
+        want = {}
+        for i, item in enumerate(items):
+            k = int(len(item) * decontaminate.EDIT_SHARE)
+            for d in range(9 * max(0, i - 2), 9 * min(60, i + 3)):
+                p, t = (f" {item} ", f" {decontaminate.plain(texts[d])} ") if whole_words else (item, decontaminate.plain(texts[d]))
+                if (distance := edit_distance_to_part(p, t)) <= k:
+                    want[d, i] = distance
+        got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.find_items(spark, docs, bench, whole_words=whole_words).collect() if abs(r["doc_id"] // 9 - r["item_id"]) <= 2}
+        assert got == want
+        assert sum(d > 0 for d in want.values()) > 100
+
+
 def test_blocks_find_the_same(spark, monkeypatch):
     rng = random.Random(13)
     items = [words(rng, 12, 10**6) for _ in range(9)]
