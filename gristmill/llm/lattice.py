@@ -198,7 +198,7 @@ def _links_of_group(key: int, first: int, second: int, g: dict[str, np.ndarray],
     i, j = np.nonzero(near)
     if not len(i):
         return None
-    ids, weight, of = g["vec_id"], g["weight"], g["cells"].reshape(len(side), -1, 1 + PROBES)
+    ids, weight, of = g["id"], g["weight"], g["cells"].reshape(len(side), -1, 1 + PROBES)
     if first != second:
         i, j = rows[i], cols[j]
     counts = np.zeros(len(side), np.int64)
@@ -212,7 +212,7 @@ def _links_of_group(key: int, first: int, second: int, g: dict[str, np.ndarray],
 
 
 def hashed(classes: DataFrame, tables: int, scale: float) -> DataFrame:
-    """vec_id, weight, unit (doubles) and cells (longs) of classes (vec_id, weight, embedding) of usable vectors."""
+    """id, weight, unit (doubles) and cells (longs) of classes (id, weight, embedding) of usable vectors."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,17 +224,18 @@ def hashed(classes: DataFrame, tables: int, scale: float) -> DataFrame:
                 x /= np.abs(x).max(1, keepdims=True)
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
                 found = cells(x, tables, PROBES, scale)
-                yield pd.DataFrame({"vec_id": part["vec_id"], "weight": part["weight"], "unit": [r.tobytes() for r in x], "cells": [r.tobytes() for r in found], "keys": list(found.reshape(len(part), -1))})
+                yield pd.DataFrame({"id": part["id"], "weight": part["weight"], "unit": [r.tobytes() for r in x], "cells": [r.tobytes() for r in found], "keys": list(found.reshape(len(part), -1))})
 
-    return classes.mapInPandas(make, "vec_id long, weight long, unit binary, cells binary, keys array<long>")
+    return classes.mapInPandas(make, "id long, weight long, unit binary, cells binary, keys array<long>")
 
 
 def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id and kept, a row for each row of ``embeddings`` (vec_id, embedding).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-    different lengths are never linked. Equal vectors are linked, also rows that repeat a vec_id. A row
-    without vec_id links with nothing, has a null component and is kept. Other columns are ignored.
+    different lengths are never linked. Equal vectors are linked, also where they repeat a vec_id; rows that
+    repeat it with another vector are counted and linked by their own. A row without vec_id links with nothing,
+    has a null component and is kept. An empty table gives no rows. Other columns are ignored.
     """
     shared.text_batches(spark, 4000)
     values = F.col("embedding").cast("array<double>")
@@ -244,22 +245,23 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = COSI
     good = rows.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull() & usable)
     # Adding 0 makes both zeros one.
     good = good.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), F.col("v")))
-    counted = shared.save(spark, good.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("weight")), "vectors")
+    # Equal vectors are a class with a number of its own: a vec_id may stand with several vectors.
+    counted = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")).withColumn("id", F.monotonically_increasing_id())
+    counted = shared.save(spark, counted, "vectors")
     named = shared.save(spark, good.select("vec_id", "h1", "h2"), "names")
-    firsts = counted.select(F.col("first").alias("vec_id"), "h1", "h2", "weight")
-    classes = good.join(firsts, ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id", "h1", "h2"]).select("vec_id", "weight", F.col("v").alias("embedding"))
+    classes = good.join(counted, ["vec_id", "h1", "h2"]).dropDuplicates(["id"]).select("id", "weight", F.col("v").alias("embedding"))
     data = shared.save(spark, hashed(classes, *layout(counted.count(), least)), "hashed")
 
-    shown = data.select("vec_id", F.posexplode("keys").alias("at", "key")).select("vec_id", "key", (F.col("at") % (1 + PROBES) == 0).alias("home"))
+    shown = data.select("id", F.posexplode("keys").alias("at", "key")).select("id", "key", (F.col("at") % (1 + PROBES) == 0).alias("home"))
     # A cell that is nobody's home, or that one vector alone sees, makes no pair.
     sizes = shown.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("lived")).where("n > 1 and lived")
     sizes = shared.save(spark, sizes.select("key", "n"), "sizes")
-    met = shown.join(sizes, "key").join(data.select("vec_id", "weight", "unit", "cells"), "vec_id")
+    met = shown.join(sizes, "key").join(data.select("id", "weight", "unit", "cells"), "id")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    met = met.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    met = met.withColumn("blocks", blocks).withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other"))
     keys = ["key", "first", "second"]
-    dealt = met.select(*keys, "side", "home", "vec_id", "weight", "unit", "cells").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = met.select(*keys, "side", "home", "id", "weight", "unit", "cells").repartition(*keys).sortWithinPartitions(*keys)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple] = []
@@ -280,10 +282,11 @@ def near_vectors(spark: SparkSession, embeddings: DataFrame, least: float = COSI
 
     found = shared.save(spark, dealt.mapInPandas(compare, "a long, b long, n long, edge boolean"), "met")
     shared.drop(spark, data)
-    links = found.where("not edge").groupBy(F.col("a").alias("first")).agg(F.sum("n").alias("n"))
-    comps = components(spark, found.where("edge").select("a", "b")).select(F.col("id").alias("first"), "component")
-    known = counted.join(links, "first", "left").join(comps, "first", "left")
-    known = shared.save(spark, known.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "first").alias("component_id")), "known")
+    links = found.where("not edge").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    comps = shared.save(spark, components(spark, found.where("edge").select("a", "b")), "components")
+    least_of = comps.join(counted.select("id", "vec_id"), "id").groupBy("component").agg(F.min("vec_id").alias("least"))
+    known = counted.join(links, "id", "left").join(comps.join(least_of, "component"), "id", "left")
+    known = shared.save(spark, known.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("least", "vec_id").alias("component_id")), "known")
     linked = named.join(known, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     bad = F.col("v").isNull() | F.col("vec_id").isNull() | ~F.coalesce(usable, F.lit(False))
     alone = rows.where(bad).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
