@@ -154,7 +154,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _against_leaders(spark: SparkSession, pairs: DataFrame, payload: DataFrame, judge) -> DataFrame:
-    """Of pairs (a, b) those that ``judge`` keeps; payload is (doc_id, n_shingles, data).
+    """Of pairs (a, b) those that ``judge`` keeps; payload is (id, n_shingles, data).
 
     ``judge`` gets a leader's (n, data) and arrays of its partners'. A leader's partners are dealt out in
     parts of about ``PART``, and its data goes to each part, so neither data goes with every pair nor does a
@@ -162,9 +162,9 @@ def _against_leaders(spark: SparkSession, pairs: DataFrame, payload: DataFrame,
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     parts = shared.save(spark, parts, "parts")
-    member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("b").alias("doc_id"))
-    leader = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("doc_id"))
-    rows = member.unionByName(leader).join(payload, "doc_id").select("a", "part", "kind", "doc_id", "n_shingles", "data")
+    member = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), F.col("b").alias("id"))
+    leader = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.col("a").alias("id"))
+    rows = member.unionByName(leader).join(payload, "id").select("a", "part", "kind", "id", "n_shingles", "data")
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", "kind")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,7 +182,7 @@ def _against_leaders(spark: SparkSession, pairs: DataFrame, payload: DataFrame,
                     part = slice(at + 1, end)
                     found = judge(n, data, batch["n_shingles"].to_numpy()[part], batch["data"].iloc[part])
                     keep += (np.flatnonzero(found) + at + 1).tolist()
-            yield pd.DataFrame({"a": batch["a"].iloc[keep], "b": batch["doc_id"].iloc[keep]})
+            yield pd.DataFrame({"a": batch["a"].iloc[keep], "b": batch["id"].iloc[keep]})
 
     return dealt.mapInPandas(run, "a long, b long")
 
@@ -251,7 +251,7 @@ def _links_between(key: int, first: int, second: int, g: pd.DataFrame) -> list[t
     i, j = _candidates(key, first, second, g)
     if not len(i):
         return []
-    n, comp, ids = (g[c].to_numpy() for c in ("n_shingles", "comp", "doc_id"))
+    n, comp, ids = (g[c].to_numpy() for c in ("n_shingles", "comp", "id"))
     sets = [np.frombuffer(v, np.uint64) for v in g["data"]]
     if len(i) <= 4 * len(g):
         both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
@@ -276,8 +276,8 @@ def _links_between(key: int, first: int, second: int, g: pd.DataFrame) -> list[t
     return out
 
 
-def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) inside buckets (key, doc_id, comp) whose members are in different components.
+def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) inside buckets (key, id, comp) whose members are in different components.
 
     A bucket's rows outside its largest component are compared with all of it; the largest component's rows
     are not compared with each other. Both go to the tasks in blocks.
@@ -287,19 +287,19 @@ def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
     mixed = shared.save(spark, mixed.select("key", F.col("top.comp").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("p"), blocks(F.col("top.n")).alias("q")), "mixed")
     rows = labelled.join(mixed, "key")
-    main, h = F.col("comp") == F.col("main"), F.xxhash64("doc_id")
+    main, h = F.col("comp") == F.col("main"), F.xxhash64("id")
     dealt = rows.withColumn("side", F.when(main, F.col("p") + F.pmod(h, F.col("q"))).otherwise(F.pmod(h, F.col("p"))).cast("int"))
     last = F.when(main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other"))
     keys = ["key", "first", "second"]
-    dealt = dealt.select(*keys, "side", "doc_id", "comp").join(sizes, "doc_id").repartition(*keys).sortWithinPartitions(*keys)
-    schema = "key long, first int, second int, side int, doc_id long, comp long"
+    dealt = dealt.select(*keys, "side", "id", "comp").join(sizes, "id").repartition(*keys).sortWithinPartitions(*keys)
+    schema = "key long, first int, second int, side int, id long, comp long"
 
     def hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (key, first, second), g in whole_groups(batches, keys):
             i, j = _candidates(key, first, second, g)
             if len(i):
-                yield g.iloc[np.union1d(i, j)][[*keys, "side", "doc_id", "comp"]]
+                yield g.iloc[np.union1d(i, j)][[*keys, "side", "id", "comp"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (key, first, second), g in whole_groups(batches, keys):
@@ -309,8 +309,8 @@ def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs
 
     # Registers decide first which documents of two blocks are worth their sets.
     some = shared.save(spark, dealt.mapInPandas(hopeful, schema), "hopeful")
-    sets = full_sets(spark, docs, some.select("doc_id"))
-    again = some.join(sizes, "doc_id").join(sets, "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+    sets = full_sets(spark, docs, classes.join(some.select("id").distinct(), "id"))
+    again = some.join(sizes, "id").join(sets, "id").repartition(*keys).sortWithinPartitions(*keys)
     out = shared.save(spark, again.mapInPandas(compare, "a long, b long"), "rest")
     for table in (by, mixed, some, sets):
         shared.drop(spark, table)
@@ -337,16 +337,16 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[t
         yield at, left[0] if len(left) == 1 else pd.concat(left)
 
 
-def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and data, the set of shingles, of documents among ``ids`` (doc_id).
+def full_sets(spark: SparkSession, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """id and data, the set of shingles, of ``classes`` (id, doc_id of a member, key1, key2).
 
     A filter of at most ``MOST_BITS`` bits (16 MB) goes to the tasks, so that texts of other documents are not
-    shuffled; what passes it by chance goes with the join.
+    shuffled; what passes it by chance, and other texts under a member's doc_id, go with the join.
     """
-    ids = shared.save(spark, ids.distinct(), "ids")
-    bits = 64 * max(1024, min(MOST_BITS, 16 * ids.count()) // 64)
+    wanted = shared.save(spark, classes.select("id", "doc_id", "key1", "key2"), "wanted")
+    bits = 64 * max(1024, min(MOST_BITS, 16 * wanted.count()) // 64)
     at = F.pmod(F.xxhash64("doc_id", F.lit("filter")), F.lit(bits))
-    words = ids.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = wanted.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     held, found = np.zeros(bits // 64, np.int64), words.toArrow()
     held[found["w"].to_numpy()] = found["b"].to_numpy()
 
@@ -354,53 +354,65 @@ def full_sets(spark: SparkSession, docs: DataFrame, ids: DataFrame) -> DataFrame
         for batch in batches:
             place = batch["at"].to_numpy()
             hit = (held[place >> 6] >> (place & 63)) & 1 == 1
-            some = batch.loc[hit]
-            yield pd.DataFrame({"doc_id": some["doc_id"], "data": [shingles(word_hashes(t or "")).tobytes() for t in some["text"]]})
+            some = [(d, w) for d, t in batch.loc[hit, ["doc_id", "text"]].itertuples(index=False) if len(w := word_hashes(t or ""))]
+            keys = [sequence_key(w) for _, w in some]
+            yield pd.DataFrame({"doc_id": [d for d, _ in some], "key1": [k[0] for k in keys], "key2": [k[1] for k in keys], "data": [shingles(w).tobytes() for _, w in some]})
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("at", at)
-    found = rows.mapInPandas(full, "doc_id long, data binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    out = shared.save(spark, found, "sets")
-    shared.drop(spark, ids)
+    found = rows.mapInPandas(full, "doc_id long, key1 long, key2 long, data binary").join(wanted, ["doc_id", "key1", "key2"])
+    out = shared.save(spark, found.select("id", "data").dropDuplicates(["id"]), "sets")
+    shared.drop(spark, wanted)
     return out
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, a row for each row of ``docs`` (doc_id, text).
 
-    Null texts and texts without words have no shingles and stay alone. Equal word sequences are linked.
-    Rows that repeat a doc_id are in one component with it. A null doc_id stays alone, with a null component,
-    and is kept. Columns other than doc_id and text are ignored; an empty table gives no rows.
+    Null texts and texts without words have no shingles and stay alone. Equal word sequences are linked. Rows
+    that repeat a doc_id are one document: they are in one component, which holds all that is linked with any
+    of their texts. A null doc_id stays alone, with a null component, and is kept. Columns other than doc_id
+    and text are ignored; an empty table gives no rows.
     """
     shared.text_batches(spark)
     sketch = shared.save(spark, sketches(docs), "sketches")
     named = sketch.where("key1 is not null and doc_id is not null")
-    classes = shared.save(spark, named.groupBy("key1", "key2").agg(F.min("doc_id").alias("first")), "classes")
-    firsts = classes.select(F.col("first").alias("doc_id"), "key1", "key2")
-    chosen = named.join(firsts, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1"])
-    one = shared.save(spark, chosen.select("doc_id", "n_shingles", "regs", "bands"), "one")
-
-    banded = one.select("doc_id", F.explode("bands").alias("key"))
-    buckets = shared.save(spark, banded.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("leader")).where("n > 1"), "buckets")
-    held = shared.save(spark, banded.join(buckets, "key").select("key", "n", "leader", "doc_id"), "held")
-    pairs = held.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-    sizes = one.select("doc_id", "n_shingles", "regs")
+    # Equal word sequences are a class with a number of its own: a doc_id may stand with several texts.
+    classes = named.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id")).withColumn("id", F.monotonically_increasing_id())
+    classes = shared.save(spark, classes, "classes")
+    chosen = named.join(classes, ["doc_id", "key1", "key2"]).dropDuplicates(["id"])
+    one = shared.save(spark, chosen.select("id", "n_shingles", "regs", "bands"), "one")
+
+    banded = one.select("id", F.explode("bands").alias("key"))
+    buckets = shared.save(spark, banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "buckets")
+    held = shared.save(spark, banded.join(buckets, "key").select("key", "n", "leader", "id"), "held")
+    pairs = held.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    sizes = one.select("id", "n_shingles", "regs")
 
     probable = shared.save(spark, _against_leaders(spark, pairs, sizes.withColumnRenamed("regs", "data"), _probable), "probable")
-    sets = full_sets(spark, docs, probable.select(F.col("a").alias("doc_id")).unionByName(probable.select(F.col("b").alias("doc_id"))))
-    links = shared.save(spark, _against_leaders(spark, probable, sizes.select("doc_id", "n_shingles").join(sets, "doc_id"), _similar), "links")
+    ends = probable.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = full_sets(spark, docs, classes.join(ends, "id"))
+    links = shared.save(spark, _against_leaders(spark, probable, sizes.select("id", "n_shingles").join(sets, "id"), _similar), "links")
     for table in (sets, probable):
         shared.drop(spark, table)
     found = components(spark, links)
-    label = F.coalesce("component", "doc_id").alias("comp")
-    labelled = held.where("n > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", label)
-    rest = _rest_links(spark, labelled, sizes, docs)
-    if not rest.isEmpty():
-        found = components(spark, links.unionByName(rest))
-    for table in (one, buckets, held, links, rest):
-        shared.drop(spark, table)
-
-    own = classes.join(found.select(F.col("id").alias("first"), "component"), "first", "left").select("key1", "key2", F.coalesce("component", "first").alias("component_id"))
+    label = F.coalesce("component", "id").alias("comp")
+    labelled = held.where("n > 2").join(found, "id", "left").select("key", "id", label)
+    rest = _rest_links(spark, labelled, sizes, docs, classes)
+    links = links.unionByName(rest)
+    # Classes that share a doc_id are one document's.
+    several = named.groupBy("doc_id").agg(F.min("key1").alias("low"), F.max("key1").alias("high"), F.min("key2").alias("low2"), F.max("key2").alias("high2")).where("low <> high or low2 <> high2")
+    texts = named.join(several.select("doc_id"), "doc_id").select("doc_id", "key1", "key2").distinct().join(classes.drop("doc_id"), ["key1", "key2"])
+    texts = shared.save(spark, texts.select("doc_id", "id"), "texts")
+    shared_ids = texts.join(texts.groupBy("doc_id").agg(F.min("id").alias("a")), "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    if not rest.isEmpty() or not texts.isEmpty():
+        found = components(spark, links.unionByName(shared_ids))
+
+    found = shared.save(spark, found, "components")
+    least = found.join(classes.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("least"))
+    own = classes.join(found.join(least, "component").select("id", "least"), "id", "left").select("key1", "key2", F.coalesce("least", "doc_id").alias("component_id"))
     own = shared.save(spark, own, "own")
+    for table in (one, buckets, held, rest, texts, found):
+        shared.drop(spark, table)
     out = sketch.select("doc_id", "n_shingles", "key1", "key2").join(own, ["key1", "key2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -699,3 +699,70 @@ def test_batches_count_once(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_queries_with_oracles(spark, name):
     assert oracle.differences(registry.QUERIES[name](spark, SF), oracle.connect(SF), registry.ORACLES[name]) == ""
+
+
+def linked_components(n, links):
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(n)]
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """30 groups: one id with two texts, near copies of each; and near copies under one id, equal texts under two, null ids."""
+    rng = random.Random(31)
+
+    def near(text):
+        w = text.split()
+        w[rng.randrange(len(w))] = "other"
+        return " ".join(w)
+
+    rows = []
+    for g in range(30):
+        a, b = words(rng, 60), words(rng, 60)
+        rows += [(10 * g + 1, a), (10 * g + 1, b), (10 * g + 2, near(a)), (10 * g + 3, near(b)), (10 * g + 4, words(rng, 60)), (None, a)]
+        rows += [(10 * g + 5, b), (10 * g + 6, (c := words(rng, 60))), (10 * g + 6, near(c)), (10 * g + 6, None), (10 * g + 7, near(c))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", 1, "y") for i, t in rows], DOCS).repartition(3)
+    sets = [set(neardup.shingles(neardup.word_hashes(t or "")).tolist()) for _, t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] is not None and rows[j][0] is not None and (
+        rows[i][0] == rows[j][0] or sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))]
+    of = linked_components(len(rows), links)
+    least = {c: min((rows[i][0] for i in range(len(rows)) if of[i] == c and rows[i][0] is not None), default=None) for c in set(of)}
+    want = sorted(((d, len(sets[i]), least[of[i]] if d is not None else None, d is None or least[of[i]] == d) for i, (d, _) in enumerate(rows)), key=str)
+    assert sorted(map(tuple, neardup.near_duplicates(spark, docs).collect()), key=str) == want
+
+
+def test_vector_ids_that_repeat_with_other_vectors(spark):
+    rng = np.random.default_rng(32)
+    rows = []
+    for g in range(12):
+        basis = np.linalg.qr(rng.standard_normal((16, 2)))[0].T
+        turn = lambda t, basis=basis: (np.cos(t) * basis[0] + np.sin(t) * basis[1]).tolist()
+        rows += [(10 * g + 1, turn(0)), (10 * g + 1, turn(0.1)), (10 * g + 2, turn(0.05)), (10 * g + 3, turn(2)), (10 * g + 1, turn(2.02)), (10 * g + 4, turn(0)), (None, turn(0))]
+    units = np.array([v for _, v in rows], np.float32).astype(float)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] is not None and rows[j][0] is not None and units[i] @ units[j] >= 0.95]
+    of = linked_components(len(rows), links)
+    counts = Counter(x for pair in links for x in pair)
+    least = {c: min(rows[i][0] for i in range(len(rows)) if of[i] == c and rows[i][0] is not None) for c in set(of) if any(of[i] == c and rows[i][0] is not None for i in range(len(rows)))}
+    want = sorted(((d, counts[i], None if d is None else least[of[i]]) for i, (d, _) in enumerate(rows)), key=str)
+    got = lattice.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3))
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()), key=str) == want
+
+
+@pytest.mark.parametrize("rows", [10**5, 10**7, 10**9])
+def test_cells_let_near_vectors_meet_at_all_sizes(rows):
+    tables, scale = lattice.layout(rows)
+    rng = np.random.default_rng(33)
+    a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in rng.standard_normal((2, 600, 64)))
+    b -= (a * b).sum(1, keepdims=True) * a
+    b *= np.sqrt(1 - lattice.COSINE**2) / np.linalg.norm(b, axis=1, keepdims=True)
+    x, y = (lattice.cells(v, tables, lattice.PROBES, scale) for v in (a, lattice.COSINE * a + b))
+    assert ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1).mean() >= 0.98
