@@ -30,7 +30,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays, the one with the least doc_id; of rows that repeat it, one."""
+    """One document of each component stays, the one with the least doc_id; of rows that repeat it, one for each text."""
     docs = docs.select(*COLUMNS)
     found = shared.save(spark, neardup.near_duplicates(spark, docs), "components")
     gone = shared.save(spark, found.where("not kept").select("doc_id").distinct(), "gone")
@@ -40,8 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if twice.isEmpty():
         return kept.select(*COLUMNS)
     twice = shared.save(spark, twice, "twice")
-    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select("doc_id", "row.*"))
+    once = kept.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    return kept.join(twice, "doc_id", "left_anti").select(*COLUMNS).unionByName(once.select("doc_id", "text", "row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
