@@ -9,48 +9,42 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import ordering
+from gristmill.functions.scan import Scan
 
 DA = r"^DA:(-?[0-9]+),(-?[0-9]+)(?:,.*)?\z"
 
 
-def _records(lines: DataFrame) -> DataFrame:
-    w = Window.partitionBy("doc").orderBy("ord")
-    opened = F.sum(F.when(F.col("text").startswith("SF:"), 1).otherwise(0)).over(w)
-    closed = F.sum(F.when(F.col("text") == "end_of_record", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return lines.withColumn("opened", opened).withColumn("closed", F.coalesce(closed, F.lit(0)))
-
-
-def parse_large_lcov(lines: DataFrame, repo: str = "") -> DataFrame:
-    """As ``parse_lcov``, for reports that are too long for one task: SF lines number the records, which are read one by one."""
-    opens = F.col("text").startswith("SF:").cast("int")
-    numbered = ordering.sums_before(lines.select("doc", "ord", "text"), ["doc", "ord"], opens)
-    return parse_lcov(numbered.withColumn("part", F.col("before") + opens), repo, ("doc", "part"))
-
-
-def parse_lcov(lines: DataFrame, repo: str = "", whole: tuple[str, ...] = ("doc",)) -> DataFrame:
+def parse_lcov(lines: DataFrame, repo: str = "") -> DataFrame:
     """doc, file, line, hits from LCOV lines (doc, ord, text); hits of repeated lines are summed.
 
-    ``repo`` is a folder that is cut from the front of paths. Lines with the same values of ``whole`` are read
-    by one task.
+    ``repo`` is a folder that is cut from the front of paths. A report is read by ranges of its lines, so it may
+    have any length; the state at a line is the last SF line.
     """
-    w = Window.partitionBy(*whole).orderBy("ord")
     path = F.when(F.col("text").startswith("SF:"), F.substr("text", F.lit(4)))
-    rows = lines.withColumn("file", F.last(path, ignorenulls=True).over(w))
     if repo:
         prefix = repo.rstrip("/") + "/"
-        rows = rows.withColumn("file", F.when(F.col("file").startswith(prefix), F.substr("file", F.lit(len(prefix) + 1))).otherwise(F.col("file")))
+        path = F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
+    # Other lines change nothing and tell nothing.
+    kept = lines.select("doc", "ord", "text").where(F.col("text").startswith("SF:") | F.col("text").rlike(DA))
+    rows = Scan(kept, ["doc"], ["ord"]).read(lasts={"file": path}).rows
     da = rows.where(F.col("text").rlike(DA)).select("doc", "file", F.regexp_extract("text", DA, 1).cast("int").alias("line"), F.regexp_extract("text", DA, 2).cast("bigint").alias("hits"))
     return da.groupBy("doc", "file", "line").agg(F.sum("hits").alias("hits"))
 
 
+#: The same; kept for those who call it by this name.
+parse_large_lcov = parse_lcov
+
+
 def valid_lcov(lines: DataFrame) -> DataFrame:
-    """doc, valid: every record opens with SF, closes, and is not nested; DA lines are whole and inside; one at least."""
-    inside = F.col("opened") > F.col("closed")
+    """doc, valid: every record opens with SF, closes, and is not nested; DA lines are whole and inside; one at least.
+
+    The state at a line is how many records have opened and closed before it.
+    """
     sf, da, end = F.col("text").startswith("SF:"), F.col("text").startswith("DA:"), F.col("text") == "end_of_record"
-    good = F.when(sf, F.col("opened") == F.col("closed") + 1).when(da, inside & F.col("text").rlike(DA)).when(end, inside).otherwise(~F.col("text").startswith("end_of_record"))
-    states = _records(lines).withColumn("good", good)
-    return states.groupBy("doc").agg((F.min("good") & (F.sum(da.cast("int")) > 0) & (F.sum(sf.cast("int")) == F.sum(end.cast("int")))).alias("valid"))
+    states = Scan(lines.select("doc", "ord", "text"), ["doc"], ["ord"]).read({"opened": sf, "closed": end}).rows
+    inside = F.col("opened") > F.col("closed")
+    good = F.when(sf, F.col("opened") == F.col("closed")).when(da, inside & F.col("text").rlike(DA)).when(end, inside).otherwise(~F.col("text").startswith("end_of_record"))
+    return states.withColumn("good", good).groupBy("doc").agg((F.min("good") & (F.sum(da.cast("int")) > 0) & (F.sum(sf.cast("int")) == F.sum(end.cast("int")))).alias("valid"))
 
 
 def csv_fields(text):

@@ -2,71 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions import ordering
 from gristmill.functions.patterns import WHOLE_FILE_BYTES
+from gristmill.functions.scan import Scan
 
+# The format's header of a hunk, and what stands around a file's name.
+FILE_ENDS = r"^[ab]/|\t.*$"
 HUNK = r"^@@ -([0-9]+)(?:,([0-9]+))? \+([0-9]+)(?:,([0-9]+))? @@"
 
 
-def parse_large_diff(lines: DataFrame) -> DataFrame:
-    """As ``parse_diff``, for diffs that are too long for one task: hunk_ord counts in each file.
-
-    Lines that begin with ``diff --git`` are headers wherever they stand, as a hunk's lines begin with another
-    character. They number the files, by sums over ranges of lines; then each file is read by itself.
-    """
-    header = F.col("text").startswith("diff --git ").cast("int")
-    numbered = ordering.sums_before(lines.select("doc", "ord", "text"), ["doc", "ord"], header)
-    return parse_diff(numbered.withColumn("part", F.col("before") + header), ("doc", "part"))
-
-
-def parse_diff(lines: DataFrame, whole: tuple[str, ...] = ("doc",)) -> DataFrame:
+def parse_diff(lines: DataFrame) -> DataFrame:
     """Changed lines of unified diffs: doc, file, deleted, hunk_ord, old_start, new_start, side, line, text.
 
     ``lines`` has doc (which diff), ord (line order) and text. A header is one only outside a hunk's body, so
     removed lines that begin with ``--`` stay lines. A removed line has its old number, an added one its new.
-    Lines with the same values of ``whole`` are read by one task.
+    A diff is read by ranges of its lines, so it may have any length: the state at a line is the last hunk
+    header, the lines of both sides before it, and the last file names outside of bodies.
     """
-    w = Window.partitionBy(*whole).orderBy("ord")
-    rows = lines.select(*whole, "ord", "text").withColumn("_at", F.col("text").rlike(HUNK)).withColumn("_git", F.col("text").startswith("diff --git "))
-    size = lambda i: F.when(F.regexp_extract("text", HUNK, i - 1) == "", F.lit(None)).when(F.regexp_extract("text", HUNK, i) == "", F.lit(1)).otherwise(F.regexp_extract("text", HUNK, i).try_cast("int"))
-    rows = rows.withColumns(
-        {
-            "_hunk": F.sum(F.col("_at").cast("int")).over(w),
-            "_file": F.sum((F.col("_git") | (F.col("text").startswith("--- ") & F.lead(F.col("text").startswith("+++ ")).over(w))).cast("int")).over(w),
-            "_old": F.when(F.col("_at"), F.regexp_extract("text", HUNK, 1).cast("int")),
-            "_new": F.when(F.col("_at"), F.regexp_extract("text", HUNK, 3).cast("int")),
-            "_olds": F.when(F.col("_at"), size(2)),
-            "_news": F.when(F.col("_at"), size(4)),
-        }
-    )
-    inside = Window.partitionBy(*whole, "_hunk").orderBy("ord")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    kind = F.substring("text", 1, 1)
-    rows = rows.withColumns({c: F.first(c, ignorenulls=True).over(inside) for c in ("_old", "_new", "_olds", "_news")})
-    rows = rows.withColumns(
-        {
-            "_o": F.coalesce(F.sum(F.when(~F.col("_at") & (kind.isin("-", " ") | (F.col("text") == "")), 1).otherwise(0)).over(before), F.lit(0)),
-            "_n": F.coalesce(F.sum(F.when(~F.col("_at") & (kind.isin("+", " ") | (F.col("text") == "")), 1).otherwise(0)).over(before), F.lit(0)),
-        }
-    )
-    body = ~F.col("_at") & (F.col("_hunk") > 0) & ((F.col("_o") < F.col("_olds")) | (F.col("_n") < F.col("_news")))
-    rows = rows.withColumn("_body", body)
-    path = lambda p: F.when(~F.col("_body") & F.col("text").startswith(p), F.regexp_replace(F.substr("text", F.lit(5)), r"^[ab]/|\t.*$", ""))
-    rows = rows.withColumn("_minus", path("--- ")).withColumn("_plus", path("+++ "))
-    upto = Window.partitionBy(*whole).orderBy("ord")
-    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("_minus", "_plus")})
+    text, kind = F.col("text"), F.substring("text", 1, 1)
+    part = lambda i: F.regexp_extract("text", HUNK, i)
+    count = lambda i: F.when(part(i) == "", F.lit(1)).otherwise(part(i).try_cast("int"))
+    head = F.struct(part(1).try_cast("int").alias("old"), part(3).try_cast("int").alias("new"), count(2).alias("olds"), count(4).alias("news"))
+    # Headers are read once, before the lines are dealt; a header begins with a sign that no line of a body has.
+    read = lines.select("doc", "ord", "text", F.when(text.startswith("@@") & text.rlike(HUNK), head).alias("_at"))
+    at = F.col("_at").isNotNull()
+    old, new = (~at & (kind.isin(sign, " ") | (text == "")) for sign in "-+")
+    found = Scan(read, ["doc"], ["ord"]).read({"_hunk": at, "_o": old, "_n": new}, {"_head": F.col("_at")})
+    o, n = F.col("_o") - F.col("_head__o"), F.col("_n") - F.col("_head__n")
+    found.with_columns({"_body": ~at & F.coalesce((o < F.col("_head.olds")) | (n < F.col("_head.news")), F.lit(False))})
+    path = lambda p: F.when(~F.col("_body") & text.startswith(p), F.regexp_replace(F.substr("text", F.lit(5)), FILE_ENDS, ""))
+    found.read(lasts={"_minus": path("--- "), "_plus": path("+++ ")})
     gone = F.col("_plus") == "/dev/null"
-    found = rows.where(F.col("_body") & kind.isin("+", "-"))
-    return found.select(
+    return found.rows.where(F.col("_body") & kind.isin("+", "-")).select(
         "doc", F.when(gone, F.col("_minus")).otherwise(F.col("_plus")).alias("file"), gone.alias("deleted"), F.col("_hunk").alias("hunk_ord"),
-        F.col("_old").alias("old_start"), F.col("_new").alias("new_start"), kind.alias("side"),
-        F.when(kind == "+", F.col("_new") + F.col("_n")).otherwise(F.col("_old") + F.col("_o")).cast("int").alias("line"), F.substr("text", F.lit(2)).alias("text"), "ord",
+        F.col("_head.old").alias("old_start"), F.col("_head.new").alias("new_start"), kind.alias("side"),
+        F.when(kind == "+", F.col("_head.new") + n).otherwise(F.col("_head.old") + o).cast("int").alias("line"), F.substr("text", F.lit(2)).alias("text"), "ord",
     )
 
 
+#: The same; kept for those who call it by this name.
+parse_large_diff = parse_diff
+
+
 def touched_lines(changed: DataFrame) -> DataFrame:
     """doc, file, line: added lines; of a hunk that only removes, the lines around the gap."""
     added = changed.where("side = '+'").select("doc", "file", "line")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.scan import Scan
+
 VERSION = r"^[0-9][0-9A-Za-z.!+_-]*\z"
 
 
@@ -20,26 +22,31 @@ def _registry(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("version").rlike(VERSION)).select("doc", "name", "version", "line", "end", "registry")
 
 
-def _numbered(lines: DataFrame) -> tuple[DataFrame, Window]:
-    w = Window.partitionBy("doc").orderBy("ord")
-    return lines.withColumns({"at": F.row_number().over(w), "last": F.count("*").over(Window.partitionBy("doc"))}), w
+def _read(lines: DataFrame, opens: Column | None = None, lasts: dict[str, Column] | None = None) -> Scan:
+    """Lines with their number ``at``, from 1, and how many open a block up to them, ``n``.
+
+    A lock file is read by ranges of its lines, so it may have any length.
+    """
+    sums = {"at": F.lit(1)} | ({} if opens is None else {"n": opens})
+    found = Scan(lines.select("doc", "ord", "text"), ["doc"], ["ord"]).read(sums, lasts)
+    return found.with_columns({"at": F.col("at") + 1} | ({} if opens is None else {"n": F.col("n") + opens.cast("int")}))
 
 
-def _in_section(opens: Column, closes: Column, w) -> Column:
-    """Whether the last opening or closing line up to here opened."""
-    return F.coalesce(F.last(F.when(opens, True).when(closes, False), ignorenulls=True).over(w), F.lit(False))
+def _section(opens: Column, closes: Column) -> Column:
+    """What a line says of the section that the next ones are in; null if nothing."""
+    return F.when(opens, True).when(closes, False)
 
 
 def parse_package_lock(lines: DataFrame) -> DataFrame:
     """doc, name, version, line, end, registry of npm's lock (doc, ord, text): entries two columns inside ``packages``."""
-    rows, w = _numbered(lines)
-    rows = rows.withColumn("indent", F.last(F.when(F.col("text").rlike(r'^\s*"packages":\s*\{'), F.length(F.regexp_extract("text", r"^(\s*)", 1))), ignorenulls=True).over(w))
+    rows = _read(lines, lasts={"indent": F.when(F.col("text").rlike(r'^\s*"packages":\s*\{'), F.length(F.regexp_extract("text", r"^(\s*)", 1)))})
     entry = r'^(\s*)"((?:[^"\\]|\\.)*)":\s*\{\s*\z'
     opens = F.col("text").rlike(entry) & (F.length(F.regexp_extract("text", entry, 1)) == F.col("indent") + 2)
-    rows = rows.withColumn("path", F.when(opens, F.regexp_extract("text", entry, 2))).withColumn("n", F.sum(opens.cast("int")).over(w)).where("n > 0")
+    opens = F.coalesce(opens, F.lit(False))
+    rows = rows.read({"n": opens}).rows.withColumn("path", F.when(opens, F.regexp_extract("text", entry, 2))).withColumn("n", F.col("n") + opens.cast("int")).where("n > 0")
     version = r'^\s*"version":\s*"([^"]+)"'
     found = rows.groupBy("doc", "n").agg(
-        F.max("path").alias("path"), F.min("at").alias("line"), F.max("at").alias("until"), F.max("last").alias("last"),
+        F.max("path").alias("path"), F.min("at").alias("line"), F.max("at").alias("until"),
         F.max_by(F.when(F.col("text").rlike(version), F.regexp_extract("text", version, 1)), F.when(F.col("text").rlike(version), F.col("at"))).alias("version"),
         F.max(F.col("text").rlike(r'^\s*"(?:resolved|integrity)":\s*"\S+"')).alias("backed"),
     )
@@ -50,27 +57,24 @@ def parse_package_lock(lines: DataFrame) -> DataFrame:
 
 def parse_bun_lock(lines: DataFrame) -> DataFrame:
     """The same of a text lock whose section ``packages`` has a line for each package."""
-    rows, w = _numbered(lines)
-    inside = _in_section(F.col("text").rlike(r'^\s*"packages":\s*\{'), F.col("text").rlike(r"^\s{2}\},?\s*\z"), w)
+    rows = _read(lines, lasts={"inside": _section(F.col("text").rlike(r'^\s*"packages":\s*\{'), F.col("text").rlike(r"^\s{2}\},?\s*\z"))}).rows
     pattern = r'^\s{4}"[^"]+":\s*\[\s*"((?:[^"\\]|\\.)+)"'
-    hit = rows.withColumn("inside", inside).where(F.col("inside") & F.col("text").rlike(pattern)).withColumn("spec", split_spec(F.regexp_extract("text", pattern, 1)))
+    hit = rows.where(F.col("inside") & F.col("text").rlike(pattern)).withColumn("spec", split_spec(F.regexp_extract("text", pattern, 1)))
     return _registry(hit.select("doc", "spec.name", "spec.version", F.col("at").alias("line"), F.col("at").alias("end"), F.lit("npm").alias("registry")))
 
 
 def parse_pnpm_lock(lines: DataFrame) -> DataFrame:
     """The same of a YAML lock with two-column keys under ``packages:``; suffixes in parentheses are cut."""
-    rows, w = _numbered(lines)
-    inside = _in_section(F.col("text") == "packages:", F.col("text").rlike(r"^\S"), w)
+    rows = _read(lines, lasts={"inside": _section(F.col("text") == "packages:", F.col("text").rlike(r"^\S"))}).rows
     pattern = r"""^\s{2}['"]?(.+?)['"]?:\s*\z"""
-    hit = rows.withColumn("inside", inside).where(F.col("inside") & F.col("text").rlike(pattern)).withColumn("spec", split_spec(F.regexp_replace(F.regexp_extract("text", pattern, 1), r"\(.+\z", "")))
+    hit = rows.where(F.col("inside") & F.col("text").rlike(pattern)).withColumn("spec", split_spec(F.regexp_replace(F.regexp_extract("text", pattern, 1), r"\(.+\z", "")))
     return _registry(hit.select("doc", "spec.name", "spec.version", F.col("at").alias("line"), F.col("at").alias("end"), F.lit("npm").alias("registry")))
 
 
 def parse_python_lock(lines: DataFrame, require_registry: bool = False) -> DataFrame:
     """The same of ``[[package]]`` blocks; ``require_registry``: only packages whose source names a registry."""
-    rows, w = _numbered(lines)
     opens = F.trim("text") == "[[package]]"
-    rows = rows.withColumn("n", F.sum(opens.cast("int")).over(w)).where("n > 0")
+    rows = _read(lines, opens).rows.where("n > 0")
 
     def value(key: str) -> Column:
         pattern = rf'^{key}\s*=\s*"([^"]+)"'
