@@ -127,23 +127,40 @@ def declared_aliases(configs: DataFrame) -> DataFrame:
     return configs.select("file", text.rlike(P.TSCONFIG_PATHS).alias("declares"), parent.alias("parent"), F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), p["path"].alias("path"), i.alias("i"))).alias("aliases"))
 
 
-def inherited_aliases(configs: DataFrame, most: int = 20) -> DataFrame:
-    """file, aliases of every tsconfig: its own paths, else those of the nearest config along ``extends`` that declares some.
+def chain_ends(links: DataFrame) -> DataFrame:
+    """node, end: where each node's chain of ``links`` (node, next) ends; nodes whose chain comes back to itself have none.
 
-    A chain that comes back to a config, or that is longer than ``most``, declares none. Each step is one join.
+    Pointer doubling: each round sends every open pointer to where its target points, so a chain of n steps
+    takes the logarithm of n rounds; those still open when twice the steps of the longest possible chain are
+    done go round in a circle. A link to a node that is not there ends before it. Each round is one join, cut
+    from its lineage by a checkpoint; a node has one link, or several rows say the same.
     """
-    table = declared_aliases(configs)
-    open_ = table.select("file", F.col("file").alias("at"))
-    done = None
-    step = table.select(F.col("file").alias("at"), "declares", "parent", "aliases")
-    for _ in range(most):
-        met = open_.join(step, "at")
-        hit = met.where("declares").select("file", "aliases")
-        done = hit if done is None else done.unionByName(hit)
-        open_ = met.where("not declares and parent is not null and not startswith(parent, '..')").select("file", F.col("parent").alias("at"))
-        if open_.isEmpty():
+    ordering.ensure_checkpoints(links.sparkSession)
+    nodes = links.select("node").distinct()
+    there = links.join(nodes.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next").distinct()
+    now = nodes.join(there, "node", "left").select("node", F.coalesce("next", "node").alias("end"), F.col("next").isNull().alias("done")).checkpoint()
+    rounds = max(1, now.where("not done").count()).bit_length() + 1
+    for _ in range(rounds):
+        to = now.select(F.col("node").alias("end"), F.col("end").alias("onward"), F.col("done").alias("ends"))
+        moved = now.where("not done").join(to, "end").select("node", F.col("onward").alias("end"), F.col("ends").alias("done"))
+        now = now.where("done").unionByName(moved).checkpoint()
+        if now.where("not done").isEmpty():
             break
-    return done
+    return now.where("done").select("node", "end")
+
+
+def inherited_aliases(configs: DataFrame) -> DataFrame:
+    """file, aliases of every tsconfig: its own paths, else those of the nearest config along ``extends`` that declares some.
+
+    A chain may have any length. One that comes back to a config, leaves the repository, or ends without paths
+    gives no row. A file that occurs twice counts once.
+    """
+    ordering.ensure_checkpoints(configs.sparkSession)
+    table = declared_aliases(configs).dropDuplicates(["file"]).checkpoint()
+    up = F.when(~F.col("declares") & ~F.col("parent").startswith(".."), F.col("parent"))
+    ends = chain_ends(table.select(F.col("file").alias("node"), up.alias("next")))
+    own = table.where("declares").select(F.col("file").alias("end"), "aliases")
+    return ends.join(own, "end").select(F.col("node").alias("file"), "aliases")
 
 
 def package_imports(manifests: DataFrame) -> DataFrame:
@@ -185,8 +202,8 @@ def expanded(rows: DataFrame) -> DataFrame:
     rest = F.substr(s, F.length(pre) + 1, F.greatest(F.length(s) - F.length(pre) - F.length(post), F.lit(0)))
     weight = F.when(s == F.col("key"), 1_000_000).otherwise(F.length(pre))
     hit = a.where(fits).select("file", "specifier", "key", "i", weight.alias("w"), F.when((star == 0) | ~F.contains("path", F.lit("*")), F.col("path")).otherwise(F.concat(F.substring_index("path", "*", 1), rest, F.when(F.contains("path", F.lit("*")), F.substr("path", F.instr("path", "*") + 1)).otherwise(F.lit("")))).alias("base"))
-    best = hit.groupBy("file", "specifier").agg(F.max_by("key", F.struct("w", -F.col("i"))).alias("key"))
-    return hit.join(best, ["file", "specifier", "key"]).select("file", "specifier", "base", "i")
+    best = F.max_by("key", F.struct("w", -F.col("i"))).over(Window.partitionBy("file", "specifier"))
+    return hit.withColumn("best", best).where("key = best").select("file", "specifier", "base", "i")
 
 
 def module_targets(specifiers: DataFrame, files: DataFrame, configs: DataFrame, manifests: DataFrame) -> DataFrame:
@@ -215,8 +232,9 @@ def module_targets(specifiers: DataFrame, files: DataFrame, configs: DataFrame,
     stem = paths.without_script_ending(F.col("target"))
     known = files.select(F.col("file").alias("target")).distinct().withColumn("base", F.explode(F.array_distinct(F.array(stem, F.regexp_replace(stem, r"/index\z", "")))))
     hit = tried.withColumn("base", paths.without_script_ending(F.col("base"))).join(known, "base")
-    first = hit.groupBy("file", "specifier").agg(F.min(F.struct("rank", "i")).alias("_at"))
-    return hit.join(first, ["file", "specifier"]).where((F.col("rank") == F.col("_at.rank")) & (F.col("i") == F.col("_at.i"))).select("file", "specifier", "target").distinct()
+    at = F.struct("rank", "i")
+    first = F.min(at).over(Window.partitionBy("file", "specifier"))
+    return hit.withColumn("_first", first == at).where("_first").select("file", "specifier", "target").distinct()
 
 
 def direct_tests(targets: DataFrame, sources: DataFrame) -> DataFrame:

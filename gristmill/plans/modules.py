@@ -74,9 +74,23 @@ def direct_tests(spark, d):
     return G.direct_tests(targets(spark, d), tracked(spark, d).where("file rlike '^app/src/m|^shared/'"))
 
 
-@BOOK.query("SELECT 'app/tsconfig.json' AS file, 4 AS n, 'shared/*' AS second UNION ALL SELECT 'app/mid.json', 4, 'shared/*' UNION ALL SELECT 'tsconfig.base.json', 4, 'shared/*' UNION ALL SELECT 'tsconfig.json', 1, NULL")
+# A config of each part extends that of the part before; every 100th declares paths, or in each third thousand goes back to the
+# end of its own chain.
+CHAINS_SQL = """
+WITH k AS (SELECT DISTINCT p_partkey AS k, p_partkey // 100 * 100 AS top FROM part),
+w AS (SELECT k.k, t.k AS top FROM k JOIN k t ON t.k = k.top WHERE k.top // 1000 % 3 <> 2 AND (SELECT COUNT(*) FROM k x WHERE x.k BETWEEN k.top AND k.k) = k.k - k.top + 1)
+SELECT 'c/' || k || '/tsconfig.json' AS file, CASE WHEN top // 100 % 2 = 0 THEN 2 ELSE 1 END AS n, 'c/' || top || '/src/*' AS first FROM w
+"""
+
+
+@BOOK.query(CHAINS_SQL)
 def inherited_aliases(spark, d):
-    return G.inherited_aliases(texts(spark, CONFIGS)).select("file", F.size("aliases").alias("n"), F.get("aliases", F.lit(1))["path"].alias("second"))
+    k = F.col("p_partkey")
+    own = text('{ "compilerOptions": { "paths": { "@/*": ["src/*"', F.when((k / 100).cast("long") % 2 == 0, ', "lib/*"').otherwise(""), "] } } }")
+    loops = (k / 1000).cast("long") % 3 == 2
+    body = F.when((k % 100 == 0) & ~loops, own).otherwise(text("{'extends': '../", F.when(k % 100 == 0, k + 99).otherwise(k - 1), "/tsconfig', } // on"))
+    configs = S.table(spark, d, "part").select(text("c/", k, "/tsconfig.json").alias("file"), body.alias("text"))
+    return G.inherited_aliases(configs).select("file", F.size("aliases").alias("n"), F.get("aliases", F.lit(0))["path"].alias("first"))
 
 
 @BOOK.query("SELECT '@p/' || p_partkey AS name, 'pkgs/' || p_partkey AS dir, CASE p_size % 5 WHEN 0 THEN './e.js' WHEN 1 THEN './i.js' WHEN 2 THEN 'm.js' WHEN 3 THEN 'n.js' ELSE 'src/index' END AS entry FROM part WHERE p_partkey % 3 > 0")
