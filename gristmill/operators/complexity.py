@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import ordering
+from gristmill.functions import intervals, ordering
 from gristmill.functions.patterns import MAX_CC, MAX_CRAP, MIN_DIFF_COVERAGE, RISKY_CC, RISKY_CRAP
 
 
 def nested_ranges(functions: DataFrame) -> DataFrame:
     """Functions with ``nested``: ranges of the same file strictly inside."""
-    f, g = functions.drop("nested"), functions.select("file", F.col("start").alias("a"), F.col("end").alias("b"))
-    inner = f.join(g, "file").where((F.col("a") > F.col("start")) & (F.col("b") <= F.col("end"))).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("nested"))
+    f = functions.drop("nested")
+    inner = intervals.contained_ranges(f).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("nested"))
     return f.join(inner, "ord", "left").withColumn("nested", F.coalesce("nested", F.array().cast("array<struct<a:int,b:int>>")))
 
 
@@ -120,15 +120,14 @@ def top_risky(scored: DataFrame, k: int = 30) -> DataFrame:
 
 
 def innermost(functions: DataFrame, messages: DataFrame) -> DataFrame:
-    """messages (file, line, and more) with the name of the innermost function around them."""
-    own = [c for c in messages.columns if c not in ("file",)]
-    hit = messages.join(functions.select("file", "start", "end", "name"), "file").where((F.col("line") >= F.col("start")) & (F.col("line") <= F.col("end")))
-    return hit.groupBy("file", *own).agg(F.max_by("name", "start").alias("owner"))
+    """messages (file, line, and more), each once, with the name of the innermost function around them; those outside of all are left out."""
+    owners = intervals.innermost_ranges(functions, messages).withColumnRenamed("name", "owner")
+    return messages.distinct().join(owners, ["file", "line"])
 
 
 def overlapping(ranges: DataFrame, touched: DataFrame) -> DataFrame:
     """Ranges (file, start, end, and more) with a touched line inside."""
-    return ranges.join(touched, (ranges["file"] == touched["file"]) & (touched["line"] >= ranges["start"]) & (touched["line"] <= ranges["end"]), "left_semi")
+    return intervals.touched_ranges(ranges, touched)
 
 
 def diff_coverage(added: DataFrame, hits: DataFrame, least: float = MIN_DIFF_COVERAGE, shown: int = 20) -> DataFrame:

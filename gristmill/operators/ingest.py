@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
+from gristmill.functions.intervals import touched_ranges
 from gristmill.operators.complexity import innermost
 from gristmill.operators.tamper import language_of
 
@@ -13,12 +14,10 @@ from gristmill.operators.tamper import language_of
 def clone_findings(clones: DataFrame, touched: DataFrame) -> DataFrame:
     """rule, file, line, msg of clones (ord, lines, a and b: STRUCT<file, start, end>) with a touched side (file, line); of two the first.
 
-    Both sides are looked up by file in one join; the interval is a residual on it.
+    Both sides are ranges of one interval join.
     """
     sides = clones.select("ord", "lines", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("own"), F.col("b").alias("other")), F.struct(F.lit(1).alias("side"), F.col("b").alias("own"), F.col("a").alias("other")))).alias("s"))
-    rows = sides.select("ord", "lines", F.col("s.own.file").alias("file"), "s")
-    t = touched.select(F.col("file").alias("_f"), F.col("line").alias("_l"))
-    hit = rows.join(t, (F.col("file") == F.col("_f")) & (F.col("_l") >= F.col("s.own.start")) & (F.col("_l") <= F.col("s.own.end")), "left_semi")
+    hit = touched_ranges(sides.select("ord", "lines", "s.own.file", "s.own.start", "s.own.end", "s"), touched)
     best = hit.groupBy("ord").agg(F.min_by(F.struct("lines", "s"), "s.side").alias("h")).select("ord", "h.lines", "h.s")
     msg = F.concat(F.col("lines").cast("string"), F.lit(" duplicated lines with "), F.col("s.other.file"), F.lit(":"), F.col("s.other.start").cast("string"), F.lit("-"), F.col("s.other.end").cast("string"))
     return best.select(F.lit("dup/jscpd").alias("rule"), F.col("s.own.file").alias("file"), F.col("s.own.start").alias("line"), msg.alias("msg"))
@@ -33,8 +32,7 @@ def structural_findings(matches: DataFrame, touched: DataFrame) -> DataFrame:
     """rule, file, line, msg of matches (rule, file, start, end, msg) of their language's rules with a touched line (file, line)."""
     rules = matches.sparkSession.createDataFrame(language_rules(), "_language string, rule string")
     own = matches.withColumn("_language", language_of(F.col("file"))).join(F.broadcast(rules), ["_language", "rule"], "left_semi")
-    t = touched.select(F.col("file").alias("_f"), F.col("line").alias("_l"))
-    hit = own.join(t, (F.col("file") == F.col("_f")) & (F.col("_l") >= F.col("start")) & (F.col("_l") <= F.col("end")), "left_semi")
+    hit = touched_ranges(own, touched)
     return hit.select(F.concat(F.lit("ast/"), "rule").alias("rule"), "file", F.col("start").alias("line"), "msg")
 
 
@@ -50,8 +48,7 @@ def form_findings(messages: DataFrame, functions: DataFrame, touched: DataFrame)
     named = innermost(functions.select("file", "start", "end", F.struct("start", "end").alias("name")), kept)
     rows = kept.join(named.select("rule", "file", "line", "msg", "owner").distinct(), ["rule", "file", "line", "msg"], "left")
     rows = rows.withColumns({"_a": F.coalesce("owner.start", "line"), "_b": F.coalesce("owner.end", "line")})
-    t = touched.select(F.col("file").alias("_f"), F.col("line").alias("_l"))
-    hit = rows.join(t, (F.col("file") == F.col("_f")) & (F.col("_l") >= F.col("_a")) & (F.col("_l") <= F.col("_b")), "left_semi")
+    hit = touched_ranges(rows, touched, "_a", "_b")
     return hit.select(F.concat(F.lit("form/"), "rule").alias("rule"), "file", "line", "msg")
 
 

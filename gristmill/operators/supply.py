@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.intervals import touched_ranges
 from gristmill.functions.patterns import MIN_RELEASE_AGE_DAYS
 
 
 def changed_records(records: DataFrame, added: DataFrame) -> DataFrame:
     """Lock records (file, name, version, line, end, registry) with an added line inside; of equal versions the last."""
-    hit = records.join(added, (records["file"] == added["file"]) & (added["line"] >= records["line"]) & (added["line"] <= records["end"]), "left_semi")
+    hit = touched_ranges(records, added, "line")
     return hit.groupBy("registry", "name", "version").agg(F.max_by(F.struct("file", "line"), F.struct("file", "line")).alias("_at")).select("registry", "name", "version", "_at.file", "_at.line")
 
 

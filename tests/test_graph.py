@@ -5,7 +5,10 @@ from __future__ import annotations
 import random
 import time
 
-from gristmill.operators import graph
+from pyspark.sql import functions as F
+
+from gristmill.functions import intervals
+from gristmill.operators import complexity, graph
 
 
 def test_chain_ends_are_those_of_a_loop(spark):
@@ -35,3 +38,62 @@ def test_a_chain_of_a_thousand_configs(spark):
     assert got == {f"c{i}.json": ["src/*"] for i in range(1001)}
     assert time.time() - began < 60
     assert graph.inherited_aliases(configs.limit(0)).count() == 0
+
+
+def test_blocks_cover_ranges_exactly(spark):
+    rng = random.Random(2)
+    rows = [(a, a + rng.choice([0, 1, 14, 15, 16, 17, 255, 256, 300, 5000])) for a in [*range(40), *(rng.randrange(10**6) for _ in range(60))]] + [(7, 6), (-20, 40), (0, 2**31 - 1)]
+    table = spark.createDataFrame(rows, "a long, b long").select("a", "b", intervals.cover(F.col("a"), F.col("b")).alias("c"))
+    for r in table.collect():
+        spans = sorted((x["block"] << x["level"], (x["block"] + 1 << x["level"]) - 1) for x in r["c"])
+        assert len(spans) <= 300
+        at = r["a"]
+        for low, high in spans:
+            assert low == at
+            at = high + 1
+        assert at == max(r["b"], r["a"] - 1) + 1
+    assert spark.createDataFrame([(None, 3)], "a long, b long").select(F.size(intervals.cover(F.col("a"), F.col("b")))).first()[0] == 0
+
+
+def test_interval_joins_of_a_long_file(spark):
+    """10^5 ranges and as many lines in one file, nested three deep, beside files of null and of few rows."""
+    rng, ranges, lines = random.Random(3), [], []
+    for k in range(33_000):
+        a = 30 * k
+        ranges += [("long", a, a + 25, f"f{k}"), ("long", a + 2, a + 12, f"g{k}"), ("long", a + 2, a + 6, f"h{k}")]
+        lines += [("long", a + rng.randrange(30)) for _ in range(rng.choice([0, 0, 3, 6]))]
+    ranges += [("short", 5, 9, "s"), ("short", 5, 9, "s"), (None, 1, 9, "n"), ("short", None, 9, "x"), ("other", 1, 2, "o")]
+    lines += [("short", 9), ("short", 4), (None, 4), ("short", None), ("none", 1)]
+    held, owners = set(), {}
+    for file, line in lines:
+        if file == "long":
+            a, at = line // 30 * 30, line % 30
+            k = line // 30
+            around = [n for n, low, high in (("f", 0, 25), ("g", 2, 12), ("h", 2, 6)) if low <= at <= high]
+            held |= {f"{n}{k}" for n in around}
+            if around:
+                owners[file, line] = f"{around[-1]}{k}"
+    owners["short", 9] = "s"
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "ord long, file string, start int, end int, name string")
+    touched = spark.createDataFrame(lines, "file string, line int")
+    got = [r["name"] for r in complexity.overlapping(table, touched).select("name").collect()]
+    assert sorted(got) == sorted([*held, "s", "s"])
+    found = complexity.innermost(table, touched).collect()
+    assert {(r["file"], r["line"]): r["owner"] for r in found} == owners and len(found) == len(owners)
+    nested = {r["name"]: [tuple(x) for x in r["nested"]] for r in complexity.nested_ranges(table.where("file = 'long'")).collect()}
+    assert len(nested) == 99_000
+    assert nested["f7"] == [(212, 216), (212, 222)] and nested["g7"] == nested["h7"] == []
+    assert sum(map(len, nested.values())) == 66_000
+
+
+def test_interval_joins_equal_brute_force(spark):
+    rng = random.Random(4)
+    ranges = [(i, rng.choice("ab"), a := rng.randrange(80), a + rng.randrange(-2, 40), f"r{i}") for i in range(120)]
+    lines = [(rng.choice("abc"), rng.randrange(-3, 120)) for _ in range(30)]
+    table, touched = spark.createDataFrame(ranges, "ord long, file string, start int, end int, name string"), spark.createDataFrame(lines, "file string, line int")
+    inside = lambda r, x: r[1] == x[0] and r[2] <= x[1] <= r[3]
+    assert sorted(r["ord"] for r in complexity.overlapping(table, touched).collect()) == [r[0] for r in ranges if any(inside(r, x) for x in lines)]
+    want = {x: max((r[2], -r[3], r[4]) for r in ranges if inside(r, x))[2] for x in lines if any(inside(r, x) for r in ranges)}
+    assert {(r["file"], r["line"]): r["owner"] for r in complexity.innermost(table, touched).collect()} == want
+    for r in complexity.nested_ranges(table).collect():
+        assert [tuple(x) for x in r["nested"]] == sorted((g[2], g[3]) for g in ranges if g[1] == r["file"] and g[2] > r["start"] and g[3] <= r["end"] and g[2] <= r["end"])
