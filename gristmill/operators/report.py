@@ -9,6 +9,7 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import commits
 from gristmill.functions.patterns import LANGUAGES
 from gristmill.operators.complexity import mean_risk
 from gristmill.operators.ratchet import red_flags
@@ -115,21 +116,37 @@ def markdown(findings: DataFrame, title: str, per_check: int = 15, most: int = 4
 
 
 def write_baseline(scored: DataFrame, dead: DataFrame, path: str, red: bool, used: bool) -> None:
-    """Functions (key, line, cc, crap), their mean and dead items as tables; refused for red tests, no coverage or no functions."""
+    """Functions (key, line, cc, crap), their mean and dead items as tables; refused for red tests, no coverage or no functions.
+
+    All three are replaced at once; a writer that dies leaves the old ones.
+    """
     if red:
         raise ValueError("the tests are red")
     if not used:
         raise ValueError("there is no coverage")
     if scored.isEmpty():
         raise ValueError("there are no functions")
-    scored.select("key", "line", "cc", "crap").write.mode("overwrite").parquet(f"{path}/functions")
-    mean_risk(scored).write.mode("overwrite").parquet(f"{path}/mean")
-    dead.write.mode("overwrite").parquet(f"{path}/dead")
+
+    def write(place: str) -> None:
+        scored.select("key", "line", "cc", "crap").write.parquet(f"{place}/functions")
+        mean_risk(scored).write.parquet(f"{place}/mean")
+        dead.write.parquet(f"{place}/dead")
+
+    commits.replace(scored.sparkSession, path, write)
+
+
+def read_baseline(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The baseline's tables functions, mean and dead, all of one writer."""
+    path = commits.recover(spark, path)
+    return {name: spark.read.parquet(f"{path}/{name}") for name in ("functions", "mean", "dead")}
 
 
-def append_log(rows: DataFrame, path: str) -> None:
-    """Verdicts or mutant outcomes, one JSON object a line, added to a log."""
-    rows.write.mode("append").json(path)
+def append_log(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Verdicts or mutant outcomes, one JSON object a line, added to a log; a named ``batch`` is added once, as a whole, however often it is sent."""
+    if batch is None:
+        rows.write.mode("append").json(path)
+    else:
+        commits.append_once(rows.sparkSession, path, batch, lambda place: rows.write.json(place))
 
 
 def load_config(text: str, known: dict[str, dict]) -> dict[str, dict]:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import commits
 from gristmill.functions.intervals import touched_ranges
 from gristmill.functions.patterns import MIN_RELEASE_AGE_DAYS
 
@@ -137,10 +138,11 @@ def lock_age_notices(states: DataFrame) -> DataFrame:
 
 
 def write_cache(published: DataFrame, states: DataFrame, path: str) -> None:
-    """The cache of publication dates with those that were looked up now, in place of the old one."""
+    """The cache of publication dates with those that were looked up now, in place of the old one, which may be what ``published`` reads."""
     key = F.concat(F.col("registry"), F.lit(":"), F.col("name"), F.lit("@"), F.col("version"))
     fresh_dates = states.where("published is not null and state in ('young', 'old', 'bad-date')").select(key.alias("key"), "published")
-    published.select("key", "published").unionByName(fresh_dates).dropDuplicates(["key"]).write.mode("overwrite").json(path)
+    rows = published.select("key", "published").unionByName(fresh_dates).dropDuplicates(["key"])
+    commits.replace(published.sparkSession, path, lambda place: rows.write.json(place))
 
 
 def push_ranges(refs: DataFrame) -> DataFrame:

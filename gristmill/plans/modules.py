@@ -418,17 +418,19 @@ def report_markdown(spark, d):
 def written_baseline(spark, d):
     scored = C.score(S.functions(spark, d), S.hits(spark, d)).withColumns({"key": F.col("ord").cast("string"), "line": F.col("start")})
     path = place(spark)
+    K.write_baseline(scored.where("cc = 1"), S.table(spark, d, "region"), path, red=False, used=True)
     K.write_baseline(scored, S.table(spark, d, "nation"), path, red=False, used=True)
-    count = lambda part: spark.read.parquet(f"{path}/{part}").agg(F.count("*").cast("double").alias("value")).select(F.lit(part).alias("part"), "value")
-    return count("functions").unionByName(count("dead")).unionByName(spark.read.parquet(f"{path}/mean").select(F.lit("mean").alias("part"), F.col("mean_crap").alias("value")))
+    held = K.read_baseline(spark, path)
+    count = lambda part: held[part].agg(F.count("*").cast("double").alias("value")).select(F.lit(part).alias("part"), "value")
+    return count("functions").unionByName(count("dead")).unionByName(held["mean"].select(F.lit("mean").alias("part"), F.col("mean_crap").alias("value")))
 
 
 @BOOK.query("SELECT event_type AS question, event_id % 101 AS p, COUNT(*) AS n FROM events GROUP BY ALL")
 def appended_log(spark, d):
     rows = S.table(spark, d, "events").select(F.col("event_type").alias("question"), (F.col("event_id") % 101).alias("p"), "event_id")
     path = place(spark)
-    for part in range(3):
-        K.append_log(rows.where(f"event_id % 3 = {part}").select("question", "p"), path)
+    for part in (0, 1, 1, 2, 0):  # a batch that is sent again counts once
+        K.append_log(rows.where(f"event_id % 3 = {part}").select("question", "p"), path, f"{part}")
     return spark.read.schema("question string, p long").json(path).groupBy("question", "p").agg(F.count("*").alias("n"))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import deepjson
 from gristmill.functions.scan import Scan
 
 DA = r"^DA:(-?[0-9]+),(-?[0-9]+)(?:,.*)?\z"
@@ -64,31 +64,33 @@ def parse_complexity_csv(lines: DataFrame) -> DataFrame:
 def parse_complexity_json(texts: DataFrame) -> DataFrame:
     """file, name, cc, start, end, col of nested blocks: functions, methods and closures, not classes.
 
-    The input (text) maps files to blocks; blocks nest to any depth, so they are walked in Python. A null text
-    has none; one that is no such JSON gives a row of nulls, but for its start of 100 characters as file.
+    The input (text) maps files to blocks; blocks nest to any depth, so they are walked in Python, with a
+    stack. A null text has none; one that is no such JSON gives a row of nulls, but for its start of 100 characters as file.
     """
 
-    def walk(file: str, block: dict, out: list[tuple]) -> None:
-        if block.get("type") != "class":
-            out.append((file, block.get("name"), block.get("complexity"), block.get("lineno"), block.get("endline"), block.get("col_offset")))
-        for inner in [*(block.get("methods") or []), *(block.get("closures") or [])]:
-            walk(file, inner, out)
+    def blocks(top: list) -> Iterator[dict]:
+        stack = top[::-1]
+        while stack:
+            block = stack.pop()
+            if isinstance(block, dict):
+                yield block
+                stack += [*(block.get("methods") or []), *(block.get("closures") or [])][::-1]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             for text in batch["text"]:
                 try:
-                    top = json.loads(text) if text is not None else {}
+                    top = deepjson.read(text) if text is not None else {}
                 except ValueError:
                     top = None
                 if not isinstance(top, dict):
                     out.append((text[:100], None, None, None, None, None))
                     continue
-                for file, blocks in top.items():
-                    for block in blocks if isinstance(blocks, list) else []:
-                        if isinstance(block, dict):
-                            walk(file, block, out)
+                for file, found in top.items():
+                    for block in blocks(found) if isinstance(found, list) else ():
+                        if block.get("type") != "class":
+                            out.append((file, block.get("name"), block.get("complexity"), block.get("lineno"), block.get("endline"), block.get("col_offset")))
             found = pd.DataFrame(out, columns=["file", "name", "cc", "start", "end", "col"])
             yield found.astype(dict.fromkeys(["cc", "start", "end", "col"], "Int64"))
 

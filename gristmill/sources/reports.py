@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions import deepjson
 from gristmill.functions import patterns as P
 from gristmill.operators.text import redact
 
@@ -119,38 +119,39 @@ def parse_text(lines: DataFrame, rule: str) -> DataFrame:
 def parse_generic(texts: DataFrame, prefix: str) -> DataFrame:
     """Findings at any depth of JSON: objects with a message and a file, under several spellings; each once.
 
-    A text that is no JSON gives one finding that says so. JSON nests to any depth, so it is walked in Python.
+    A text that is no JSON gives one finding that says so, and so does one whose message, file or rule is itself
+    too deep to be written out. JSON nests to any depth, so it is walked in Python, with a stack.
     """
 
     def first(*values):
         return next((v for v in values if v is not None), None)
 
-    def walk(value, out: list[tuple]) -> None:
-        if isinstance(value, list):
-            for item in value:
-                walk(item, out)
-        elif isinstance(value, dict):
-            place = value.get("location") if isinstance(value.get("location"), dict) else {}
-            msg = value["message"] if isinstance(value.get("message"), str) else first(value.get("reason"), value.get("description"))
-            file = first(value.get("file"), value.get("filePath"), value.get("filename"), value.get("path"), place.get("file"))
-            if msg and file:
-                name = first(value.get("ruleId"), value.get("rule"), value.get("code"), value.get("id"), "finding")
-                line = first(value.get("line"), value.get("lineNumber"), place.get("line"), place.get("row"), 0)
-                out.append((prefix if prefix == "deps/cycle" else f"{prefix}/{name}", str(file), str(line), str(msg)))
-            for item in value.values():
-                walk(item, out)
+    def found(value) -> Iterator[tuple]:
+        stack = [value]
+        while stack:
+            value = stack.pop()
+            if isinstance(value, list):
+                stack += value
+            elif isinstance(value, dict):
+                place = value.get("location") if isinstance(value.get("location"), dict) else {}
+                msg = value["message"] if isinstance(value.get("message"), str) else first(value.get("reason"), value.get("description"))
+                file = first(value.get("file"), value.get("filePath"), value.get("filename"), value.get("path"), place.get("file"))
+                if msg and file:
+                    name = first(value.get("ruleId"), value.get("rule"), value.get("code"), value.get("id"), "finding")
+                    line = first(value.get("line"), value.get("lineNumber"), place.get("line"), place.get("row"), 0)
+                    yield (prefix if prefix == "deps/cycle" else f"{prefix}/{name}", str(file), str(line), str(msg))
+                stack += value.values()
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out: list[tuple] = []
             for text in batch["text"]:
-                decoder, rest, held = json.JSONDecoder(), (text or "").strip(), []
+                rest, at, held = (text or "").strip(), 0, []
                 try:
-                    while rest:
-                        value, end = decoder.raw_decode(rest)
-                        walk(value, held)
-                        rest = rest[end:].strip()
-                except ValueError:
+                    while at < len(rest):
+                        value, at = deepjson.read_value(rest, at)
+                        held += found(value)
+                except (ValueError, RecursionError):
                     held = [(f"{prefix}/unreadable", ".", "0", NOT_JSON)]
                 out += held
             yield pd.DataFrame(out, columns=["rule", "file", "line", "msg"])
@@ -221,7 +222,7 @@ def walked(texts: DataFrame) -> DataFrame:
 
     Objects that tell their causes in ``via`` are left out for these. A report without any gives a row for each
     severity that its summary counts, with the count as package and a null id; a text that is no JSON gives a row
-    whose severity is ``error``. JSON nests to any depth, so it is walked in Python.
+    whose severity is ``error``. JSON nests to any depth, so it is walked in Python, with a stack.
     """
 
     def objects(value, context: str = ""):
@@ -236,7 +237,7 @@ def walked(texts: DataFrame) -> DataFrame:
 
     def rows(text: str | None):
         try:
-            value = json.loads(text or "")
+            value = deepjson.read(text or "")
         except ValueError:
             yield None, None, "error"
             return
@@ -252,9 +253,15 @@ def walked(texts: DataFrame) -> DataFrame:
             if str(summary.get(level, 0)).isdigit() and int(summary.get(level, 0)) > 0:
                 yield f"{summary[level]} package(s)", None, level
 
+    def whole(text: str | None) -> list[tuple]:
+        try:
+            return list(rows(text))
+        except RecursionError:  # a name that is itself too deep to be written out
+            return [(None, None, "error")]
+
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(d, *r) for d, t in zip(batch["doc"], batch["text"], strict=True) for r in rows(t)]
+            out = [(d, *r) for d, t in zip(batch["doc"], batch["text"], strict=True) for r in whole(t)]
             yield pd.DataFrame(out, columns=["doc", "package", "id", "severity"])
 
     return texts.select("doc", "text").mapInPandas(parse, f"doc {texts.schema['doc'].dataType.simpleString()}, package string, id string, severity string")
