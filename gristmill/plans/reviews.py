@@ -11,6 +11,7 @@ from gristmill.operators import tamper as T
 from gristmill.operators import text as X
 from gristmill.plans import standins as S
 from gristmill.plans.formats import cat, key
+from gristmill.plans.modules import place
 from gristmill.streaming import sessions as N
 
 QUERIES: dict = {}
@@ -250,11 +251,37 @@ def notes_shown(spark, d):
     return N.shown_once(rows).select("repo", "ord", "key")
 
 
+# The same over streams of the table's rows; a row that the watermark has not reached in whole milliseconds waits.
+BEFORE_LAST = " AND (epoch_us(ts) + 999) // 1000 <= (SELECT MAX(epoch_us(ts)) // 1000 FROM events)"
+
+
+def event_stream(spark, d):
+    return spark.readStream.schema(S.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+
+
+@query(ORACLES["moved_sessions"] + BEFORE_LAST)
+def moved_sessions_stream(spark, d):
+    rows = event_stream(spark, d).select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("ord"), F.col("event_type").alias("head"))
+    return N.run_stream(N.ordered_moves(rows, "0 seconds"), place(spark)).select("session", "ord", "head")
+
+
+@query(ORACLES["notes_shown"].replace("event_id AS ord", "event_id AS ord, ts") + BEFORE_LAST)
+def notes_shown_stream(spark, d):
+    rows = event_stream(spark, d).select((F.col("user_id") % 5).alias("repo"), "ts", F.col("event_id").alias("ord"), F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("key"))
+    return N.run_stream(N.ordered_notes(rows, "0 seconds"), place(spark)).select("repo", "ord", "key")
+
+
 @query("WITH s AS (SELECT user_id AS session, MAX_BY(event_type, (ts, event_id)) AS head, MAX((ts, event_id)) AS seen FROM events GROUP BY 1) SELECT session, head FROM s ORDER BY seen DESC, session LIMIT 50")
 def recent_sessions(spark, d):
     return N.recent_sessions(states(spark, d))
 
 
+@query(ORACLES["recent_sessions"])
+def recent_sessions_stream(spark, d):
+    rows = event_stream(spark, d).select(F.col("user_id").alias("session"), "ts", F.col("event_id").alias("ord"), F.col("event_type").alias("head"))
+    return N.recent_sessions(N.run_stream(N.recent_stream(rows), place(spark)))
+
+
 @query("SELECT event_id AS ord, 'not' AS state FROM events WHERE event_id % 3 = 0 AND FALSE UNION ALL SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'findings' WHEN 1 THEN 'clean' WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'clean' ELSE 'missing' END ELSE CASE WHEN event_id % 3 = 0 THEN 'clean' ELSE 'failed' END END FROM events")
 def tool_results(spark, d):
     e = F.col("event_id")

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def moved(states: DataFrame) -> DataFrame:
@@ -31,8 +32,11 @@ def recent_sessions(states: DataFrame, kept: int = 50) -> DataFrame:
     return last.orderBy(F.desc("at"), "session").limit(kept).select("session", "head")
 
 
+# Streams
+
+
 def moved_stream(states: DataFrame) -> DataFrame:
-    """``moved`` over a stream of (session, ts, ord, head): the last head of each session is its state."""
+    """``moved`` over a stream of (session, ts, ord, head) that comes in order: the last head of each session is its state, and moves go out at once."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last = state.get[0] if state.exists else None
@@ -44,3 +48,134 @@ def moved_stream(states: DataFrame) -> DataFrame:
 
     schema = "session long, ts timestamp, ord long, head string"
     return states.groupBy("session").applyInPandasWithState(step, schema, "head string", "append", "NoTimeout")
+
+
+def _millis(ts: pd.Timestamp) -> int:
+    """Milliseconds since 1970 of a time of the session's zone, rounded up, as timers know no less."""
+    return -(-ts.value // 1_000_000)
+
+
+class InOrder(StatefulProcessor):
+    """Rows of a key in the order of (ts, ord), held until the watermark says that none can come before them.
+
+    State: the rows that wait, as many as come within the watermark's delay; and the last value. ``fields`` are
+    the columns that go out, and ``value`` the one that is compared with the last.
+    """
+
+    def __init__(self, fields: list[str], kinds: str, value: str, first: bool):
+        self.fields, self.kinds, self.value, self.first = fields, kinds, value, first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.kinds)
+        self.last = handle.getValueState("last", "value string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for batch in rows:
+            if len(batch):
+                self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in batch[self.fields].itertuples(index=False)])
+                low = batch["ts"].min()
+                earliest = low if earliest is None else min(low, earliest)
+        if earliest is not None:
+            self.handle.registerTimer(_millis(earliest))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.fields)
+        due = rows["ts"].map(_millis) <= now if len(rows) else pd.Series([], dtype=bool)
+        ready, later = rows[due].sort_values(["ts", "ord"]), rows[~due]
+        if len(later):
+            self.waiting.put([tuple(None if pd.isna(v) else v for v in r) for r in later.itertuples(index=False)])
+            self.handle.registerTimer(_millis(later["ts"].min()))
+        elif len(rows):
+            self.waiting.clear()
+        out, last = [], self.last.get()[0] if self.last.exists() else None
+        for row in ready.itertuples(index=False):
+            value = getattr(row, self.value)
+            value = None if pd.isna(value) else value
+            # A move is from something to something; a note is news beside none as well.
+            if last != value and (self.first or (last is not None and value is not None)):
+                out.append(tuple(row))
+            last = value
+        if len(ready):
+            self.last.update((last,))
+        if out:
+            yield pd.DataFrame(out, columns=self.fields)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_moves(states: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """``moved`` over a stream of (session, ts, ord, head), whose rows may come in any order within ``delay``.
+
+    A row goes out when the watermark, in whole milliseconds, has reached it, so the last ones may wait for more;
+    rows that come after that are dropped.
+    """
+    rows = states.select("session", F.col("ts").cast("timestamp").alias("ts"), "ord", "head").withWatermark("ts", delay)
+    schema = "session long, ts timestamp, ord long, head string"
+    step = InOrder(["session", "ts", "ord", "head"], schema, "head", False)
+    return rows.groupBy("session").transformWithStateInPandas(step, schema, "append", "eventTime")
+
+
+def ordered_notes(notes: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """``shown_once`` over a stream of (repo, ts, ord, key), as ``ordered_moves``."""
+    rows = notes.select("repo", F.col("ts").cast("timestamp").alias("ts"), "ord", "key").withWatermark("ts", delay)
+    schema = "repo long, ts timestamp, ord long, key string"
+    step = InOrder(["repo", "ts", "ord", "key"], schema, "key", True)
+    return rows.groupBy("repo").transformWithStateInPandas(step, schema, "append", "eventTime")
+
+
+class Latest(StatefulProcessor):
+    """The sessions of a bucket that were seen last, at most ``kept``; a session that is new or seen again goes out."""
+
+    def __init__(self, kept: int):
+        self.kept = kept
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "session long", "ts timestamp, ord long, head string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        best = {k[0]: tuple(v) for k, v in self.seen.iterator()}
+        new = {}
+        for batch in rows:
+            for r in batch[["session", "ts", "ord", "head"]].itertuples(index=False):
+                at = (r.ts.to_pydatetime(), r.ord, None if pd.isna(r.head) else r.head)
+                if r.session not in best or best[r.session][:2] < at[:2]:
+                    best[r.session] = new[r.session] = at
+        order = sorted(best, key=lambda s: best[s][:2], reverse=True)
+        for session in order[self.kept :]:
+            new.pop(session, None)
+            if self.seen.containsKey((session,)):
+                self.seen.removeKey((session,))
+        for session, at in new.items():
+            self.seen.updateValue((session,), at)
+        if new:
+            yield pd.DataFrame([(s, *at) for s, at in new.items()], columns=["session", "ts", "ord", "head"])
+
+    def close(self) -> None:
+        pass
+
+
+def recent_stream(states: DataFrame, kept: int = 50, buckets: int = 16) -> DataFrame:
+    """(session, ts, ord, head) of sessions that are among the last ``kept`` of their bucket when they are seen.
+
+    ``recent_sessions`` over what has gone out is that over all rows, whatever their order: a session that is
+    among the last of all is among the last of its bucket. State is bounded by buckets x kept sessions.
+    """
+    rows = states.select("session", F.col("ts").cast("timestamp").alias("ts"), "ord", "head").withColumn("bucket", F.pmod(F.xxhash64("session"), F.lit(buckets)))
+    return rows.groupBy("bucket").transformWithStateInPandas(Latest(kept), "session long, ts timestamp, ord long, head string", "append", "none")
+
+
+def run_stream(stream: DataFrame, path: str) -> DataFrame:
+    """All that a stream has to say now, as a table: its rows at ``path``/rows, its progress at ``path``/progress.
+
+    State is kept in RocksDB, as these operators need it.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
