@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from gristmill.functions import patterns as P
 
 #: Rules of the settings that one query takes.
 MOST_RULES = 200
+#: Lines and labels that an automaton is built for at a time.
+LINE_BLOCK, LABEL_PART = 10_000, 50_000
 
 
 def questions(hunks: DataFrame, triggers: dict[str, str] | None = None) -> DataFrame:
@@ -207,20 +212,54 @@ def duplicate_labels(lines: DataFrame, most: int = 10) -> DataFrame:
     """file, line, label, same: added controls whose label other lines of the file (file, line, text, added) hold.
 
     Any text holds a label that stands somewhere in it; labels have two characters at least. ``same`` has the
-    first ``most`` of these lines, as (line, text). A file's lines are compared with its different labels.
+    first ``most`` of these lines, as (line, text). Rows with a null file, line or text hold none.
     """
     label = F.regexp_extract("text", P.CONTROL_LABEL, 1)
     controls = lines.where("added").select("file", "line", label.alias("label")).where("length(label) > 1")
-    wanted = controls.select(F.col("file").alias("_f"), "label").distinct()
-    held = lines.join(wanted, (F.col("file") == F.col("_f")) & F.contains("text", "label")).select("file", "label", "line", "text")
     # One more than are shown, as a control's own line may be among them.
-    n = F.row_number().over(Window.partitionBy("file", "label").orderBy("line"))
-    first = held.withColumn("_n", n).where(F.col("_n") <= most + 1).groupBy("file", "label")
-    shown = first.agg(F.array_sort(F.collect_list(F.struct("line", F.regexp_replace("text", r"^\s+|\s+\z", "").alias("text")))).alias("_s"))
+    n = F.row_number().over(Window.partitionBy("file", "label").orderBy("line", "text"))
+    first = lines_with(lines, controls.select("file", "label").distinct(), most + 1).withColumn("_n", n).where(F.col("_n") <= most + 1)
+    shown = first.groupBy("file", "label").agg(F.array_sort(F.collect_list(F.struct("line", F.regexp_replace("text", r"^\s+|\s+\z", "").alias("text")))).alias("_s"))
     other = F.slice(F.filter("_s", lambda x: x["line"] != F.col("line")), 1, most)
     return controls.join(shown, ["file", "label"]).select("file", "line", "label", other.alias("same")).where("size(same) > 0")
 
 
+def lines_with(lines: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """file, label, line, text: lines (file, line, text) that hold a label (file, label) of their file, at most the first ``most`` of each label in a block.
+
+    A file's lines go in blocks of ``LINE_BLOCK`` line numbers, its labels in parts of about ``LABEL_PART``. An
+    automaton of a part's labels reads each block once, so a file costs its text times its parts.
+    """
+    rows = lines.where("file is not null and line is not null and text is not null").select("file", "line", "text").withColumn("_block", F.floor(F.col("line") / LINE_BLOCK))
+    sizes = labels.groupBy("file").agg(F.ceil(F.count("*") / LABEL_PART).alias("_parts"))
+    blocks = rows.select("file", "_block").distinct().join(sizes, "file")
+    # The blocks of a file are few beside its lines, which are joined by block: a file with a third of all lines is no single task.
+    asked = rows.join(blocks, ["file", "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+    offered = blocks.join(labels, "file").select("file", "_block", "label", F.pmod(F.xxhash64("label"), F.col("_parts")).alias("_part"))
+    # Names of its own, as both sides come from the same lines.
+    offered = offered.toDF("_f", "_b", "label", "_p")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = f"file {types['file']}, label string, line {types['line']}, text string"
+
+    def held(block: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
+        automaton = ahocorasick.Automaton()
+        for x in part["label"]:
+            automaton.add_word(x, x)
+        seen: Counter = Counter()
+        found = []
+        if len(part) and len(block):
+            automaton.make_automaton()
+            block = block.sort_values(["line", "text"], kind="stable")
+            for file, line, text in zip(block["file"], block["line"], block["text"]):
+                for x in {x for _, x in automaton.iter(text)}:
+                    if seen[x] < most:
+                        seen[x] += 1
+                        found.append((file, x, line, text))
+        return pd.DataFrame(found, columns=["file", "label", "line", "text"])
+
+    return asked.groupBy("file", "_block", "_part").cogroup(offered.groupBy("_f", "_b", "_p")).applyInPandas(held, schema)
+
+
 def component_references(exports: DataFrame, lines: DataFrame) -> DataFrame:
     """file, name, n, used: exported components (file, name), how many lines (file, text) of other files name them, and whether one uses them.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
+from gristmill.functions.phrases import first_phrases, sizes_of
 
 
 def any_of(text: Column, patterns: list[str]) -> Column:
@@ -61,10 +62,17 @@ def term_pattern(terms: list[str]) -> str:
     return r"(?iu)(?<![\p{L}\p{N}_])(" + "|".join(re.escape(t) for t in terms) + r")(?![\p{L}\p{N}_])"
 
 
-def glossary_findings(lines: DataFrame, terms: list[str]) -> DataFrame:
-    """rule, file, line, msg of lines with a word to avoid; the first in the line."""
-    word = F.regexp_extract("text", term_pattern(terms), 1)
-    return lines.withColumn("_w", word).where("_w <> ''").select(F.lit("glossary").alias("rule"), "file", "line", F.concat(F.lit('Avoid word "'), F.col("_w"), F.lit('"')).alias("msg"))
+def glossary_findings(lines: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
+    """rule, file, line, msg of lines with a word to avoid; the first in the line.
+
+    A short list becomes one pattern. A table (term, ord) may have any number of terms and is looked up by an index;
+    then rows with the same file and line give one finding.
+    """
+    if isinstance(terms, DataFrame):
+        found = first_phrases(lines.select("file", "line", "text"), ["file", "line"], terms.select(F.col("term").alias("phrase"), "ord")).withColumnRenamed("phrase", "_w")
+    else:
+        found = lines.withColumn("_w", F.regexp_extract("text", term_pattern(terms), 1)).where("_w <> ''")
+    return found.select(F.lit("glossary").alias("rule"), "file", "line", F.concat(F.lit('Avoid word "'), F.col("_w"), F.lit('"')).alias("msg"))
 
 
 def avoid_terms(lines: DataFrame, marker: str, allow: DataFrame) -> DataFrame:
@@ -87,7 +95,7 @@ def commit_findings(messages: DataFrame) -> DataFrame:
     return found
 
 
-def commit_notes(messages: DataFrame, terms: list[str]) -> DataFrame:
+def commit_notes(messages: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
     """doc, rule, line, msg of commit messages (doc, text): a note for each kind of attribution, and for each line with a term to avoid.
 
     The message has the first 60 characters of what was found.
@@ -96,7 +104,7 @@ def commit_notes(messages: DataFrame, terms: list[str]) -> DataFrame:
     one = lambda p: F.when(F.col("body").rlike(p), F.struct(line_of(F.col("body"), p).alias("line"), F.left(F.regexp_replace(F.regexp_extract("body", p, 0), r"^\s+|\s+\z", ""), F.lit(60)).alias("what")))
     said = rows.select("doc", F.explode(F.array_compact(F.array(*map(one, P.ATTRIBUTION)))).alias("x"))
     said = said.select("doc", F.lit("commit/attribution").alias("rule"), F.col("x.line").cast("int").alias("line"), F.concat(F.lit("AI/tool attribution: "), "x.what").alias("msg"))
-    if not terms:
+    if isinstance(terms, list) and not terms:
         return said
     lines = rows.select("doc", F.posexplode(F.split("body", "\n", -1)).alias("line", "text")).withColumn("file", F.col("doc")).withColumn("line", F.col("line") + 1)
     return said.unionByName(glossary_findings(lines, terms).select(F.col("file").alias("doc"), "rule", F.col("line").cast("int").alias("line"), "msg"))
@@ -154,10 +162,16 @@ def doc_findings(refs: DataFrame, files: DataFrame, symbols: DataFrame) -> DataF
 
 
 def deleted_references(lines: DataFrame, deleted: DataFrame) -> DataFrame:
-    """file, line, deleted: document lines whose back-quoted tokens begin with a file that the change removes."""
-    tokens = lines.select("file", "line", F.explode(spans(F.col("text"))).alias("token"))
-    prefixes = tokens.select("file", "line", F.explode(F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substr("token", F.lit(1), i))).alias("deleted"))
-    return prefixes.join(deleted.select(F.col("file").alias("deleted")), "deleted", "left_semi").distinct()
+    """file, line, deleted: document lines whose back-quoted tokens begin with a file that the change removes.
+
+    Of a token's beginnings only those as long as some removed file's name are looked up, so a long token costs no
+    more than its length and those names.
+    """
+    gone = deleted.where("file <> ''").select(F.col("file").alias("deleted")).distinct()
+    tokens = lines.select("file", "line", sizes_of(gone, F.col("deleted")).alias("_sizes"), F.explode(spans(F.col("text"))).alias("token"))
+    begins = F.transform(F.filter("_sizes", lambda n: n <= F.length("token")), lambda n: F.left("token", n))
+    prefixes = tokens.select("file", "line", F.explode(begins).alias("deleted"))
+    return prefixes.join(gone, "deleted", "left_semi").select("file", "line", "deleted").distinct()
 
 
 def removed_files(status: DataFrame) -> DataFrame:

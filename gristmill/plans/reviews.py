@@ -75,6 +75,27 @@ def glossary_findings(spark, d):
     return X.glossary_findings(S.document_lines(spark, d).withColumnRenamed("doc_id", "file"), ["thereof", "the", "von der", "ción"])
 
 
+PHRASE_SQL = r"""bench AS (SELECT regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]') AS t FROM benchmark),
+cut AS (SELECT DISTINCT lower(array_to_string(t[i:i + n - 1], '')) AS term, n FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM bench), (VALUES (1), (3), (5)) s(n) WHERE i + n - 1 <= len(t)),
+term AS (SELECT term FROM cut WHERE regexp_matches(term, '^(?:[\p{L}\p{N}_]{10,}|[\p{L}\p{N}_]+( [\p{L}\p{N}_]+){1,2})$'))"""
+
+
+@query(
+    f"""WITH {S.DOC_LINE_SQL}, {PHRASE_SQL}, tok AS (SELECT doc_id, line, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]') AS t FROM doc_line),
+place AS (SELECT doc_id, line, t, unnest(range(1, len(t) + 1)) AS i FROM tok),
+run AS (SELECT doc_id, line, i, array_to_string(t[i:i + n - 1], '') AS said FROM place, (VALUES (1), (3), (5)) s(n) WHERE i + n - 1 <= len(t)),
+hit AS (SELECT doc_id, line, said, ROW_NUMBER() OVER (PARTITION BY doc_id, line ORDER BY i, length(said)) AS k FROM run JOIN term ON lower(said) = term.term)
+SELECT 'glossary' AS rule, doc_id AS file, line, 'Avoid word "' || said || '"' AS msg FROM hit WHERE k = 1"""
+)
+def glossary_terms(spark, d):
+    """Avoided words from a table: the long words, pairs and triples of words of all benchmark items."""
+    text = F.lower("text")
+    word = r"[\p{L}\p{N}_]+"
+    runs = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?=({p})(?![\p{{L}}\p{{N}}_]))"), F.lit(1)) for p in (r"[\p{L}\p{N}_]{10,}", f"{word} {word}", f"{word} {word} {word}"))))
+    terms = S.table(spark, d, "benchmark").select(F.explode(runs).alias("term")).distinct().withColumn("ord", F.length("term"))
+    return X.glossary_findings(S.document_lines(spark, d).withColumnRenamed("doc_id", "file"), terms)
+
+
 @query("SELECT 't' || event_id % 9 AS term FROM events WHERE event_id % 3 = 0 GROUP BY 1 EXCEPT SELECT 't3'")
 def avoided_terms(spark, d):
     n = (F.col("event_id") % 9).cast("string")
