@@ -2,8 +2,8 @@
 
 A text and a phrase are cut into words and single other characters alike, so
 a phrase that stands in a text between word boundaries is a run of the
-text's tokens. Runs of the lengths that phrases have are hashed and meet the
-phrases by equality; what meets is compared. The work is the tokens of the
+text's tokens. Runs of the lengths that phrases have meet the phrases by a hash
+join, which compares what has one hash. The work is the tokens of the
 texts times the number of lengths, however many phrases there are. Spark
 broadcasts the phrases if they are few; if not, both sides are shuffled, with
 each phrase in ``PARTS`` parts, so a phrase that stands in a third of all
@@ -23,7 +23,7 @@ BLOCK, PARTS = 512, 8
 
 def folded(text: Column) -> Column:
     """Texts that differ in case only become one. A sharp s is not taken for two letters; compare lengths for the ligatures."""
-    return F.lower(F.upper(F.translate(text, "ß", "ẞ")))
+    return F.lower(F.upper(F.replace(text, F.lit("ß"), F.lit("ẞ"))))
 
 
 def tokens(text: Column) -> Column:
@@ -31,9 +31,9 @@ def tokens(text: Column) -> Column:
 
 
 def phrase_index(phrases: DataFrame) -> DataFrame:
-    """phrase, ord, size, key of phrases (phrase, ord): one for all that differ in case only, the least ``ord``; null and empty ones are left out."""
+    """phrase, length, ord, size of phrases (phrase, ord): one for all that differ in case only, the least ``ord``; null and empty ones are left out."""
     one = phrases.where("phrase <> ''").withColumn("_f", folded(F.col("phrase"))).groupBy("_f", F.length("phrase").alias("length")).agg(F.min("ord").alias("ord"))
-    return one.select(F.col("_f").alias("phrase"), "length", "ord", F.size(tokens(F.col("_f"))).alias("size"), F.xxhash64("_f").alias("key"))
+    return one.select(F.col("_f").alias("phrase"), "length", "ord", F.size(tokens(F.col("_f"))).alias("size"))
 
 
 def first_phrases(lines: DataFrame, ids: list[str], phrases: DataFrame) -> DataFrame:
@@ -51,17 +51,16 @@ def first_phrases(lines: DataFrame, ids: list[str], phrases: DataFrame) -> DataF
     n = F.size("_t") - 2
     block = lambda b: F.struct(b.alias("b"), F.least(F.lit(BLOCK), n - b).alias("starts"), F.slice("_t", b + 1, F.lit(BLOCK + 1) + F.array_max("_sizes")).alias("t"))
     blocks = rows.select(*ids, "_sizes", F.explode(F.transform(F.sequence(F.lit(0), n - 1, F.lit(BLOCK)), block)).alias("_x"))
-    runs = lambda i: F.transform(F.filter("_sizes", lambda s: i + s < F.size("_x.t")), lambda s: F.struct(i.alias("i"), s.alias("s")))
-    starts = blocks.select(*ids, "_x", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.col("_x.starts")), runs))).alias("_r"))
-    i, s = F.col("_r.i"), F.col("_r.s")
-    said = starts.select(
-        *ids, (F.col("_x.b") + i).alias("_at"), s.alias("size"), F.array_join(F.slice("_x.t", i + 1, s), "").alias("_said"),
-        F.left(F.get("_x.t", i - 1), F.lit(1)).alias("_before"), F.left(F.get("_x.t", i + s), F.lit(1)).alias("_after"),
-    )
-    said = said.withColumn("key", F.xxhash64(folded(F.col("_said")))).withColumn("_part", F.pmod(F.xxhash64(*ids), F.lit(PARTS)))
-    parts = index.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
-    hits = said.join(parts, ["key", "size", "_part"]).where((folded(F.col("_said")) == F.col("phrase")) & (F.length("_said") == F.col("length")))
-    whole = hits.where(~F.col("_before").rlike(WORD) & ~F.col("_after").rlike(WORD))
+    starts = blocks.select(*ids, "_sizes", "_x", F.explode(F.sequence(F.lit(1), F.col("_x.starts"))).alias("_i"))
+    # A word's inside is no start; neither is what stands behind a word without a gap.
+    starts = starts.where(~F.get("_x.t", F.col("_i") - 1).rlike(f"^{WORD}")).select(*ids, "_x", "_i", F.explode("_sizes").alias("size"))
+    i, n = F.col("_i"), F.col("size")
+    starts = starts.where(i + n < F.size("_x.t")).where(~F.get("_x.t", i + n).rlike(f"^{WORD}"))
+    # Said to be never null, so that no filter for nulls computes it a second time.
+    said = starts.select(*ids, (F.col("_x.b") + i).alias("_at"), F.coalesce(F.when(n == 1, F.get("_x.t", i)).otherwise(F.array_join(F.slice("_x.t", i + 1, n), "")), F.lit("")).alias("_said"))
+    said = said.select(*ids, "_at", "_said", F.coalesce(folded(F.col("_said")), F.lit("")).alias("phrase"), F.pmod(F.xxhash64(*ids), F.lit(PARTS)).alias("_part"))
+    parts = index.drop("size").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    whole = said.join(parts, ["phrase", "_part"]).where(F.length("_said") == F.col("length"))
     return whole.groupBy(*ids).agg(F.min_by("_said", F.struct("_at", "ord")).alias("phrase"))
 
 
