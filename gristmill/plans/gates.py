@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gristmill.operators import clones as C
 from gristmill.operators import gate as G
 from gristmill.operators import ingest as I
 from gristmill.operators import supply as Y
@@ -307,6 +308,21 @@ def clone_findings(spark, d):
     return I.clone_findings(clones, S.touched(spark, d))
 
 
+#: Tokens and lines as the operator cuts them, then a table of all windows.
+CLONES_SQL = r"""WITH t AS (SELECT doc_id, UNNEST(k) AS tok, UNNEST(range(len(k))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\s\x0B\x1C-\x1F\x{85}]|\n') AS k FROM (SELECT DISTINCT doc_id, text FROM documents))),
+l AS (SELECT *, 1 + SUM((tok = chr(10))::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS line FROM t), w AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM l WHERE tok <> chr(10)),
+h AS (SELECT doc_id, pos, line, LEAD(line, 69) OVER (PARTITION BY doc_id ORDER BY pos) AS last, md5(string_agg(tok, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 69 FOLLOWING)) AS h FROM w),
+f AS (SELECT *, FIRST_VALUE({'d': doc_id, 'p': pos, 'a': line, 'b': last}) OVER (PARTITION BY h ORDER BY doc_id, pos) AS f FROM h WHERE last IS NOT NULL),
+r AS (SELECT *, pos - ROW_NUMBER() OVER (PARTITION BY doc_id, f.d, pos - f.p ORDER BY pos) AS run FROM f WHERE doc_id <> f.d OR pos - f.p >= 70)
+SELECT doc_id AS file, MIN(line)::INTEGER AS start, MAX(last)::INTEGER AS "end", f.d AS first_file, MIN(f.a)::INTEGER AS first_start, MAX(f.b)::INTEGER AS first_end, (MAX(last) - MIN(line) + 1)::INTEGER AS lines, (COUNT(*) + 69)::INTEGER AS tokens FROM r GROUP BY doc_id, f.d, pos - f.p, run"""
+
+
+@BOOK.query(CLONES_SQL)
+def found_clones(spark, d):
+    clones = C.found_clones(S.table(spark, d, "documents").select(F.col("doc_id").alias("file"), "text"))
+    return clones.select("b.file", "b.start", "b.end", F.col("a.file").alias("first_file"), F.col("a.start").alias("first_start"), F.col("a.end").alias("first_end"), "lines", "tokens")
+
+
 RULES = ["empty-catch", "catch-only-logs", "textual-test", "other"]
 FILES = ["a.ts", "b.go", "c.rs", "d.py", "e.md"]
 
