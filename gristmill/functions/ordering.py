@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,15 @@ def ensure_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(found)
 
 
+def saved(rows: DataFrame) -> DataFrame:
+    """``rows`` cut from their lineage: as Parquet in the checkpoint folder, which takes less room there than a checkpoint."""
+    spark = rows.sparkSession
+    ensure_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def sums_before(rows: DataFrame, order: list[str | Column], n: Column | None = None) -> DataFrame:
     """``rows`` with ``before``: the sum of ``n`` (1 unless given) over all rows that come before in the order.
 
