@@ -307,11 +307,12 @@ def tests_for_sources(spark, d):
     return V.tests_for(sources, tests, 400).select("source", F.col("ord.ord").alias("ord"), F.length("text").alias("chars"))
 
 
-@BOOK.query("SELECT event_id AS id, LEAST(event_id % 300, 90)::INTEGER AS chars FROM events WHERE event_id % 300 < 300")
+#: A state that fits stays whole; of one that is too long 90 characters stay, 14 of them the mark.
+@BOOK.query("SELECT event_id AS id, CASE WHEN event_id % 300 <= 92 THEN repeat('x', event_id % 300) ELSE repeat('x', 76) || chr(10) || '[... cut ...]' END AS hunk FROM events")
 def fitted_states(spark, d):
     rows = S.table(spark, d, "events").select("event_id", F.lit("f").alias("file"), F.repeat(F.lit("x"), (F.col("event_id") % 300).cast("int")).alias("hunk"))
     overhead = len('{"file":"f","hunk":""}')
-    return V.fitted(rows, 90 + overhead + 2, ["file", "hunk"]).select(F.col("event_id").alias("id"), F.least(F.length("hunk"), F.lit(90)).alias("chars"))
+    return V.fitted(rows, 90 + overhead + 2, ["file", "hunk"]).select(F.col("event_id").alias("id"), "hunk")
 
 
 USES = ["<N{n} a />", "import N{n} from 'x'", "export {{ N{n} }} from './n'", "  N{n},", "route(N{n})", "<N{n}0 />"]
