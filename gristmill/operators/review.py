@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,43 +222,59 @@ def duplicate_labels(lines: DataFrame, most: int = 10) -> DataFrame:
     first = lines_with(lines, controls.select("file", "label").distinct(), most + 1).withColumn("_n", n).where(F.col("_n") <= most + 1)
     shown = first.groupBy("file", "label").agg(F.array_sort(F.collect_list(F.struct("line", F.regexp_replace("text", r"^\s+|\s+\z", "").alias("text")))).alias("_s"))
     other = F.slice(F.filter("_s", lambda x: x["line"] != F.col("line")), 1, most)
-    return controls.join(shown, ["file", "label"]).select("file", "line", "label", other.alias("same")).where("size(same) > 0")
+    # A filter over both sides goes behind an explode: Spark pushed it to one side.
+    same = F.when(F.size(other) > 0, other)
+    return controls.join(shown, ["file", "label"]).select("file", "line", "label", F.explode(F.array(same)).alias("same")).where("same is not null")
 
 
 def lines_with(lines: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """file, label, line, text: lines (file, line, text) that hold a label (file, label) of their file, at most the first ``most`` of each label in a block.
 
-    A file's lines go in blocks of ``LINE_BLOCK`` line numbers, its labels in parts of about ``LABEL_PART``. An
-    automaton of a part's labels reads each block once, so a file costs its text times its parts.
+    A file of more than ``LINE_BLOCK`` lines goes in several blocks, dealt by hash, and its labels, if many, in parts
+    of about ``LABEL_PART``. An automaton of a part's labels reads each block once, so a file costs its text times
+    its parts. Files follow each other in a task, which holds one automaton and one batch of lines.
     """
-    rows = lines.where("file is not null and line is not null and text is not null").select("file", "line", "text").withColumn("_block", F.floor(F.col("line") / LINE_BLOCK))
-    sizes = labels.groupBy("file").agg(F.ceil(F.count("*") / LABEL_PART).alias("_parts"))
-    blocks = rows.select("file", "_block").distinct().join(sizes, "file")
-    # The blocks of a file are few beside its lines, which are joined by block: a file with a third of all lines is no single task.
-    asked = rows.join(blocks, ["file", "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
-    offered = blocks.join(labels, "file").select("file", "_block", "label", F.pmod(F.xxhash64("label"), F.col("_parts")).alias("_part"))
-    # Names of its own, as both sides come from the same lines.
-    offered = offered.toDF("_f", "_b", "label", "_p")
+    rows = lines.where("file is not null and line is not null and text is not null").select("file", "line", "text")
+    # Few files have several blocks or parts: at most one for each LINE_BLOCK lines or LABEL_PART labels.
+    # Names of their own, as all sides come from the same lines.
+    many = lambda x, size, file, name: F.broadcast(x.groupBy("file").agg(F.ceil(F.count("*") / size)).toDF(file, name).where(f"{name} > 1"))
+    blocks, parts = many(rows, LINE_BLOCK, "_f", "_blocks"), many(labels, LABEL_PART, "_g", "_parts")
+    one = lambda n: F.coalesce(n, F.lit(1)).alias(n)
+    sized = lambda x: x.join(blocks, F.col("file") == F.col("_f"), "left").join(parts, F.col("file") == F.col("_g"), "left").select(*x.columns, one("_blocks"), one("_parts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = sized(rows).withColumn("_block", F.pmod(F.xxhash64("line", "text"), F.col("_blocks"))).withColumn("_part", each("_parts")).withColumn("_kind", F.lit(1))
+    offered = sized(labels.select("file", F.col("label").alias("text"))).withColumn("_block", each("_blocks")).withColumn("_part", F.pmod(F.xxhash64("text"), F.col("_parts")))
+    offered = offered.withColumn("_kind", F.lit(0)).withColumn("line", F.lit(None).cast(rows.schema["line"].dataType))
+    keys = ["file", "_block", "_part"]
+    dealt = asked.select(*keys, "_kind", "line", "text").unionByName(offered.select(*keys, "_kind", "line", "text")).repartition(*keys).sortWithinPartitions(*keys, "_kind", "line", "text")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = f"file {types['file']}, label string, line {types['line']}, text string"
-
-    def held(block: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        automaton = ahocorasick.Automaton()
-        for x in part["label"]:
-            automaton.add_word(x, x)
-        seen: Counter = Counter()
-        found = []
-        if len(part) and len(block):
-            automaton.make_automaton()
-            block = block.sort_values(["line", "text"], kind="stable")
-            for file, line, text in zip(block["file"], block["line"], block["text"]):
-                for x in {x for _, x in automaton.iter(text)}:
-                    if seen[x] < most:
-                        seen[x] += 1
-                        found.append((file, x, line, text))
-        return pd.DataFrame(found, columns=["file", "label", "line", "text"])
-
-    return asked.groupBy("file", "_block", "_part").cogroup(offered.groupBy("_f", "_b", "_p")).applyInPandas(held, schema)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, automaton, seen, made = None, None, Counter(), False
+        for batch in batches:
+            at: list[int] = []
+            found: list[str] = []
+            columns = [batch.column(c).to_pylist() for c in (*keys, "_kind", "text")]
+            for i, (file, block, part, kind, text) in enumerate(zip(*columns, strict=True)):
+                if group != (file, block, part):
+                    group, automaton, seen, made = (file, block, part), None, Counter(), False
+                if kind == 0:
+                    automaton = automaton or ahocorasick.Automaton()
+                    automaton.add_word(text, text)
+                elif automaton is not None:
+                    if not made:
+                        automaton.make_automaton()
+                        made = True
+                    for x in {x for _, x in automaton.iter(text)}:
+                        if seen[x] < most:
+                            seen[x] += 1
+                            at.append(i)
+                            found.append(x)
+            if at:
+                hit = batch.select(["file", "line", "text"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([hit.column(0), pa.array(found, pa.string()), hit.column(1), hit.column(2)], ["file", "label", "line", "text"])
+
+    return dealt.mapInArrow(held, f"file {types['file']}, label string, line {types['line']}, text string")
 
 
 def component_references(exports: DataFrame, lines: DataFrame) -> DataFrame:

@@ -107,3 +107,11 @@ def test_a_file_of_100_000_lines(spark):
     start = time.monotonic()
     got = review.duplicate_labels(frame).agg({"line": "count"}).first()[0]
     assert got == 100_000 and time.monotonic() - start < 60
+
+
+def test_lines_far_apart_are_few_groups(spark):
+    """Line numbers with gaps do not cost a group each: 3000 files of 20 lines, 10 000 numbers from one to the next."""
+    frame = spark.range(60_000).selectExpr("id % 3000 as file", "id * 10000 as line", "concat('<Button>Item ', id % 7, '</Button>') as text", "true as added")
+    start = time.monotonic()
+    got = review.duplicate_labels(frame).selectExpr("count(*) as n", "min(same[0].line % 10000) as m").first()
+    assert tuple(got) == (60_000, 0) and time.monotonic() - start < 30
