@@ -40,7 +40,7 @@ DIFF_SQL = "x AS (SELECT DISTINCT l_orderkey AS o, l_linenumber * 10 AS n FROM l
 
 def diff_lines(spark, d):
     """Context, a removed line that looks like a header, perhaps an added one; deleted files have no added lines."""
-    x = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") * 10).alias("n")).distinct()
+    x = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") * 10).alias("n")).repartition("o").distinct()
     o, n = key("o"), key("n")
     gone = F.col("o") % 11 == 0
     adds = ~gone & ((F.col("o") + F.col("n")) % 3 != 0)

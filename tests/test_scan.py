@@ -126,3 +126,15 @@ def test_one_long_lock_in_many_ranges(spark, many_ranges):
     for name, body, parse in (("npm", npm, lockfiles.parse_package_lock), ("python", python, lockfiles.parse_python_lock), ("pnpm", [*pnpm, "snapshots:", "  late@1.0.0:"], lockfiles.parse_pnpm_lock)):
         got = parse(lines(spark, {"x": body})).collect()
         assert sorted((r["name"], r["version"], r["line"]) for r in got) == sorted(want[name]), name
+
+
+def test_ranges_are_small_and_shuffled_once(spark, monkeypatch):
+    """A long group is cut into ranges of BLOCK rows however few tasks there are, and all readers share a shuffle of whole rows."""
+    from gristmill.functions import scan as module
+
+    monkeypatch.setattr(module, "BLOCK", 64)
+    table = spark.range(1000).selectExpr("'g' as g", "id as i", "if(id % 7 = 0, id, null) as v", "repeat('x', 20) as text")
+    found = Scan(table, ["g"], ["i"])
+    assert found._rows.groupBy("_range").count().agg({"count": "max"}).first()[0] <= 64
+    got = found.read({"s": F.lit(1)}, {"last": F.col("v")}).rows
+    assert {(r["i"], r["s"], r["last"], r["last_s"]) for r in got.collect()} == {(i, i, i - i % 7, i - i % 7) for i in range(1000)}
