@@ -10,8 +10,8 @@ and pairs over a lower bound are confirmed on their full sets.
 Documents with equal word sequences are one class from the start. In each
 bucket all are first compared with its least document. Then, in buckets whose
 documents are still in different components, all pairs across components are
-compared and confirmed, in blocks inside tasks, and only links that join
-components leave the tasks. So every candidate pair is looked at unless its
+compared and confirmed inside tasks, which get a bucket whole or, where it is
+large, two blocks of it, and only links that join components leave the tasks. So every candidate pair is looked at unless its
 documents are connected already; no bucket is cut short, and no task returns
 all pairs of one.
 """
@@ -34,8 +34,10 @@ BANDS = REGISTERS // ROWS_OF_BAND
 SIMILARITY = 75  # hundredths
 #: Candidates with a lower estimate are not confirmed: four standard deviations under the similarity.
 LEAST_ESTIMATE = 0.60
-#: Documents of a bucket in a block, and partners of a leader in a part.
-BLOCK, PART = 256, 100
+#: Documents of a bucket in a block that goes to tasks, and hashes of their sets (8 bytes each); a row goes out once for each block it meets.
+BLOCK, MOST_HASHES = 4096, 1 << 20
+#: Documents of a block that are compared at once, and partners of a leader in a part.
+TILE, PART = 256, 100
 #: Bits of the filter that keeps other texts out of a shuffle.
 MOST_BITS = 1 << 27
 SKETCH = "doc_id long, n_shingles long, key1 long, key2 long, regs binary, bands array<long>"
@@ -223,71 +225,70 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _candidates(key: int, first: int, second: int, g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (rows of g) between two blocks of a bucket that sizes and registers allow, across components.
+def _candidates(key: int, first: int, second: int, g: pd.DataFrame, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (rows of g) between two blocks of a bucket that sizes and registers allow, across components, tile by tile.
 
-    Only pairs whose first common band is this bucket are looked at, so each pair is confirmed once.
+    Only pairs whose first common band is this bucket are looked at, so each pair is confirmed once. ``comp``
+    is read anew for each tile.
     """
     regs = np.frombuffer(b"".join(g["regs"]), np.uint16).reshape(-1, REGISTERS)
-    n, side, comp = (g[c].to_numpy() for c in ("n_shingles", "side", "comp"))
-    rows, cols = np.flatnonzero(side == first), np.flatnonzero(side == second)
-    agree = np.zeros((len(rows), len(cols)), np.int16)
-    for k in range(REGISTERS):
-        agree += regs[rows, k][:, None] == regs[cols, k][None, :]
-    x, y = n[rows][:, None], n[cols][None, :]
-    near = _sizes_allow(x, y) & (comp[rows][:, None] != comp[cols][None, :]) & (estimate(agree / REGISTERS, x, y) >= LEAST_ESTIMATE)
-    if first == second:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    if len(i):
-        band = (regs[rows[i]] == regs[cols[j]]).reshape(-1, BANDS, ROWS_OF_BAND).all(2).argmax(1)
-        own = np.array([band_keys(regs[r]) for r in rows])[i, band] == key
-        i, j = i[own], j[own]
-    return rows[i], cols[j]
+    n, side = g["n_shingles"].to_numpy(), g["side"].to_numpy()
+    tiles = lambda of: np.split(at := np.flatnonzero(side == of), range(TILE, len(at), TILE))
+    for u, rows in enumerate(tiles(first)):
+        for v, cols in enumerate(tiles(second)):
+            if first == second and v < u:
+                continue
+            x, y = n[rows][:, None], n[cols][None, :]
+            near = _sizes_allow(x, y) & (comp[rows][:, None] != comp[cols][None, :])
+            if first == second and u == v:
+                near = np.triu(near, 1)
+            if not near.any():
+                continue
+            agree = np.zeros(near.shape, np.int16)
+            for k in range(REGISTERS):
+                agree += regs[rows, k][:, None] == regs[cols, k][None, :]
+            i, j = np.nonzero(near & (estimate(agree / REGISTERS, x, y) >= LEAST_ESTIMATE))
+            if len(i):
+                band = (regs[rows[i]] == regs[cols[j]]).reshape(-1, BANDS, ROWS_OF_BAND).all(2).argmax(1)
+                own = np.array([band_keys(regs[r]) for r in rows])[i, band] == key
+                yield rows[i[own]], cols[j[own]]
 
 
 def _links_between(key: int, first: int, second: int, g: pd.DataFrame) -> list[tuple[int, int]]:
     """Links between two blocks of a bucket that join different components; a forest over these."""
-    i, j = _candidates(key, first, second, g)
-    if not len(i):
-        return []
     n, comp, ids = (g[c].to_numpy() for c in ("n_shingles", "comp", "id"))
+    comp = comp.copy()
     sets = [np.frombuffer(v, np.uint64) for v in g["data"]]
-    if len(i) <= 4 * len(g):
-        both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
-    else:
-        u, v = np.unique(i), np.unique(j)
-        both = _common([sets[r] for r in u], [sets[c] for c in v])[np.searchsorted(u, i), np.searchsorted(v, j)]
-    held = 100 * both >= SIMILARITY * (n[i] + n[j] - both)
-    parent: dict[int, int] = {}
-
-    def root(c: int) -> int:
-        while parent.setdefault(c, c) != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
     out = []
-    for a, b in zip(i[held].tolist(), j[held].tolist(), strict=True):
-        p, q = root(comp[a]), root(comp[b])
-        if p != q:
-            parent[p] = q
-            out.append((int(ids[a]), int(ids[b])))
+    for i, j in _candidates(key, first, second, g, comp):
+        u, v = np.unique(i), np.unique(j)
+        if len(i) <= 4 * (len(u) + len(v)):
+            both = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+        else:
+            both = _common([sets[r] for r in u], [sets[c] for c in v])[np.searchsorted(u, i), np.searchsorted(v, j)]
+        held = 100 * both >= SIMILARITY * (n[i] + n[j] - both)
+        for a, b in zip(i[held].tolist(), j[held].tolist(), strict=True):
+            if comp[a] != comp[b]:
+                out.append((int(ids[a]), int(ids[b])))
+                # Tiles that follow pass over pairs that are connected by now.
+                comp[comp == comp[a]] = comp[b]
     return out
 
 
 def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) inside buckets (key, id, comp) whose members are in different components.
+    """Links (a, b) inside buckets (key, id, n_shingles, comp) whose members are in different components.
 
     A bucket's rows outside its largest component are compared with all of it; the largest component's rows
-    are not compared with each other. Both go to the tasks in blocks.
+    are not compared with each other. Both go to the tasks in blocks, or the bucket as a whole if one block holds it.
     """
-    by = shared.save(spark, labelled.groupBy("key", "comp").agg(F.count("*").alias("n")), "by")
-    mixed = by.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    mixed = shared.save(spark, mixed.select("key", F.col("top.comp").alias("main"), blocks(F.col("all") - F.col("top.n")).alias("p"), blocks(F.col("top.n")).alias("q")), "mixed")
+    by = shared.save(spark, labelled.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("hashes")), "by")
+    mixed = by.groupBy("key").agg(F.max(F.struct("n", "comp", "hashes")).alias("top"), F.sum("n").alias("all"), F.sum("hashes").alias("sets"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda c, hashes: F.greatest(F.ceil(c / BLOCK), F.ceil(hashes / MOST_HASHES)).cast("int")
+    p, q = blocks(F.col("all") - F.col("top.n"), F.col("sets") - F.col("top.hashes")), blocks(F.col("top.n"), F.col("top.hashes"))
+    whole = blocks(F.col("all"), F.col("sets")) == 1
+    mixed = shared.save(spark, mixed.select("key", F.col("top.comp").alias("main"), F.when(whole, 1).otherwise(p).alias("p"), F.when(whole, 0).otherwise(q).alias("q")), "mixed")
     rows = labelled.join(mixed, "key")
-    main, h = F.col("comp") == F.col("main"), F.xxhash64("id")
+    main, h = (F.col("comp") == F.col("main")) & (F.col("q") > 0), F.xxhash64("id")
     dealt = rows.withColumn("side", F.when(main, F.col("p") + F.pmod(h, F.col("q"))).otherwise(F.pmod(h, F.col("p"))).cast("int"))
     last = F.when(main, F.col("p") - 1).otherwise(F.col("p") + F.col("q") - 1)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("first", F.least("side", "other")).withColumn("second", F.greatest("side", "other"))
@@ -297,9 +298,11 @@ def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs
 
     def hopeful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (key, first, second), g in whole_groups(batches, keys):
-            i, j = _candidates(key, first, second, g)
-            if len(i):
-                yield g.iloc[np.union1d(i, j)][[*keys, "side", "id", "comp"]]
+            seen = np.zeros(len(g), bool)
+            for i, j in _candidates(key, first, second, g, g["comp"].to_numpy()):
+                seen[i] = seen[j] = True
+            if seen.any():
+                yield g.loc[seen, [*keys, "side", "id", "comp"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for (key, first, second), g in whole_groups(batches, keys):
@@ -310,7 +313,7 @@ def _rest_links(spark: SparkSession, labelled: DataFrame, sizes: DataFrame, docs
     # Registers decide first which documents of two blocks are worth their sets.
     some = shared.save(spark, dealt.mapInPandas(hopeful, schema), "hopeful")
     sets = full_sets(spark, docs, classes.join(some.select("id").distinct(), "id"))
-    again = some.join(sizes, "id").join(sets, "id").repartition(*keys).sortWithinPartitions(*keys)
+    again = some.join(sets.join(sizes, "id"), "id").repartition(*keys).sortWithinPartitions(*keys)
     out = shared.save(spark, again.mapInPandas(compare, "a long, b long"), "rest")
     for table in (by, mixed, some, sets):
         shared.drop(spark, table)
@@ -382,9 +385,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     chosen = named.join(classes, ["doc_id", "key1", "key2"]).dropDuplicates(["id"])
     one = shared.save(spark, chosen.select("id", "n_shingles", "regs", "bands"), "one")
 
-    banded = one.select("id", F.explode("bands").alias("key"))
+    banded = one.select("id", "n_shingles", F.explode("bands").alias("key"))
     buckets = shared.save(spark, banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1"), "buckets")
-    held = shared.save(spark, banded.join(buckets, "key").select("key", "n", "leader", "id"), "held")
+    held = shared.save(spark, banded.join(buckets, "key").select("key", "n", "leader", "id", "n_shingles"), "held")
     pairs = held.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     sizes = one.select("id", "n_shingles", "regs")
 
@@ -396,7 +399,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         shared.drop(spark, table)
     found = components(spark, links)
     label = F.coalesce("component", "id").alias("comp")
-    labelled = held.where("n > 2").join(found, "id", "left").select("key", "id", label)
+    labelled = held.where("n > 2").join(found, "id", "left").select("key", "id", "n_shingles", label)
     rest = _rest_links(spark, labelled, sizes, docs, classes)
     links = links.unionByName(rest)
     # Classes that share a doc_id are one document's.

@@ -147,6 +147,41 @@ def test_near_duplicates_are_brute_force(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in range(len(texts))] == [(len(sets[i]), want[i], want[i] == i) for i in range(len(texts))]
 
 
+def _around_one_text(n: int) -> list[str]:
+    """Texts of one part of 100 words and 24 words of their own each: near one another, none linked."""
+    common = " ".join(f"w{i}" for i in range(100))
+    return [f"{common} " + " ".join(f"v{k}x{i}" for i in range(24)) for k in range(n)]
+
+
+def test_near_duplicates_of_a_large_bucket_go_to_tasks_once(spark, monkeypatch):
+    texts = _around_one_text(900)
+    texts[700] = texts[5] + " more"
+    rows, save = {}, neardup.shared.save
+
+    def saved(session, df, name):
+        out = save(session, df, name)
+        if name == "hopeful":
+            rows["all"], rows["different"] = out.count(), out.select("key", "id").distinct().count()
+        return out
+
+    monkeypatch.setattr(neardup.shared, "save", saved)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark, documents(spark, texts)).collect()}
+    assert got == {i: 5 if i == 700 else i for i in range(900)}
+    assert rows["all"] == rows["different"] > 0
+
+
+@pytest.mark.parametrize(("block", "hashes"), [(8, 1 << 20), (4096, 1000)])
+def test_near_duplicates_in_blocks_and_tiles(spark, monkeypatch, block, hashes):
+    texts = _around_one_text(60)
+    for at in range(30, 60):
+        texts[at] = texts[at - 30 if at % 3 else at - 1] + " more"
+    want = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark, documents(spark, texts)).collect()}
+    for name, value in (("BLOCK", block), ("MOST_HASHES", hashes), ("TILE", 3)):
+        monkeypatch.setattr(neardup, name, value)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark, documents(spark, texts)).collect()} == want
+    assert len(set(want.values())) < 60
+
+
 def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(spark, documents(spark, [])).count() == 0
     rows = spark.createDataFrame([(5, "one two three four five six"), (5, "one two three four five six"), (None, "one two three four five six"), (3, "ONE two three  four five six")], "doc_id long, text string")
