@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
@@ -50,59 +52,74 @@ def moved_stream(states: DataFrame) -> DataFrame:
     return states.groupBy("session").applyInPandasWithState(step, schema, "head string", "append", "NoTimeout")
 
 
-def _millis(ts: pd.Timestamp) -> int:
-    """Milliseconds since 1970 of a time of the session's zone, rounded up, as timers know no less."""
-    return -(-ts.value // 1_000_000)
+def _millis(ts: pa.ChunkedArray) -> pa.ChunkedArray:
+    """Milliseconds since 1970 of times of the session's zone, rounded up, as timers know no less."""
+    micros = ts.cast(pa.int64())
+    whole = pc.divide(micros, 1000)
+    return pc.add(whole, pc.greater(micros, pc.multiply(whole, 1000)).cast(pa.int64()))
 
 
 class InOrder(StatefulProcessor):
     """Rows of a key in the order of (ts, ord), held until the watermark says that none can come before them.
 
-    State: the rows that wait, as many as come within the watermark's delay; and the last value. ``fields`` are
-    the columns that go out, and ``value`` the one that is compared with the last.
+    State: the rows that wait, as many as come within the watermark's delay, an Arrow table for each batch; and
+    the last value. ``fields`` are the columns that go out, and ``value`` the one that is compared with the last.
     """
 
+    TYPES = {"long": pa.int64(), "timestamp": pa.timestamp("us"), "string": pa.string()}
+
     def __init__(self, fields: list[str], kinds: str, value: str, first: bool):
         self.fields, self.kinds, self.value, self.first = fields, kinds, value, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.kinds)
+        self.fixed = pa.schema([(name, self.TYPES[kind]) for name, kind in (f.split() for f in self.kinds.split(","))])
+        self.waiting = handle.getListState("waiting", "rows binary")
         self.last = handle.getValueState("last", "value string")
 
+    def _packed(self, rows: pa.Table) -> tuple[bytes]:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.fixed) as out:
+            out.write_table(rows)
+        return (sink.getvalue().to_pybytes(),)
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         earliest = None
         for batch in rows:
             if len(batch):
-                self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in batch[self.fields].itertuples(index=False)])
-                low = batch["ts"].min()
+                found = pa.Table.from_pandas(batch[self.fields], self.fixed, preserve_index=False)
+                self.waiting.appendValue(self._packed(found))
+                low = pc.min(_millis(found["ts"])).as_py()
                 earliest = low if earliest is None else min(low, earliest)
         if earliest is not None:
-            self.handle.registerTimer(_millis(earliest))
+            self.handle.registerTimer(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.fields)
-        due = rows["ts"].map(_millis) <= now if len(rows) else pd.Series([], dtype=bool)
-        ready, later = rows[due].sort_values(["ts", "ord"]), rows[~due]
+        parts = [pa.ipc.open_stream(blob).read_all() for (blob,) in self.waiting.get()] if self.waiting.exists() else []
+        if not parts:
+            return
+        rows = pa.concat_tables(parts)
+        due = pc.less_equal(_millis(rows["ts"]), now)
+        ready, later = rows.filter(due).sort_by([("ts", "ascending"), ("ord", "ascending")]), rows.filter(pc.invert(due))
         if len(later):
-            self.waiting.put([tuple(None if pd.isna(v) else v for v in r) for r in later.itertuples(index=False)])
-            self.handle.registerTimer(_millis(later["ts"].min()))
-        elif len(rows):
+            self.waiting.put([self._packed(later)])
+            self.handle.registerTimer(pc.min(_millis(later["ts"])).as_py())
+        else:
             self.waiting.clear()
-        out, last = [], self.last.get()[0] if self.last.exists() else None
-        for row in ready.itertuples(index=False):
-            value = getattr(row, self.value)
-            value = None if pd.isna(value) else value
-            # A move is from something to something; a note is news beside none as well.
-            if last != value and (self.first or (last is not None and value is not None)):
-                out.append(tuple(row))
-            last = value
-        if len(ready):
-            self.last.update((last,))
-        if out:
-            yield pd.DataFrame(out, columns=self.fields)
+        if not len(ready):
+            return
+        value = ready[self.value].combine_chunks()
+        before = pa.concat_arrays([pa.array([self.last.get()[0] if self.last.exists() else None], value.type), value[:-1]])
+        # A move is from something to something; a note is news beside none as well.
+        out = pc.fill_null(pc.not_equal(value, before), False)
+        if self.first:
+            out = pc.or_(out, pc.xor(pc.is_null(value), pc.is_null(before)))
+        self.last.update((value[-1].as_py(),))
+        found = ready.filter(out)
+        if len(found):
+            yield found.to_pandas(integer_object_nulls=True)
 
     def close(self) -> None:
         pass

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 
 from gristmill.streaming import sessions
@@ -40,6 +41,38 @@ def test_streams_in_event_time_order(spark, tmp_path, name, ordered):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 40
 
 
+class Held(list):
+    """A list state."""
+
+    def __init__(self, handle=None):
+        self.timers = []
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return None
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def appendList(self, rows):
+        self.extend(rows)
+
+    appendValue = list.append
+
+
+def test_rows_that_wait_are_one_value_a_batch():
+    held = Held()
+    step = sessions.InOrder(["session", "ts", "ord", "head"], "session long, ts timestamp, ord long, head string", "head", False)
+    step.init(held)
+    n = 500
+    batch = lambda k: pd.DataFrame({"session": 1, "ts": [START + dt.timedelta(microseconds=1500 + k + i) for i in range(n)], "ord": range(n), "head": [None, "a"] * (n // 2)})
+    list(step.handleInputRows((1,), iter([batch(0), batch(n)]), None))
+    assert len(held) == 2
+    assert held.timers == [int(START.replace(tzinfo=dt.UTC).timestamp() * 1000) + 2]
+
+
 def test_recent_sessions_as_a_stream(spark, tmp_path):
     rng = random.Random(8)
     schema = "session long, ts timestamp, ord long, head string"
