@@ -394,6 +394,6 @@ def lock_age_notices(spark, d):
 @BOOK.query("SELECT TRUE AS fresh, 'same' AS of UNION ALL SELECT FALSE, 'less' UNION ALL SELECT FALSE, 'none'")
 def fresh_coverage(spark, d):
     files = S.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), "text")
-    stored = Y.fingerprint(files.repartition(3, "file"))
+    stored = Y.fingerprint(files.repartition("file"))
     less = Y.fingerprint(files.where("doc_id > 3"))
     return Y.fresh(files, stored).withColumn("of", F.lit("same")).unionByName(Y.fresh(files, less).withColumn("of", F.lit("less"))).unionByName(Y.fresh(files, stored.limit(0)).withColumn("of", F.lit("none")))
