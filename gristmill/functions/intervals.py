@@ -3,20 +3,27 @@
 A range is cut into the aligned blocks of 1, 16, 256, ... lines that cover it
 exactly, at most 30 of a size, and a line lies in one block of each size. So
 "which ranges hold this line" is an equality join on file, size and block,
-with each pair met once and none in vain. Whether a range holds any line at
+with each pair met once and none in vain; only sizes that some range has room for are
+looked up. Whether a range holds any line at
 all needs no pairs: ranges and lines are read together, from the last line
 to the first, and each range sees the next line from its start on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.functions.ordering import dealt, saved
 from gristmill.functions.scan import Scan
 
 #: Blocks grow by 2**BITS; the largest have 2**TOP lines.
 BITS, TOP = 4, 28
+SIZES = range(0, TOP + 1, BITS)
+#: A range is seldom more blocks than that.
+MOST = 60
 _NONE = "array<struct<level:int,block:bigint>>"
 
 
@@ -34,12 +41,19 @@ def cover(start: Column, end: Column) -> Column:
         blocks = F.when(apart, F.concat(run(low, middle), run(after, high))).otherwise(run(low, high))
         return F.transform(blocks, lambda b: F.struct(F.lit(shift).alias("level"), b.alias("block")))
 
-    return F.when((start <= end), F.concat(*(some(s) for s in range(0, TOP + 1, BITS)))).otherwise(F.array().cast(_NONE))
+    return F.when((start <= end), F.concat(*(some(s) for s in SIZES))).otherwise(F.array().cast(_NONE))
+
+
+def sizes_in_use(ranges: DataFrame, start: Column, end: Column) -> tuple[list[int], int]:
+    """The sizes of block that the longest range has room for, and about how many blocks all ranges are."""
+    length = end.cast("long") - start.cast("long") + 1
+    found = ranges.agg(F.coalesce(F.max(length), F.lit(0)).alias("most"), F.coalesce(F.sum(F.greatest(F.least(length, F.lit(MOST)), F.lit(0))), F.lit(0)).alias("n")).first()
+    return [s for s in SIZES if found["most"] >> s > 0], found["n"]
 
 
-def around(line: Column) -> Column:
+def around(line: Column, sizes: Iterable[int] = SIZES) -> Column:
     """The blocks that a line lies in, one of each size."""
-    return F.array(*(F.struct(F.lit(s).alias("level"), F.shiftright(line.cast("long"), s).alias("block")) for s in range(0, TOP + 1, BITS)))
+    return F.array(*(F.struct(F.lit(s).alias("level"), F.shiftright(line.cast("long"), s).alias("block")) for s in sizes)).cast(_NONE)
 
 
 def touched_ranges(ranges: DataFrame, touched: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
@@ -62,13 +76,24 @@ def innermost_ranges(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     Each block keeps its innermost range, so ranges that lie around one another are not paired with a line.
     """
     at = F.struct("start", (-F.col("end")).alias("end"), "name")
-    best = ranges.select("file", "start", "end", "name", F.explode(cover(F.col("start"), F.col("end"))).alias("b")).groupBy("file", "b.level", "b.block").agg(F.max(at).alias("in"))
-    seen = lines.select("file", "line").distinct().select("file", "line", F.explode(around(F.col("line"))).alias("b")).select("file", "line", "b.*")
-    return seen.join(best, ["file", "level", "block"]).groupBy("file", "line").agg(F.max("in").alias("in")).select("file", "line", F.col("in.name").alias("name"))
+    held = saved(ranges.select("file", "start", "end", "name"))
+    blocks = cover(F.col("start"), F.col("end"))
+    sizes, n = sizes_in_use(held, F.col("start"), F.col("end"))
+    # A few ranges in a small shuffle may be many blocks, so they are dealt to as many tasks as these need.
+    best = dealt(held, n, "file", "start", "end").select("file", "start", "end", "name", F.explode(blocks).alias("b")).groupBy("file", "b.level", "b.block").agg(F.max(at).alias("in"))
+    seen = lines.select("file", "line").distinct().select("file", "line", F.explode(around(F.col("line"), sizes)).alias("b")).select("file", "line", "b.*")
+    # Never a broadcast: the ranges' Parquet is far smaller than their blocks.
+    found = seen.join(best.hint("merge"), ["file", "level", "block"])
+    # A line has one block of each size.
+    if len(sizes) > 1:
+        found = found.groupBy("file", "line").agg(F.max("in").alias("in"))
+    return found.select("file", "line", F.col("in.name").alias("name"))
 
 
 def contained_ranges(ranges: DataFrame) -> DataFrame:
     """ord, a, b: for each range (ord, file, start, end) those that begin after its start and end with it or before."""
-    outer = ranges.select("ord", "file", F.col("end").alias("_end"), F.explode(cover(F.col("start") + 1, F.col("end"))).alias("x")).select("ord", "file", "_end", "x.*")
-    inner = ranges.select("file", F.col("start").alias("a"), F.col("end").alias("b")).select("file", "a", "b", F.explode(around(F.col("a"))).alias("x")).select("file", "a", "b", "x.*")
+    blocks = cover(F.col("start") + 1, F.col("end"))
+    sizes, _ = sizes_in_use(ranges, F.col("start") + 1, F.col("end"))
+    outer = ranges.select("ord", "file", F.col("end").alias("_end"), F.explode(blocks).alias("x")).select("ord", "file", "_end", "x.*")
+    inner = ranges.select("file", F.col("start").alias("a"), F.col("end").alias("b")).select("file", "a", "b", F.explode(around(F.col("a"), sizes)).alias("x")).select("file", "a", "b", "x.*")
     return outer.join(inner, ["file", "level", "block"]).where("b <= _end").select("ord", "a", "b")

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Rows that a task sorts.
+TASK = 1_000_000
+
 
 def ensure_checkpoints(spark: SparkSession) -> None:
     """A checkpoint folder: the session's, or one of our own where all runs in one process; an error elsewhere."""
@@ -32,6 +35,12 @@ def saved(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """``rows`` by the hash of keys, in as many tasks as ``n`` rows need that are sorted in memory: their bytes in a shuffle may be few."""
+    least = min(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(max(least, -(-n // TASK)), *keys)
+
+
 def sums_before(rows: DataFrame, order: list[str | Column], n: Column | None = None) -> DataFrame:
     """``rows`` with ``before``: the sum of ``n`` (1 unless given) over all rows that come before in the order.
 

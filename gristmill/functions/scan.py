@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import ordering
 
-#: Rows of a range, a power of two so that no range has rows of two tasks; and rows that a task sorts.
-BLOCK, TASK = 1 << 13, 1_000_000
+#: Rows of a range, a power of two so that no range has rows of two tasks.
+BLOCK = 1 << 13
 
 
 class Scan:
@@ -31,11 +31,10 @@ class Scan:
         dealt = keyed.repartitionByRange("_group", *order).sortWithinPartitions("_group", *order)
         kept = ordering.saved(dealt.withColumn("_range", F.floor(F.monotonically_increasing_id() / BLOCK)))
         self._key, self._order = ["_group", "_range"], order
-        least = min(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         # One shuffle for all that is read of the ranges: the columns go together, or each reader would shuffle its own choice of them.
         together = kept.select(*self._key, F.array(F.struct(*rows.columns)).alias("_line"))
         # As many tasks as rows need that are sorted in memory; the count is read from the files' ends.
-        together = together.repartition(max(least, -(-kept.count() // TASK)), *self._key)
+        together = ordering.dealt(together, kept.count(), *self._key)
         self._rows = together.select(*self._key, F.explode(F.slice("_line", 1, 1)).alias("_line")).select(*self._key, "_line.*")
         self._here = Window.partitionBy(*self._key).orderBy(*order)
         self._ranges = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import patterns as P
-from gristmill.functions.intervals import touched_ranges
-from gristmill.operators.complexity import innermost
+from gristmill.functions.intervals import innermost_ranges, touched_ranges
+from gristmill.functions.ordering import dealt, saved
 from gristmill.operators.tamper import language_of
 
 
@@ -44,9 +44,10 @@ def security_notes(lines: DataFrame) -> DataFrame:
 
 def form_findings(messages: DataFrame, functions: DataFrame, touched: DataFrame) -> DataFrame:
     """rule, file, line, msg of form messages (rule, file, line, msg) on changed functions: the innermost around, or the line alone."""
-    kept = messages.where(F.col("rule").isin(*P.FORM_RULES))
-    named = innermost(functions.select("file", "start", "end", F.struct("start", "end").alias("name")), kept)
-    rows = kept.join(named.select("rule", "file", "line", "msg", "owner").distinct(), ["rule", "file", "line", "msg"], "left")
+    kept = saved(messages.where(F.col("rule").isin(*P.FORM_RULES)))
+    kept = dealt(kept, kept.count(), "file", "line")
+    owners = innermost_ranges(functions.select("file", "start", "end", F.struct("start", "end").alias("name")), kept)
+    rows = kept.join(owners.withColumnRenamed("name", "owner").hint("merge"), ["file", "line"], "left").select(*kept.columns, "owner")
     rows = rows.withColumns({"_a": F.coalesce("owner.start", "line"), "_b": F.coalesce("owner.end", "line")})
     hit = touched_ranges(rows, touched, "_a", "_b")
     return hit.select(F.concat(F.lit("form/"), "rule").alias("rule"), "file", "line", "msg")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gristmill.functions.ordering import dealt
 from gristmill.operators import clones as C
 from gristmill.operators import gate as G
 from gristmill.operators import ingest as I
@@ -349,7 +350,8 @@ def security_notes(spark, d):
     SELECT 'form/max-depth' AS rule, file, line, 'deep' AS msg FROM w WHERE EXISTS (SELECT 1 FROM touched t WHERE t.file = w.file AND t.line BETWEEN a AND b)"""
 )
 def form_findings(spark, d):
-    lines = S.table(spark, d, "lineitem").select(S.order_file("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")).distinct()
+    table = S.table(spark, d, "lineitem")
+    lines = dealt(table.select(S.order_file("l_orderkey").alias("file"), F.col("l_linenumber").alias("line")), table.count(), "file").distinct()
     messages = lines.select(F.explode(F.array(F.lit("max-depth"), F.lit("no-console"))).alias("rule"), "file", "line", F.lit("deep").alias("msg"))
     ranges = lines.select("file").distinct().select("file", F.explode(F.array(F.struct(F.lit(1).alias("start"), F.lit(5).alias("end")), F.struct(F.lit(3).alias("start"), F.lit(4).alias("end")))).alias("r"))
     return I.form_findings(messages, ranges.select("file", "r.start", "r.end"), S.touched(spark, d))
