@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gristmill.functions.ordering import dealt
 from gristmill.operators import supply as P
 from gristmill.plans import standins as S
 from gristmill.sources import coverage as V
@@ -80,8 +81,9 @@ def whole_files(spark, d):
 
 @query("WITH a AS (SELECT l_orderkey AS file, l_linenumber AS line, l_returnflag || l_partkey AS text, l_partkey * 1000 + l_suppkey AS range_ord FROM lineitem), u AS (SELECT file, line, range_ord, MAX(text) AS text FROM a GROUP BY ALL) SELECT file, line, MAX_BY(text, range_ord) AS text FROM u GROUP BY file, line")
 def union_of_ranges(spark, d):
-    a = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.concat("l_returnflag", key("l_partkey")).alias("text"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("range_ord"))
-    a = a.groupBy("file", "line", "range_ord").agg(F.max("text").alias("text"))
+    table = S.table(spark, d, "lineitem")
+    a = table.select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.concat("l_returnflag", key("l_partkey")).alias("text"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("range_ord"))
+    a = dealt(a, table.count(), "file", "line").groupBy("file", "line", "range_ord").agg(F.max("text").alias("text"))
     return D.union_changes(a.where("range_ord % 2 = 0"), a.where("range_ord % 2 = 1"))
 
 

@@ -156,3 +156,15 @@ def test_labels_that_any_other_line_holds(spark):
     got = {(r["line"], r["label"]): [tuple(x) for x in r["same"]] for r in review.duplicate_labels(spark.createDataFrame(rows, "file string, line int, text string, added boolean")).collect()}
     want = {(2, "Save"): [(1, "<h1>Save all</h1>")], (4, "Close"): [(3, 'const t = "Close";')], (44, "Many"): [(i, "Many") for i in range(32, 42)]}
     assert got == want | {(8 + i, f"Item {i:02}"): [(20 + i, f"Item {i:02}")] for i in range(12)}
+
+
+def test_union_of_ranges_is_dealt_by_its_rows(spark, monkeypatch):
+    from gristmill.functions import ordering
+    from gristmill.plans import formats
+
+    monkeypatch.setattr(ordering, "TASK", 500)
+    plan = formats.union_of_ranges(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    rows = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert f", {-(-rows // 500)}" in plan.optimizedPlan().toString()
+    # Nothing is sorted before it is dealt.
+    assert "partial_max(text" not in plan.executedPlan().toString().split("Exchange", 1)[1].split("Scan", 1)[0]
