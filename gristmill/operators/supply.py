@@ -10,10 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.functions import commits
+from gristmill.functions import commits, ordering
 from gristmill.functions.intervals import touched_ranges
 from gristmill.functions.patterns import MIN_RELEASE_AGE_DAYS
 
+#: A manifest takes a task's time of so many rows.
+MANIFEST = 50
+
 
 def changed_records(records: DataFrame, added: DataFrame) -> DataFrame:
     """Lock records (file, name, version, line, end, registry) with an added line inside; of equal versions the last."""
@@ -49,9 +52,11 @@ def npm_dependencies(manifests: DataFrame) -> DataFrame:
 def python_dependencies(manifests: DataFrame) -> DataFrame:
     """file, name, range of pyproject texts: PEP 621, optional and dependency groups, poetry tables; TOML is read in Python.
 
-    A null text or one that is no TOML gives a row with a null name, and its reason as range.
+    A null text or one that is no TOML gives a row with a null name, and its reason as range. Reading takes long for the
+    bytes that manifests have, so they are dealt by their number, which is counted first.
     """
-    return manifests.select("file", "text").mapInPandas(_read_manifests, "file string, name string, range string")
+    dealt = ordering.dealt(manifests.select("file", "text"), MANIFEST * manifests.count(), "file", "text")
+    return dealt.mapInPandas(_read_manifests, "file string, name string, range string")
 
 
 def _read_manifests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -168,3 +168,14 @@ def test_union_of_ranges_is_dealt_by_its_rows(spark, monkeypatch):
     assert f", {-(-rows // 500)}" in plan.optimizedPlan().toString()
     # Nothing is sorted before it is dealt.
     assert "partial_max(text" not in plan.executedPlan().toString().split("Exchange", 1)[1].split("Scan", 1)[0]
+
+
+def test_manifests_are_dealt_by_their_number(spark, monkeypatch):
+    from gristmill.functions import ordering
+    from gristmill.operators import supply
+
+    monkeypatch.setattr(ordering, "TASK", 100)
+    texts = spark.range(24).coalesce(1).select(F.col("id").cast("string").alias("id"), F.lit('[project]\ndependencies = ["a>=1"]').alias("text"))
+    found = supply.python_dependencies(texts.withColumnRenamed("id", "file"))
+    assert found.rdd.getNumPartitions() == 12
+    assert found.count() == 24
