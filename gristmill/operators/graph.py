@@ -131,21 +131,20 @@ def chain_ends(links: DataFrame) -> DataFrame:
     """node, end: where each node's chain of ``links`` (node, next) ends; nodes whose chain comes back to itself have none.
 
     Pointer doubling: each round sends every open pointer to where its target points, so a chain of n steps
-    takes the logarithm of n rounds; those still open when twice the steps of the longest possible chain are
-    done go round in a circle. A link to a node that is not there ends before it. Each round is one join, cut
-    from its lineage by a checkpoint; a node has one link, or several rows say the same.
+    takes the logarithm of n rounds. The steps that chains have to their ends leave out no number, so each round closes
+    some pointer until those are left that go round in a circle or into one: a round that closes none is the last. A
+    link to a node that is not there ends before it. Each round is one join, cut from its lineage; a node has one
+    link, or several rows say the same.
     """
-    ordering.ensure_checkpoints(links.sparkSession)
     nodes = links.select("node").distinct()
     there = links.join(nodes.select(F.col("node").alias("next")), "next", "left_semi").select("node", "next").distinct()
-    now = nodes.join(there, "node", "left").select("node", F.coalesce("next", "node").alias("end"), F.col("next").isNull().alias("done")).checkpoint()
-    rounds = max(1, now.where("not done").count()).bit_length() + 1
-    for _ in range(rounds):
+    now = ordering.saved(nodes.join(there, "node", "left").select("node", F.coalesce("next", "node").alias("end"), F.col("next").isNull().alias("done")))
+    before, left = None, now.where("not done").count()
+    while left and left != before:
         to = now.select(F.col("node").alias("end"), F.col("end").alias("onward"), F.col("done").alias("ends"))
-        moved = now.where("not done").join(to, "end").select("node", F.col("onward").alias("end"), F.col("ends").alias("done"))
-        now = now.where("done").unionByName(moved).checkpoint()
-        if now.where("not done").isEmpty():
-            break
+        moved = now.where("not done").join(to.hint("merge"), "end").select("node", F.col("onward").alias("end"), F.col("ends").alias("done"))
+        now = ordering.saved(now.where("done").unionByName(moved))
+        before, left = left, now.where("not done").count()
     return now.where("done").select("node", "end")
 
 
@@ -155,8 +154,7 @@ def inherited_aliases(configs: DataFrame) -> DataFrame:
     A chain may have any length. One that comes back to a config, leaves the repository, or ends without paths
     gives no row. A file that occurs twice counts once.
     """
-    ordering.ensure_checkpoints(configs.sparkSession)
-    table = declared_aliases(configs).dropDuplicates(["file"]).checkpoint()
+    table = ordering.saved(declared_aliases(configs).dropDuplicates(["file"]))
     up = F.when(~F.col("declares") & ~F.col("parent").startswith(".."), F.col("parent"))
     ends = chain_ends(table.select(F.col("file").alias("node"), up.alias("next")))
     own = table.where("declares").select(F.col("file").alias("end"), "aliases")
