@@ -135,3 +135,13 @@ def test_circles_do_not_lengthen_the_rounds_of_chains(spark, monkeypatch):
     ends = graph.chain_ends(spark.createDataFrame(links, "node string, next string"))
     assert {tuple(r) for r in ends.collect()} == {(f"c{i}", "c8") for i in range(9)}
     assert len(written) <= 6
+
+
+def test_files_are_matched_once_in_tasks_by_their_number(spark, monkeypatch):
+    from gristmill.functions import ordering
+
+    dealt, n = ordering.dealt, []
+    monkeypatch.setattr(ordering, "dealt", lambda rows, count, *keys: n.append(count) or dealt(rows, count, *keys))
+    files = spark.createDataFrame([("a/package.json",), ("a/package.json",), ("node_modules/x/package.json",)], "file string")
+    assert [(r["language"], r["root"]) for r in graph.language_roots(files).collect()] == [("ts", "a")]
+    assert n and n[0] == 16
