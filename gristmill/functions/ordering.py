@@ -35,10 +35,14 @@ def saved(rows: DataFrame) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, n: int) -> int:
+    """As many tasks as ``n`` rows need that are sorted in memory: their bytes in a shuffle may be few."""
+    return max(min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-n // TASK))
+
+
 def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """``rows`` by the hash of keys, in as many tasks as ``n`` rows need that are sorted in memory: their bytes in a shuffle may be few."""
-    least = min(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(max(least, -(-n // TASK)), *keys)
+    """``rows``, which are ``n``, by the hash of keys."""
+    return rows.repartition(tasks(rows.sparkSession, n), *keys)
 
 
 def sums_before(rows: DataFrame, order: list[str | Column], n: Column | None = None) -> DataFrame:

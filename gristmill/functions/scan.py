@@ -18,6 +18,8 @@ from gristmill.functions import ordering
 
 #: Rows of a range, a power of two so that no range has rows of two tasks.
 BLOCK = 1 << 13
+#: Rows that are dealt by ranges are whole ones: a task gets fewer of them.
+RANGED = 4
 
 
 class Scan:
@@ -26,15 +28,17 @@ class Scan:
     def __init__(self, rows: DataFrame, group: list[str], order: list[str]):
         ordering.ensure_checkpoints(rows.sparkSession)
         # As a struct, the key is never null, and joins find a null in it.
-        keyed = rows.withColumn("_group", F.struct(*group))
+        # Rows are computed once, and counted from the files' ends before a task gets its share to sort.
+        held = ordering.saved(rows)
+        self.size = held.count()
+        keyed = held.withColumn("_group", F.struct(*group))
         # Ranges of at most BLOCK rows, so that a window holds no more; they are cut from their lineage, as a sample deals the rows.
-        dealt = keyed.repartitionByRange("_group", *order).sortWithinPartitions("_group", *order)
+        dealt = keyed.repartitionByRange(ordering.tasks(rows.sparkSession, RANGED * self.size), "_group", *order).sortWithinPartitions("_group", *order)
         kept = ordering.saved(dealt.withColumn("_range", F.floor(F.monotonically_increasing_id() / BLOCK)))
         self._key, self._order = ["_group", "_range"], order
         # One shuffle for all that is read of the ranges: the columns go together, or each reader would shuffle its own choice of them.
         together = kept.select(*self._key, F.array(F.struct(*rows.columns)).alias("_line"))
-        # As many tasks as rows need that are sorted in memory; the count is read from the files' ends.
-        together = ordering.dealt(together, kept.count(), *self._key)
+        together = ordering.dealt(together, self.size, *self._key)
         self._rows = together.select(*self._key, F.explode(F.slice("_line", 1, 1)).alias("_line")).select(*self._key, "_line.*")
         self._here = Window.partitionBy(*self._key).orderBy(*order)
         self._ranges = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

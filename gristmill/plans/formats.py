@@ -88,7 +88,8 @@ def union_of_ranges(spark, d):
 
 
 def lcov_lines(spark, d):
-    x = S.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.when(F.col("l_returnflag") == "R", 0).otherwise(F.floor("l_quantity").cast("long")).alias("h")))).alias("l"))
+    table = S.table(spark, d, "lineitem")
+    x = dealt(table.select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity"), table.count(), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.when(F.col("l_returnflag") == "R", 0).otherwise(F.floor("l_quantity").cast("long")).alias("h")))).alias("l"))
     body = F.transform("l", lambda r: cat("DA:", r["l_linenumber"].cast("string"), ",", r["h"].cast("string")))
     broken = F.col("l_orderkey") % 13 == 0
     lines = F.concat(F.array(F.lit("TN:"), cat("SF:/repo/o", key("l_orderkey"))), body, F.when(broken, F.array(F.lit("DA:1,x"))).otherwise(F.array(F.lit("LF:1"))), F.array(F.lit("end_of_record")))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import deepjson
+from gristmill.functions import deepjson, ordering
 from gristmill.functions.scan import Scan
 
 DA = r"^DA:(-?[0-9]+),(-?[0-9]+)(?:,.*)?\z"
@@ -26,9 +26,9 @@ def parse_lcov(lines: DataFrame, repo: str = "") -> DataFrame:
         path = F.when(path.startswith(prefix), F.substr(path, F.lit(len(prefix) + 1))).otherwise(path)
     # Other lines change nothing and tell nothing.
     kept = lines.select("doc", "ord", "text").where(F.col("text").startswith("SF:") | F.col("text").rlike(DA))
-    rows = Scan(kept, ["doc"], ["ord"]).read(lasts={"file": path}).rows
-    da = rows.where(F.col("text").rlike(DA)).select("doc", "file", F.regexp_extract("text", DA, 1).cast("int").alias("line"), F.regexp_extract("text", DA, 2).cast("bigint").alias("hits"))
-    return da.groupBy("doc", "file", "line").agg(F.sum("hits").alias("hits"))
+    scan = Scan(kept, ["doc"], ["ord"])
+    da = scan.read(lasts={"file": path}).rows.where(F.col("text").rlike(DA)).select("doc", "file", F.regexp_extract("text", DA, 1).cast("int").alias("line"), F.regexp_extract("text", DA, 2).cast("bigint").alias("hits"))
+    return ordering.dealt(da, scan.size, "doc", "file", "line").groupBy("doc", "file", "line").agg(F.sum("hits").alias("hits"))
 
 
 #: The same; kept for those who call it by this name.

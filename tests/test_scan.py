@@ -138,3 +138,14 @@ def test_ranges_are_small_and_shuffled_once(spark, monkeypatch):
     assert found._rows.groupBy("_range").count().agg({"count": "max"}).first()[0] <= 64
     got = found.read({"s": F.lit(1)}, {"last": F.col("v")}).rows
     assert {(r["i"], r["s"], r["last"], r["last_s"]) for r in got.collect()} == {(i, i, i - i % 7, i - i % 7) for i in range(1000)}
+
+
+def test_as_many_tasks_sort_as_rows_need(spark, monkeypatch):
+    monkeypatch.setattr("gristmill.functions.ordering.TASK", 400)
+    body = [x for i in range(500) for x in (f"SF:f{i}", "DA:1,1", "DA:1,2")]
+    table = lines(spark, {"long": body, "short": body[:3]})
+    scan = Scan(table, ["doc"], ["ord"])
+    # Four partitions of the session would sort 376 whole rows each.
+    assert scan.size == 1503 and scan._rows.groupBy("_range").count().agg(F.max("count")).first()[0] <= 200
+    found = coverage.parse_lcov(table)
+    assert found.rdd.getNumPartitions() >= 4 and found.where("hits = 3").count() == 501
