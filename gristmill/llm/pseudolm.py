@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,10 +155,10 @@ def _weighed(z: np.ndarray, outputs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(weights, their sums by row, the logarithms that the rows of ``z`` add up to); ``z`` is used up.
 
     A weight over its row's sum is the softmax; the rows are not divided, as what is made of them is smaller.
-    Hidden values are 1 at most, so the columns of ``outputs`` bound the exponents.
+    Hidden values are 1 at most, so the columns of ``outputs`` bound the exponents; of the two the smaller is read.
     """
     top = None
-    if not np.abs(outputs).sum(0).max() < SAFE:
+    if not (np.abs(outputs).sum(0).max() if outputs.size < z.size else max(z.max(), -z.min())) < SAFE:
         top = z.max(1)
         z -= top[:, None]
     np.exp(z, out=z)
@@ -169,12 +170,8 @@ def _sums_of_rows(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     """(different values of ``index``, sums of their rows, how many)."""
     order = np.argsort(index, kind="stable")
     found = index[order].astype(np.int64)
-    fresh = np.diff(found, prepend=-1) != 0
-    place = np.empty(len(index), np.int64)
-    place[order] = np.cumsum(fresh) - 1
-    kinds = found[fresh]
-    total = np.stack([np.bincount(place, weights=column, minlength=len(kinds)) for column in np.ascontiguousarray(rows.T)], 1)
-    return kinds, total.astype(np.float32), np.bincount(place, minlength=len(kinds))
+    first = np.flatnonzero(np.diff(found, prepend=-1))
+    return found[first], np.add.reduceat(rows.take(order, 0), first, axis=0), np.diff(first, append=len(index))
 
 
 def window_logs(net: Network, vocabulary: Vocabulary, seq: np.ndarray, learn: float = 0.0) -> np.ndarray:
@@ -191,7 +188,13 @@ def window_logs(net: Network, vocabulary: Vocabulary, seq: np.ndarray, learn: fl
     for k in range(1, len(SIDES)):
         mixed += e[sides[k]] @ mixing[k]
     mixed += bias
-    np.tanh(mixed, out=h[:, :width])
+    # tanh(x) is 1 - 2 / (exp(2 x) + 1); an exponential that overflows gives 1.
+    mixed *= 2
+    with np.errstate(over="ignore"):
+        np.exp(mixed, out=mixed)
+    mixed += 1
+    np.divide(-2, mixed, out=mixed)
+    np.add(mixed, 1, out=h[:, :width])
     # Places in the order of their classes; those beyond an end come last.
     target = seq[REACH : REACH + n]
     of = vocabulary.of[target]
@@ -237,7 +240,7 @@ def window_logs(net: Network, vocabulary: Vocabulary, seq: np.ndarray, learn: fl
     if not learn:
         return out
     back -= back * h[:, :width] ** 2
-    d_bias[:] = back.sum(0)
+    d_bias[:] = np.ones(real, np.float32) @ back
     placed = np.zeros((n, width), np.float32)
     placed[order[:real]] = back
     around = np.zeros_like(e)
@@ -305,15 +308,18 @@ def encoded(docs: DataFrame, vocab: str, shards: int) -> DataFrame:
     """
     kind = id_type(vocab)
 
-    def encode(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = tokens.encoder(vocab).batch([t or "" for t in batch["text"]])
-            yield {"doc_id": batch["doc_id"], "key": batch["key"], "ids": [np.frombuffer(x, "<u4").astype(kind).tobytes() for x in found]}
+            ids, ends = tokens.encoder(vocab).column(batch.column("text"))
+            data = ids.astype(kind)
+            # A batch of text is far below the 2 GB that its offsets reach.
+            found = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), found], ["doc_id", "key", "ids"])
 
     text = F.col("text").cast("string")
     doc = F.col("doc_id").cast("long")
     key = F.when(F.length(text) > 0, F.xxhash64(text, doc)).otherwise(F.monotonically_increasing_id())
-    rows = shared.map_columns(docs.select(doc.alias("doc_id"), key.alias("key"), text.alias("text")), encode, "doc_id long, key long, ids binary")
+    rows = docs.select(doc.alias("doc_id"), key.alias("key"), text.alias("text")).mapInArrow(encode, "doc_id long, key long, ids binary")
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     return dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "ids").select("doc_id", "shard", "ids")
 

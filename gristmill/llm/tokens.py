@@ -18,6 +18,8 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -28,6 +30,10 @@ CACHE_ENTRIES = 400_000
 CACHED_CHARS = 48
 #: A space that may stand inside a run of white space, or at the end.
 UNSURE = re.compile("[ ](?=[\\s\\u180e]|$)|\0|<\\|")
+#: The same for Arrow, which has no look-ahead; all that is a space to Python.
+UNSURE_ARROW = r"[ ](?:[\s\x0b\x1c-\x1f\x{85}\x{180e}\p{Z}]|\z)|\x00|<\|"
+#: Different pieces of a column that are encoded as one text.
+JOINED = 65536
 CUT = re.compile("(?=[ ][^\\s\\u180e])")
 PROBE = "It's 1234 naïve übel… don't\n\n  x\t\ty  日本 a_b--c %%% ÉÈ don'T we'LL\u00a0z \U0001f600"
 
@@ -96,6 +102,52 @@ class Encoder:
             return [b"".join([known[p] for p in parts]) for parts in cut]
         return [b"".join([known[p] if p in known else extra[p] for p in parts]) for parts in cut]
 
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's ids begin, with the end as last; a null text has none.
+
+        Each different piece of the column is encoded once, and no piece becomes a Python string of its own.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        sure = ~pc.match_substring_regex(texts, UNSURE_ARROW).to_numpy(zero_copy_only=False)
+        if not self.fast or not sure.all():
+            bare = np.flatnonzero(sure) if self.fast else np.zeros(0, np.int64)
+            flat, ends = self._column(texts.take(pa.array(bare))) if len(bare) else (None, None)
+            rest = np.setdiff1d(np.arange(len(texts)), bare)
+            found = dict(zip(bare.tolist(), np.split(flat, ends[1:-1]) if len(bare) else [], strict=True))
+            found |= {i: np.frombuffer(x, "<u4") for i, x in zip(rest.tolist(), self.batch(texts.take(pa.array(rest)).to_pylist()), strict=True)}
+            rows = [found[i] for i in range(len(texts))]
+            return np.concatenate([np.zeros(0, "<u4"), *rows]), np.cumsum([0, *map(len, rows)])
+        return self._column(texts)
+
+    def _column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts in which every space starts a piece."""
+        parts = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        pieces = parts.flatten().dictionary_encode()
+        kinds = pieces.dictionary
+        spaced = pc.starts_with(kinds, " ").to_numpy(zero_copy_only=False)
+        count, found = np.zeros(len(kinds), np.int64), []
+        order = [*np.flatnonzero(~spaced), *np.flatnonzero(spaced)]
+        bare = kinds.filter(pa.array(~spaced)).to_pylist()
+        for at in range(0, len(bare), 4096):
+            found += [np.frombuffer(x, "<u4") for x in self._slow(bare[at : at + 4096])]
+        count[~spaced] = [len(x) for x in found]
+        which, joined = np.flatnonzero(spaced), kinds.filter(pa.array(spaced))
+        for at in range(0, len(which), JOINED):
+            part = joined.slice(at, JOINED)
+            ids = np.array(self.fast.encode_ordinary(pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), "")[0].as_py()), "<u4")
+            ends = np.cumsum(pc.binary_length(part).to_numpy())
+            count[which[at : at + JOINED]] = np.diff(np.searchsorted(np.cumsum(self.sizes[ids]), ends, "right"), prepend=0)
+            found.append(ids)
+        flat = np.concatenate([np.zeros(0, "<u4"), *found])
+        start = np.zeros(len(kinds), np.int64)
+        start[order] = np.cumsum(count[order]) - count[order]
+        index = pieces.indices.to_numpy()
+        ends = np.concatenate([[0], np.cumsum(count[index])])
+        size = np.diff(ends)
+        ids = flat[np.repeat(start[index] - ends[:-1], size) + np.arange(ends[-1])]
+        # Offsets of the list count from its first row.
+        return ids, ends[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+
 
 def encoder(vocab: str = DEFAULT_VOCAB) -> Encoder:
     """This process's encoder of a vocabulary file."""

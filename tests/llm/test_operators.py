@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import oracle
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -801,3 +802,14 @@ def test_cells_let_near_vectors_meet_at_all_sizes(rows):
     b *= np.sqrt(1 - lattice.COSINE**2) / np.linalg.norm(b, axis=1, keepdims=True)
     x, y = (lattice.cells(v, tables, lattice.PROBES, scale) for v in (a, lattice.COSINE * a + b))
     assert ((x[:, :, :1] == y).any(2) | (y[:, :, :1] == x).any(2)).any(1).mean() >= 0.98
+
+
+def test_ids_of_a_column_are_those_of_its_texts():
+    rng = random.Random(29)
+    odd = [None, "", " ", "  a", "a  b", "a  b", "a ᠎b", "a \x1cb", "<|endoftext|> a", "a\0 b", " lead", "trail ", "a \n", "\n\n", "don't we'LL z", "日本 é_b", "x" * 100 + " y"]
+    texts = [*odd, *("".join(rng.choices("ab1 \n\té日'-\0", k=30)) for _ in range(200)), *(" ".join(rng.choices(["ab", "don't", "é\n", "日本"], k=9)) for _ in range(200))]
+    encoder = tokens.Encoder(tokens.DEFAULT_VOCAB)
+    for some in (texts, texts[-200:], [], [None]):
+        ids, ends = encoder.column(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+    assert [x.tolist() for x in encoder.column(pa.array(["no", "a b", "c"]).slice(1, 2))] == [x.tolist() for x in encoder.column(pa.array(["a b", "c"]))]
