@@ -16,8 +16,9 @@ from gristmill.functions.patterns import MAX_CC, MAX_CRAP, MIN_DIFF_COVERAGE, RI
 def nested_ranges(functions: DataFrame) -> DataFrame:
     """Functions with ``nested``: ranges of the same file strictly inside."""
     f = functions.drop("nested")
-    inner = intervals.contained_ranges(f).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("nested"))
-    return f.join(inner, "ord", "left").withColumn("nested", F.coalesce("nested", F.array().cast("array<struct<a:int,b:int>>")))
+    n = f.count()
+    inner = ordering.dealt(intervals.contained_ranges(f), n, "ord").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("nested"))
+    return ordering.dealt(f, n, "ord").join(inner, "ord", "left").withColumn("nested", F.coalesce("nested", F.array().cast("array<struct<a:int,b:int>>")))
 
 
 def own_lines(functions: DataFrame) -> DataFrame:

@@ -148,3 +148,12 @@ def test_files_are_matched_once_in_tasks_by_their_number(spark, monkeypatch):
     files = spark.createDataFrame([("a/package.json",), ("a/package.json",), ("node_modules/x/package.json",)], "file string")
     assert [(r["language"], r["root"]) for r in graph.language_roots(files).collect()] == [("ts", "a")]
     assert n and n[0] == 16
+
+
+def test_contained_ranges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr("gristmill.functions.ordering.TASK", 20)
+    found = intervals.contained_ranges(spark.range(30).selectExpr("id AS ord", "'f' AS file", "int(id) AS start", "int(60 - id) AS end"))
+    # Some 990 blocks of both sides; the session has four partitions.
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert sum("RepartitionByExpression" in x and x.rstrip().endswith(", 50") for x in plan.splitlines()) == 2
+    assert found.count() == 435
