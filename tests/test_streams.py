@@ -73,6 +73,52 @@ def test_rows_that_wait_are_one_value_a_batch():
     assert held.timers == [int(START.replace(tzinfo=dt.UTC).timestamp() * 1000) + 2]
 
 
+@pytest.mark.parametrize("step", [1, 360])
+def test_notes_are_packed_before_they_meet_state(spark, step):
+    gap = step * 3600 * 1000 * 2  # 40 000 rows of three days, or three years, in no order
+    rows = spark.range(40_000, numPartitions=2).selectExpr("CASE WHEN id % 4 > 0 THEN id % 4 END AS repo", f"CASE WHEN id > 9 THEN (id * 7919) % 40000 * {gap} - 1 END AS at", "id AS ord", "'k' AS key").where("at IS NOT NULL")
+    packs = sessions.packed(rows, "repo").withColumn("high", sessions.F.unix_micros("ts")).collect()
+    assert len(packs) <= 2 * 4 * 12  # two tasks, four repositories, slices of some 500 rows
+    spans = {(p["start"], p["end"]) for p in packs}
+    assert all(a == c or a[1] <= c[0] or c[1] <= a[0] for a in spans for c in spans) and len(spans) > 3
+    held = []
+    for p in packs:
+        inside = sessions._unpacked([p["rows"]]).to_pylist()
+        held += inside
+        assert {r["repo"] for r in inside} == {int(p["name"]) if p["name"] else None}
+        ms = [-(-r["at"] // 1000) for r in inside]
+        assert (p["low"], p["high"]) == (min(ms), max(r["at"] for r in inside))
+        assert all(p["start"] <= m < p["end"] for m in ms)
+    assert sorted(r["ord"] for r in held) == list(range(10, 40_000))
+
+
+@pytest.mark.parametrize(("zone", "width"), [("America/New_York", 60_000), ("Asia/Tokyo", 24 * 3_600_000)])
+def test_notes_over_slices_in_any_zone(spark, tmp_path, monkeypatch, zone, width):
+    monkeypatch.setattr(sessions, "SLICE", width, raising=False)
+    rng = random.Random(9)
+    schema = "repo long, ts timestamp, ord long, key string"
+    rows = [(rng.choice([0, 1, 2**60 + 1, None]), START + dt.timedelta(seconds=7 * (i // 2), microseconds=rng.randrange(1500)), i, rng.choice(["a", "b", None])) for i in range(600)]
+    parts = batches(rng, rows, 150, 8)
+    for n, part in enumerate(parts[2:], 2):  # late by far, in a pack with others if slices are wide
+        part.extend((r, START + dt.timedelta(minutes=3 * n - 9, microseconds=1), 5000 + n, "z") for r in (0, 1, 2**60 + 1, None))
+    parts.append([(99, START + dt.timedelta(days=1), 999, "z")])
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for n, part in enumerate(parts):
+            monkeypatch.setattr(sessions, "ROWS", (2, 40, 5)[n % 3], raising=False)  # slices of several widths
+            arrive(spark, f"{tmp_path}/in", n, part, schema)
+            source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+            got = sessions.run_stream(sessions.ordered_notes(source, "10 minutes"), f"{tmp_path}/out")
+            if n == 1:
+                assert got.count() > 0  # rows go out before all have come
+        want = sessions.shown_once(spark.createDataFrame(rows, schema)).collect()
+        order = lambda r: (r["ord"], str(r))
+        assert sorted(got.collect(), key=order) == sorted(want, key=order) and len(want) > 200
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
 def test_recent_sessions_as_a_stream(spark, tmp_path):
     rng = random.Random(8)
     schema = "session long, ts timestamp, ord long, head string"
