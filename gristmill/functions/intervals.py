@@ -44,8 +44,13 @@ def cover(start: Column, end: Column) -> Column:
     return F.when((start <= end), F.concat(*(some(s) for s in SIZES))).otherwise(F.array().cast(_NONE))
 
 
-def sizes_in_use(ranges: DataFrame, start: Column, end: Column) -> tuple[list[int], int, int]:
-    """The sizes of block that the longest range has room for, about how many blocks all ranges are, and how many ranges there are."""
+def sizes_in_use(ranges: DataFrame, start: Column, end: Column) -> tuple[list[int], int]:
+    """The sizes of block that the longest range has room for, and about how many blocks all ranges are."""
+    return _sizes(ranges, start, end)[:2]
+
+
+def _sizes(ranges: DataFrame, start: Column, end: Column) -> tuple[list[int], int, int]:
+    """``sizes_in_use``, and how many ranges there are."""
     length = end.cast("long") - start.cast("long") + 1
     found = ranges.agg(F.coalesce(F.max(length), F.lit(0)).alias("most"), F.coalesce(F.sum(F.greatest(F.least(length, F.lit(MOST)), F.lit(0))), F.lit(0)).alias("n"), F.count("*").alias("rows")).first()
     return [s for s in SIZES if found["most"] >> s > 0], found["n"], found["rows"]
@@ -78,7 +83,7 @@ def innermost_ranges(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     at = F.struct("start", (-F.col("end")).alias("end"), "name")
     held = saved(ranges.select("file", "start", "end", "name"))
     blocks = cover(F.col("start"), F.col("end"))
-    sizes, n, _ = sizes_in_use(held, F.col("start"), F.col("end"))
+    sizes, n = sizes_in_use(held, F.col("start"), F.col("end"))
     # A few ranges in a small shuffle may be many blocks, so they are dealt to as many tasks as these need.
     best = dealt(held, n, "file", "start", "end").select("file", "start", "end", "name", F.explode(blocks).alias("b")).groupBy("file", "b.level", "b.block").agg(F.max(at).alias("in"))
     seen = lines.select("file", "line").distinct().select("file", "line", F.explode(around(F.col("line"), sizes)).alias("b")).select("file", "line", "b.*")
@@ -93,7 +98,7 @@ def innermost_ranges(ranges: DataFrame, lines: DataFrame) -> DataFrame:
 def contained_ranges(ranges: DataFrame) -> DataFrame:
     """ord, a, b: for each range (ord, file, start, end) those that begin after its start and end with it or before."""
     blocks = cover(F.col("start") + 1, F.col("end"))
-    sizes, n, rows = sizes_in_use(ranges, F.col("start") + 1, F.col("end"))
+    sizes, n, rows = _sizes(ranges, F.col("start") + 1, F.col("end"))
     n += len(sizes) * rows
     outer = ranges.select("ord", "file", F.col("end").alias("_end"), F.explode(blocks).alias("x")).select("ord", "file", "_end", "x.*")
     inner = ranges.select("file", F.col("start").alias("a"), F.col("end").alias("b")).select("file", "a", "b", F.explode(around(F.col("a"), sizes)).alias("x")).select("file", "a", "b", "x.*")
