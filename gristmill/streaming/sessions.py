@@ -69,13 +69,14 @@ class InOrder(StatefulProcessor):
     """Rows of a key in the order of (ts, ord), held until the watermark says that none can come before them.
 
     State: the rows that wait, as many as come within the watermark's delay, an Arrow table for each batch; and
-    the last value. ``fields`` are the columns that go out, and ``value`` the one that is compared with the last.
+    the last value. ``fields`` are the columns that go out, the second of them the time, and ``value`` the one that
+    is compared with the last.
     """
 
     TYPES = {"long": pa.int64(), "timestamp": pa.timestamp("us"), "string": pa.string()}
 
     def __init__(self, fields: list[str], kinds: str, value: str, first: bool):
-        self.fields, self.kinds, self.value, self.first = fields, kinds, value, first
+        self.fields, self.time, self.kinds, self.value, self.first = fields, fields[1], kinds, value, first
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -102,7 +103,7 @@ class InOrder(StatefulProcessor):
             if len(batch):
                 found = pa.Table.from_pandas(batch[self.fields], self.fixed, preserve_index=False)
                 self.waiting.appendValue(self._packed(found))
-                low = pc.min(_millis(found["ts"])).as_py()
+                low = pc.min(_millis(found[self.time])).as_py()
                 earliest = low if earliest is None else min(low, earliest)
         if earliest is not None:
             self.handle.registerTimer(earliest)
@@ -114,11 +115,11 @@ class InOrder(StatefulProcessor):
         if not parts:
             return
         rows = pa.concat_tables(parts)
-        due = pc.less_equal(_millis(rows["ts"]), now)
-        ready, later = rows.filter(due).sort_by([("ts", "ascending"), ("ord", "ascending")]), rows.filter(pc.invert(due))
+        due = pc.less_equal(_millis(rows[self.time]), now)
+        ready, later = rows.filter(due).sort_by([(self.time, "ascending"), ("ord", "ascending")]), rows.filter(pc.invert(due))
         if len(later):
             self.waiting.put([self._packed(later)])
-            self.handle.registerTimer(pc.min(_millis(later["ts"])).as_py())
+            self.handle.registerTimer(pc.min(_millis(later[self.time])).as_py())
         else:
             self.waiting.clear()
         if not len(ready):
@@ -254,10 +255,13 @@ def ordered_moves(states: DataFrame, delay: str = "10 minutes") -> DataFrame:
     A row goes out when the watermark, in whole milliseconds, has reached it, so the last ones may wait for more;
     rows that come after that are dropped.
     """
-    rows = states.select("session", F.col("ts").cast("timestamp").alias("ts"), "ord", "head").withWatermark("ts", delay)
-    schema = "session long, ts timestamp, ord long, head string"
-    step = InOrder(["session", "ts", "ord", "head"], schema, "head", False)
-    return rows.groupBy("session").transformWithStateInPandas(step, schema, "append", "eventTime")
+    # Microseconds: a pandas time is one of the session's zone, and the watermark is not.
+    ts = F.col("ts").cast("timestamp")
+    rows = states.select("session", ts.alias("ts"), F.unix_micros(ts).alias("at"), "ord", "head").where("ts IS NOT NULL").withWatermark("ts", delay)
+    schema = "session long, at long, ord long, head string"
+    step = InOrder(["session", "at", "ord", "head"], schema, "head", False)
+    found = rows.groupBy("session").transformWithStateInPandas(step, schema, "append", "eventTime")
+    return found.select("session", F.timestamp_micros("at").alias("ts"), "ord", "head")
 
 
 def ordered_notes(notes: DataFrame, delay: str = "10 minutes") -> DataFrame:

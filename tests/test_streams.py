@@ -119,6 +119,24 @@ def test_notes_over_slices_in_any_zone(spark, tmp_path, monkeypatch, zone, width
         spark.conf.set("spark.sql.session.timeZone", was)
 
 
+def test_moves_in_a_zone_that_is_not_utc(spark, tmp_path):
+    rng = random.Random(10)
+    schema = "session long, ts timestamp, ord long, head string"
+    rows = [(rng.randrange(3), START + dt.timedelta(seconds=20 * i, microseconds=rng.randrange(1500)), i, rng.choice(["a", "b", None])) for i in range(120)]
+    parts = [*batches(rng, rows, 60, 8), [(99, START + dt.timedelta(hours=2), 999, "z"), (0, None, 998, "y")]]
+    was = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for n, part in enumerate(parts):
+            arrive(spark, f"{tmp_path}/in", n, part, schema)
+            source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
+            got = sessions.run_stream(sessions.ordered_moves(source, "10 minutes"), f"{tmp_path}/out")
+        want = sessions.moved(spark.createDataFrame(rows, schema)).collect()
+        assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want) and len(want) > 20
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+
+
 def test_recent_sessions_as_a_stream(spark, tmp_path):
     rng = random.Random(8)
     schema = "session long, ts timestamp, ord long, head string"
